@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, packing, sharding, warc
+from . import chat, mixing, ngram_join, packing, sharding, suffix, warc
 from .common import table
 
 #: The tokenizer file whose ids op10 packs.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,6 +32,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
     return d.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "block_digest", "payload_digest", "content_length", F.sha2(F.encode("record", "UTF-8"), 256).alias("record_sha256"))
@@ -37,6 +45,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_mixing, op7_chat_formatting, op9_warc_derivatives, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_mixing, op7_chat_formatting, op8_suffix_dedup, op9_warc_derivatives, op10_packing)}
 
 ORACLE: dict[str, str] = {}
