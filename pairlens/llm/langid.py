@@ -117,32 +117,34 @@ def train(labelled: DataFrame, rows: int = 4096, seed: int = 11) -> Model | None
     return fit(np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b, _ in pairs]), axis=1), [lang for _, lang in pairs], seed=seed)
 
 
-def _predicted(model):
+def _predicted(model, keep):
     def predict(batches):
         m: Model | None = model.value
         for batch in batches:
             for low in range(0, batch.num_rows, _PART):
                 part = batch.slice(low, _PART)
-                ok = np.array(part["lettered"].to_pylist(), bool)
+                ok = np.array(part["_lettered"].to_pylist(), bool)
                 lang, score = np.full(len(ok), "und", object), np.zeros(len(ok))
                 if ok.any() and m is not None:
                     texts = [t for t, k in zip(part["text"].to_pylist(), ok, strict=True) if k]
                     s = m.scores(presences(texts))
                     lang[ok], score[ok] = np.array(m.languages, object)[s.argmax(axis=1)], s.max(axis=1)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "text", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return predict
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Predict the language of the whole text of documents (doc_id, text); one pass, no shuffle.
 
     A null text, one without a letter, and any text where there is no model get ``und`` and score 0. Rows come back
-    one for one; other columns are ignored. Returns doc_id, text, lang_pred, score double (0 to 1).
+    one for one; other columns are ignored, but for those of ``keep``. Returns doc_id, text, what ``keep`` names,
+    lang_pred, score double (0 to 1).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", "text", has_letter(F.col("text")).alias("lettered"))
-    return rows.mapInArrow(_predicted(shared), "doc_id long, text string, lang_pred string, score double")
+    rows = docs.select("doc_id", "text", *keep, has_letter(F.col("text")).alias("_lettered"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return rows.mapInArrow(_predicted(shared, rows.columns[:-1]), f"{kinds}, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:

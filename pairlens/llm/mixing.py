@@ -90,7 +90,7 @@ def _plan(most: int):
     return plan
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """How often a mix by weight takes each document (doc_id, text, source).
 
     A document's size is its number of words (null text: 0). Each source is taken whole as often as its target
@@ -98,9 +98,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     hash of doc_id picks them. Only length counts reach one task, a source's at a time. Null sources are one
     source. Documents without words count as taken with their source's passes, at 0 words. Repeated rows are
     documents of their own; reruns agree. No documents: no rows. Other columns are ignored.
-    Returns doc_id, source, size long, source_size long, target double, times int, taken long.
+    Returns doc_id, source, size long, source_size long, target double, times int, taken long; with ``keep``, these
+    columns of ``docs`` and times.
     """
-    rows = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_draw"), F.xxhash64("text").alias("_text")))
+    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    rows = materialize(docs.select(*kept, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_draw"), F.xxhash64("text").alias("_text")))
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     goals = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     goals = goals.withColumnRenamed("source", "_source")
@@ -109,4 +111,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     ranked = gapless_rank(rows, ["source", "size"], ["_draw", "doc_id", "_text"], "_rank")
     times = (F.col("passes") + (F.col("_rank") < F.col("some")).cast("int")).cast("int")
     joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"), "_text")
+    if keep:
+        return joined.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], times.alias("times"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import connected_components, materialize
 from .wordhash import shingles, words
 
-#: Slots of the count table, bits of a set's sketch, documents of a block, and rows up to which ids are broadcast.
-SLOTS, BITS, BLOCK, SMALL = 1 << 20, 1024, 2048, 1_000_000
+#: Slots of the count table, bits of a set's sketch, rows of a block of candidates, shingles of a block of sets, and rows
+#: up to which ids are broadcast.
+SLOTS, BITS, BLOCK, VOLUME, SMALL = 1 << 20, 1024, 4096, 400_000, 1_000_000
 _CHUNK = 1 << 14
 
 
@@ -183,11 +184,11 @@ class Trie:
     def __init__(self, sets: list[np.ndarray]):
         flat = np.concatenate(sets)
         _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(counts), np.int64)
+        rank = np.empty(len(counts), np.int32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
         cuts = np.cumsum([len(s) for s in sets])[:-1]
         paths = [np.sort(p) for p in np.split(rank[inverse], cuts)]
-        self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i8").tobytes())
+        self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i4").tobytes())
         self.paths = [paths[i] for i in self.order]
         self.sizes = np.array([len(p) for p in self.paths])
         self.width = len(counts)
@@ -296,6 +297,7 @@ def _links(num: int, den: int):
             new = np.flatnonzero((group[1:] != group[:-1]) | (tile[1:] != tile[:-1])) + 1
             edges = [0, *new.tolist(), len(ids)]
             out = []
+            del t, lists
             for low, high in zip(edges, edges[1:], strict=False):
                 if high - low > 1:
                     out += [(ids[low + i], ids[low + j]) for i, j in trie_links([flat[cuts[k] : cuts[k + 1]] for k in range(low, high)], num, den)]
@@ -335,13 +337,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     begun = classes.select("id", "n", F.explode("first").alias("shingle"))
     shared = begun.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     found = begun.join(shared, "shingle").join(classes.select("id", "sketch"), "id").select("shingle", "size", "id", "n", "sketch")
-    found = tiles(found, "shingle", "size", "id", 2 * BLOCK).repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile", "id")
+    found = tiles(found, "shingle", "size", "id", BLOCK).repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile", "id")
     near = materialize(found.mapInArrow(_candidates(num, den), "a long, b long"))
     groups = connected_components(near)
-    groups = materialize(groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").join(classes.select("id", F.col("class").alias("of")), "id"))
+    groups = materialize(groups.join(classes.select("id", "n", F.col("class").alias("of")), "id"))
+    groups = groups.join(groups.groupBy("component").agg(F.sum("n").alias("size")), "component").select("id", "of", "component", "size")
+    groups = materialize(groups)
     texts = docs.join(F.broadcast(groups) if groups.count() <= SMALL else groups, F.col("doc_id") == F.col("id")).select("id", "of", "component", "size", "text")
     sets = texts.mapInArrow(_sets(n), "id long, of binary, class binary, component long, size long, shingles array<long>").where("class = of")
-    sets = tiles(sets, "component", "size", "id", BLOCK // 2).select("component", "tile", "id", "shingles")
+    sets = tiles(sets, "component", "size", "id", VOLUME).select("component", "tile", "id", "shingles")
     links = sets.repartition(partitions, "component", "tile").sortWithinPartitions("component", "tile", "id").mapInArrow(_links(num, den), "a long, b long")
     linked = connected_components(links).withColumnRenamed("component", "reached")
     named = classes.select("class", "id").join(linked, "id", "left").select(F.col("class").alias("of"), F.coalesce("reached", "id").alias("component_id"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from .common import materialize
 WINDOW, END = 2048, 1
 #: Pieces that one task packs, about; a task's leftover room is that of one window in some hundreds.
 BUCKET = 16_384
-#: Distinct words whose ids a worker remembers.
+#: Words that a worker remembers of late, and as many from before.
 REMEMBERED = 400_000
 
 _SAFE = re.compile(r"\S(?:.*\S)?", re.DOTALL)
@@ -33,25 +35,47 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        #: Ids of words, each coded with a blank before it, of late and from before.
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        words = [first, *[f" {w}" for w in rest]]
-        known = self.known
-        missing = {w for w in words if w not in known}
-        if missing:
-            if not all(_SAFE.fullmatch(w[1:] if w[:1] == " " else w) for w in missing) or any(s in text for s in self.special):
-                return self._ids([text])[0] if text else b""
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = set(words)
-            missing = list(missing)
-            known.update(zip(missing, self._ids(missing), strict=True))
-        return b"".join([known[w] for w in words])
+        found = [array("I", e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for f in found:
+                f.byteswap()
+        return [f.tobytes() for f in found]
+
+    def _learn(self, words: set[str]) -> None:
+        """Add words to what is known; those with blanks at an end, and empty ones, stay unknown."""
+        old = self.before.get
+        known = {w: v for w in words if (v := old(w)) is not None}
+        new = [w for w in words if w not in known and _SAFE.fullmatch(w)]
+        self.words.update(known)
+        self.words.update(zip(new, self._ids([f" {w}" for w in new]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > REMEMBERED:
+            self.before, self.words = self.words, {}
+        get = self.words.get
+        missing, rows = set(), []
+        for text in texts:
+            head, *rest = text.split(" ")
+            ids = list(map(get, rest))
+            gaps = [i for i, v in enumerate(ids) if v is None] if None in ids else ()
+            missing.update([rest[i] for i in gaps])
+            rows.append((head, rest, ids, gaps))
+        self._learn(missing)
+        heads = self._ids([row[0] for row in rows])
+        out = []
+        for text, first, (head, rest, ids, gaps) in zip(texts, heads, rows, strict=True):
+            for i in gaps:
+                ids[i] = get(rest[i])
+            if not _SAFE.fullmatch(head) or (gaps and None in ids) or any(s in text for s in self.special):
+                out.append(self._ids([text])[0] if text else b"")
+            else:
+                out.append(b"".join([first, *ids]))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -63,10 +87,10 @@ def _pieces(path: str, window: int, end: int):
             _encoders[path] = WordEncoder(path)
         encode = _encoders[path]
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part, out = batch.slice(low, 1024), []
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    ids = encode(text or "") + end.to_bytes(4, "little")
+            for low in range(0, batch.num_rows, 512):
+                part, out = batch.slice(low, 512), []
+                for doc, ids in zip(part["doc_id"].to_pylist(), encode([t or "" for t in part["text"].to_pylist()]), strict=True):
+                    ids += end.to_bytes(4, "little")
                     n = len(ids) // 4
                     out += [(doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

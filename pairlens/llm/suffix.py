@@ -197,7 +197,7 @@ def _sort(length: int):
     return sort
 
 
-def _merged(n: int, flat: list[int] | None) -> list[tuple[int, int]]:
+def _merged(flat: list[int] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for low, high in sorted(zip(flat[::2], flat[1::2], strict=True)) if flat else ():
         if out and low <= out[-1][1]:
@@ -207,15 +207,21 @@ def _merged(n: int, flat: list[int] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(length: int):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
+def _joined(batches):
+    for batch in batches:
+        spans = [None if s is None else [x for span in _merged(s) for x in span] for s in batch["spans"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["of"], batch["copies"], pa.array(spans, pa.list_(pa.int32()))], ["of", "copies", "spans"])
 
-    def keep(batches):
+
+def _kept(length: int, keep: list[str]):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
+
+    def cut(batches):
         for part in _parts(batches):
             rows = []
-            for doc, text, copies, flat in zip(*[part[c].to_pylist() for c in ("doc_id", "text", "copies", "spans")], strict=True):
+            for text, copies, flat in zip(*[part[c].to_pylist() for c in ("text", "copies", "spans")], strict=True):
                 b = (text or "").encode("utf-8", "replace")
-                spans = _merged(len(b), flat)
+                spans = _merged(flat)
                 if (copies or 1) > 1 and len(b) >= length:
                     spans = [(0, len(b))]
                 left, at = [], 0
@@ -223,10 +229,11 @@ def _kept(length: int):
                     left.append(b[at:low])
                     at = high
                 kept = b"".join(left)
-                rows.append((doc, len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [x for s in spans for x in s], None if text is None else kept.decode("utf-8", "ignore")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+                rows.append((len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [x for s in spans for x in s], None if text is None else kept.decode("utf-8", "ignore")))
+            found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], *found], [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return keep
+    return cut
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -254,28 +261,32 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     ordered = segments.repartition(partitions, "anchor").sortWithinPartitions("anchor", "same")
     spans = ordered.select("anchor", "same", "many", "place", "size", "bytes").mapInArrow(_sort(length), "anchor long, same binary, spans array<int>").where(F.size("spans") > 0)
     hits = cut.select("of", "anchor", "same", "low").join(spans, ["anchor", "same"])
-    hits = hits.select("of", F.transform("spans", lambda x: x + F.col("low")).alias("spans"))
+    hits = hits.select("of", F.transform("spans", lambda x: (x + F.col("low")).cast("int")).alias("spans"))
     return classes, hits.groupBy("of").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte of documents (doc_id, text) that a repeated window of ``length`` bytes covers.
 
     A window is repeated if its bytes also start anywhere else, in another document or its own; they are judged on
     the input and do not cross documents. A null text is empty here (its ``kept`` stays null). Texts below ``length``
-    bytes stay. Repeated rows remove each other. Whole texts of any length are read. Other columns are ignored.
-    Returns doc_id, n_bytes, n_removed, n_spans (all long), kept_sha256, spans array<long> (merged, flat starts and
+    bytes stay. Repeated rows remove each other. Whole texts of any length are read. Other columns are
+    ignored, but for those of ``keep``. Returns doc_id, what ``keep`` names, n_bytes, n_removed, n_spans (all long), kept_sha256, spans array<long> (merged, flat starts and
     ends in bytes) and kept (the remaining text; a character that a cut splits is dropped from it).
     """
     classes, spans = repeated_spans(docs, length)
     marks = classes.where("copies > 1").select(F.col("class").alias("of"), "copies").join(spans, "of", "full")
-    marks = materialize(marks.select("of", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.coalesce("copies", F.lit(1)) == 1, F.col("spans")).alias("spans")))
+    marks = marks.select("of", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.coalesce("copies", F.lit(1)) == 1, F.col("spans")).alias("spans"))
+    marks = materialize(marks.mapInArrow(_joined, "of binary, copies long, spans array<int>"))
     few = marks.agg(F.coalesce(F.sum(F.coalesce(F.size("spans"), F.lit(0)) + 4), F.lit(0))).first()[0] <= SMALL
-    keyed = docs.select("doc_id", "text").mapInArrow(_keyed, "doc_id long, text string, class binary")
-    joined = keyed.join(F.broadcast(marks) if few else marks, F.col("class") == F.col("of"), "left").select("doc_id", "text", "copies", "spans")
-    return joined.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept string")
+    rows = docs.select("doc_id", *keep, "text")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
+    keyed = rows.mapInArrow(_keyed, ", ".join([*kinds, "_class binary"]))
+    joined = keyed.join(F.broadcast(marks) if few else marks, F.col("_class") == F.col("of"), "left")
+    kinds[-1] = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept string"
+    return joined.mapInArrow(_kept(length, rows.columns[:-1]), ", ".join(kinds))
 
 
 def _keyed(batches):
     for part in _parts(batches):
-        yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], pa.array([_key(_data(t)[0]) for t in part["text"].to_pylist()], pa.binary())], ["doc_id", "text", "class"])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_key(_data(t)[0]) for t in part["text"].to_pylist()], pa.binary())], [*part.schema.names, "_class"])

@@ -54,6 +54,7 @@ def test_against_brute_force(spark, monkeypatch):
     for n, num, den in ((3, 90, 100), (5, 80, 100), (2, 70, 100)):
         assert got(docs, n, num, den) == brute(rows, n, num, den)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)  # groups in many tiles
+    monkeypatch.setattr(ngram_join, "VOLUME", 500)
     assert got(docs, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
