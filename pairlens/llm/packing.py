@@ -25,18 +25,21 @@ _SAFE = re.compile(r"\S(?:.*\S)?", re.DOTALL)
 class WordEncoder:
     """Ids of texts by a byte-level tokenizer of `tokenizers`, as little-endian 32-bit bytes.
 
-    Such a tokenizer cuts a text before each blank that stands between two other characters, and codes what is
-    between the cuts alone. So each distinct word with its blank is coded once and remembered. Texts with blanks
-    elsewhere, or with a special token's string, are coded whole.
+    Such a tokenizer cuts a text before a blank between two other characters, around a lone line feed, and between a
+    letter or digit and a comma or full stop; it codes what is between the cuts alone. So texts are cut there, and each
+    distinct piece is coded once and remembered. Texts with blanks elsewhere, or with a special token's string, are
+    coded whole. A piece that stands after no blank has a mark before it.
     """
 
+    BARE = "\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of words, each coded with a blank before it, of late and from before.
-        self.words: dict[str, bytes] = {}
+        self.never = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [self.BARE]
+        #: Ids of pieces, of late and from before.
+        self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -46,35 +49,57 @@ class WordEncoder:
                 f.byteswap()
         return [f.tobytes() for f in found]
 
-    def _learn(self, words: set[str]) -> None:
-        """Add words to what is known; those with blanks at an end, and empty ones, stay unknown."""
-        old = self.before.get
-        known = {w: v for w in words if (v := old(w)) is not None}
-        new = [w for w in words if w not in known and _SAFE.fullmatch(w)]
-        self.words.update(known)
-        self.words.update(zip(new, self._ids([f" {w}" for w in new]), strict=True))
+    def _learn(self, pieces: set[str]) -> None:
+        """Add pieces to what is known; those with blanks at an end, and empty ones, stay unknown."""
+        old, bare = self.before.get, self.BARE
+        again = {p: v for p in pieces if (v := old(p)) is not None}
+        new = [p for p in pieces if p not in again and (_SAFE.fullmatch(p, p[0] == bare if p else 0) or p == f"{bare}\n")]
+        self.known.update(again)
+        self.known.update(zip(new, self._ids([p[1:] if p[0] == bare else f" {p}" for p in new]), strict=True))
+
+    def _pieces(self, text: str) -> list[str]:
+        bare = self.BARE
+        lines = text.split("\n")
+        if not all(lines) or any(x[0].isspace() or x[-1].isspace() for x in lines):
+            lines = [text]
+        out: list[str] = []
+        for line in lines:
+            for mark in (",", ".") if not line[-1].isspace() else ():
+                parts = f"{line} ".split(f"{mark} ")
+                if len(parts) > 1 and all([p[-1:].isalnum() and p[-1] < "\u0250" for p in parts[:-1]]):
+                    line = f" {bare}{mark} ".join(parts).rstrip(" ")
+            words = line.split(" ")
+            words[0] = bare + words[0]
+            if out:
+                out.append(f"{bare}\n")
+            out += words
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.before, self.words = self.words, {}
-        get = self.words.get
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        get = self.known.get
         missing, rows = set(), []
         for text in texts:
-            head, *rest = text.split(" ")
-            ids = list(map(get, rest))
-            gaps = [i for i, v in enumerate(ids) if v is None] if None in ids else ()
-            missing.update([rest[i] for i in gaps])
-            rows.append((head, rest, ids, gaps))
+            if not text or any(s in text for s in self.never):
+                rows.append(None)
+                continue
+            pieces = self._pieces(text)
+            ids = list(map(get, pieces))
+            gaps = [(i, pieces[i]) for i, v in enumerate(ids) if v is None] if None in ids else ()
+            missing.update([p for _, p in gaps])
+            rows.append((ids, gaps))
         self._learn(missing)
-        heads = self._ids([row[0] for row in rows])
         out = []
-        for text, first, (head, rest, ids, gaps) in zip(texts, heads, rows, strict=True):
-            for i in gaps:
-                ids[i] = get(rest[i])
-            if not _SAFE.fullmatch(head) or (gaps and None in ids) or any(s in text for s in self.special):
-                out.append(self._ids([text])[0] if text else b"")
-            else:
-                out.append(b"".join([first, *ids]))
+        for text, row in zip(texts, rows, strict=True):
+            if row:
+                ids, gaps = row
+                for i, p in gaps:
+                    ids[i] = get(p)
+                if not gaps or None not in ids:
+                    out.append(b"".join(ids))
+                    continue
+            out.append(self._ids([text])[0] if text else b"")
         return out
 
 
