@@ -3,8 +3,9 @@
 1. A table of fixed size counts, over all documents, how many sets hold a shingle of each slot. Shingles are ordered
    by that count, then by hash: one global order for the whole corpus, with frequent shingles last.
 2. Texts of equal words are one class. Of each class's set only the rarest shingles are needed to find partners: two
-   sets that link share one of them. Classes that share one, are of fitting size, and whose 1024-bit parity sketches
-   differ by no more bits than linked sets differ in shingles, are candidates. No linked pair is lost here.
+   sets that link share one of them. Classes that share one, are of fitting size, and whose parity sketches
+   differ by no more bits than linked sets differ in shingles, are candidates (longer sets have longer sketches). No
+   linked pair is lost here.
 3. The sets of each group of candidates are joined by a trie: sorted by global order with frequent shingles first,
    sets share their beginnings; a traversal counts the overlap of shared beginnings once, and leaves out subtrees
    that sizes or the remaining lengths rule out, and those that are in the probe's component already.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import connected_components, materialize
 from .wordhash import shingles, words
@@ -45,14 +46,19 @@ def _parts(batches, rows: int = 512):
 
 
 def _count(n: int):
+    kinds = [pa.int64(), pa.binary(), pa.int32()]
+
     def count(batches):
         total = np.zeros(SLOTS, np.int64)
         for part in _parts(batches):
-            found = [shingles(_words(t), n) for t in part["text"].to_pylist()]
-            if found:
-                total += np.bincount((np.concatenate(found) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            found = [_words(t) for t in part["text"].to_pylist()]
+            sets = [shingles(w, n) for w in found]
+            total += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            rows = [part["doc_id"], pa.array([_class(w) for w in found], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], ["doc_id", "class", "n", "chunk", "counts"])
         chunks = total.reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.astype("<u4").tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
+        held = [pa.array(range(len(chunks)), pa.int32()), pa.array([c.astype("<u4").tobytes() for c in chunks], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(chunks), k) for k in kinds], *held], ["doc_id", "class", "n", "chunk", "counts"])
 
     return count
 
@@ -62,14 +68,17 @@ def _add(pdf):
     return pdf.head(1).assign(counts=[np.minimum(total, 2**32 - 1).astype("<u4").tobytes()])
 
 
-def slot_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents' sets have a shingle in each slot: ``SLOTS`` numbers, whatever the size of the corpus."""
-    spark = docs.sparkSession
-    rows = docs.select("text").mapInArrow(_count(n), "chunk int, counts binary").groupBy("chunk").applyInPandas(_add, "chunk int, counts binary")
+def counted(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """The class and set size of each document, and how many documents' sets have a shingle in each slot.
+
+    The slots are ``SLOTS`` numbers, whatever the size of the corpus.
+    """
+    read = materialize(docs.mapInArrow(_count(n), "doc_id long, class binary, n int, chunk int, counts binary"))
+    sums = read.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_add, "chunk int, counts binary")
     out = np.zeros(SLOTS, np.uint32)
-    for r in rows.collect():
+    for r in sums.collect():
         out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, "<u4")
-    return out
+    return read.where("chunk IS NULL").select("doc_id", "class", "n"), out
 
 
 def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -77,8 +86,49 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")]
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def _sketch(s: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of how many shingles fall on each bit: BITS bits, doubled until unlinked sets differ in enough of them."""
+    level = max(0, int(np.ceil(np.log2(max(1, 5 * len(s) * (den - num) / den / BITS)))))
+    bits = BITS << level
+    return np.packbits(np.bincount((s >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class _Sketches:
+    """Sketches of rows; two are compared with as many bits as the shorter has, to which the longer is folded."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.level = np.array([len(s) * 8 // BITS for s in sketches]).astype(np.float64)
+        self.level = np.log2(self.level).astype(np.int64)
+        self.bits, self.place = {}, {}
+        for k in np.unique(self.level).tolist():
+            own = np.flatnonzero(self.level == k)
+            self._add(k, own, np.frombuffer(b"".join([sketches[i] for i in own]), np.uint64).reshape(len(own), -1))
+
+    def _add(self, k: int, rows: np.ndarray, bits: np.ndarray) -> None:
+        """Keep rows at level k and, folded, at the level below."""
+        for level in (k, k - 1):
+            if level >= 0:
+                if level < k:
+                    halves = np.unpackbits(bits.view(np.uint8), axis=1).reshape(len(rows), -1, 2)
+                    bits = np.packbits(halves[:, :, 0] ^ halves[:, :, 1], axis=1).view(np.uint64)
+                place = self.place.setdefault(level, np.full(len(self.level), -1))
+                place[rows] = sum(map(len, self.bits.get(level, [])))
+                place[rows] += np.arange(len(rows))
+                self.bits.setdefault(level, []).append(bits)
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits rows i and j differ; 0 where their levels are more than one apart."""
+        out, low = np.zeros(len(i), np.int64), np.minimum(self.level[i], self.level[j])
+        near = np.abs(self.level[i] - self.level[j]) < 2
+        for k in np.unique(low).tolist():
+            if len(self.bits[k]) > 1:
+                self.bits[k] = [np.concatenate(self.bits[k])]
+            at = np.flatnonzero((low == k) & near)
+            b, place = self.bits[k][0], self.place[k]
+            for c in range(0, len(at), 1 << 16):
+                x = at[c : c + (1 << 16)]
+                out[x] = np.bitwise_count(b[place[i[x]]] ^ b[place[j[x]]]).sum(axis=1)
+        return out
 
 
 def _classes(n: int, num: int, den: int, counts):
@@ -93,7 +143,7 @@ def _classes(n: int, num: int, den: int, counts):
                 s = shingles(w, n)
                 m = len(s)
                 first = _ordered(s, table)[: m - -(-num * m // den) + 1] if m else s
-                rows.append((doc, _class(w), m, _sketch(s), first.view(np.int64)))
+                rows.append((doc, _class(w), m, _sketch(s, num, den), first.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "class", "n", "sketch", "first"])
 
     return read
@@ -147,7 +197,7 @@ def _candidates(num: int, den: int):
         for t in _grouped(batches, ["shingle", "tile"]):
             ids, n = t["id"].to_numpy(), t["n"].to_numpy().astype(np.int64)
             group = t["shingle"].to_numpy() * np.int64(31) + t["tile"].to_numpy() * np.int64(0x9E3779B97F4A7C1)
-            bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            bits = _Sketches(t["sketch"].to_pylist())
             a, b = [], []
             alive = np.arange(len(ids) - 1)
             d, pending = 1, 0
@@ -158,8 +208,7 @@ def _candidates(num: int, den: int):
                 small, large, both = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), n[i] + n[j]
                 fit = den * small >= num * large
                 i, j, both = i[fit], j[fit], both[fit]
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-                fit = differ <= both - 2 * -(-num * both // (num + den))
+                fit = bits.differ(i, j) <= both - 2 * -(-num * both // (num + den))
                 a.append(ids[i[fit]])
                 b.append(ids[j[fit]])
                 pending += int(fit.sum())
@@ -330,13 +379,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
-    counts = spark.sparkContext.broadcast(slot_counts(docs, n))
-    rows = materialize(docs.mapInArrow(_classes(n, num, den, counts), "doc_id long, class binary, n int, sketch binary, first array<long>"))
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "sketch", "first")])
-    classes = materialize(classes)
-    begun = classes.select("id", "n", F.explode("first").alias("shingle"))
-    shared = begun.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    found = begun.join(shared, "shingle").join(classes.select("id", "sketch"), "id").select("shingle", "size", "id", "n", "sketch")
+    rows, slots = counted(docs, n)
+    counts = spark.sparkContext.broadcast(slots)
+    classes = docs.where("doc_id IS NOT NULL").mapInArrow(_classes(n, num, den, counts), "doc_id long, class binary, n int, sketch binary, first array<long>").where("n > 0")
+    classes = materialize(classes.groupBy("class").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "sketch", "first")]))
+    found = classes.select("id", "n", F.explode("first").alias("shingle"))
+    found = found.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("shingle"))).where("size > 1")
+    found = found.join(classes.select("id", "sketch"), "id").select("shingle", "size", "id", "n", "sketch")
     found = tiles(found, "shingle", "size", "id", BLOCK).repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile", "id")
     near = materialize(found.mapInArrow(_candidates(num, den), "a long, b long"))
     groups = connected_components(near)
