@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def rate(k: Column, n: Column) -> Column:
@@ -57,13 +58,13 @@ def _each(f, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p-value of a standard normal statistic."""
     return _each(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_p(x: pd.Series) -> pd.Series:
     """p-value of a chi-square statistic with one degree of freedom."""
     return _each(lambda v: math.erfc(math.sqrt(max(v, 0) / 2)), x)
@@ -104,12 +105,12 @@ def student_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_test_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(student_p, t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_quantile95(df: pd.Series) -> pd.Series:
     return _each(lambda d: student_quantile(0.95, d), df)
 
@@ -128,7 +129,7 @@ def exact_u_p(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2 * dist[int(math.ceil(top)) :].sum() / dist.sum()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     """Two-sided p-value; ``ties`` is the sum of t^3 - t. Exact for small groups without ties, else normal."""
 
@@ -144,7 +145,7 @@ def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series)
     return _each(p, u, n1, n2, ties)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def exact_rate_p(x1: pd.Series, t1: pd.Series, x0: pd.Series, t0: pd.Series) -> pd.Series:
     """Two-sided exact p-value that two Poisson rates are equal, given their sum."""
 
@@ -156,7 +157,7 @@ def exact_rate_p(x1: pd.Series, t1: pd.Series, x0: pd.Series, t0: pd.Series) ->
     return _each(p, x1, t1, x0, t0)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def score_rate_p(x1: pd.Series, t1: pd.Series, x0: pd.Series, t0: pd.Series) -> pd.Series:
     """Two-sided p-value of the score test that two Poisson rates are equal."""
 

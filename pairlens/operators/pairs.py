@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 
 def expand_runs(pairs: DataFrame, runs: int) -> DataFrame:
@@ -43,13 +44,13 @@ def _inserted(biased: str, unbiased: str) -> list[str]:
     return [t for t in texts if len(t) >= 3]
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def inserted_spans(biased: pd.Series, unbiased: pd.Series) -> pd.Series:
     """What the biased text has beyond the unbiased one: inserted tokens, and replacements of two tokens or more."""
     return pd.Series([_inserted(b, u) for b, u in zip(biased, unbiased, strict=True)])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def largest_change(biased: pd.Series, unbiased: pd.Series) -> pd.Series:
     """The longest changed run of words of the biased text, at most 50 words."""
 

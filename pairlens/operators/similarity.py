@@ -13,8 +13,13 @@ def words(text: Column) -> Column:
 def word_grams(text: Column, most: int = 2, stop: list[str] | None = None) -> Column:
     """Words and runs of up to ``most`` words, without the words of ``stop``."""
     w = words(text) if not stop else F.filter(words(text), lambda x: ~x.isin(*stop))
-    longer = [F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda x, i, n=n: F.concat_ws(" ", F.slice(w, i + 1, n))) for n in range(2, most + 1)]
-    return F.concat(w, *longer)
+
+    out, run = w, w
+    for n in range(2, most + 1):  # each run and the word after it: the words are not read again for each place
+        count = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        run = F.zip_with(F.slice(run, 1, count), F.slice(w, n, count), lambda x, y: F.concat_ws(" ", x, y))
+        out = F.concat(out, run)
+    return out
 
 
 def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
@@ -113,8 +118,8 @@ def similar_pairs(df: DataFrame, block: str, ident: str, vector: str, least: flo
     Blocks have to be small sets (a bias's pairs); for corpora see the embedding operator of the training pipeline.
     """
     u = df.select(block, F.col(ident).alias("a"), unit(F.col(vector)).alias("va"))
-    v = u.select(block, F.col("a").alias("b"), F.col("va").alias("vb"))
-    return u.join(v, (u[block] == v[block]) & (F.col("a") < F.col("b"))).select(u[block].alias(block), "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > least)
+    v = df.select(F.col(block).alias("_block"), F.col(ident).alias("b"), unit(F.col(vector)).alias("vb"))
+    return u.join(v, (F.col(block) == F.col("_block")) & (F.col("a") < F.col("b"))).select(block, "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > least)
 
 
 def keep_first_of_similar(df: DataFrame, ident: str, pairs: DataFrame, rounds: int = 50) -> DataFrame:

@@ -108,7 +108,8 @@ def cue_effects(df: DataFrame, group: str, flag: str, features: list[str], token
     p = stats.normal_p("z")
     if method == "auto":
         total, args = F.col("count_flagged") + F.col("count_other"), [F.col(k).cast("double") for k in ("count_flagged", "tokens_flagged", "count_other", "tokens_other")]
-        p = F.when(total <= 5, stats.exact_rate_p(*args)).when(total < 20, stats.score_rate_p(*args)).otherwise(p)
+        few = stats.exact_rate_p(*[F.when(total <= 5, a) for a in args])
+        p = F.coalesce(few, stats.score_rate_p(*[F.when((total > 5) & (total < 20), a) for a in args]), p)
     out = benjamini_hochberg(out.withColumn("p", p), "p", [], "q", missing=1.0)
     return out.withColumn("significant", F.col("q") < 0.05)
 

@@ -1,14 +1,8 @@
-"""Queries over the tables of a folder, each with the SQL that DuckDB runs on the same tables."""
+"""All queries of the library over the tables of a folder, each with the SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pairlens.plans import measures, outcomes, texts
 
-
-def outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"))
-
-
-QUERIES = {f.__name__: f for f in (outcome_rates,)}
-ORACLE = {"outcome_rates": "SELECT event_type, count(*) AS runs FROM events GROUP BY event_type"}
+QUERIES = outcomes.QUERIES | texts.QUERIES | measures.QUERIES
+ORACLE = outcomes.ORACLE | texts.ORACLE | measures.ORACLE
