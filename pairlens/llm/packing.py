@@ -106,11 +106,16 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process: a function of the module, so that tasks share it and what it knows."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _pieces(path: str, window: int, end: int):
     def cut(batches):
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encode = _encoders[path]
+        encode = encoder(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part, out = batch.slice(low, 512), []
