@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take, none twice, so that their sum comes nearest below ``budget``.
+    """How many documents of each size to take, none twice, so that their sum comes nearest to ``budget``.
 
     First each size's proportional part, then the longest that still fit until at most ``CAPACITY`` words are left,
     then a bounded-knapsack dynamic program over those words (counts split into powers of two). The sum of
@@ -55,22 +55,24 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             rest -= k * int(sizes[i])
     if rest > CAPACITY:
         return take
-    reach, via, items = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int64), []
+    top = 2 * rest  # a sum above the budget may be nearer than one below
+    reach, via, items = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int64), []
     reach[0] = True
     for i in down:
         size, many, part = int(sizes[i]), int(left[i]), 1
-        while many > 0 and size > 0 and size <= rest and not reach[rest]:
+        while many > 0 and size > 0 and size <= top and not reach[rest]:
             k = min(part, many)
             many, part = many - k, part * 2
-            if k * size > rest:
+            if k * size > top:
                 continue
-            new = np.zeros(rest + 1, bool)
-            new[k * size :] = reach[: rest + 1 - k * size]
+            new = np.zeros(top + 1, bool)
+            new[k * size :] = reach[: top + 1 - k * size]
             new &= ~reach
             via[new] = len(items)
             reach |= new
             items.append((i, k))
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.abs(sums - rest).argmin()])
     while at:
         i, k = items[via[at]]
         take[i] += k
