@@ -61,4 +61,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_mixing, op4_flac_media, op5_language_id, op6_embedding_near_duplicates, op7_chat_formatting, op8_suffix_dedup, op9_warc_derivatives, op10_packing)}
 
-ORACLE: dict[str, str] = {}
+_UUID = "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'"
+
+
+def _uuid_sql(text: str) -> str:
+    return f"(SELECT {_UUID} FROM (SELECT md5({text}) AS h))"
+
+
+def _plain_sql() -> str:
+    """The text of a page in the steps of ``warc.plain_text``."""
+    t = "regexp_replace(payload, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<head\\b[^>]*>.*?</head\\s*>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?i)<br\\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title)\\s*>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '(?s)<[a-zA-Z/!][^>]*>', '', 'g')"
+    for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+        t = f"replace({t}, '{name}', {char})"
+    t = f"regexp_replace(regexp_replace({t}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({t}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+_CRLF = "chr(13) || chr(10)"
+ORACLE: dict[str, str] = {
+    "op6_embedding_near_duplicates": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op7_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+w AS (SELECT *, lag(role) OVER o IS DISTINCT FROM role AS first, lead(role) OVER o IS DISTINCT FROM role AS last, length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) AS body, length(regexp_replace(role, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) AS head FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+ sum(body + CASE WHEN first THEN head + {len(chat.OPEN) + len(chat.BODY)} ELSE {len(chat.NEXT)} END + CASE WHEN last THEN {len(chat.CLOSE)} ELSE 0 END)::BIGINT AS formatted_chars FROM w GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM s""",
+    "op9_warc_derivatives": f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS payload FROM pages),
+r AS (SELECT *, 'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(payload) || {_CRLF} || {_CRLF} AS header, {_uuid_sql("'response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || url || chr(10) || sha256(payload)")} AS rid, {_plain_sql()} AS plain FROM p),
+i AS (SELECT *, {_uuid_sql("'metadata' || chr(10) || rid")} AS mid, {_uuid_sql("'conversion' || chr(10) || rid")} AS cid FROM r),
+k AS (SELECT page_id, url, 'response' AS warc_type, rid AS record_id, NULL AS refers_to, 'application/http; msgtype=response' AS content_type, header || payload AS block, 'sha256:' || sha256(payload) AS payload_digest FROM i
+ UNION ALL SELECT page_id, url, 'metadata', mid, rid, 'application/warc-fields', 'source-status: 200' || {_CRLF} || 'source-content-type: text/html; charset=utf-8' || {_CRLF} || 'source-payload-digest: sha256:' || sha256(payload) || {_CRLF} || 'conversion-record-id: ' || cid || {_CRLF} || 'conversion-block-digest: sha256:' || sha256(plain) || {_CRLF}, NULL FROM i
+ UNION ALL SELECT page_id, url, 'conversion', cid, rid, 'text/plain', plain, NULL FROM i),
+d AS (SELECT *, 'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length FROM k)
+SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, content_type, block_digest, payload_digest, content_length,
+ sha256('WARC/1.1' || {_CRLF} || 'WARC-Type: ' || warc_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || coalesce('WARC-Refers-To: ' || refers_to || {_CRLF}, '') || 'WARC-Target-URI: ' || url || {_CRLF} || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || coalesce('WARC-Payload-Digest: ' || payload_digest || {_CRLF}, '') || 'Content-Type: ' || content_type || {_CRLF} || 'Content-Length: ' || content_length || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_sha256 FROM d""",
+}
