@@ -13,14 +13,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.llm import langid, mixing, ngram_join, packing, suffix
-from pairlens.llm.common import shared_folder, table
+from pairlens.llm.common import shared_folder, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
+TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; ``lang`` becomes the predicted one. Texts without letters (und) go."""
+    small_batches(spark)
     model = langid.train(docs.where(langid.fold(F.col("doc_id")) != 2).select("text", "lang"))
     found = langid.identify(docs, model, keep=("source", "n_chars")).where("lang_pred <> 'und'")
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -31,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without a doc_id or without words belong to no group and stay; of repeated rows one stays.
     """
+    small_batches(spark)
     groups = ngram_join.jaccard_components(docs, 5, 80, 100)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
@@ -40,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeated passages of 200 bytes cover; those of which nothing is left go."""
+    small_batches(spark)
     cut = suffix.remove_repeats(docs, 200, keep=("lang", "source", "n_chars"))
     left = cut.where("n_removed = 0 OR length(trim(kept)) > 0")
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
@@ -54,7 +58,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: a row for each piece of a document."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    small_batches(spark)
+    return packing.pack_documents(docs, *TOKENIZER)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("packing", packed)]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import chat, langid, media, mixing, neardup, ngram_join, packing, sharding, suffix, warc
 from .common import table
 
-#: The tokenizer file whose ids op10 packs.
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The tokenizer file whose ids op10 packs, the same vocabulary as ranks, and the pattern that both cut texts by.
+TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *TOKENIZER)
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_mixing, op4_flac_media, op5_language_id, op6_embedding_near_duplicates, op7_chat_formatting, op8_suffix_dedup, op9_warc_derivatives, op10_packing)}

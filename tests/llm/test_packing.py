@@ -11,14 +11,15 @@ from pairlens.llm import packing
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+FILES = (PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def test_words_code_like_whole_texts():
-    t, e, rng = Tokenizer.from_file(PATH), packing.WordEncoder(PATH), random.Random(2)
-    parts = ["a", " ", "\n", "'s", ".", ", ", ". ", ",", "1", "é", "　", "日", "\t", "_", "\x01", "<|endoftext|>", "Word", " the"]
-    texts = ["", " ", "a ", "a, ", "x\n\ny", "A.\nB c\r\nd", "日, b.\nc"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in e(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+def test_codes_are_those_of_the_file():
+    t, e, rng = Tokenizer.from_file(PATH), packing.Encoder(*FILES), random.Random(2)
+    parts = ["a", " ", "\n", "'s", ".", ", ", ". ", ",", "1", "é", "　", "日", "\t", "_", "\x01", "\x85", "\xa0", "²", "ª", "<|endoftext|>", "Word", " the", "\r\n", "\x1c"]
+    texts = ["", " ", "a ", "x\n\ny", "x" * 100_000, " " * 5000, "!" * 5000] + [a + b + c for a in "a1 !" for b in map(chr, [*range(0x250), *range(0x2010, 0x2028)]) for c in " b"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["".join(map(chr, rng.choices(range(0x250), k=40))) for _ in range(2000)]
+    assert [np.frombuffer(e(x), "<u4").tolist() for x in texts] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_best_fit_against_scan():
@@ -44,7 +45,7 @@ def check(docs, rows):
         for at in range(0, len(ids), 2048):
             piece = ids[at : at + 2048]
             left[(r.doc_id, at, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids))] += 1
-    got = packing.pack_documents(docs, PATH).collect()
+    got = packing.pack_documents(docs, *FILES).collect()
     sequences = defaultdict(list)
     for r in got:
         left[(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)] -= 1
