@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pairlens.functions import stats
 from pairlens.functions.labels import TIERS
 
-ONE = F.lit(1)
-
 
 def outcome_flags(runs: DataFrame) -> DataFrame:
     """Add sensitive, uncertain and harmful to runs (unbiased, biased, expected): whether the decisions differ, the
@@ -35,7 +33,7 @@ def _share(flag: str) -> Column:
 def rates(runs: DataFrame, *sets: tuple[str, ...]) -> DataFrame:
     """Runs and percentages of sensitive, harmful and uncertain for each of ``sets`` of columns, in one pass."""
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    agg = [F.count(ONE).alias("runs"), *[_share(f).alias(n) for f, n in (("sensitive", "sensitivity"), ("harmful", "harmfulness"), ("uncertain", "uncertainty"))]]
+    agg = [F.count(F.lit(1)).alias("runs"), *[_share(f).alias(n) for f, n in (("sensitive", "sensitivity"), ("harmful", "harmfulness"), ("uncertain", "uncertainty"))]]
     if len(sets) == 1:
         return runs.groupBy(*columns).agg(*agg)
     return runs.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(*agg)
@@ -126,7 +124,7 @@ def flag_prevalence(df: DataFrame, features: list[str]) -> DataFrame:
     """Counts and percentages of ``<feature>_strong``, ``_weak`` and ``_any`` flags, and of any feature, in one pass."""
     sums = [F.sum(f"{f}_{level}").alias(f"{f}_{level}") for f in features for level in ("strong", "weak", "any")]
     every = [F.sum(F.greatest(*[F.col(f"{f}_{level}") for f in features], F.lit(0))).alias(f"ANY_FEATURE_{level}") for level in ("strong", "any")]
-    one = df.agg(F.count(ONE).alias("n_prompts"), *sums, *every, F.lit(None).cast("long").alias("ANY_FEATURE_weak"))
+    one = df.agg(F.count(F.lit(1)).alias("n_prompts"), *sums, *every, F.lit(None).cast("long").alias("ANY_FEATURE_weak"))
     rows = [F.struct(F.lit(f).alias("feature"), *[F.col(f"{f}_{level}").cast("long").alias(f"{level}_count") for level in ("strong", "weak", "any")]) for f in [*features, "ANY_FEATURE"]]
     out = one.select("n_prompts", F.explode(F.array(*rows)).alias("r")).select("r.feature", "n_prompts", "r.strong_count", "r.weak_count", "r.any_count")
     return out.withColumns({f"{level}_pct": 100.0 * F.col(f"{level}_count") / F.col("n_prompts") for level in ("strong", "weak", "any")})
@@ -135,7 +133,7 @@ def flag_prevalence(df: DataFrame, features: list[str]) -> DataFrame:
 def entity_prevalence(rows: DataFrame, group: str, entity: str, flag: str, strong: str) -> DataFrame:
     """Of each group's entities, those with a flagged (and a strong) row: counts, prevalence and its Wilson interval."""
     each = rows.groupBy(group, entity).agg(F.bool_or(flag).alias("flag"), F.bool_or(strong).alias("strong"))
-    out = each.groupBy(group).agg(F.count(ONE).alias("n"), F.count_if("flag").alias("k"), F.count_if("strong").alias("strong_k"), F.count_if(F.col("flag") & ~F.col("strong")).alias("weak_k"))
+    out = each.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("k"), F.count_if("strong").alias("strong_k"), F.count_if(F.col("flag") & ~F.col("strong")).alias("weak_k"))
     low, high = stats.wilson(F.col("k").cast("double"), F.col("n").cast("double"))
     return out.withColumns({"prevalence": F.col("k") / F.col("n"), "wilson95_lo": low, "wilson95_hi": high})
 
@@ -143,7 +141,7 @@ def entity_prevalence(rows: DataFrame, group: str, entity: str, flag: str, stron
 def paired_summary(pairs: DataFrame, key: list[str], base: str, treated: str) -> DataFrame:
     """Rates of two 0/1 columns, the four cells of their table, reductions, McNemar's statistic, h and kappa."""
     cells = {f"n{i}{j}": F.count_if((F.col(base) == i) & (F.col(treated) == j)) for i in (0, 1) for j in (0, 1)}
-    out = pairs.groupBy(*key).agg(F.count(ONE).alias("n"), F.avg(base).alias("base_rate"), F.avg(treated).alias("treated_rate"), *[c.alias(k) for k, c in cells.items()])
+    out = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(base).alias("base_rate"), F.avg(treated).alias("treated_rate"), *[c.alias(k) for k, c in cells.items()])
     d = {k: F.col(k).cast("double") for k in cells}
     return out.withColumns({
         "absolute_reduction": F.col("base_rate") - F.col("treated_rate"),
@@ -158,6 +156,6 @@ def paired_summary(pairs: DataFrame, key: list[str], base: str, treated: str) ->
 def binary_quality(df: DataFrame, key: list[str], truth: str, guess: str, least: int = 10) -> DataFrame:
     """Precision, recall, F1 and support of 0/1 guesses by key, for keys with ``least`` judged rows or more."""
     tp, fp, fn = (F.count_if((F.col(truth) == t) & (F.col(guess) == g)) for t, g in ((1, 1), (0, 1), (1, 0)))
-    out = df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()).groupBy(*key).agg(F.count(ONE).alias("n"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).where(F.col("n") >= least)
+    out = df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).where(F.col("n") >= least)
     precision, recall = (F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col(x), F.lit(0)), F.lit(0.0)) for x in ("fp", "fn"))
     return out.withColumns({"precision": precision, "recall": recall, "support": F.col("tp") + F.col("fn")}).withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
