@@ -159,3 +159,17 @@ def binary_quality(df: DataFrame, key: list[str], truth: str, guess: str, least:
     out = df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).where(F.col("n") >= least)
     precision, recall = (F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col(x), F.lit(0)), F.lit(0.0)) for x in ("fp", "fn"))
     return out.withColumns({"precision": precision, "recall": recall, "support": F.col("tp") + F.col("fn")}).withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
+
+
+def signature(df: DataFrame) -> DataFrame:
+    """One digest of a table's rows, whatever their order: from their number and the sum of parts of their hashes."""
+    row = F.md5(F.concat_ws("~", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)]))
+    part = F.conv(F.substring(row, 1, 8), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.sha1(F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string"))).alias("signature"))
+
+
+def tier_summary(facts: DataFrame, model: str, tier: str, bias: str, value: str, count: str) -> DataFrame:
+    """Mean of ``value`` and sum of ``count`` by model and tier, with the mean of a model's biases as its baseline."""
+    base = facts.select(model, bias, value).groupBy(model, bias).agg(F.avg(value).alias("_b")).groupBy(model).agg(F.avg("_b").alias("baseline"))
+    out = facts.groupBy(model, tier).agg(F.avg(value).alias("mean"), F.sum(count).alias("n"))
+    return out.join(base, model).withColumn("delta", F.col("mean") - F.col("baseline"))

@@ -233,8 +233,40 @@ def clipped_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
 
 
+def table_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.signature(read(spark, sf_dir, "labels"))
+
+
+def tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = R.rates(tiered(spark, sf_dir), ("bias", "model", "tier"))
+    return rounded(R.tier_summary(f, "model", "tier", "bias", "sensitivity", "runs"))
+
+
+def validation_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best event of each user by value (a top-k report: the first hundred), with blank columns for annotators."""
+    from pairlens.operators.scoring import validation_sheet as sheet
+
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.round("value", 6).alias("score"))
+    best = R.first_of(e, ["user_id"], [F.desc("score"), F.col("event_id")]).orderBy(F.desc("score"), "event_id").limit(100)
+    return sheet(best, "event_id", "event_type", "score", 0.0, ["cue"])
+
+
+def labelled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with the documents they judge; those of unknown documents are left out, rare sources too."""
+    d = read(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "source", "n_chars")
+    big = d.groupBy("source").count().where("count >= 30").select("source")
+    j = read(spark, sf_dir, "labels").join(d.join(big, "source", "left_semi"), "doc_id")
+    return rounded(j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.avg("quality").alias("quality")))
+
+
+def daily_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day and hour in UTC, seconds cut off."""
+    e = read(spark, sf_dir, "events").withColumn("second", F.date_trunc("second", "ts"))
+    return e.groupBy(F.date_format("second", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("second").alias("seconds"), F.count_distinct("user_id").alias("users"))
+
+
 QUERIES = {f.__name__: f for f in (
-    outcome_rates, complexity_quartiles, two_level_means, tier_two_level_means, model_level_spread, strategy_medians, sensitivity_matrix, tier_trends, dense_tiers, winning_strategies,
+    table_signature, tier_summary, validation_sheet, labelled_lookup, daily_stamps, outcome_rates, complexity_quartiles, two_level_means, tier_two_level_means, model_level_spread, strategy_medians, sensitivity_matrix, tier_trends, dense_tiers, winning_strategies,
     row_scores, row_percentiles, best_cells, entity_prevalence, candidate_prevalence, seen_and_unseen, paired_outcomes, change_histogram, rater_agreement, judged_quality, balanced_sample,
     capped_sample, run_expansion, merged_suffixes, cache_misses, shared_and_unknown, lookup_with_default, domain_order, numbered_orders, clipped_binary,
 )}
@@ -242,6 +274,11 @@ QUERIES = {f.__name__: f for f in (
 _Z = "1.96"
 _RATES = "count(*) AS runs, round(100 * avg(CAST(sensitive AS DOUBLE)), 6) AS sensitivity, round(100 * avg(CAST(harmful AS DOUBLE)), 6) AS harmfulness, round(100 * avg(CAST(uncertain AS DOUBLE)), 6) AS uncertainty"
 ORACLE = {
+    "table_signature": "SELECT sha1(count(*)::VARCHAR || '-' || sum(('0x' || substr(md5(doc_id::VARCHAR || '~' || quality::VARCHAR || '~' || toxic::VARCHAR), 1, 8))::BIGINT)::VARCHAR) AS signature FROM labels",
+    "tier_summary": f"WITH {RUNS}, f AS (SELECT bias, model, tier, count(*) AS runs, 100 * avg(CAST(sensitive AS DOUBLE)) AS s FROM tiered GROUP BY ALL), b AS (SELECT model, avg(s) AS b FROM (SELECT model, bias, avg(s) AS s FROM f GROUP BY ALL) GROUP BY model) SELECT model, tier, round(avg(s), 6) AS mean, sum(runs)::BIGINT AS n, round(any_value(b), 6) AS baseline, round(avg(s) - any_value(b), 6) AS delta FROM f JOIN b USING (model) GROUP BY model, tier",
+    "validation_sheet": "WITH e AS (SELECT event_id, user_id, event_type, round(value, 6) AS score FROM events), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) = 1 ORDER BY score DESC, event_id LIMIT 100) SELECT event_id, event_type, NULL::INT AS ann1_cue, NULL::INT AS ann2_cue FROM b WHERE score >= 0",
+    "labelled_lookup": "WITH d AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 > 0), big AS (SELECT source FROM d GROUP BY source HAVING count(*) >= 30) SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(quality), 6) AS quality FROM labels JOIN d USING (doc_id) WHERE source IN (SELECT source FROM big) GROUP BY source",
+    "daily_stamps": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT date_trunc('second', ts)) AS seconds, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "outcome_rates": f"WITH {RUNS} SELECT bias, tier, {_RATES} FROM tiered GROUP BY GROUPING SETS ((bias), (bias, tier))",
     "complexity_quartiles": f"WITH {RUNS} SELECT bias, round(quantile_cont(steps, 0.25), 6) AS q1, round(quantile_cont(steps, 0.5), 6) AS q2, round(quantile_cont(steps, 0.75), 6) AS q3 FROM runs GROUP BY bias",
     "two_level_means": f"WITH {FACTS}, m AS (SELECT bias, strategy, avg(sensitivity) AS s FROM facts GROUP BY ALL) SELECT strategy, round(avg(s), 6) AS mean, count(s) AS n FROM m GROUP BY strategy",
