@@ -17,7 +17,8 @@ def rate(k: Column, n: Column) -> Column:
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The Wilson interval of k of n; null for n = 0."""
-    p, d = rate(k, n), 1 + z * z / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0))
+    p, d = k / n, 1 + z * z / n
     mid = p + z * z / (2 * n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return (mid - half) / d, (mid + half) / d
@@ -40,7 +41,8 @@ def kappa(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
 
 
 def log_rate_ratio(x1: Column, t1: Column, x0: Column, t0: Column) -> tuple[Column, Column]:
-    """Log ratio of two rates and its standard error, a half added to each count."""
+    """Log ratio of two rates and its standard error, a half added to each count; null for a group without tokens."""
+    t1, t0 = (F.nullif(t, F.lit(0.0)) for t in (t1, t0))
     return F.log((x1 + 0.5) / t1) - F.log((x0 + 0.5) / t0), F.sqrt(1 / (x1 + 0.5) + 1 / (x0 + 0.5))
 
 

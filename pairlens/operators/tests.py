@@ -81,13 +81,14 @@ def cue_effects(df: DataFrame, group: str, flag: str, features: list[str], token
     wald, wald_se = stats.log_rate_ratio(x1, t1, x0, t0)
     odds, odds_se = stats.log_odds_difference(x1, t1, x0, t0)
     n = c("a", "n") + c("b", "n")
-    rates = {s: c(s, "x") / c(s, "offset") for s in "ab"}
-    robust = sum((c(s, "yy") - 2 * rates[s] * c(s, "yt") + rates[s] * rates[s] * c(s, "tt")) / (c(s, "x") * c(s, "x")) for s in "ab")
+    some = {s: F.nullif(c(s, "x"), F.lit(0.0)) for s in "ab"}  # null where a group has no cue
+    rates = {s: some[s] / c(s, "offset") for s in "ab"}
+    robust = sum((c(s, "yy") - 2 * rates[s] * c(s, "yt") + rates[s] * rates[s] * c(s, "tt")) / (some[s] * some[s]) for s in "ab")
     chi2 = sum(c(s, "yyt") / rates[s] - c(s, "x") for s in "ab")
     phi = chi2 / F.greatest(n - 2, F.lit(1.0))
     glm_se = F.sqrt(robust * n / F.nullif(n - 2, F.lit(0.0)) if hc1 else robust)
     if method == "auto":
-        glm_se = F.when(phi > 1.5, F.sqrt(phi * (1 / x1 + 1 / x0))).otherwise(glm_se)
+        glm_se = F.when(phi > 1.5, F.sqrt(phi * (1 / some["a"] + 1 / some["b"]))).otherwise(glm_se)
     positive = (x1 > 0) & (x0 > 0)
     small = (x1 + x0 < 20) if method == "auto" else F.lit(False)
     if method == "poisson":
@@ -99,7 +100,7 @@ def cue_effects(df: DataFrame, group: str, flag: str, features: list[str], token
         se = F.when(positive & ~small, glm_se).otherwise(wald_se)
     out = both.where((t1 >= min_tokens) & (t0 >= min_tokens) & (x1 + x0 > 0)).select(
         group, "feature", effect.alias("effect"), se.alias("se"), F.col("a.x").alias("count_flagged"), F.col("b.x").alias("count_other"), F.col("a.tokens").alias("tokens_flagged"), F.col("b.tokens").alias("tokens_other"),
-        (1000 * x1 / t1).alias("rate_flagged_per_1k"), (1000 * x0 / t0).alias("rate_other_per_1k"),
+        (1000 * x1 / F.nullif(t1, F.lit(0.0))).alias("rate_flagged_per_1k"), (1000 * x0 / F.nullif(t0, F.lit(0.0))).alias("rate_other_per_1k"),
     )
     z = F.col("effect") / F.nullif(F.col("se"), F.lit(0.0))
     out = out.withColumns({"z": z, "ci_low": F.col("effect") - 1.96 * F.col("se"), "ci_high": F.col("effect") + 1.96 * F.col("se"), "direction": F.when(F.col("effect") > 0, "more").otherwise("less")})
