@@ -251,7 +251,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     classes = read.where(F.size("anchors") > 0).groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("id"), F.first("anchors").alias("anchors"))
     classes = materialize(classes)
     found = classes.select(F.col("class").alias("of"), "id", F.explode("anchors").alias("anchor"))
-    repeated = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # A table of its own: what is joined with it has an exchange of its own, which Spark can split at hot anchors.
+    repeated = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     wanted = materialize(found.join(repeated, "anchor").groupBy("of", "id").agg(F.collect_set("anchor").alias("repeated")))
     few = wanted.agg(F.coalesce(F.sum(F.size("repeated")), F.lit(0))).first()[0] <= SMALL
     # One document of each class is cut; where its row is repeated, its class goes whole anyway.
