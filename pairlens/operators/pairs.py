@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from pairlens.operators.shared import cut
+
 
 def expand_runs(pairs: DataFrame, runs: int) -> DataFrame:
     """A row for each pair, run (0..) and arm, with the arm's text as ``prompt``."""
@@ -70,7 +72,8 @@ def cue_documents(spans: DataFrame, group: str, span: str, order: list[str]) ->
 def dense_ids(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
     """Number rows 0.. in ``order``: counts of range partitions first, then a place in each."""
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)).checkpoint()
+    spread = spread.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    spread = cut(spread)
     counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return spread.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

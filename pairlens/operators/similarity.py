@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pairlens.operators.shared import cut as lineage_cut
+
 
 def words(text: Column) -> Column:
     """Lower-case words of two characters or more."""
@@ -122,13 +124,13 @@ def similar_pairs(df: DataFrame, block: str, ident: str, vector: str, least: flo
     return u.join(v, (F.col(block) == F.col("_block")) & (F.col("a") < F.col("b"))).select(block, "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > least)
 
 
-def keep_first_of_similar(df: DataFrame, ident: str, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def keep_first_of_similar(df: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
     """Rows that are the smallest id of their component under ``pairs`` (a, b): minimum labels spread until they rest."""
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    label = edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
-    for _ in range(rounds):
+    edges = lineage_cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = lineage_cut(edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
+    while True:
         near = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
-        new = label.join(near, label.id == near.a).select("id", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")).checkpoint()
+        new = lineage_cut(label.join(near, label.id == near.a).select("id", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
         label = new.select("id", "label")
         if not new.where("moved").limit(1).count():
             break

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L, stats
 from pairlens.operators import classify as C, rates as R, scoring as S, similarity as M, tests as E
+from pairlens.operators.shared import scratch
 from pairlens.plans.outcomes import FACTS, facts, read, rounded, runs, tiered
 from pairlens.sources import files
 from pairlens.streaming.resume import score_stream
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="pairlens-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order totals by status and priority."""
     return read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
@@ -117,7 +105,7 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_bias = r.groupBy("model", "strategy", "bias").agg(F.sum("runs").alias("total_runs"), tier.alias("complexity_analysis"))
     body = F.to_json(F.map_from_entries(F.collect_list(F.struct("bias", F.struct("total_runs", "complexity_analysis")))))
     name = F.concat(F.lit("model="), "model", L.lookup(F.col("strategy"), names))
-    folder = _scratch(spark)
+    folder = scratch(spark)
     by_bias.groupBy("model", "strategy").agg(body.alias("value")).select(name.alias("name"), "value").repartition(1, "name").write.partitionBy("name").text(folder)
     read_back = spark.read.option("recursiveFileLookup", "true").text(folder)
     rows = read_back.select(F.concat(F.regexp_extract(F.url_decode(F.url_decode(F.col("_metadata.file_path"))), r"/name=([^/]+)/", 1), F.lit(".json")).alias("file"), "value")
@@ -128,7 +116,7 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's texts as a stream of requests, scored once each into a table; then once more, which adds none."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     source = read(spark, sf_dir, "conversations").where("role = 'user'")
     source.select(F.md5("text").alias("key"), "text").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("key string, text string").parquet(f"{folder}/in")
@@ -139,11 +127,12 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment answers read back: spans that the texts do not hold void them; the best candidate of each query."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
-    c = b.crossJoin(F.broadcast(b.where("q < 3").select(F.col("q").alias("cand"), F.col("text").alias("cand_text"))))
+    """Alignment answers read back: spans that the texts do not hold void them; the best candidate of each query
+    among the items of its block (lengths that end alike)."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text", F.length("text").alias("block"))
+    c = b.withColumn("block", F.col("block") % 10).join(b.select(F.col("q").alias("cand"), F.col("text").alias("cand_text"), (F.col("block") % 10).alias("block")), "block")
     span = F.when((F.col("q") + F.col("cand")) % 2 == 0, F.upper(F.substring("text", 1, 6))).otherwise("not there ###")
-    item = F.struct(F.lit("0").alias("idx"), F.lit(True).alias("aligned"), F.when(F.col("q") % 2 == 0, "strong").otherwise("weak").alias("alignment_strength"), (F.lit(0.8) + F.col("cand") / 10.0).cast("string").alias("score"), span.alias("dev_cue_span"), F.substring("cand_text", 1, 4).alias("probe_cue_span"))
+    item = F.struct(F.lit("0").alias("idx"), F.lit(True).alias("aligned"), F.when(F.col("q") % 2 == 0, "strong").otherwise("weak").alias("alignment_strength"), (F.lit(0.8) + F.col("cand") % 3 / 10.0).cast("string").alias("score"), span.alias("dev_cue_span"), F.substring("cand_text", 1, 4).alias("probe_cue_span"))
     d = c.withColumn("answer", F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(item).alias("candidates")))))
     out = S.aligned(d, "text", "cand_text", 0.85)
     best = R.first_of(out, ["q"], [F.desc("score"), F.desc("strength"), F.col("cand")])
@@ -168,5 +157,5 @@ ORACLE = {
     "guess_coverage": "SELECT count(*) AS n, round(avg((doc_id % 10 >= 6)::INT::DOUBLE), 6) AS coverage, round(avg((quality = 1 - toxic)::INT::DOUBLE) FILTER (doc_id % 10 >= 6), 6) AS covered_accuracy FROM labels",
     "summary_files": f"WITH {FACTS} SELECT model, CASE strategy WHEN 's0' THEN 'Ø' WHEN 's1' THEN 'CoT' WHEN 's2' THEN 'BW+IsD' ELSE 'BW' END AS strategy, bias, tier, count(*) AS tier_total_cases, round(100 * avg(sensitive::DOUBLE), 6) AS tier_sensitivity, round(100 * avg(harmful::DOUBLE), 6) AS tier_harmfulness FROM tiered WHERE tier IS NOT NULL GROUP BY ALL",
     "streamed_scores": "SELECT DISTINCT md5(text) AS key, length(text)::VARCHAR AS answer FROM conversations WHERE role = 'user'",
-    "alignment_answers": "WITH c AS (SELECT a.item_id AS q, b.item_id AS cand, a.text, (a.item_id + b.item_id) % 2 = 0 AS held FROM benchmark a, benchmark b WHERE b.item_id < 3), s AS (SELECT q, cand, held AS aligned, CASE WHEN held THEN CASE WHEN q % 2 = 0 THEN 'strong' ELSE 'weak' END ELSE 'none' END AS strength, CASE WHEN held THEN 0.8::DOUBLE + cand / 10.0::DOUBLE ELSE 0 END AS score, CASE WHEN held THEN lower(substr(text, 1, 6)) ELSE '' END AS query_span FROM c), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, strength DESC, cand) = 1) SELECT q, cand, aligned, strength, round(score, 6) AS score, query_span, aligned AND score >= 0.85 AS is_aligned, aligned AND score >= 0.85 AND strength = 'strong' AS is_strong FROM r",
+    "alignment_answers": "WITH c AS (SELECT a.item_id AS q, b.item_id AS cand, a.text, (a.item_id + b.item_id) % 2 = 0 AS held FROM benchmark a JOIN benchmark b ON length(a.text) % 10 = length(b.text) % 10), s AS (SELECT q, cand, held AS aligned, CASE WHEN held THEN CASE WHEN q % 2 = 0 THEN 'strong' ELSE 'weak' END ELSE 'none' END AS strength, CASE WHEN held THEN 0.8::DOUBLE + cand % 3 / 10.0::DOUBLE ELSE 0 END AS score, CASE WHEN held THEN lower(substr(text, 1, 6)) ELSE '' END AS query_span FROM c), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, strength DESC, cand) = 1) SELECT q, cand, aligned, strength, round(score, 6) AS score, query_span, aligned AND score >= 0.85 AS is_aligned, aligned AND score >= 0.85 AND strength = 'strong' AS is_strong FROM r",
 }

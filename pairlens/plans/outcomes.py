@@ -127,9 +127,9 @@ def candidate_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen_and_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mapped counts of every event type, types without a mapped event at 0."""
+    """Mapped counts of every event type; purchases are never mapped and stay at 0."""
     e = runs(spark, sf_dir)
-    dims, hits = e.select("bias").distinct(), e.where("steps >= 99 AND user_id % 7 = 0 AND event_id % 11 = 0").groupBy("bias").agg(F.count(F.lit(1)).alias("mapped"))
+    dims, hits = e.select("bias").distinct(), e.where("bias <> 'purchase' AND steps >= 99").groupBy("bias").agg(F.count(F.lit(1)).alias("mapped"))
     return dims.join(hits, "bias", "left").select("bias", F.coalesce("mapped", F.lit(0)).cast("long").alias("mapped"))
 
 
@@ -252,9 +252,9 @@ def validation_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotations with the documents they judge; those of unknown documents are left out, rare sources too."""
-    d = read(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "source", "n_chars")
-    big = d.groupBy("source").count().where("count >= 30").select("source")
+    """Annotations with the documents they judge, English ones and rare sources left out."""
+    d = read(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", "source", "n_chars")
+    big = d.groupBy("source").count().where("count >= 15").select("source")
     j = read(spark, sf_dir, "labels").join(d.join(big, "source", "left_semi"), "doc_id")
     return rounded(j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.avg("quality").alias("quality")))
 
@@ -277,7 +277,7 @@ ORACLE = {
     "table_signature": "SELECT sha1(count(*)::VARCHAR || '-' || sum(('0x' || substr(md5(doc_id::VARCHAR || '~' || quality::VARCHAR || '~' || toxic::VARCHAR), 1, 8))::BIGINT)::VARCHAR) AS signature FROM labels",
     "tier_summary": f"WITH {RUNS}, f AS (SELECT bias, model, tier, count(*) AS runs, 100 * avg(CAST(sensitive AS DOUBLE)) AS s FROM tiered GROUP BY ALL), b AS (SELECT model, avg(s) AS b FROM (SELECT model, bias, avg(s) AS s FROM f GROUP BY ALL) GROUP BY model) SELECT model, tier, round(avg(s), 6) AS mean, sum(runs)::BIGINT AS n, round(any_value(b), 6) AS baseline, round(avg(s) - any_value(b), 6) AS delta FROM f JOIN b USING (model) GROUP BY model, tier",
     "validation_sheet": "WITH e AS (SELECT event_id, user_id, event_type, round(value, 6) AS score FROM events), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) = 1 ORDER BY score DESC, event_id LIMIT 100) SELECT event_id, event_type, NULL::INT AS ann1_cue, NULL::INT AS ann2_cue FROM b WHERE score >= 0",
-    "labelled_lookup": "WITH d AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 > 0), big AS (SELECT source FROM d GROUP BY source HAVING count(*) >= 30) SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(quality), 6) AS quality FROM labels JOIN d USING (doc_id) WHERE source IN (SELECT source FROM big) GROUP BY source",
+    "labelled_lookup": "WITH d AS (SELECT doc_id, source, n_chars FROM documents WHERE lang <> 'en'), big AS (SELECT source FROM d GROUP BY source HAVING count(*) >= 15) SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(quality), 6) AS quality FROM labels JOIN d USING (doc_id) WHERE source IN (SELECT source FROM big) GROUP BY source",
     "daily_stamps": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT date_trunc('second', ts)) AS seconds, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "outcome_rates": f"WITH {RUNS} SELECT bias, tier, {_RATES} FROM tiered GROUP BY GROUPING SETS ((bias), (bias, tier))",
     "complexity_quartiles": f"WITH {RUNS} SELECT bias, round(quantile_cont(steps, 0.25), 6) AS q1, round(quantile_cont(steps, 0.5), 6) AS q2, round(quantile_cont(steps, 0.75), 6) AS q3 FROM runs GROUP BY bias",
@@ -294,7 +294,7 @@ ORACLE = {
     "best_cells": f"WITH {FACTS}, m AS (SELECT model, strategy, round(median(sensitivity), 9) AS median, count(*) AS n FROM facts WHERE strategy <> 's0' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY median, n DESC, strategy) AS k FROM m) SELECT model, strategy, round(median, 6) AS median, n FROM r WHERE k = 1",
     "entity_prevalence": f"WITH {RUNS}, e AS (SELECT bias, user_id, bool_or(steps >= 90) AS f, bool_or(steps >= 97) AS s FROM runs GROUP BY ALL), a AS (SELECT bias, count(*) AS n, count_if(f) AS k, count_if(s) AS strong_k, count_if(f AND NOT s) AS weak_k FROM e GROUP BY bias), w AS (SELECT *, k::DOUBLE / n AS p, 1 + {_Z} * {_Z}::DOUBLE / n AS d, {_Z}::DOUBLE AS z FROM a) SELECT bias, n, k, strong_k, weak_k, round(p, 6) AS prevalence, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / d, 6) AS wilson95_lo, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / d, 6) AS wilson95_hi FROM w",
     "candidate_prevalence": f"WITH {RUNS} SELECT coalesce(bias, 'ANY') AS bias, count(*) AS n, count_if(steps >= 90) AS k, round(100.0::DOUBLE * count_if(steps >= 90) / count(*), 6) AS pct FROM runs GROUP BY GROUPING SETS ((bias), ())",
-    "seen_and_unseen": f"WITH {RUNS} SELECT bias, count_if(steps >= 99 AND user_id % 7 = 0 AND event_id % 11 = 0) AS mapped FROM runs GROUP BY bias",
+    "seen_and_unseen": f"WITH {RUNS} SELECT bias, coalesce(count_if(bias <> 'purchase' AND steps >= 99), 0) AS mapped FROM runs GROUP BY bias",
     "paired_outcomes": "WITH d AS (SELECT lang, toxic AS a, quality AS b FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, count(*) AS n, avg(a::DOUBLE) AS base_rate, avg(b::DOUBLE) AS treated_rate, count_if(a = 0 AND b = 0) AS n00, count_if(a = 0 AND b = 1) AS n01, count_if(a = 1 AND b = 0) AS n10, count_if(a = 1 AND b = 1) AS n11 FROM d GROUP BY lang), e AS (SELECT *, ((n11 + n10)::DOUBLE * (n11 + n01) + (n00 + n01)::DOUBLE * (n00 + n10)) / (n::DOUBLE * n) AS pe FROM c) SELECT lang, n, round(base_rate, 6) AS base_rate, round(treated_rate, 6) AS treated_rate, n00, n01, n10, n11, round(base_rate - treated_rate, 6) AS absolute_reduction, round((base_rate - treated_rate) / nullif(base_rate, 0), 6) AS relative_reduction, round(greatest(abs(n10 - n01) - 1, 0)::DOUBLE ** 2 / nullif(n10 + n01, 0), 6) AS mcnemar, round(2 * (asin(sqrt(base_rate)) - asin(sqrt(treated_rate))), 6) AS cohens_h, round(((n11 + n00)::DOUBLE / n - pe) / nullif(1 - pe, 0), 6) AS kappa, round((n11 + n00)::DOUBLE / n, 6) AS agreement FROM e",
     "change_histogram": "SELECT v.change, count(l.doc_id) AS n FROM (VALUES (-1), (0), (1)) AS v(change) LEFT JOIN (SELECT * FROM labels WHERE NOT (quality = 0 AND toxic = 1)) l ON l.quality - l.toxic = v.change GROUP BY v.change",
     "rater_agreement": "SELECT count(*) AS n, round(avg((quality = toxic)::INT::DOUBLE), 6) AS agreement, count_if(quality <> toxic) AS n_disagree FROM labels",
