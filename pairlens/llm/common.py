@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: Words are maximal runs of other bytes than blank, tab, LF, VT, FF, CR.
@@ -77,19 +79,53 @@ def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str) -> Dat
     return dealt.withColumn(out, place.cast("long")).join(starts, same).withColumn(out, F.col(out) + F.col("_start")).drop("_bucket", "_start", "_k_b", *[f"_k_{k}" for k in keys])
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to the smallest id of each component of the given edges."""
+    if not len(a):
+        return a, b
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = new[new[new]]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(ids))
+    return ids[keep], ids[label[keep]]
+
+
+def _contracted(batches):
+    """The edges of a task as stars, about a million at a time."""
+    a, b, n = [], [], 0
+    for batch in batches:
+        a.append(batch["a"].to_numpy())
+        b.append(batch["b"].to_numpy())
+        n += batch.num_rows
+        if n > 1_000_000:
+            a, b = ([x] for x in spanning(np.concatenate(a), np.concatenate(b)))
+            n = 0
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spanning(np.concatenate(a), np.concatenate(b))], ["a", "b"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph of ``edges`` (a long, b long): a row (id, component) for each id in an edge.
 
     ``component`` is the smallest id that links reach. Alternating large-star and small-star rounds, each a
     group-by and a join; a round's edges are a table in the shared folder. Rounds grow with the logarithm of the
-    longest path. Edges with a null end are left out.
+    longest path; edges of a task are contracted before the first. Edges with a null end are left out.
     """
-    now = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = materialize(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").mapInArrow(_contracted, "a long, b long").distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         after = materialize(small)

@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, materialize
-from .ngram_join import _grouped, spanning, tiles
+from .common import connected_components, materialize, spanning
+from .ngram_join import _grouped, tiles
 
 #: Vectors of a cell on average, most cells, rounds of k-means, rows of a block of products.
 CELL, CELLS, ROUNDS, BLOCK = 2048, 1024, 5, 4096

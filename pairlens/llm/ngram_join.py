@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, spanning
 from .wordhash import shingles, words
 
 #: Slots of the count table, bits of a set's sketch, rows of a block of candidates, shingles of a block of sets, and rows
@@ -170,26 +170,6 @@ def _grouped(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges to the smallest id of each component of the given edges."""
-    if not len(a):
-        return a, b
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        new = new[new[new]]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(ids))
-    return ids[keep], ids[label[keep]]
-
-
 def _candidates(num: int, den: int):
     """Edges that span the candidates of each shingle's (or pair of blocks') group."""
 
