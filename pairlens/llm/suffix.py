@@ -102,25 +102,25 @@ def _segments(length: int):
     return cut
 
 
-def names(columns: list[np.ndarray]) -> np.ndarray:
+def names(columns) -> np.ndarray:
     """Ranks of rows of ``columns`` (non-negative integers, the first weighing most); equal rows have equal ranks."""
     keys, bits = [], 64
     for c in columns:
-        c = c.astype(np.uint64)
         need = max(1, int(c.max()).bit_length()) if len(c) else 1
         if keys and bits + need <= 64:
-            keys[-1] = (keys[-1] << np.uint64(need)) | c
+            keys[-1] <<= np.uint64(need)
+            keys[-1] |= c.astype(np.uint64)
             bits += need
         else:
-            keys.append(c)
+            keys.append(c.astype(np.uint64))
             bits = need
     order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
@@ -130,20 +130,24 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     The suffixes are ordered to that depth by the difference cover {1, 2} modulo 3; equal windows have to lie alike
     modulo 3. Returns a boolean for each start.
     """
+    # Narrow types throughout: a frequent anchor's segments are sorted in one piece.
     n = len(data)
-    wide = np.concatenate([data, np.zeros(3 * length + 64, np.uint8)]).astype(np.uint64)
-    sample = np.flatnonzero(np.arange(n) % 3)
-    word = np.zeros(n, np.uint64)
+    wide = np.concatenate([data, np.zeros(3 * length + 64, np.uint8)])
+    sample = np.arange(n, dtype=np.int32)
+    sample = sample[sample % 3 > 0]
+    word = np.zeros(len(sample), np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | wide[k : k + n]
-    name = np.zeros(n + 3 * length + 64, np.int64)
-    name[sample] = names([word[sample]])
+        word <<= np.uint64(8)
+        word |= wide[sample + k]
+    name = np.zeros(n + 3 * length + 64, np.int32)
+    name[sample] = names([word])
+    del word
     depth = 8
     while True:
         step = depth - depth % 3  # so that places of names stay in the sample
         if 2 * step + depth > length - 1:
             break
-        name[sample] = names([name[sample], name[sample + step], name[sample + 2 * step]])
+        name[sample] = names(name[sample + k * step] for k in range(3))
         depth += 2 * step
     # Names at steps of `depth` or less, then single bytes, reach `length` exactly.
     out = np.zeros(len(starts), bool)
@@ -153,9 +157,9 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.nd
         first = int(own == 0)
         final = first + (length - depth - first) // 3 * 3
         places = [*range(first, final, depth - depth % 3), final]
-        columns = [*[wide[p]] * first, *[name[p + k] for k in places], *[wide[p + k] for k in range(final + depth, length)]]
         if len(at) > 1:
-            rank = names(columns)
+            tail = range(final + depth, length)
+            rank = names(x[p + k] for x, k in [*[(wide, 0)] * first, *[(name, k) for k in places], *[(wide, k) for k in tail]])
             out[at] = np.bincount(rank)[rank] > 1
     return out
 
@@ -180,7 +184,7 @@ def _sort(length: int):
                 windows = size[low:high] - length + 1
                 which = np.repeat(np.arange(high - low), windows)
                 within = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-                starts = np.array(offsets, np.int64)[which] + within
+                starts = (np.array(offsets, np.int64)[which] + within).astype(np.int32)
                 hit = repeated_windows(np.frombuffer(b"".join(chunks), np.uint8), starts, length) | (many[low:high] > 1)[which]
                 edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (which[1:] != which[:-1])]))
                 stop = np.flatnonzero(hit & np.concatenate([~hit[1:] | (which[1:] != which[:-1]), [True]]))
