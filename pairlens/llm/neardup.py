@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import connected_components, materialize, spanning
-from .ngram_join import _grouped, tiles
+from .ngram_join import _grouped
 
 #: Vectors of a cell on average, most cells, rounds of k-means, rows of a block of products.
 CELL, CELLS, ROUNDS, BLOCK = 2048, 1024, 5, 4096
@@ -18,7 +18,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    """Vectors of one width as rows in double precision."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.flatten().to_numpy().astype(np.float64).reshape(len(c), -1) for c in chunks])
 
 
 def _sums(centres):
@@ -85,34 +87,29 @@ def _assigned(centres, least: float):
 
 
 def _compared(least: float):
-    """For each vector at home in a group: how many others of the group link with it, and edges that span the links."""
+    """For vectors at home in a group: how many of its visitors link with each, and edges that span the links."""
 
     def compare(batches):
         for t in _grouped(batches, ["cell", "tile"]):
-            ids, copies, home, own, other = (t[c].to_numpy() for c in ("vec_id", "copies", "home", "own", "other"))
-            block = t["block"].to_numpy()
-            cell, tile = t["cell"].to_numpy(), t["tile"].to_numpy()
+            ids, copies, visits, cell, tile = (t[c].to_numpy() for c in ("vec_id", "copies", "visits", "cell", "tile"))
             x = _unit(_matrix(t["embedding"]))
             edges = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (tile[1:] != tile[:-1])) + 1, [len(ids)]])
             for low, high in zip(edges, edges[1:], strict=False):
-                g = slice(low, high)
                 at = np.arange(low, high)
-                for mine, yours in {(own[low], other[low]), (other[low], own[low])}:
-                    rows, cols = at[home[g] & (block[g] == mine)], at[block[g] == yours]
-                    for k in range(0, len(rows), 512):
-                        r = rows[k : k + 512]
-                        i, j = np.nonzero(x[r] @ x[cols].T >= least)
-                        i, j = r[i], cols[j]
-                        i, j = i[i != j], j[i != j]
-                        if len(i):
-                            links = np.zeros(high - low, np.int64)
-                            np.add.at(links, i - low, copies[j])
-                            full = np.flatnonzero(links)
-                            a, b = spanning(ids[i], ids[j])
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.concatenate([ids[low + full], a])), pa.array(np.concatenate([np.zeros(len(full), np.int64), b])), pa.array(np.concatenate([links[full], np.zeros(len(a), np.int64)]))],
-                                ["a", "b", "links"],
-                            )
+                rows, cols = at[visits[low:high] == 0], at[visits[low:high] == 1]
+                for k in range(0, len(rows), 512):
+                    r = rows[k : k + 512]
+                    i, j = np.nonzero(x[r] @ x[cols].T >= least)
+                    i, j = r[i], cols[j]
+                    other = ids[i] != ids[j]
+                    i, j = i[other], j[other]
+                    if len(i):
+                        own, place = np.unique(i, return_inverse=True)
+                        links = np.bincount(place, copies[j]).astype(np.int64)
+                        a, b = spanning(ids[i], ids[j])
+                        none = lambda v: np.zeros(len(v), np.int64)
+                        columns = [np.concatenate(v) for v in ((ids[own], a), (none(own), b), (links, none(a)))]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["a", "b", "links"])
 
     return compare
 
@@ -129,10 +126,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = F.transform("embedding", lambda v: v.cast("double"))
-    rows = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), wide).alias("embedding"))
+    rows = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
+    element = vectors.schema["embedding"].dataType.elementType
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = rows.withColumn("embedding", F.when(sound, F.transform("embedding", lambda v: v + 0.0)))
+    rows = rows.withColumn("embedding", F.when(sound, F.transform("embedding", lambda v: F.when(v == 0, F.lit(0).cast(element)).otherwise(v))))
     rows = materialize(rows.withColumn("vector", F.when(F.col("embedding").isNotNull(), F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256))))
     unique = rows.where("embedding IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     unique = materialize(unique.withColumn("width", F.size("embedding")))
@@ -141,13 +138,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         part = unique.where(F.col("width") == w)
         centres = spherical_kmeans(part, int(min(CELLS, max(1, part.count() // CELL))))
         shared = spark.sparkContext.broadcast(centres)
-        dealt = part.select("vec_id", "copies", "embedding").mapInArrow(_assigned(shared, least), "vec_id long, copies long, embedding array<double>, cell long, home boolean")
-        dealt = materialize(dealt)
-        sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-        blocks = F.ceil(F.col("size") / BLOCK)
-        dealt = dealt.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks)).withColumn("blocks", blocks)
-        dealt = tiles(dealt, "cell", "size", "vec_id", BLOCK).withColumn("own", F.floor(F.col("tile") / F.col("blocks"))).withColumn("other", F.pmod("tile", "blocks"))
-        dealt = dealt.repartition(partitions, "cell", "tile").sortWithinPartitions("cell", "tile", "vec_id")
+        kind = dict(part.dtypes)["embedding"]
+        dealt = part.select("vec_id", "copies", "embedding").mapInArrow(_assigned(shared, least), f"vec_id long, copies long, embedding {kind}, cell long, home boolean")
+        sizes = materialize(dealt.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("columns")))
+        dealt = dealt.join(F.broadcast(sizes), "cell").where("rows > 0")  # at most CELLS sizes
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        row, column = F.pmod(F.xxhash64("vec_id"), F.col("rows")), F.pmod(F.xxhash64("vec_id"), F.col("columns"))
+        # As a visitor a vector meets every block of those at home; at home it meets every block of visitors.
+        asked = F.transform(upto("rows"), lambda r: F.struct((r * F.col("columns") + column).alias("tile"), F.lit(1).alias("visits")))
+        at_home = F.transform(upto("columns"), lambda c: F.struct((row * F.col("columns") + c).alias("tile"), F.lit(0).alias("visits")))
+        dealt = dealt.withColumn("to", F.explode(F.concat(asked, F.when(F.col("home"), at_home).otherwise(F.slice(at_home, 1, 0)))))
+        dealt = dealt.select("cell", "to.tile", "to.visits", "vec_id", "copies", "embedding")
+        dealt = dealt.repartition(partitions, "cell", "tile").sortWithinPartitions("cell", "tile", "visits", "vec_id")
         got = dealt.mapInArrow(_compared(least), "a long, b long, links long")
         found = got if found is None else found.unionByName(got)
     if found is None:
