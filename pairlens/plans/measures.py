@@ -115,7 +115,7 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's texts as a stream of requests, scored once each into a table; then once more, which adds none."""
+    """User turns as a stream of requests, scored once each into a table; then once more, which adds none."""
     folder = scratch(spark)
     source = read(spark, sf_dir, "conversations").where("role = 'user'")
     source.select(F.md5("text").alias("key"), "text").write.parquet(f"{folder}/in")

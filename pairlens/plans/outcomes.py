@@ -117,7 +117,7 @@ def best_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = runs(spark, sf_dir).withColumns({"hit": F.col("steps") >= 90, "strong": F.col("steps") >= 97})
-    return rounded(R.entity_prevalence(rows, "bias", "user_id", "hit", "strong").withColumn("wilson95_lo", F.col("wilson95_lo")))
+    return rounded(R.entity_prevalence(rows, "bias", "user_id", "hit", "strong"))
 
 
 def candidate_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:

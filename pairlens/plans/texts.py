@@ -12,7 +12,6 @@ from pairlens.sources import files
 # A codebook and lexicon of words that the invented texts hold; both engines read these patterns alike.
 BOOK = {"articles": {"strong": [r"\bthe\s+of\b", r"\bof\s+the\b"], "weak": [r"\bthe\b", r"\bof\b"]}, "links": {"strong": [r"\band\s+the\b"], "weak": [r"\band\b", r"\bwith\b"]}}
 LEXICON = {"articles": ["the", "un[ea]?"], "links": ["and|und", "avec"], "dots": [r"\.\n"]}
-STRATA = "stratum"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +103,7 @@ def span_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean edit similarity of the pairs of events' types and properties by user group: texts are short."""
+    """Mean edit similarity of the pairs of nations' names in each region."""
     d = read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name")
     return rounded(M.mean_levenshtein(d, "n_regionkey", "n_nationkey", "n_name"))
 
@@ -155,7 +154,7 @@ def mapped_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_channel_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations ranked for each supplier's region text by the mean of word and character-n-gram cosines."""
+    """Nations ranked for texts of parts and nations by the mean of word and character-n-gram cosines."""
     n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     docs = n.select(F.col("n_name").alias("cand"), F.concat_ws(" ", F.lit("nation"), "n_name", "r_name").alias("text"))
     parts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lit("nation"), "p_name", "p_type").alias("text"))
@@ -176,13 +175,13 @@ def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one label and, by parity, one tenth of it whose cosine is above 0.3."""
+    """Pairs of one block, vectors of one label whose ids end alike, whose cosine is above 0.3."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") * 50 + F.pmod("vec_id", F.lit(50))).alias("block"), "embedding")
     return rounded(M.similar_pairs(e, "block", "vec_id", "embedding", 0.3))
 
 
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns scored once for each distinct request, answers of assistants' texts served from a cache."""
+    """Turns scored once for each distinct request; those that a system turn said are served from a cache."""
     c = read(spark, sf_dir, "conversations").withColumn("key", S.request_key(F.lit("rate"), F.col("text"), F.lit("stub"), F.lit(0)))
     cache = c.where("role = 'system'").select("key", F.lit("cached").alias("answer")).distinct()
     stub = lambda d: d.select("key", F.concat(F.lit("chars "), F.length("text")).alias("answer"))
