@@ -37,7 +37,8 @@ def format_chats(conversations: DataFrame, trained_role: str = "assistant") -> D
     size = F.length("body").cast("long")
     place = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("at", F.sum(head + size + F.when(F.col("last"), len(CLOSE)).otherwise(0)).over(place.rowsBetween(W.unboundedPreceding, 0)) - size - F.when(F.col("last"), len(CLOSE)).otherwise(0))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "first", "body", F.col("at").alias("start"), size.alias("length"))))
+    # ``at`` grows from turn to turn, so repeated rows keep the window's order, in which ``first`` and ``at`` were found.
+    turns = F.array_sort(F.collect_list(F.struct(F.col("at").alias("start"), "role", "first", "body", size.alias("length"))))
     chats = rows.groupBy("conv_id").agg(turns.alias("turns"))
     heads = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["first"])
     chats = chats.withColumn("heads", heads)

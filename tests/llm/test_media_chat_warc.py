@@ -84,6 +84,18 @@ def test_chat(spark):
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_repeated_rows(spark):
+    """Repeated rows at the start of the first run and of a later one."""
+    rows = [(1, 0, "user", "hi")] * 2 + [(1, 1, "assistant", "well <|"), (1, 2, "user", "more")] + [(1, 3, "assistant", "yes")] * 3 + [(1, 4, "assistant", "so")] + [(2, 0, "assistant", "")] * 2 + [(3, None, "user", "x")] * 2
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat.digests(chats).collect()}
+    for conv in (1, 2, 3):
+        mine = [(r, x) for c, _, r, x in rows if c == conv]
+        said, loss = "".join(f"{r}\n{x}\n" for r, x in mine), "".join(x for r, x in mine if r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(mine), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<html><head><title>T</title></head><body><p>One &amp;amp; <b>two</b></p><script>x<y</script><!-- no -->three<br>four</body></html>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     rows = warc.derivatives(warc.responses(pages)).collect()
