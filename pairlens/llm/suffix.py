@@ -5,6 +5,10 @@
    the corpus; a window whose anchor occurs once is settled.
 2. The windows of each repeated anchor are cut out as one segment (first window to end of last). Equal segments are
    one, with a count. Segments go to tasks by their anchor's hash: all suffixes that could share ``length`` bytes meet.
+   A window holds half of the bytes that it has beyond its anchor on one side of it, so where an anchor's segments are
+   more than ``HOT`` bytes, their windows are halved by that side, and anchors grow by these bytes. What they are then is
+   counted again: those that occur once are settled, those still hot are halved again, to whole windows at last. So no
+   group is larger than ``HOT``.
 3. A task sorts the suffixes of its segments by difference cover. Suffixes at places 1 and 2 modulo 3, counted from the
    anchor, are the sample: they are named by 8 bytes, then by triples of names, level on level, each nearly three times
    as deep. The remaining suffixes sort by their own byte and the names of the sampled suffixes after it. Neighbours
@@ -15,17 +19,19 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 from .ngram_join import _grouped, _parts
 from .wordhash import mixed, powers, running
 
-#: Bytes of an anchor, bytes that a task sorts at a time, bytes of a text read at a time, rows up to which a table is broadcast.
-GRAM, BATCH, SLICE, SMALL = 64, 1 << 20, 1 << 22, 3_000_000
+#: Bytes of an anchor, bytes that a task sorts at a time, bytes of a group beyond which it is split, bytes of a text read at
+#: a time, rows up to which a table is broadcast.
+GRAM, BATCH, HOT, SLICE, SMALL = 64, 1 << 20, 1 << 18, 1 << 22, 3_000_000
 
 
 def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -130,7 +136,6 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     The suffixes are ordered to that depth by the difference cover {1, 2} modulo 3; equal windows have to lie alike
     modulo 3. Returns a boolean for each start.
     """
-    # Narrow types throughout: a frequent anchor's segments are sorted in one piece.
     n = len(data)
     wide = np.concatenate([data, np.zeros(3 * length + 64, np.uint8)])
     sample = np.arange(n, dtype=np.int32)
@@ -172,7 +177,7 @@ def _sort(length: int):
             edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
             low, total, rows = 0, np.concatenate([[0], np.cumsum(size)]), []
             while low < len(group):
-                # Whole groups of about BATCH bytes, one group at least.
+                # Whole groups of about BATCH bytes, one group at least; one has HOT bytes at most.
                 k = np.searchsorted(edges, low, "right")
                 high = max(edges[k], edges[np.searchsorted(total[edges], total[low] + BATCH, "right") - 1])
                 offsets, at, chunks = [], 0, []
@@ -201,6 +206,71 @@ def _sort(length: int):
     return sort
 
 
+def _halves(length: int):
+    names = ["anchor", "same", "many", "shift", "place", "core", "node", "size", "bytes", "key", "own"]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 2, *[pa.int32()] * 4, pa.binary(), pa.int64(), pa.binary()]
+
+    def halve(batches):
+        for part in _parts(batches):
+            rows = []
+            for anchor, same, many, shift, place, core, node, size, held in zip(*[part[c].to_pylist() for c in names[:9]], strict=True):
+                beyond = length - core
+                left = (beyond + 1) // 2
+                right = beyond - left + 1
+                # A window from place - left or before holds the core and `left` bytes before it, any other `right` after it.
+                cuts = ((0, min(size - length, place - left), place - left, core + left), (max(0, place - left + 1), size - length, place, core + right))
+                for side, (first, last, low, wide) in enumerate(cuts):
+                    if beyond and first <= last:
+                        b, at, mark = held[first : last + length], low - first, 2 * node + side
+                        key = hashlib.blake2b(b[at : at + wide], digest_size=8, salt=mark.to_bytes(4, "little")).digest()
+                        own = hashlib.blake2b(b, digest_size=16, salt=at.to_bytes(4, "little")).digest()
+                        rows.append((anchor, same, many, shift + first, at, wide, mark, len(b), b, int.from_bytes(key, "little", signed=True), own))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return halve
+
+
+def _sorted(rows: DataFrame, length: int) -> DataFrame:
+    """Spans of repeated windows (anchor, same, spans) of segments (anchor, same, many, place, size, bytes)."""
+    segments = rows.groupBy("anchor", "same").agg(F.sum("many").alias("many"), F.max("place").alias("place"), F.max("size").alias("size"), F.max("bytes").alias("bytes"))
+    ordered = segments.repartition(shuffle_partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "same")
+    return ordered.select("anchor", "same", "many", "place", "size", "bytes").mapInArrow(_sort(length), "anchor long, same binary, spans array<int>").where(F.size("spans") > 0)
+
+
+def _sides(keys: DataFrame) -> DataFrame:
+    """A table of keys, to be broadcast where it is small."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
+def _volumes(rows: DataFrame, key: str, own: str) -> DataFrame:
+    """For each ``key``: occurrences ``n`` of its segments, and bytes ``volume`` of the distinct ones."""
+    each = rows.groupBy(key, own).agg(F.sum("many").alias("many"), F.max("size").alias("size"))
+    return each.groupBy(key).agg(F.sum("many").alias("n"), F.sum("size").alias("volume"))
+
+
+def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
+    """Like ``_sorted``, where segments of one anchor can be any number: they are halved until no group is hot."""
+    now = rows.groupBy("anchor", "same").agg(F.sum("many").alias("many"), F.max("place").alias("place"), F.max("size").alias("size"), F.max("bytes").alias("bytes"))
+    now = now.withColumn("shift", F.lit(0).cast("long")).withColumn("core", F.lit(GRAM)).withColumn("node", F.lit(1))
+    columns = ["anchor", "same", "many", "shift", "place", "core", "node", "size", "bytes"]
+    settled = []
+    while True:
+        parts = materialize(now.select(*columns).mapInArrow(_halves(length), "anchor long, same binary, many long, shift long, place int, core int, node int, size int, bytes binary, key long, own binary"))
+        keys = materialize(_volumes(parts, "key", "own").where("n > 1").select("key", (F.col("volume") > max(HOT, length)).alias("hot")))
+        settled.append(parts.join(_sides(keys.where("NOT hot")), "key"))
+        hot = keys.where("hot")
+        if not hot.limit(1).count():
+            break
+        now = parts.join(_sides(hot), "key")
+    left = reduce(DataFrame.unionByName, settled)
+    spans = _sorted(left.select(F.col("key").alias("anchor"), F.col("own").alias("same"), "many", "place", "size", "bytes"), length)
+    spans = spans.select(F.col("anchor").alias("key"), F.col("same").alias("own"), "spans")
+    found = left.select("anchor", "same", "shift", "key", "own").join(spans, ["key", "own"])
+    found = found.select("anchor", "same", F.transform("spans", lambda x: (x + F.col("shift")).cast("int")).alias("spans"))
+    return found.groupBy("anchor", "same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def _merged(flat: list[int] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for low, high in sorted(zip(flat[::2], flat[1::2], strict=True)) if flat else ():
@@ -248,8 +318,6 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     """
     if length < GRAM + 16:
         raise ValueError(f"length has to be {GRAM + 16} or more")
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     read = materialize(docs.mapInArrow(_values(length), "doc_id long, class binary, anchors array<long>"))
     classes = read.where(F.size("anchors") > 0).groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("id"), F.first("anchors").alias("anchors"))
@@ -262,9 +330,13 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     # One document of each class is cut; where its row is repeated, its class goes whole anyway.
     cut = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("of", "text", "repeated")
     cut = materialize(cut.mapInArrow(_segments(length), "of binary, anchor long, same binary, low long, place int, size int, bytes binary"))
-    segments = cut.groupBy("anchor", "same").agg(F.count(F.lit(1)).alias("many"), F.max("place").alias("place"), F.max("size").alias("size"), F.max("bytes").alias("bytes"))
-    ordered = segments.repartition(partitions, "anchor").sortWithinPartitions("anchor", "same")
-    spans = ordered.select("anchor", "same", "many", "place", "size", "bytes").mapInArrow(_sort(length), "anchor long, same binary, spans array<int>").where(F.size("spans") > 0)
+    rows = cut.withColumn("many", F.lit(1).cast("long"))
+    hot = materialize(_volumes(rows, "anchor", "same").where(F.col("volume") > max(HOT, length)).select("anchor"))
+    if hot.limit(1).count():
+        side = _sides(hot)
+        spans = materialize(_sorted(rows.join(side, "anchor", "left_anti"), length).unionByName(_hot_spans(rows.join(side, "anchor", "left_semi"), length)))
+    else:
+        spans = _sorted(rows, length)
     hits = cut.select("of", "anchor", "same", "low").join(spans, ["anchor", "same"])
     hits = hits.select("of", F.transform("spans", lambda x: (x + F.col("low")).cast("int")).alias("spans"))
     return classes, hits.groupBy("of").agg(F.flatten(F.collect_set("spans")).alias("spans"))

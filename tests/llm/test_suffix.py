@@ -41,6 +41,35 @@ def test_against_brute_force(spark):
     check(spark, texts)
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """Passages in ever new contexts: no group that is sorted is larger than HOT, and the result is the same."""
+    hot, inner = 4000, suffix._sort
+    monkeypatch.setattr(suffix, "HOT", hot, raising=False)
+
+    def watched(length):
+        sort = inner(length)
+
+        def run(batches):
+            batches, most = list(batches), {}
+            for b in batches:
+                for anchor, size in zip(b["anchor"].to_pylist(), b["size"].to_pylist(), strict=True):
+                    most[anchor] = most.get(anchor, 0) + size
+            assert max(most.values(), default=0) <= hot
+            yield from sort(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(suffix, "_sort", watched)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
+    lines = [text(80), text(150), text(180), "x" * 199]
+    tails = [text(300) for _ in range(3)]
+    texts = [text(250) + line + text(250) for line in lines for _ in range(60)]
+    texts += [text(30) + lines[i % 3] + tails[i % 3][: 40 * i] + text(20) for i in range(12)]
+    texts += [lines[1] + tails[0], tails[0][-40:] + lines[1] + text(80), "x" * 420, texts[0], lines[2] + text(300) + lines[2]]
+    check(spark, texts)
+
+
 def test_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.collect()
