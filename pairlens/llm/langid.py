@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import materialize
 
@@ -95,26 +95,27 @@ def has_letter(text: Column) -> Column:
 def train(labelled: DataFrame, rows: int = 4096, seed: int = 11) -> Model | None:
     """A model from labelled texts (text, lang), of which at most ``rows`` are fitted; None if there are none.
 
-    The sample has about equal numbers of each language, drawn by a hash of the text: it is bounded whatever the
-    corpus, and the driver gets its n-gram presence (1.5 KB a text), not its texts.
+    Each language has the same number of distinct texts in the sample, or all that it has, however often they are
+    repeated; a hash of the text draws them. Of more than ``rows // 4`` languages, those with most distinct texts are
+    fitted. The sample is bounded whatever the corpus, and the driver gets its n-gram presence (1.5 KB a text), not
+    its texts.
     """
     known = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang", F.xxhash64(F.lit(seed), "text").alias("draw"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 4).collect()}
+    distinct = known.select("lang", "draw").distinct()
+    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 4).collect()}
     if not sizes:
         return None
     each = max(1, rows // len(sizes))
-    # Draws are even over 64 bits: below this, a language has about 5/4 of its part.
+    # Draws are even over 64 bits: below this, a language has its part and some more, of which the lowest are taken.
     most = F.lit(None).cast("long")
     for lang, n in sizes.items():
-        most = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.25 * each / n))))).otherwise(most)
-    # Copies of a text count once here, however many there are.
-    sample = materialize(known.where(F.col("draw") <= most).groupBy("draw", "lang").agg(F.first("text").alias("text"))).orderBy("draw", "lang").limit(2 * rows)
+        most = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (1.25 * each + 40) / n))))).otherwise(most)
+    sample = known.where(F.col("draw") <= most).groupBy("draw", "lang").agg(F.first("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    sample = materialize(sample.withColumn("place", place).where(F.col("place") <= each))
     drawn = sample.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").collect()
-    taken: dict[str, list] = {}
-    for r in sorted(drawn, key=lambda r: (r.lang, r.bits)):
-        taken.setdefault(r.lang, []).append(r.bits)
-    pairs = [(b, lang) for lang, held in taken.items() for b in held[:: max(1, -(-len(held) // each))]]
-    return fit(np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b, _ in pairs]), axis=1), [lang for _, lang in pairs], seed=seed)
+    pairs = sorted((r.lang, r.bits) for r in drawn)
+    return fit(np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in pairs]), axis=1), [lang for lang, _ in pairs], seed=seed)
 
 
 def _predicted(model, keep):

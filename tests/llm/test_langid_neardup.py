@@ -23,6 +23,16 @@ def test_language_edges(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_sample_of_distinct_texts(spark, monkeypatch):
+    """Copies don't change how many texts of a language are fitted."""
+    fitted = []
+    monkeypatch.setattr(langid, "fit", lambda x, y, **_: fitted.append({v: y.count(v) for v in set(y)}))
+    copied = spark.range(25_000).select(F.concat(F.lit("the house of tree "), F.when(F.col("id") < 200, F.col("id")).otherwise(0)).alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(6000).select(F.concat(F.lit("das Haus und Baum "), F.col("id")).alias("text"), F.element_at(F.array(*map(F.lit, ("de", "fr", "es"))), (F.col("id") % 3 + 1).cast("int")).alias("lang"))
+    langid.train(copied.unionByName(others))
+    assert fitted == [{"en": 200, "de": 1024, "fr": 1024, "es": 1024}]
+
+
 def brute(vectors, least):
     ids = [i for i, v in vectors if v is not None and i is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     x = {i: np.array(v, float) for i, v in vectors if i in ids}
