@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairlens.operators.shared import cut as lineage_cut
@@ -124,6 +126,31 @@ def similar_pairs(df: DataFrame, block: str, ident: str, vector: str, least: flo
     return u.join(v, (F.col(block) == F.col("_block")) & (F.col("a") < F.col("b"))).select(block, "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > least)
 
 
+def similar_pairs_tiled(df: DataFrame, block: str, ident: str, vector: str, least: float, rows: int = 1024) -> DataFrame:
+    """Like ``similar_pairs`` for blocks of any size: a block is dealt to tiles of about ``rows``, and each pair of tiles
+    is a task's matrix product. Vectors have one width; ids are longs, one for each row."""
+    parts = df.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    v = df.select(block, F.col(ident).cast("long").alias("id"), unit(F.col(vector)).alias("v")).join(parts, block)
+    v = v.withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    v = v.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    v = v.select(block, F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"), "_tile", "id", "v")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["_low"].iloc[0], pdf["_high"].iloc[0]
+        one = pdf[pdf["_tile"] == low]
+        two = pdf[pdf["_tile"] == high]
+        if not len(one) or not len(two):
+            return pd.DataFrame({block: pdf[block][:0], "a": pdf["id"][:0], "b": pdf["id"][:0], "cosine": np.zeros(0)})
+        c = np.stack(one["v"].to_list()) @ np.stack(two["v"].to_list()).T
+        i, j = np.nonzero(c > least)
+        x, y = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
+        keep = x < y if low == high else x != y
+        x, y, c = x[keep], y[keep], c[i, j][keep]
+        return pd.DataFrame({block: pdf[block].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": c})
+
+    return v.groupBy(block, "_low", "_high").applyInPandas(product, f"{block} {df.schema[block].dataType.simpleString()}, a long, b long, cosine double")
+
+
 def keep_first_of_similar(df: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
     """Rows that are the smallest id of their component under ``pairs`` (a, b): minimum labels spread until they rest."""
     edges = lineage_cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))

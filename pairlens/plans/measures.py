@@ -131,6 +131,16 @@ def alignment_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     among the items of its block (lengths that end alike)."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text", F.length("text").alias("block"))
     c = b.withColumn("block", F.col("block") % 10).join(b.select(F.col("q").alias("cand"), F.col("text").alias("cand_text"), (F.col("block") % 10).alias("block")), "block")
+    return _best_aligned(c)
+
+
+def alignment_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``alignment_answers``, the best candidate of each query among all items."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+    return _best_aligned(b.crossJoin(b.select(F.col("q").alias("cand"), F.col("text").alias("cand_text"))))
+
+
+def _best_aligned(c: DataFrame) -> DataFrame:
     span = F.when((F.col("q") + F.col("cand")) % 2 == 0, F.upper(F.substring("text", 1, 6))).otherwise("not there ###")
     item = F.struct(F.lit("0").alias("idx"), F.lit(True).alias("aligned"), F.when(F.col("q") % 2 == 0, "strong").otherwise("weak").alias("alignment_strength"), (F.lit(0.8) + F.col("cand") % 3 / 10.0).cast("string").alias("score"), span.alias("dev_cue_span"), F.substring("cand_text", 1, 4).alias("probe_cue_span"))
     d = c.withColumn("answer", F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(item).alias("candidates")))))
@@ -141,7 +151,7 @@ def alignment_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rank_statistics, rank_tests, strategy_tests, false_discovery, high_vs_low, high_vs_low_tests, mcnemar_tests, bootstrap_intervals, bias_correlations, holdout_split, guessed_classes, guess_summary,
-    guess_coverage, classifier_quality, summary_files, streamed_scores, alignment_answers,
+    guess_coverage, classifier_quality, summary_files, streamed_scores, alignment_answers, alignment_answers_all,
 )}
 
 _GUESS = "g AS (SELECT lang, CASE WHEN strpos(' ' || lower(text) || ' ', ' der ') > 0 THEN 'de' WHEN strpos(' ' || lower(text) || ' ', ' les ') > 0 THEN 'fr' WHEN strpos(' ' || lower(text) || ' ', ' los ') > 0 THEN 'es' ELSE 'en' END AS guess FROM documents), labels_ AS (SELECT lang AS label FROM g UNION SELECT guess FROM g), c AS (SELECT label, (SELECT count(*) FROM g WHERE lang = label) AS support, (SELECT count(*) FROM g WHERE guess = label) AS predicted, (SELECT count(*) FROM g WHERE lang = label AND guess = label) AS tp FROM labels_), pr AS (SELECT *, coalesce(tp::DOUBLE / nullif(predicted, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(support, 0), 0) AS r FROM c), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM pr)"

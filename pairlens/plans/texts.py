@@ -108,6 +108,12 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.mean_levenshtein(d, "n_regionkey", "n_nationkey", "n_name"))
 
 
+def edit_similarity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean edit similarity of all pairs of benchmark items."""
+    d = read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("set"), "item_id", "text")
+    return rounded(M.mean_levenshtein(d, "set", "item_id", "text"))
+
+
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "benchmark")
     return d.select("item_id", P.content_key(F.col("item_id"), F.col("text")).alias("key"))
@@ -180,6 +186,17 @@ def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.similar_pairs(e, "block", "vec_id", "embedding", 0.3))
 
 
+def similar_label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vectors of one label whose cosine is above 0.3."""
+    return rounded(M.similar_pairs_tiled(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3))
+
+
+def first_of_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are the first of those that cosines above 0.3 link to them within their label."""
+    e = read(spark, sf_dir, "embeddings")
+    return M.keep_first_of_similar(e, "vec_id", M.similar_pairs_tiled(e, "label", "vec_id", "embedding", 0.3)).select("vec_id", "label")
+
+
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns scored once for each distinct request; those that a system turn said are served from a cache."""
     c = read(spark, sf_dir, "conversations").withColumn("key", S.request_key(F.lit("rate"), F.col("text"), F.lit("stub"), F.lit(0)))
@@ -207,7 +224,7 @@ def eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clean_prompts, codebook_prevalence, english_cues, lexicon_totals, cue_rate_ratios, cue_log_odds, cue_regression, cue_effects, word_counts, top_words, parsed_answers, span_clamp,
-    edit_similarity, content_keys, changed_spans, cue_documents, tfidf_map, tfidf_top3, mapped_prevalence, two_channel_top, vector_groups, vector_labels, similar_vectors, scored_requests,
+    edit_similarity, edit_similarity_items, content_keys, changed_spans, cue_documents, tfidf_map, tfidf_top3, mapped_prevalence, two_channel_top, vector_groups, vector_labels, similar_vectors, similar_label_vectors, first_of_similar_vectors, scored_requests,
     labelling_cascade, eligible_rows,
 )}
 
