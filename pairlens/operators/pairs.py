@@ -69,6 +69,20 @@ def cue_documents(spans: DataFrame, group: str, span: str, order: list[str]) ->
     return spans.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, span))), lambda r: r[span]), " ").alias("cue_doc"))
 
 
+def cue_chunks(spans: DataFrame, group: str, span: str, order: list[str], rows: int = 1024) -> DataFrame:
+    """The text of ``cue_documents`` as chunks of at most ``rows`` spans: group, chunk (0..), n_spans, cue_doc.
+
+    Chunks in order, with blanks between, are the group's text; so no row or task holds a group that grows.
+    """
+    sizes = spans.where(F.col(span).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)  # of groups' counts, which are few
+    starts = sizes.select(F.col(group).alias("_group"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = dense_ids(spans.where(F.col(span).isNotNull()).select(group, *order, span), [group, *order, span], "_id")
+    numbered = numbered.join(starts, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_at", F.col("_id") - F.col("_first"))
+    chunks = numbered.groupBy(group, F.floor(F.col("_at") / rows).cast("long").alias("chunk"))
+    return chunks.agg(F.count(F.lit(1)).alias("n_spans"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(span).alias("_span")))), lambda r: r["_span"]), " ").alias("cue_doc"))
+
+
 def dense_ids(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
     """Number rows 0.. in ``order``: counts of range partitions first, then a place in each."""
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

@@ -132,6 +132,12 @@ def cue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cue_documents(c, "role", "span", ["conv_id", "turn"]).select("role", F.md5("cue_doc").alias("md5"), F.length("cue_doc").cast("long").alias("chars"))
 
 
+def cue_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole turns of each role in order, as chunks of 1,024 turns."""
+    c = P.cue_chunks(read(spark, sf_dir, "conversations"), "role", "text", ["conv_id", "turn"])
+    return c.select("role", "chunk", "n_spans", F.md5("cue_doc").alias("md5"), F.length("cue_doc").cast("long").alias("chars"))
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     b = read(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -224,7 +230,7 @@ def eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clean_prompts, codebook_prevalence, english_cues, lexicon_totals, cue_rate_ratios, cue_log_odds, cue_regression, cue_effects, word_counts, top_words, parsed_answers, span_clamp,
-    edit_similarity, edit_similarity_items, content_keys, changed_spans, cue_documents, tfidf_map, tfidf_top3, mapped_prevalence, two_channel_top, vector_groups, vector_labels, similar_vectors, similar_label_vectors, first_of_similar_vectors, scored_requests,
+    edit_similarity, edit_similarity_items, content_keys, changed_spans, cue_documents, cue_document_chunks, tfidf_map, tfidf_top3, mapped_prevalence, two_channel_top, vector_groups, vector_labels, similar_vectors, similar_label_vectors, first_of_similar_vectors, scored_requests,
     labelling_cascade, eligible_rows,
 )}
 
