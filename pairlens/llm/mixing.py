@@ -54,6 +54,11 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             left[i] -= k
             rest -= k * int(sizes[i])
     if rest > CAPACITY:
+        # Every document left is longer than the rest: the shortest or none is nearest.
+        fit = np.flatnonzero((left > 0) & (sizes > 0))
+        if len(fit):
+            i = fit[sizes[fit].argmin()]
+            take[i] += int(sizes[i]) - rest < rest
         return take
     top = 2 * rest  # a sum above the budget may be nearer than one below
     reach, via, items = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int64), []

@@ -82,3 +82,8 @@ def test_mix(spark):
         assert abs(taken - target) <= max(2, 0.03 * size), (size, target, taken)  # sources of ten documents
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_knapsack_of_documents_longer_than_its_capacity():
+    for sizes, counts, budget, want in (([200_000], [2], 150_000, [1]), ([200_000], [2], 90_000, [0]), ([0, 150_000, 400_000], [3, 1, 1], 80_000, [0, 1, 0])):
+        assert mixing.knapsack(np.array(sizes), np.array(counts), budget).tolist() == want
