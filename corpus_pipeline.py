@@ -13,7 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.llm import langid, mixing, ngram_join, packing, suffix
-from pairlens.llm.common import shared_folder, small_batches, table
+from pairlens.llm.common import materialize, shared_folder, small_batches, table
+from pairlens.operators.pairs import dense_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -21,24 +22,34 @@ TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; ``lang`` becomes the predicted one. Texts without letters (und) go."""
+    """Documents whose text has a letter; ``lang`` becomes the predicted language, ``und`` where no labels are to learn from."""
     small_batches(spark)
     model = langid.train(docs.where(langid.fold(F.col("doc_id")) != 2).select("text", "lang"))
-    found = langid.identify(docs, model, keep=("source", "n_chars")).where("lang_pred <> 'und'")
+    found = langid.identify(docs, model, keep=("source", "n_chars")).where(langid.has_letter(F.col("text")))
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.8: that of smallest doc_id.
 
-    Documents without a doc_id or without words belong to no group and stay; of repeated rows one stays.
+    Documents without a doc_id or without words belong to no group and stay; of repeated rows (doc_id and text) one
+    stays. Different texts of one doc_id are documents of their own, by digest.
     """
     small_batches(spark)
-    groups = ngram_join.jaccard_components(docs, 5, 80, 100)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    named = kept.where("doc_id IS NOT NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL")).select(*COLUMNS)
+    text = F.sha2(F.concat(F.when(F.col("text").isNull(), "n").otherwise("t"), F.coalesce("text", F.lit(""))), 256)
+    named = docs.where("doc_id IS NOT NULL")
+    shared = named.groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("low"), F.max(F.xxhash64(text)).alias("high")).where("low <> high")
+    if shared.limit(1).count():
+        single = named.withColumn("_text", text).dropDuplicates(["doc_id", "_text"])
+        numbered = materialize(dense_ids(single, ["doc_id", "_text"], "_id"))
+        groups = ngram_join.jaccard_components(numbered.select(F.col("_id").alias("doc_id"), "text"), 5, 80, 100)
+        gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_id"))
+        kept = numbered.join(gone, "_id", "left_anti")
+    else:
+        groups = ngram_join.jaccard_components(docs, 5, 80, 100)
+        gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+        kept = named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
