@@ -43,11 +43,28 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", ident.alias("record_id"), url.alias("target_uri"), header.alias("http_header"), html.alias("payload"))
 
 
+def header_fields(header: Column, mime: Column, payload: Column) -> Column:
+    """The lines of an HTTP header as ``source-<name>`` fields, folded lines as one and lines without a name as
+    ``source-header``; not the Content-Type ``mime``, and no Content-Length that is the payload's own."""
+    lines = F.split(F.regexp_replace(header, r"\r\n[ \t]+", " "), "\r\n")
+    lines = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x != "")
+    size = F.octet_length(F.encode(payload, "UTF-8")).cast("string")
+
+    def field(x: Column) -> Column:
+        name = F.when(F.instr(x, ":") > 1, F.lower(F.trim(F.substring_index(x, ":", 1)))).otherwise("header")
+        return F.struct(name.alias("name"), F.when(name == "header", F.trim(x)).otherwise(F.trim(F.regexp_replace(x, r"^[^:]*:", ""))).alias("value"))
+
+    told = lambda f: ((f["name"] == "content-type") & (f["value"] == mime)) | ((f["name"] == "content-length") & (f["value"] == size))
+    fields = F.filter(F.transform(lines, field), lambda f: ~told(f))
+    return F.array_join(F.transform(fields, lambda f: F.concat(F.lit("source-"), f["name"], F.lit(": "), f["value"], F.lit("\r\n"))), "")
+
+
 def derivatives(resp: DataFrame) -> DataFrame:
     """The response, a metadata and a conversion record for each row of ``resp`` (see ``responses``).
 
     Metadata and conversion refer to the response's record id and keep its target URI. The metadata block holds the
-    response's status and content type and the digests of its payload and of the conversion; the conversion block
+    response's status and content type, the digests of its payload and of the conversion, and its other header lines
+    (Content-Length only where it is not the payload's size, which the response record holds); the conversion block
     is the page's plain text. Record ids come from the response's id, so reruns agree and repeated rows repeat.
     Empty pages get empty conversions. One pass, no shuffle. Other columns are ignored.
     Returns page_id, warc_type, record_id, refers_to, target_uri, content_type, block, block_digest,
@@ -59,6 +76,7 @@ def derivatives(resp: DataFrame) -> DataFrame:
     fields = F.concat(
         F.lit("source-status: "), status, F.lit("\r\nsource-content-type: "), mime, F.lit("\r\nsource-payload-digest: "), _digest(F.col("payload")),
         F.lit("\r\nconversion-record-id: "), _uuid(F.lit("conversion"), F.col("record_id")), F.lit("\r\nconversion-block-digest: "), _digest(F.col("text")), F.lit("\r\n"),
+        header_fields(F.col("http_header"), mime, F.col("payload")),
     )
     none = F.lit(None).cast("string")
 

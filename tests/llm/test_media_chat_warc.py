@@ -109,3 +109,11 @@ def test_warc(spark):
         head, body = r.record.split("\r\n\r\n", 1)
         assert body == r.block + "\r\n\r\n" and f"Content-Length: {len(r.block.encode())}" in head
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_keeps_header_lines(spark):
+    header = "HTTP/1.1 301 Moved\r\nContent-Type: text/html\r\nContent-Length: 9\r\nLocation: http://b/\r\nX-Long: one\r\n two\r\nDate:now\r\n\r\n"
+    resp = spark.createDataFrame([(1, "<urn:uuid:1>", "http://a/", header, "<p>x</p>")], "page_id long, record_id string, target_uri string, http_header string, payload string")
+    block = warc.derivatives(resp).where("warc_type = 'metadata'").first().block
+    assert block.endswith("\r\nsource-content-length: 9\r\nsource-location: http://b/\r\nsource-x-long: one two\r\nsource-date: now\r\n")
+    assert block.count("source-content-type") == 1 and "source-status: 301" in block
