@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: Words are maximal runs of other bytes than blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a group that one task numbers, about.
+RANKED = 65_536
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -30,53 +34,86 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary one; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="pairlens-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+_written: list[list[str]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it again.
 
-    It cuts the lineage: what was written survives the loss of any executor.
+    It cuts the lineage: what was written survives the loss of any executor. See ``intermediates`` and ``drop``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/pairlens/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pairlens/{uuid.uuid4().hex}"
+    for paths in _written[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pairlens_path = path
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table that ``materialize`` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._pairlens_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df._pairlens_path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, all tables that operators wrote inside: write their results before it ends."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            remove(spark, path)
 
 
 def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str) -> DataFrame:
     """Number the rows of each group of ``keys`` from 0 without gaps, in an order that hashes of ``by`` fix.
 
-    A group is cut into hash buckets that are counted first; a bucket's numbers begin where the counts of the
-    buckets before it end. So a group that holds a third of all rows is numbered by many tasks.
+    A group of more than ``RANKED`` rows is cut into hash buckets that are counted first; a bucket's numbers begin
+    where the counts of the buckets before it end. So a group that holds a third of all rows is numbered by many
+    tasks, and the numbers are the same whatever the cluster.
     """
-    buckets = max(16, shuffle_partitions(df.sparkSession))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
+
+    def joined(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+        names = {k: f"_k{i}" for i, k in enumerate(on)}
+        same = F.lit(True)
+        for k, name in names.items():
+            same &= F.col(k).eqNullSafe(F.col(name))
+        return rows.join(table.withColumnsRenamed(names), same, "left").drop(*names.values())
+
+    def placed(rows: DataFrame, on: list[str]) -> DataFrame:
+        return rows.withColumn(out, (F.row_number().over(W.partitionBy(*on).orderBy(F.xxhash64(*by), *by)) - 1).cast("long"))
+
+    big = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RANKED).select(*keys, F.ceil(F.col("_n") / RANKED).alias("_buckets")))
+    if not big.limit(1).count():
+        return placed(df, keys)
+    dealt = joined(df, big, keys).withColumn("_bucket", F.coalesce(F.pmod(F.xxhash64(F.lit(1), *by), F.col("_buckets")), F.lit(0)))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    same = F.col("_bucket") == F.col("_k_b")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    place = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*by)) - 1
-    return dealt.withColumn(out, place.cast("long")).join(starts, same).withColumn(out, F.col(out) + F.col("_start")).drop("_bucket", "_start", "_k_b", *[f"_k_{k}" for k in keys])
+    counts = dealt.where("_buckets IS NOT NULL").groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = materialize(counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    ranked = joined(placed(dealt, [*keys, "_bucket"]), starts, [*keys, "_bucket"])
+    return ranked.withColumn(out, F.col(out) + F.coalesce("_start", F.lit(0))).drop("_bucket", "_buckets", "_start")
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

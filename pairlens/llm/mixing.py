@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import WORD, gapless_rank, materialize
 
-#: The knapsack's capacity in words; proportional taking brings every budget below it.
-CAPACITY = 65_536
+#: The knapsack's capacity in words, the words beyond which a document is long, and how many of a size are left to choose from.
+CAPACITY, LONG, SPARE = 65_536, 16_384, 3
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -32,34 +32,69 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return d.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _long(sizes: np.ndarray, counts: np.ndarray, rest: int, short: int) -> np.ndarray:
+    """How many documents of each size to take so that what is then left of ``rest`` is nearest to 0 to ``short`` words.
+
+    A bounded-knapsack dynamic program over sums up to twice ``rest``, of which one is kept for each ``CAPACITY``-th part
+    of ``rest``: sums are exact, and of those that lie closer together than that one stands for all.
+    """
+    part, items, out = -(-rest // CAPACITY), [], np.zeros(len(sizes), np.int64)
+    held, via = np.full(2 * rest // part + 1, -1, np.int64), np.full(2 * rest // part + 1, -1, np.int64)
+    held[0] = 0
+    off = lambda sums: np.maximum(sums - rest, 0) + np.maximum(rest - short - sums, 0)
+    near = int(off(held[:1])[0])
+    for i, (size, many) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
+        k = 1
+        while many > 0 and near >= part:
+            k = min(k, many)
+            sums = held[held >= 0] + k * size
+            sums = sums[sums <= 2 * rest]
+            sums = sums[held[sums // part] < 0]
+            if len(sums):
+                sums = sums[np.unique(sums // part, return_index=True)[1]]
+                held[sums // part], via[sums // part] = sums, len(items)
+                near = min(near, int(off(sums).min()))
+            items.append((i, k))
+            many, k = many - k, 2 * k
+    sums = held[held >= 0]
+    at = int(sums[off(sums).argmin()])
+    while at:
+        i, k = items[via[at // part]]
+        out[i] += k
+        at -= k * int(sizes[i])
+    return out
+
+
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take, none twice, so that their sum comes nearest to ``budget``.
 
-    First each size's proportional part, then the longest that still fit until at most ``CAPACITY`` words are left,
+    First each size's proportional part but for ``SPARE`` documents; then, where more than ``CAPACITY`` words are left, documents of over ``LONG``
+    words by the dynamic program of ``_long`` and the longest of the others, until at most ``CAPACITY`` are left;
     then a bounded-knapsack dynamic program over those words (counts split into powers of two). The sum of
     distinct sizes is at most the source's, so their number is below the square root of twice that sum.
     """
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    take = np.array([max(0, int(c) * budget // total - SPARE) for c in counts], np.int64)
     left, rest = counts - take, budget - int((sizes * take).sum())
     down = np.argsort(-sizes, kind="stable")
+    if rest > CAPACITY:
+        long = [i for i in down if sizes[i] > LONG and left[i]]
+        some = _long(sizes[long], left[long], rest, int((sizes * left)[sizes <= LONG].sum()))
+        take[long] += some
+        left[long] -= some
+        rest -= int((sizes[long] * some).sum())
     for i in down:
         if rest <= CAPACITY:
             break
-        if 0 < sizes[i] <= rest:
-            k = min(int(left[i]), (rest - CAPACITY) // int(sizes[i]) + 1, rest // int(sizes[i]))
+        if 0 < sizes[i] <= LONG:
+            k = min(int(left[i]), (rest - CAPACITY) // int(sizes[i]) + 1)
             take[i] += k
             left[i] -= k
             rest -= k * int(sizes[i])
-    if rest > CAPACITY:
-        # Every document left is longer than the rest: the shortest or none is nearest.
-        fit = np.flatnonzero((left > 0) & (sizes > 0))
-        if len(fit):
-            i = fit[sizes[fit].argmin()]
-            take[i] += int(sizes[i]) - rest < rest
-        return take
+    if rest <= 0 or rest > CAPACITY:
+        return take  # of the sums of long documents the nearest; there is nothing short left
     top = 2 * rest  # a sum above the budget may be nearer than one below
     reach, via, items = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int64), []
     reach[0] = True
@@ -104,7 +139,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     allows; of the rest, ``knapsack`` fixes how many documents of each length are taken once more, and a seeded
     hash of doc_id picks them. Only length counts reach one task, a source's at a time. Null sources are one
     source. Documents without words count as taken with their source's passes, at 0 words. Repeated rows are
-    documents of their own; reruns agree. No documents: no rows. Other columns are ignored.
+    documents of their own; reruns agree on any cluster. No documents: no rows. Other columns are ignored.
     Returns doc_id, source, size long, source_size long, target double, times int, taken long; with ``keep``, these
     columns of ``docs`` and times.
     """

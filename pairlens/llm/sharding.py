@@ -7,10 +7,10 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import gapless_rank, materialize, shuffle_partitions
+from .common import gapless_rank, materialize
 
-#: Bins over all buckets, at least so many for each bucket, and the parts of a shard from which a group is a bin of its own.
-BINS, LEAST_BINS, PARTS = 16_384, 64, 64
+#: Hash buckets, whatever the cluster; bins of a bucket; the parts of a shard from which a group is a bin of its own.
+BUCKETS, BINS, PARTS = 512, 64, 64
 
 
 def _bins(bins: int, large: int):
@@ -35,23 +35,22 @@ def _bins(bins: int, large: int):
     return deal
 
 
-def lpt_shards(groups: DataFrame, shards: int) -> DataFrame:
+def lpt_shards(groups: DataFrame, shards: int, buckets: int = BUCKETS) -> DataFrame:
     """Assign ``groups`` (group_key, group_size) to shards 0 to ``shards`` - 1 with near equal sums of group_size.
 
     Longest-processing-time in two levels, so that no task and not the driver sees all groups: hash buckets deal
-    their sorted groups to bins through a heap, then the bins (at most ``BINS`` or ``LEAST_BINS`` a bucket, and
-    the few groups of over 1/``PARTS`` of a shard) go, largest first, to the least loaded shard through a heap.
-    Group keys are unique and not null. Ties go by bin number: reruns agree. No groups: no rows.
+    their sorted groups to bins through a heap, then the bins (``BINS`` a bucket, and the few groups of over
+    1/``PARTS`` of a shard) go, largest first, to the least loaded shard through a heap. ``buckets`` has to be the
+    same for the same shards; a cluster with more tasks than that wants more. Group keys are unique and not null.
+    Ties go by key, then by bin number: reruns agree on any cluster. No groups: no rows.
     Returns group_key, shard int.
     """
     spark = groups.sparkSession
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    buckets = max(1, min(shuffle_partitions(spark), 4096))
-    bins = max(LEAST_BINS, BINS // buckets)
     dealt = groups.select("group_key", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int").alias("bucket"), "group_size")
-    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("group_size"), "group_key")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", F.desc("group_size"), "group_key")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name != "group_size")
-    dealt = materialize(dealt.mapInArrow(_bins(bins, max(1, total // (shards * PARTS))), f"{kinds}, bin int, group_size long"))
+    dealt = materialize(dealt.mapInArrow(_bins(BINS, max(1, total // (shards * PARTS))), f"{kinds}, bin int, group_size long"))
     # Of bounded number: bins of each bucket, and at most shards * PARTS large groups.
     loads = dealt.groupBy("bucket", "bin").agg(F.sum("group_size").alias("load")).collect()
     heap, rows = [(0, s) for s in range(shards)], []

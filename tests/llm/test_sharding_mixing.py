@@ -1,10 +1,12 @@
+import heapq
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairlens.llm import mixing, sharding
+from pairlens.llm import common, mixing, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +89,49 @@ def test_mix(spark):
 def test_knapsack_of_documents_longer_than_its_capacity():
     for sizes, counts, budget, want in (([200_000], [2], 150_000, [1]), ([200_000], [2], 90_000, [0]), ([0, 150_000, 400_000], [3, 1, 1], 80_000, [0, 1, 0])):
         assert mixing.knapsack(np.array(sizes), np.array(counts), budget).tolist() == want
+
+
+def test_knapsack_of_few_long_documents():
+    """Nearest sums of a few documents, by trying all."""
+    assert mixing.knapsack(np.array([70_000, 200_000]), np.array([1, 1]), 190_000).tolist() == [0, 1]
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        sizes = np.unique(rng.integers(1, 300_000, rng.integers(1, 6)))
+        counts = rng.integers(1, 4, len(sizes))
+        total = int((sizes * counts).sum())
+        budget = int(rng.integers(0, total))
+        take = mixing.knapsack(sizes, counts, budget)
+        best = min(abs(sum(int(s) * c for s, c in zip(sizes, some, strict=True)) - budget) for some in itertools.product(*[range(c + 1) for c in counts]))
+        assert (take >= 0).all() and (take <= counts).all() and abs(int((take * sizes).sum()) - budget) <= best + 0.01 * total
+
+
+def test_same_on_any_cluster(spark, monkeypatch):
+    """Shards, slots and the mix don't depend on the number of shuffle partitions, nor on buckets of ranks."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = []
+    for partitions in ("3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got.append([sorted(map(tuple, d.collect()), key=str) for d in (sharding.shard_documents(docs, 16), mixing.mix(docs))])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
+    monkeypatch.setattr(common, "RANKED", 5)
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(docs, 3).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_against_a_heap_over_all_groups(spark):
+    """Loads come within a share of those of longest processing time over all groups at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = Counter()
+    for r in docs.collect():
+        groups[r.text] += len((r.text or "").encode()) + 1
+    heap = [(0, s) for s in range(16)]
+    for size in sorted(groups.values(), reverse=True):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + size, s))
+    load = Counter()
+    for r in sharding.shard_documents(docs, 16).collect():
+        load[r.shard] += r.size
+    assert max(load.values()) <= 1.02 * max(heap)[0]
