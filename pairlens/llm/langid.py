@@ -96,21 +96,20 @@ def train(labelled: DataFrame, rows: int = 4096, seed: int = 11) -> Model | None
     """A model from labelled texts (text, lang), of which at most ``rows`` are fitted; None if there are none.
 
     Each language has the same number of distinct texts in the sample, or all that it has, however often they are
-    repeated; a hash of the text draws them. Of more than ``rows // 4`` languages, those with most distinct texts are
-    fitted. The sample is bounded whatever the corpus, and the driver gets its n-gram presence (1.5 KB a text), not
-    its texts.
+    repeated; a hash of the text draws them. Every language has one at least, so of more than ``rows`` languages one
+    text each is fitted. The sample is bounded whatever the corpus, and the driver gets its n-gram presence (1.5 KB a
+    text) and one count for each language, not its texts.
     """
+    spark = labelled.sparkSession
     known = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang", F.xxhash64(F.lit(seed), "text").alias("draw"))
-    distinct = known.select("lang", "draw").distinct()
-    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 4).collect()}
+    sizes = known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return None
     each = max(1, rows // len(sizes))
     # Draws are even over 64 bits: below this, a language has its part and some more, of which the lowest are taken.
-    most = F.lit(None).cast("long")
-    for lang, n in sizes.items():
-        most = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (1.25 * each + 40) / n))))).otherwise(most)
-    sample = known.where(F.col("draw") <= most).groupBy("draw", "lang").agg(F.first("text").alias("text"))
+    most = [(r.lang, min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (1.25 * each + 40) / r.n)))) for r in sizes]
+    drawn = known.join(F.broadcast(spark.createDataFrame(most, "lang string, most long")), "lang").where("draw <= most")
+    sample = drawn.groupBy("draw", "lang").agg(F.first("text").alias("text"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
     sample = materialize(sample.withColumn("place", place).where(F.col("place") <= each))
     drawn = sample.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").collect()

@@ -65,3 +65,26 @@ def test_links_against_brute_force(spark, monkeypatch):
 
 def test_empty_embeddings(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_no_language_is_lost(spark, monkeypatch):
+    """Few texts in many copies, and more languages than rows that are fitted."""
+    docs = spark.range(20_000).select(F.concat(F.lit("the house "), "id").alias("text"), F.lit("en").alias("lang")).unionByName(spark.range(20_000).select(F.concat(F.lit("das Haus "), F.col("id") % 5).alias("text"), F.lit("de").alias("lang")))
+    assert langid.train(docs).languages == ["de", "en"]
+    many = spark.range(300).select(F.concat(F.lit("word"), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 100).alias("lang"))
+    assert len(langid.train(many, rows=40).languages) == 100
+
+
+def test_scores_against_kernels_of_sets():
+    """Kernels by sets of slots of n-grams, one pair of texts at a time, give the scores of the matrix products."""
+    texts = ["the house and the tree", "a tree in the house", "das Haus und der Baum", "ein Baum im Haus", "la maison et un arbre", "un arbre, une maison"]
+    langs = ["en", "en", "de", "de", "fr", "fr"]
+    model = langid.fit(langid.presences(texts), langs)
+    slots = lambda t: set(np.flatnonzero(langid.presences([t])[0]).tolist())
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = [set(np.flatnonzero(m).tolist()) for m in model.landmarks]
+    asked = ["the trees", "der Baum", "arbres", "x"]
+    k = np.array([[kernel(slots(t), m) for m in marks] for t in asked])
+    s = np.clip((k @ model.weights + 1) / 2, 1e-3, None) ** 4
+    assert np.allclose(model.scores(langid.presences(asked)), s / s.sum(axis=1, keepdims=True), atol=1e-4)
+    assert [model.languages[i] for i in s.argmax(axis=1)[:3]] == ["en", "de", "fr"]
