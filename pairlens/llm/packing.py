@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 import sys
 import zlib
@@ -24,14 +25,15 @@ _PLAIN = re.compile("[\x00-\u024f\u2010-\u2027]*")
 class Encoder:
     """Ids of texts by a byte-level tokenizer file of `tokenizers`, as little-endian 32-bit bytes.
 
-    ``ranks`` is the same vocabulary as a `tiktoken` file and ``pattern`` what it cuts texts by: the same ids, in a third
-    of the time. It is used for texts of ``_PLAIN`` characters without a special token's string or a part of over
-    ``LONG`` bytes; the others are coded by `tokenizers`.
+    With ``ranks``, the same vocabulary as a `tiktoken` file, and ``pattern``, what it cuts texts by, the ids are the same
+    in a third of the time: texts of ``_PLAIN`` characters without a special token's string or a part of over ``LONG``
+    bytes are coded by these, the others by `tokenizers`. Without them, all are.
     """
 
     LONG = re.compile(r"[^\s]{2000}|\s{2000}")
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.fast = Tokenizer.from_file(path), None
@@ -43,14 +45,16 @@ class Encoder:
                 known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.fast = tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=known, special_tokens={}).encode_ordinary
 
-    def __call__(self, text: str) -> bytes:
-        if self.fast and _PLAIN.fullmatch(text) and not any(s in text for s in self.special) and not self.LONG.search(text):
-            ids = array("I", self.fast(text))
-        else:
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        plain = [self.fast is not None and _PLAIN.fullmatch(t) and not any(s in t for s in self.special) and not self.LONG.search(t) for t in texts]
+        coded = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        out = []
+        for text, ranked in zip(texts, plain, strict=True):
+            ids = array("I", self.fast(text) if ranked else next(coded).ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -67,10 +71,10 @@ def _pieces(files: tuple, window: int, end: int):
     def cut(batches):
         encode = encoder(*files)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part, out = batch.slice(low, 512), []
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    ids = encode(text or "") + end.to_bytes(4, "little")
+            for low in range(0, batch.num_rows, 64):
+                part, out = batch.slice(low, 64), []
+                for doc, ids in zip(part["doc_id"].to_pylist(), encode([t or "" for t in part["text"].to_pylist()]), strict=True):
+                    ids += end.to_bytes(4, "little")
                     n = len(ids) // 4
                     out += [(doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -151,8 +155,8 @@ def _pack(window: int):
 def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of at most ``window`` tokens by best-fit decreasing.
 
-    A document is its text's ids by the tokenizer file ``tokenizer`` (``ranks`` and ``pattern``: see ``Encoder``), then ``end``; a null text is empty, so its one
-    token is ``end``. What exceeds a window is first cut into full windows, which are sequences of their own. The
+    A document is its text's ids by the tokenizer file ``tokenizer`` (``ranks`` and ``pattern``: see ``Encoder``), then
+    ``end``; a null text is empty, so its one token is ``end``. What exceeds a window is first cut into full windows, which are sequences of their own. The
     rest are dealt by hash to buckets of about ``BUCKET`` pieces, and each bucket is packed alone, so no task sees
     all. Ties go by doc_id; repeated rows are documents of their own. Reruns agree. Other columns are ignored.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, all long; a sequence_id is its

@@ -117,3 +117,18 @@ def test_warc_keeps_header_lines(spark):
     block = warc.derivatives(resp).where("warc_type = 'metadata'").first().block
     assert block.endswith("\r\nsource-content-length: 9\r\nsource-location: http://b/\r\nsource-x-long: one two\r\nsource-date: now\r\n")
     assert block.count("source-content-type") == 1 and "source-status: 301" in block
+
+
+def test_warc_dates_references_and_repeated_pages(spark):
+    page = "<p>a &lt;b&gt; &eacute;&#233;&#xE9;&#x1F600; &amp;amp; &nosuch; &; &#xD800; AT&T &copy;</p>"
+    pages = spark.createDataFrame([(1, "http://a/", page)] * 3 + [(2, "http://a/", page)], "page_id long, url string, html string")
+    rows = warc.derivatives(warc.responses(pages, "2026-01-02T03:04:05Z")).collect()
+    assert len({r.record_id for r in rows}) == 12
+    ids = {r.record_id for r in rows if r.warc_type == "response"}
+    assert all(r.refers_to in ids for r in rows if r.warc_type != "response")
+    assert {r.block for r in rows if r.warc_type == "conversion"} == {"a <b> éé\u00e9\U0001f600 &amp; &nosuch; &; &#xD800; AT&T ©"}
+    for r in rows:
+        head = dict(x.split(": ", 1) for x in r.record.split("\r\n\r\n", 1)[0].split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(head) and head["WARC-Date"] == "2026-01-02T03:04:05Z"
+    first = sorted(map(tuple, rows))
+    assert first == sorted(map(tuple, warc.derivatives(warc.responses(pages, "2026-01-02T03:04:05Z")).collect()))
