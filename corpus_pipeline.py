@@ -13,12 +13,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.llm import langid, mixing, ngram_join, packing, suffix
-from pairlens.llm.common import materialize, shared_folder, small_batches, table
+from pairlens.llm.common import intermediates, materialize, remove, shared_folder, small_batches, table
 from pairlens.operators.pairs import dense_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
-TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeated passages of 200 bytes cover; those of which nothing is left go."""
+    """Documents without the bytes that repeated passages of 200 bytes cover; those of which nothing is left go.
+
+    Null, empty and shorter texts stay as they are, and so does a document of which no byte goes. Of repeated rows, whose
+    texts repeat each other, nothing is left. Ties don't matter: each row is judged alone. An empty table stays empty.
+    """
     small_batches(spark)
     cut = suffix.remove_repeats(docs, 200, keep=("lang", "source", "n_chars"))
     left = cut.where("n_removed = 0 OR length(trim(kept)) > 0")
@@ -61,26 +65,38 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: sources weigh 5, 2, 1 in turn and share 150% of all words."""
+    """Each document as often as the mix takes it: sources weigh 5, 2, 1 in turn and share 150% of all words.
+
+    Null, empty and blank texts have no words and come as often as their source is taken whole; a null source is one.
+    Of documents of equal length a hash of doc_id decides, of repeated rows each is a document of its own. A text of any
+    length is whole or not in the mix. An empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     taken = mixing.mix(docs, keep=COLUMNS)
     return taken.where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row for each piece of a document."""
+    """Sequences of at most 2048 tokens: a row for each piece of a document.
+
+    A null or empty text is its end token alone; long texts are cut into full windows first. Ties go by doc_id; repeated
+    rows are documents of their own. An empty table has no pieces.
+    """
     small_batches(spark)
-    return packing.pack_documents(docs, *TOKENIZER)
+    return packing.pack_documents(docs, TOKENIZER)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of ``sf_dir``; each but the last is a table in the shared folder."""
+    """Apply the stages to the documents of ``sf_dir``; each but the last is a table in the shared folder until it is read."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if i:
+            remove(spark, f"{folder}/{STAGES[i - 1][0]}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

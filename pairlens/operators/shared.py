@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset, a local session gets a temporary one; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="pairlens-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
