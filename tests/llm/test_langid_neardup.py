@@ -88,3 +88,18 @@ def test_scores_against_kernels_of_sets():
     s = np.clip((k @ model.weights + 1) / 2, 1e-3, None) ** 4
     assert np.allclose(model.scores(langid.presences(asked)), s / s.sum(axis=1, keepdims=True), atol=1e-4)
     assert [model.languages[i] for i in s.argmax(axis=1)[:3]] == ["en", "de", "fr"]
+
+
+def test_visits_are_few(spark):
+    """Of many cells a vector is sent to a part, though each link is found."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    x = np.round(base[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 8)) * 0.25, 3)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert [r.n_links for r in neardup.near_duplicates(docs, 0.95).orderBy("vec_id").collect()] == want.tolist()
+    unique = docs.withColumn("copies", F.lit(1).cast("long"))
+    centres = neardup.spherical_kmeans(unique, 46)
+    sent = unique.mapInArrow(neardup._assigned(spark.sparkContext.broadcast(centres), 0.95), "vec_id long, copies long, embedding array<double>, cell long, own long, also array<int>")
+    assert sent.count() < 3000 * 46 / 4
