@@ -9,11 +9,12 @@
    more than ``HOT`` bytes, their windows are halved by that side, and anchors grow by these bytes. What they are then is
    counted again: those that occur once are settled, those still hot are halved again, to whole windows at last. So no
    group is larger than ``HOT``.
-3. A task sorts the suffixes of its segments by difference cover. Suffixes at places 1 and 2 modulo 3, counted from the
-   anchor, are the sample: they are named by 8 bytes, then by triples of names, level on level, each nearly three times
-   as deep. The remaining suffixes sort by their own byte and the names of the sampled suffixes after it. Neighbours
-   in these orders are compared: a window is repeated where prefixes of ``length`` bytes are equal. Equal windows lie
-   alike from their anchors, so they are in one class, and classes need no merging to be compared.
+3. A task builds the suffix array of its segments by difference cover: suffixes at places 1 and 2 modulo 3 are the
+   sample; their triples are sorted and named, and where names repeat, the string of names is sorted the same way. The
+   remaining suffixes sort by their own character and the name of the suffix after it, and are merged with the sample.
+   Then neighbours among the suffixes that begin a window are compared: where their first ``length`` bytes are equal, the
+   windows are repeated.
+Of a periodic stretch only its first windows are sorted: the others repeat them.
 """
 
 from __future__ import annotations
@@ -61,6 +62,26 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(found, axis=1))
 
 
+def collapsed(data: np.ndarray, length: int, value, place, first, last) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs of ``anchors`` to sort, and stretches (starts and ends) of windows that are repeated as they lie.
+
+    Runs with one anchor hash at equal steps come from periodic text. If the bytes do have that period, the windows of
+    the second and third run are those of all that follow but the last: these are settled.
+    """
+    keep, settled = np.ones(len(value), bool), []
+    step = np.diff(place)
+    more = (value[1:] == value[:-1]) & (step > 0)
+    more[1:] &= more[:-1] & (step[1:] == step[:-1]) | ~more[:-1]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], more, [False]]).astype(np.int8)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if b - a >= 4:
+            d, low, high = int(step[a]), int(first[a + 1]), int(last[b - 1]) + length
+            if (step[a:b] == d).all() and (data[low + d : high] == data[low : high - d]).all():
+                keep[a + 3 : b] = False
+                settled.append((int(first[a + 3]), high))
+    return keep, np.array(settled, np.int64).reshape(-1, 2)
+
+
 def _data(text: str | None) -> tuple[bytes, np.ndarray]:
     b = (text or "").encode("utf-8", "replace")
     return b, np.frombuffer(b, np.uint8)
@@ -74,8 +95,10 @@ def _values(length: int):
     def read(batches):
         for part in _parts(batches):
             data = [_data(t) for t in part["text"].to_pylist()]
+            found = [anchors(a, length) for _, a in data]
+            found = [f[0][collapsed(a, length, *f)[0]] for (_, a), f in zip(data, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array([_key(b) for b, _ in data], pa.binary()), pa.array([anchors(a, length)[0] for _, a in data], pa.list_(pa.int64()))],
+                [part["doc_id"], pa.array([_key(b) for b, _ in data], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
                 ["doc_id", "class", "anchors"],
             )
 
@@ -94,7 +117,9 @@ def _segments(length: int):
                 if _key(b) != want:
                     continue
                 value, place, first, last = anchors(a, length)
-                for k in np.flatnonzero(np.isin(value, np.array(values, np.int64))).tolist():
+                keep, settled = collapsed(a, length, value, place, first, last)
+                rows += [(want, None, None, low, None, high - low, None) for low, high in settled.tolist()]
+                for k in np.flatnonzero(keep & np.isin(value, np.array(values, np.int64))).tolist():
                     low, high = int(first[k]), int(last[k]) + length
                     segment, at = b[low:high], int(place[k]) - low
                     same = hashlib.blake2b(segment, digest_size=16, salt=at.to_bytes(4, "little")).digest()
@@ -108,71 +133,92 @@ def _segments(length: int):
     return cut
 
 
-def names(columns) -> np.ndarray:
-    """Ranks of rows of ``columns`` (non-negative integers, the first weighing most); equal rows have equal ranks."""
-    keys, bits = [], 64
-    for c in columns:
-        need = max(1, int(c.max()).bit_length()) if len(c) else 1
-        if keys and bits + need <= 64:
-            keys[-1] <<= np.uint64(need)
-            keys[-1] |= c.astype(np.uint64)
-            bits += need
-        else:
-            keys.append(c.astype(np.uint64))
-            bits = need
-    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    out = np.empty(len(order), np.int32)
-    out[order] = np.cumsum(new, dtype=np.int32)
+def _named(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of ``columns`` (non-negative integers, the first weighing most), and each row's name: its rank
+    among the different rows, from 1."""
+    bits = [max(1, int(c.max()).bit_length()) for c in columns]
+    if sum(bits) <= 63:
+        key = columns[0].astype(np.int64)
+        for c, n in zip(columns[1:], bits[1:], strict=True):
+            key = key << n | c
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(len(order) - 1, bool)
+        for c in columns:
+            c = c[order]
+            new |= c[1:] != c[:-1]
+    name = np.empty(len(order), np.int64)
+    name[order] = np.concatenate([[1], 1 + np.cumsum(new)])
+    return order, name
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes of ``s`` (integers above 0) in their order, by the difference cover {1, 2} modulo 3."""
+    n = len(s)
+    if n < 3:
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
+    wide = np.zeros(n + 4, np.int64)
+    wide[:n] = s
+    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    sample = np.concatenate([ones, twos])
+    order, name = _named([wide[sample], wide[sample + 1], wide[sample + 2]])
+    if name[order[-1]] < len(sample):  # names repeat: their string's suffixes are those of the sample
+        order = suffix_array(name)
+        name[order] = np.arange(1, len(sample) + 1)
+    rank = np.zeros(n + 4, np.int64)
+    rank[sample] = name
+    sample = sample[order]
+    sample = sample[sample < n]
+    rest = np.arange(0, n, 3)
+    rest = rest[_named([wide[rest], rank[rest + 1]])[0]]
+    # A remaining suffix comes after all suffixes of either part of the sample that are less: character and name decide.
+    base = np.int64(len(name) + 2)
+    first = wide[rest] * base + rank[rest + 1]
+    one, two = sample[sample % 3 == 1], sample[sample % 3 == 2]
+    less = np.searchsorted(wide[one] * base + rank[one + 1], first)
+    top = np.int64(wide.max() + 1)
+    if int(top) ** 2 * int(base) < 2**63:
+        less += np.searchsorted((wide[two] * top + wide[two + 1]) * base + rank[two + 2], (wide[rest] * top + wide[rest + 1]) * base + rank[rest + 2])
+    else:
+        _, both = _named([np.concatenate([wide[two], wide[rest]]), np.concatenate([wide[two + 1], wide[rest + 1]]), np.concatenate([rank[two + 2], rank[rest + 2]])])
+        less += np.searchsorted(both[: len(two)], both[len(two) :])
+    out = np.empty(n, np.int64)
+    at = less + np.arange(len(rest))
+    out[at] = rest
+    taken = np.zeros(n, bool)
+    taken[at] = True
+    out[~taken] = sample
     return out
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows of ``length`` (over 16) bytes at ``starts`` equal another one of ``starts``.
-
-    The suffixes are ordered to that depth by the difference cover {1, 2} modulo 3; equal windows have to lie alike
-    modulo 3. Returns a boolean for each start.
-    """
-    n = len(data)
-    wide = np.concatenate([data, np.zeros(3 * length + 64, np.uint8)])
-    sample = np.arange(n, dtype=np.int32)
-    sample = sample[sample % 3 > 0]
-    word = np.zeros(len(sample), np.uint64)
+    """Which of the windows of ``length`` bytes at ``starts`` equal another one of ``starts``: a boolean for each."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.full(len(data), -1, np.int64)
+    at[starts] = np.arange(len(starts))
+    order = at[suffix_array(data.astype(np.int64) + 1)]
+    order = order[order >= 0]
+    sorted_starts = np.asarray(starts, np.int64)[order]
+    # Eight bytes at a time, of those neighbours that were equal so far.
+    same, pair = np.zeros(len(order) + 1, bool), np.arange(1, len(order))
+    word = np.zeros(len(data), np.uint64)
     for k in range(8):
-        word <<= np.uint64(8)
-        word |= wide[sample + k]
-    name = np.zeros(n + 3 * length + 64, np.int32)
-    name[sample] = names([word])
-    del word
-    depth = 8
-    while True:
-        step = depth - depth % 3  # so that places of names stay in the sample
-        if 2 * step + depth > length - 1:
-            break
-        name[sample] = names(name[sample + k * step] for k in range(3))
-        depth += 2 * step
-    # Names at steps of `depth` or less, then single bytes, reach `length` exactly.
+        word = word << np.uint64(8) | wide[k : k + len(data)]
+    for k in [*range(0, length - 8, 8), length - 8]:
+        pair = pair[word[sorted_starts[pair] + k] == word[sorted_starts[pair - 1] + k]]
+    same[pair] = True
     out = np.zeros(len(starts), bool)
-    for own in range(3):
-        at = np.flatnonzero(starts % 3 == own)
-        p = starts[at]
-        first = int(own == 0)
-        final = first + (length - depth - first) // 3 * 3
-        places = [*range(first, final, depth - depth % 3), final]
-        if len(at) > 1:
-            tail = range(final + depth, length)
-            rank = names(x[p + k] for x, k in [*[(wide, 0)] * first, *[(name, k) for k in places], *[(wide, k) for k in tail]])
-            out[at] = np.bincount(rank)[rank] > 1
+    out[order] = same[:-1] | same[1:]
     return out
 
 
 def _sort(length: int):
     def sort(batches):
         for t in _grouped(batches, ["anchor"]):
-            group, size, place, many = (t[c].to_numpy() for c in ("anchor", "size", "place", "many"))
+            group, size, many = (t[c].to_numpy() for c in ("anchor", "size", "many"))
             held = t["bytes"].to_pylist()
             edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
             low, total, rows = 0, np.concatenate([[0], np.cumsum(size)]), []
@@ -180,16 +226,11 @@ def _sort(length: int):
                 # Whole groups of about BATCH bytes, one group at least; one has HOT bytes at most.
                 k = np.searchsorted(edges, low, "right")
                 high = max(edges[k], edges[np.searchsorted(total[edges], total[low] + BATCH, "right") - 1])
-                offsets, at, chunks = [], 0, []
-                for i in range(low, high):
-                    pad = -(at + place[i]) % 3  # anchors lie at places that 3 divides
-                    chunks.append(b"\0" * pad + held[i])
-                    offsets.append(at + pad)
-                    at += pad + int(size[i])
+                offsets, chunks = total[low:high] - total[low], held[low:high]
                 windows = size[low:high] - length + 1
                 which = np.repeat(np.arange(high - low), windows)
                 within = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-                starts = (np.array(offsets, np.int64)[which] + within).astype(np.int32)
+                starts = offsets[which] + within
                 hit = repeated_windows(np.frombuffer(b"".join(chunks), np.uint8), starts, length) | (many[low:high] > 1)[which]
                 edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (which[1:] != which[:-1])]))
                 stop = np.flatnonzero(hit & np.concatenate([~hit[1:] | (which[1:] != which[:-1]), [True]]))
@@ -330,7 +371,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     # One document of each class is cut; where its row is repeated, its class goes whole anyway.
     cut = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("of", "text", "repeated")
     cut = materialize(cut.mapInArrow(_segments(length), "of binary, anchor long, same binary, low long, place int, size int, bytes binary"))
-    rows = cut.withColumn("many", F.lit(1).cast("long"))
+    rows = cut.where("anchor IS NOT NULL").withColumn("many", F.lit(1).cast("long"))
     hot = materialize(_volumes(rows, "anchor", "same").where(F.col("volume") > max(HOT, length)).select("anchor"))
     if hot.limit(1).count():
         side = _sides(hot)
@@ -339,6 +380,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
         spans = _sorted(rows, length)
     hits = cut.select("of", "anchor", "same", "low").join(spans, ["anchor", "same"])
     hits = hits.select("of", F.transform("spans", lambda x: (x + F.col("low")).cast("int")).alias("spans"))
+    hits = hits.unionByName(cut.where("anchor IS NULL").select("of", F.array(F.col("low").cast("int"), (F.col("low") + F.col("size")).cast("int")).alias("spans")))
     return classes, hits.groupBy("of").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 

@@ -86,3 +86,25 @@ def test_anchors_cover_all_windows():
     _, place, first, last = suffix.anchors(data, 200)
     assert first[0] == 0 and last[-1] == 4800 and (first[1:] == last[:-1] + 1).all()
     assert (place >= last).all() and (place + suffix.GRAM <= first + 200).all()
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        s = rng.integers(1, rng.integers(2, 6), rng.integers(0, 60))
+        assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_periodic_texts(spark):
+    """Long periodic texts: few windows are sorted, alone, beside others of their period, and inside other text."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
+    word = text(100)
+    texts = ["a" * 3000, "xyz" * 700, text(300) + "xyz" * 100 + text(300), word * 30, text(50) + word * 4 + text(90), "-" * 150 + text(200), ("q" * 70 + "r") * 40, text(400)]
+    check(spark, texts)
+    data = np.frombuffer(b"abcdefg" * 150_000, np.uint8)
+    keep, settled = suffix.collapsed(data, 200, *suffix.anchors(data, 200))
+    assert keep.sum() < 20 and (settled[:, 1] - settled[:, 0]).sum() > 1_000_000
+    docs = spark.createDataFrame([(1, "a" * 1_000_000), (2, "ab" * 500_000 + text(500)), (3, "ba" * 150)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes - r.n_removed, r.n_spans) for r in suffix.remove_repeats(docs).collect()}
+    assert got == {1: (0, 1), 2: (len(docs.where("doc_id = 2").first().text.encode()) - 1_000_000, 1), 3: (0, 1)}
