@@ -1,30 +1,32 @@
 """N-gram Jaccard self-join with prefixes and prefix trees.
 
 1. A table of fixed size counts, over all documents, how many sets hold a shingle of each slot. Shingles are ordered
-   by that count, then by hash: one global order for the whole corpus, with frequent shingles last.
-2. Texts of equal words are one class. Of each class's set only the rarest shingles are needed to find partners: two
-   sets that link share one of them. Classes that share one, are of fitting size, and whose parity sketches
-   differ by no more bits than linked sets differ in shingles, are candidates (longer sets have longer sketches). No
-   linked pair is lost here.
+   by that count, then by hash: one global order for the whole corpus.
+2. Texts of equal words are one class. A long set is cut by hash range into parts of bounded size: if two sets link, so
+   do their parts in one range at least. Of a part only the rarest shingles are needed to find partners. Parts that
+   share one, are of fitting size, and whose parity sketches differ by no more bits than linked parts differ in
+   shingles, are candidates. No linked pair is lost here.
 3. The sets of each group of candidates are joined by a trie: sorted by global order with frequent shingles first,
    sets share their beginnings; a traversal counts the overlap of shared beginnings once, and leaves out subtrees
    that sizes or the remaining lengths rule out, and those that are in the probe's component already.
-Large groups are cut into blocks and each pair of blocks is a task's group, so no group is capped or sampled.
+A group too large for a task is joined in blocks first, then one representative of each component that was found is
+joined with the others, until none are left to join; only then are the smaller components compared with all blocks. So
+a group of copies costs little more than its sets, and none is capped or sampled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import connected_components, materialize, spanning
 from .wordhash import shingles, words
 
-#: Slots of the count table, bits of a set's sketch, rows of a block of candidates, shingles of a block of sets, and rows
+#: Slots of the count table, bits of a part's sketch, rows of a block of candidates, shingles of a block of sets, and rows
 #: up to which ids are broadcast.
 SLOTS, BITS, BLOCK, VOLUME, SMALL = 1 << 20, 1024, 4096, 400_000, 1_000_000
 _CHUNK = 1 << 14
@@ -86,53 +88,20 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")]
 
 
-def _sketch(s: np.ndarray, num: int, den: int) -> bytes:
-    """Parities of how many shingles fall on each bit: BITS bits, doubled until unlinked sets differ in enough of them."""
-    level = max(0, int(np.ceil(np.log2(max(1, 5 * len(s) * (den - num) / den / BITS)))))
-    bits = BITS << level
-    return np.packbits(np.bincount((s >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
-
-
-class _Sketches:
-    """Sketches of rows; two are compared with as many bits as the shorter has, to which the longer is folded."""
-
-    def __init__(self, sketches: list[bytes]):
-        self.level = np.array([len(s) * 8 // BITS for s in sketches]).astype(np.float64)
-        self.level = np.log2(self.level).astype(np.int64)
-        self.bits, self.place = {}, {}
-        for k in np.unique(self.level).tolist():
-            own = np.flatnonzero(self.level == k)
-            self._add(k, own, np.frombuffer(b"".join([sketches[i] for i in own]), np.uint64).reshape(len(own), -1))
-
-    def _add(self, k: int, rows: np.ndarray, bits: np.ndarray) -> None:
-        """Keep rows at level k and, folded, at the level below."""
-        for level in (k, k - 1):
-            if level >= 0:
-                if level < k:
-                    halves = np.unpackbits(bits.view(np.uint8), axis=1).reshape(len(rows), -1, 2)
-                    bits = np.packbits(halves[:, :, 0] ^ halves[:, :, 1], axis=1).view(np.uint64)
-                place = self.place.setdefault(level, np.full(len(self.level), -1))
-                place[rows] = sum(map(len, self.bits.get(level, [])))
-                place[rows] += np.arange(len(rows))
-                self.bits.setdefault(level, []).append(bits)
-
-    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """In how many bits rows i and j differ; 0 where their levels are more than one apart."""
-        out, low = np.zeros(len(i), np.int64), np.minimum(self.level[i], self.level[j])
-        near = np.abs(self.level[i] - self.level[j]) < 2
-        for k in np.unique(low).tolist():
-            if len(self.bits[k]) > 1:
-                self.bits[k] = [np.concatenate(self.bits[k])]
-            at = np.flatnonzero((low == k) & near)
-            b, place = self.bits[k][0], self.place[k]
-            for c in range(0, len(at), 1 << 16):
-                x = at[c : c + (1 << 16)]
-                out[x] = np.bitwise_count(b[place[i[x]]] ^ b[place[j[x]]]).sum(axis=1)
-        return out
-
-
-def _classes(n: int, num: int, den: int, counts):
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+def _levels(m: int, num: int, den: int) -> list[int]:
+    """How often a set of ``m`` shingles is halved by hash range: so that sketches tell unlinked parts apart. Sets that
+    link have one level in common, that of the smaller: one near the limit has two."""
+    level = lambda n: max(0, int(np.ceil(np.log2(max(1, 5 * n * (den - num) / den / BITS)))))
+    return list(range(level(-(-num * m // den)), level(m) + 1))
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of BITS bits."""
+    return np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _prefixes(n: int, num: int, den: int, counts):
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
 
     def read(batches):
         table = counts.value
@@ -140,11 +109,16 @@ def _classes(n: int, num: int, den: int, counts):
             rows = []
             for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 w = _words(text)
-                s = shingles(w, n)
-                m = len(s)
-                first = _ordered(s, table)[: m - -(-num * m // den) + 1] if m else s
-                rows.append((doc, _class(w), m, _sketch(s, num, den), first.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "class", "n", "sketch", "first"])
+                s = shingles(w, n)  # ascending, so that a range of hashes is a slice
+                same = _class(w)
+                for level in _levels(len(s), num, den) if len(s) else ():
+                    edges = np.searchsorted(s, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)) if level else []
+                    for k, sub in enumerate(np.split(s, edges)):
+                        m = len(sub)
+                        if m:
+                            rows.append((doc, same, len(s), level, k, m, _sketch(sub), _ordered(sub, table)[: m - -(-num * m // den) + 1].view(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "class", "n", "level", "part", "m", "sketch", "first"])
 
     return read
 
@@ -175,31 +149,44 @@ def _candidates(num: int, den: int):
 
     def find(batches):
         for t in _grouped(batches, ["shingle", "tile"]):
-            ids, n = t["id"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            group = t["shingle"].to_numpy() * np.int64(31) + t["tile"].to_numpy() * np.int64(0x9E3779B97F4A7C1)
-            bits = _Sketches(t["sketch"].to_pylist())
-            a, b = [], []
+            ids, n, m = t["id"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["m"].to_numpy().astype(np.int64)
+            shingle, tile = t["shingle"].to_numpy(), t["tile"].to_numpy()
+            bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            first = np.concatenate([[0], np.flatnonzero((shingle[1:] != shingle[:-1]) | (tile[1:] != tile[:-1])) + 1])
+            group = np.repeat(np.arange(len(first)), np.diff([*first, len(ids)]))
+
+            def fitting(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (den * np.minimum(m[i], m[j]) >= num * np.maximum(m[i], m[j]))
+                at = np.flatnonzero(ok)
+                both = m[i[at]] + m[j[at]]
+                ok[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1) <= both - 2 * -(-num * both // (num + den))
+                return ok
+
+            # Those that fit with the first of their group need no comparison among themselves.
+            lead = first[group]
+            label = np.arange(len(ids))
+            joins = np.flatnonzero(lead < label)
+            joins = joins[fitting(lead[joins], joins)]
+            label[joins] = lead[joins]
+            a, b = [ids[lead[joins]]], [ids[joins]]
             alive = np.arange(len(ids) - 1)
             d, pending = 1, 0
             while len(alive):
                 alive = alive[alive + d < len(ids)]
                 alive = alive[group[alive] == group[alive + d]]
-                i, j = alive, alive + d
-                small, large, both = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), n[i] + n[j]
-                fit = den * small >= num * large
-                i, j, both = i[fit], j[fit], both[fit]
-                fit = bits.differ(i, j) <= both - 2 * -(-num * both // (num + den))
-                a.append(ids[i[fit]])
-                b.append(ids[j[fit]])
-                pending += int(fit.sum())
+                i = alive[label[alive] != label[alive + d]]
+                i = i[fitting(i, i + d)]
+                a.append(ids[i])
+                b.append(ids[i + d])
+                pending += len(i)
                 if pending > 1_000_000:
                     a, b = ([x] for x in spanning(np.concatenate(a), np.concatenate(b)))
                     pending = 0
                 d += 1
-            if a:
-                a, b = spanning(np.concatenate(a), np.concatenate(b))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = np.concatenate(a), np.concatenate(b)
+            a, b = spanning(a[a != b], b[a != b])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return find
 
@@ -207,12 +194,15 @@ def _candidates(num: int, den: int):
 class Trie:
     """Sets of numbers as paths from a root, each sorted with the number that most sets hold first.
 
+    ``held`` tells how many sets of the corpus hold the numbers that are asked for; without it, these sets are counted.
     A node stands for the numbers from ``depth`` to ``end`` of its sets ``low`` to ``high`` (in sorted order).
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], held: Callable[[np.ndarray], np.ndarray] | None = None):
         flat = np.concatenate(sets)
-        _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        numbers, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        if held:
+            counts = held(numbers).astype(np.int64)
         rank = np.empty(len(counts), np.int32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
         cuts = np.cumsum([len(s) for s in sets])[:-1]
@@ -279,11 +269,12 @@ class Trie:
         return found
 
 
-def trie_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of ``sets`` (no one empty) that link: enough to connect whatever links connect."""
-    trie = Trie(sets)
+def trie_links(sets: list[np.ndarray], num: int, den: int, held: Callable | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of ``sets`` (no one empty) that link: enough to connect whatever links connect. Those that ``known`` gives
+    one label are connected already."""
+    trie = Trie(sets, held)
     m = len(sets)
-    label, links = np.arange(m), []
+    label, links = np.arange(m) if known is None else np.unique(known[trie.order], return_inverse=True)[1], []
 
     def join(i: int, j: int) -> None:
         links.append((trie.order[i], trie.order[j]))
@@ -291,7 +282,7 @@ def trie_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, in
 
     for i, shared in enumerate(trie.shared):
         size = len(trie.paths[i]) + len(trie.paths[i + 1])
-        if (num + den) * min(len(trie.paths[i]), len(trie.paths[i + 1])) >= num * size:
+        if label[i] != label[i + 1] and (num + den) * min(len(trie.paths[i]), len(trie.paths[i + 1])) >= num * size:
             overlap = shared + len(np.intersect1d(trie.paths[i][shared:], trie.paths[i + 1][shared:], assume_unique=True))
             if (num + den) * overlap >= num * size:
                 join(i, i + 1)
@@ -308,17 +299,19 @@ def _sets(n: int):
     def read(batches):
         for part in _parts(batches):
             found = [_words(t) for t in part["text"].to_pylist()]
-            same = pa.array([_class(w) for w in found], pa.binary())
+            own = pa.array([_class(w) == c for w, c in zip(found, part["of"].to_pylist(), strict=True)], pa.bool_())
             sets = pa.array([shingles(w, n).view(np.int64) for w in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part["id"], part["of"], same, part["component"], part["size"], sets], ["id", "of", "class", "component", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([part["id"], part["component"], part["label"], part["tiles"], sets], ["id", "component", "label", "tiles", "shingles"]).filter(own)
 
     return read
 
 
-def _links(num: int, den: int):
+def _links(num: int, den: int, slots):
     def find(batches):
+        table = slots.value
+        held = lambda s: table[(s.view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)]
         for t in _grouped(batches, ["component", "tile"]):
-            ids, group, tile = t["id"].to_pylist(), t["component"].to_numpy(), t["tile"].to_numpy()
+            ids, label, group, tile = (t[c].to_numpy() for c in ("id", "label", "component", "tile"))
             lists = t["shingles"].combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
@@ -328,8 +321,8 @@ def _links(num: int, den: int):
             out = []
             del t, lists
             for low, high in zip(edges, edges[1:], strict=False):
-                if high - low > 1:
-                    out += [(ids[low + i], ids[low + j]) for i, j in trie_links([flat[cuts[k] : cuts[k + 1]] for k in range(low, high)], num, den)]
+                if (label[low:high] != label[low]).any():
+                    out += [(ids[low + i], ids[low + j]) for i, j in trie_links([flat[cuts[k] : cuts[k + 1]] for k in range(low, high)], num, den, held, label[low:high])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
@@ -347,6 +340,27 @@ def tiles(rows: DataFrame, key: str, count: str, by: str, block: int) -> DataFra
     return rows.withColumn("tile", F.explode(F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).otherwise(every)))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast where it is small."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def _minor_tiles(rows: DataFrame) -> DataFrame:
+    """For groups whose sets have more than one label: blocks of the largest label's sets, and of the others'. Each two of
+    the latter meet in a tile, and each of them meets each of the former. Others have no tiles."""
+    sums = rows.groupBy("component", "label").agg(F.sum("n").alias("volume"))
+    most = sums.groupBy("component").agg(F.max_by("label", F.struct("volume", "label")).alias("major"), F.max("volume").alias("large"), F.sum("volume").alias("all"))
+    most = most.where("large < all").select("component", "major", F.ceil(F.col("large") / VOLUME).alias("large"), F.ceil((F.col("all") - F.col("large")) / VOLUME).alias("small"))
+    d = rows.join(most, "component")
+    width = F.col("large") + F.col("small")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("major"), F.col("large")).otherwise(F.col("small")))
+    to_all = F.transform(upto(F.col("small")), lambda i: i * width + F.col("small") + own)
+    among = F.transform(upto(F.col("small")), lambda j: F.least(own, j) * width + F.greatest(own, j))
+    beyond = F.transform(upto(F.col("large")), lambda j: own * width + F.col("small") + j)
+    return d.select("id", "of", "component", "label", F.when(F.col("label") == F.col("major"), to_all).otherwise(F.concat(among, beyond)).alias("tiles"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of documents (doc_id, text) that link when their sets' Jaccard similarity is num / den or more.
 
@@ -361,21 +375,44 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     docs = docs.select("doc_id", "text")
     rows, slots = counted(docs, n)
     counts = spark.sparkContext.broadcast(slots)
-    classes = docs.where("doc_id IS NOT NULL").mapInArrow(_classes(n, num, den, counts), "doc_id long, class binary, n int, sketch binary, first array<long>").where("n > 0")
-    classes = materialize(classes.groupBy("class").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "sketch", "first")]))
-    found = classes.select("id", "n", F.explode("first").alias("shingle"))
-    found = found.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("shingle"))).where("size > 1")
-    found = found.join(classes.select("id", "sketch"), "id").select("shingle", "size", "id", "n", "sketch")
+    parts = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(n, num, den, counts), "doc_id long, class binary, n int, level int, part int, m int, sketch binary, first array<long>")
+    parts = materialize(parts.groupBy("class", "level", "part").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "m", "sketch", "first")]))
+    found = parts.select("id", "level", "part", "n", "m", F.explode("first").alias("shingle")).withColumn("shingle", F.xxhash64("shingle", "level"))
+    shared = materialize(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    found = found.join(_few(shared), "shingle").join(parts.select("id", "level", "part", "sketch"), ["id", "level", "part"]).select("shingle", "size", "id", "n", "m", "sketch")
     found = tiles(found, "shingle", "size", "id", BLOCK).repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile", "id")
-    near = materialize(found.mapInArrow(_candidates(num, den), "a long, b long"))
-    groups = connected_components(near)
+    groups = connected_components(found.mapInArrow(_candidates(num, den), "a long, b long"))
+    classes = parts.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     groups = materialize(groups.join(classes.select("id", "n", F.col("class").alias("of")), "id"))
-    groups = groups.join(groups.groupBy("component").agg(F.sum("n").alias("size")), "component").select("id", "of", "component", "size")
-    groups = materialize(groups)
-    texts = docs.join(F.broadcast(groups) if groups.count() <= SMALL else groups, F.col("doc_id") == F.col("id")).select("id", "of", "component", "size", "text")
-    sets = texts.mapInArrow(_sets(n), "id long, of binary, class binary, component long, size long, shingles array<long>").where("class = of")
-    sets = tiles(sets, "component", "size", "id", VOLUME).select("component", "tile", "id", "shingles")
-    links = sets.repartition(partitions, "component", "tile").sortWithinPartitions("component", "tile", "id").mapInArrow(_links(num, den), "a long, b long")
+    groups = materialize(groups.join(groups.groupBy("component").agg(F.sum("n").alias("size")), "component").select("id", "of", "component", "size", "n"))
+
+    def joined(members: DataFrame) -> DataFrame:
+        """Links of sets (id, of, component, label, tiles) in the tiles of each component."""
+        texts = docs.join(_few(members), F.col("doc_id") == F.col("id")).select("id", "of", "component", "label", "tiles", "text")
+        sets = texts.mapInArrow(_sets(n), "id long, component long, label long, tiles array<long>, shingles array<long>")
+        sets = sets.select("component", F.explode("tiles").alias("tile"), "id", "label", "shingles").repartition(partitions, "component", "tile")
+        return sets.sortWithinPartitions("component", "tile", "id").mapInArrow(_links(num, den, counts), "a long, b long")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        named = connected_components(links).select(F.col("id").alias("_id"), F.col("component").alias("label"))
+        return materialize(large.join(named, F.col("id") == F.col("_id"), "left").select("id", "of", "component", "n", F.coalesce("label", "id").alias("label")))
+
+    whole = F.array(F.lit(0).cast("long")).alias("tiles")
+    links = materialize(joined(groups.where(F.col("size") <= VOLUME).select("id", "of", "component", F.col("id").alias("label"), whole)))
+    large = groups.where(F.col("size") > VOLUME)
+    if large.limit(1).count():
+        now, last = large.withColumn("label", F.col("id")), None
+        while True:
+            # One set of each label meets the others of its block.
+            members = now.where("id = label")
+            blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / VOLUME).alias("blocks"), F.count(F.lit(1)).alias("labels"))
+            left = blocks.agg(F.sum("labels"), F.max("blocks")).first()
+            if last is not None and (left[0] > 0.9 * last[0] or last[1] == 1):
+                break
+            members = members.join(blocks, "component").withColumn("tiles", F.array(F.pmod(F.xxhash64("id", F.lit(left[0])), F.col("blocks"))))
+            links = materialize(links.unionByName(joined(members.select("id", "of", "component", "label", "tiles"))))
+            now, last = labelled(links), left
+        links = links.unionByName(joined(materialize(_minor_tiles(now))))
     linked = connected_components(links).withColumnRenamed("component", "reached")
     named = classes.select("class", "id").join(linked, "id", "left").select(F.col("class").alias("of"), F.coalesce("reached", "id").alias("component_id"))
     own = rows.select("doc_id", "class", "n").join(named, (F.col("class") == F.col("of")) & F.col("doc_id").isNotNull(), "left")

@@ -86,3 +86,29 @@ def test_trie_finds_what_connects():
         every = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))]
         links = ngram_join.trie_links(sets, num, 100)
         assert {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in every} and groups(links) == groups(every)
+
+
+def test_long_near_copies(spark):
+    """Texts of 100,000 words: parts by hash range find them, and rows stay of bounded size."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    other = [f"w{rng.randrange(10**6)}" for _ in range(60_000)] + base[:40_000]
+    rows = [(1, " ".join(base)), (2, edited(rng, base, 1500)), (3, edited(rng, base, 6000)), (4, " ".join(other)), (5, edited(rng, other, 900)), (6, edited(rng, base[:-8000], 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, 3, 90, 100) == brute(rows, 3, 90, 100)
+    counts = spark.sparkContext.broadcast(ngram_join.counted(docs, 3)[1])
+    parts = docs.mapInArrow(ngram_join._prefixes(3, 90, 100, counts), "doc_id long, class binary, n int, level int, part int, m int, sketch binary, first array<long>")
+    most = parts.agg(F.max(F.octet_length("sketch") + 8 * F.size("first")), F.sum((F.octet_length("sketch") + 8) * F.size("first"))).first()
+    assert most[0] < 5000 and most[1] < 30 * sum(len(t) for _, t in rows)
+
+
+def test_large_groups_in_rounds(spark, monkeypatch):
+    """A group of near copies in many blocks, beside some that share its passages but don't link with it."""
+    monkeypatch.setattr(ngram_join, "VOLUME", 700)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(6)
+    base, far = ([f"{p}{rng.randrange(10**5)}" for _ in range(60)] for p in "ab")
+    texts = [edited(rng, base, rng.randrange(3)) for _ in range(90)] + [edited(rng, base, 12) for _ in range(15)] + [" ".join(base[:40] + far[: 20 + i]) for i in range(10)] + [edited(rng, far, 1) for _ in range(20)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, 3, 80, 100) == brute(rows, 3, 80, 100)
