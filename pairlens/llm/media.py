@@ -52,8 +52,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 def _blocks(batches):
     for docs, media in _portions(batches, ["doc_id", "media"], "media"):
-        rows = []
-        for doc, m, blocks in zip(docs, media, flac.decode(list(media)), strict=True):
+        rows, held = [], [(d, m) for d, m in zip(docs, media, strict=True) if m is not None]
+        if not held:
+            continue
+        for (doc, m), blocks in zip(held, flac.decode([m for _, m in held]), strict=True):
             at, points = 0, {p[0]: p[1] for p in flac.Stream(m).points}
             for k, b in enumerate(blocks):
                 rows.append((doc, k, at, len(b), points.get(at), b))
@@ -66,7 +68,7 @@ def pcm_blocks(stored: DataFrame) -> DataFrame:
     """Decode streams (doc_id, media) into PCM blocks; checksums that do not hold raise ValueError.
 
     ``sample_offset`` is a block's first sample and ``frame_offset`` where its frame lies after the metadata, so a
-    reader can seek. Returns doc_id, block int, sample_offset long, n_samples int, frame_offset long, pcm binary.
+    reader can seek. A null stream has no blocks. Returns doc_id, block int, sample_offset long, n_samples int, frame_offset long, pcm binary.
     """
     return stored.select("doc_id", "media").mapInArrow(_blocks, "doc_id long, block int, sample_offset long, n_samples int, frame_offset long, pcm binary")
 
@@ -83,13 +85,21 @@ def _digests(batches):
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for docs, sizes, media in _portions(batches, ["doc_id", "n_bytes", "media"], "media"):
         rows = []
-        for doc, n, m, blocks in zip(docs, sizes, media, flac.decode(list(media)), strict=True):
+        read = iter(flac.decode([m for m in media if m is not None]))
+        for doc, n, m in zip(docs, sizes, media, strict=True):
+            if m is None:
+                rows.append((doc, n, *[None] * 6))
+                continue
+            blocks = next(read)
             pcm = b"".join(blocks)
             rows.append((doc, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(pcm)))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """Digests and features of what streams (doc_id, n_bytes, media) read back as; the same checks as ``pcm_blocks``."""
+    """Digests and features of what streams (doc_id, n_bytes, media) read back as; the same checks as ``pcm_blocks``.
+
+    A null stream has nulls.
+    """
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_digests, kinds)

@@ -132,3 +132,18 @@ def test_warc_dates_references_and_repeated_pages(spark):
         assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(head) and head["WARC-Date"] == "2026-01-02T03:04:05Z"
     first = sorted(map(tuple, rows))
     assert first == sorted(map(tuple, warc.derivatives(warc.responses(pages, "2026-01-02T03:04:05Z")).collect()))
+
+
+def test_media_form_and_null_streams(spark):
+    """The stored form's own columns, and rows without a stream."""
+    docs = spark.createDataFrame([(1, "ab" * 50), (2, "ab" * 50), (3, "x")], "doc_id long, text string")
+    stored = media.store(docs).unionByName(spark.createDataFrame([(4, 0, None)], "doc_id long, n_bytes long, media binary"))
+    held = {r.doc_id: r.media for r in stored.collect()}
+    got = {r.doc_id: r for r in media.digests(stored).collect()}
+    for i in (1, 2, 3):
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(held[i]), hashlib.sha256(held[i]).hexdigest())
+        x = [b - 128 for b in media.payload("x" if i == 3 else "ab" * 50)[1]]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert got[i].feature == f"peak={max(map(abs, x))};mean={sum(x) * 1000 // len(x)};square={sum(v * v for v in x) * 1000 // len(x)};crossings={turns}"
+    assert got[1][1:] == got[2][1:] and got[4].media_sha256 is None
+    assert media.pcm_blocks(stored).where("doc_id = 4").count() == 0 and media.pcm_blocks(stored.where("doc_id = 4")).count() == 0
