@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from pairlens.operators.shared import null_safe_join, places_by_hash
 
 
 def common_classes(df: DataFrame, label: str, least: int) -> DataFrame:
@@ -16,8 +18,9 @@ def common_classes(df: DataFrame, label: str, least: int) -> DataFrame:
 def holdout(df: DataFrame, label: str, ident: str, share: float = 0.2, seed: int = 1337) -> DataFrame:
     """Add ``held_out``: about ``share`` of each class, by a hash of id and seed; the same rows each time."""
     draw = F.md5(F.concat_ws("~", F.lit(str(seed)), F.col(ident).cast("string")))
-    w = W.partitionBy(label)
-    return df.withColumn("held_out", F.row_number().over(w.orderBy(draw, ident)) <= F.floor(F.count(F.lit(1)).over(w) * share))
+    sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * share).alias("_share"))
+    placed = null_safe_join(places_by_hash(df, [label], draw, ident), sizes, [label])
+    return placed.withColumn("held_out", F.col("_place") <= F.col("_share")).drop("_place", "_share")
 
 
 def train(df: DataFrame, label: str, vector: str, iterations: int = 100):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairlens.functions import stats
 from pairlens.functions.labels import TIERS
+from pairlens.operators.shared import places_by_hash
 
 
 def outcome_flags(runs: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def seeded_cap(df: DataFrame, keys: list[str], ident: str, seed: int, cap: int |
     if cap is None:
         least = df.groupBy(*keys).count().agg(F.min("count").alias("_least"))
         df, limit = df.crossJoin(F.broadcast(least)), F.col("_least")
-    placed = df.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(first, draw, ident)))
+    placed = places_by_hash(df, keys, draw, ident, first)
     keep = F.col("_place") <= limit
     return placed.where(keep if always is None else keep | always).drop("_place", "_least")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlens.functions import text as T
+from pairlens.functions.labels import ellipsis
 
 
 def request_key(*parts: Column) -> Column:
@@ -56,6 +57,19 @@ def cascade(rows: DataFrame, ident: str, coding: DataFrame, cue: DataFrame, kind
     }).drop("_coding", "_cue", "_kind")
 
 
+#: What an alignment scorer is asked to do and to return, before the query and its candidate.
+ALIGNMENT_TASK = (
+    "Say whether the query and the candidate show the same cue of the same bias. Quote the words that show it from each. "
+    'Answer with JSON: {"candidates": [{"idx": "0", "aligned": true or false, "alignment_strength": "strong", "weak" or "none", '
+    '"score": 0 to 1, "dev_cue_span": words of the query, "probe_cue_span": words of the candidate}]}\n\n'
+)
+
+
+def alignment_request(query: Column, candidate: Column, most: int = 1200) -> Column:
+    """The request that scores one candidate; texts of over ``most`` characters are cut and end in an ellipsis."""
+    return F.concat(F.lit(ALIGNMENT_TASK), F.lit("Query: "), ellipsis(query, most), F.lit("\nCandidate 0: "), ellipsis(candidate, most))
+
+
 def aligned(candidates: DataFrame, query_text: str, candidate_text: str, threshold: float = 0.85) -> DataFrame:
     """Read alignment answers: flag, strength, score and spans; a span that its text does not hold voids the alignment."""
     schema = "dev_id string, bias_type string, candidates array<struct<idx string, aligned boolean, alignment_strength string, score string, dev_cue_span string, probe_cue_span string, notes string>>"

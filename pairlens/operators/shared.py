@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +28,40 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the shared folder, which survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def null_safe_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, of which null equals null; the table's other columns are added."""
+    names = {k: f"_of{i}" for i, k in enumerate(keys)}
+    same = F.lit(True)
+    for k, name in names.items():
+        same &= F.col(k).eqNullSafe(F.col(name))
+    return rows.join(table.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
+def places_by_hash(df: DataFrame, keys: list[str], draw: Column, ident: str, first: Column | None = None, out: str = "_place") -> DataFrame:
+    """Number the rows of each key from 1 by ``draw`` (a hash in hex), then ``ident``; those of least ``first`` before others.
+
+    Rows are counted by the first digits of the hash, and numbered within these buckets: a key of any size is numbered by
+    many tasks.
+    """
+    order = F.lit(0) if first is None else first
+    dealt = df.withColumn("_draw", draw).withColumn("_bucket", F.concat(order.cast("string"), F.substring("_draw", 1, 3)))
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = dealt.withColumn(out, F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_draw", ident)))
+    return null_safe_join(placed, starts, [*keys, "_bucket"]).withColumn(out, F.col(out) + F.col("_start")).drop("_draw", "_bucket", "_start")
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """The sum of ``value`` over the rows of a key that come before in ``order``: by ranges first, then within each.
+
+    Ranges are even over all keys, so a key of any size is summed by many tasks.
+    """
+    spread = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    sums = spread.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(upto(W.partitionBy(*keys).orderBy("_part"))), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum(value).over(upto(W.partitionBy(*keys, "_part").orderBy(order))), F.lit(0))
+    return null_safe_join(spread.withColumn(out, within), starts, [*keys, "_part"]).withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start")

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pairlens.operators.shared import cut as lineage_cut
 
 
+#: Rows up to which a table is broadcast.
+FEW = 500_000
+
+
 def words(text: Column) -> Column:
     """Lower-case words of two characters or more."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
@@ -39,16 +43,20 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
 def term_weights(docs: DataFrame, ident: str, grams: Column, block: list[str], vocabulary: DataFrame | None = None, min_df: int = 2, max_share: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Unit TF-IDF weights (block, ident, term, w) of documents, and the vocabulary (block, term, idf) they are fitted on.
 
-    With ``vocabulary`` the documents are queries against it. Terms are counted before the shuffle by document.
+    With ``vocabulary`` the documents are queries against it, and only its terms are shuffled: once, by document.
     """
-    counts = docs.select(*block, ident, F.explode(grams).alias("term")).groupBy(*block, ident, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = docs.select(*block, ident, F.explode(grams).alias("term"))
     if vocabulary is None:
+        counts = terms.groupBy(*block, ident, "term").agg(F.count(F.lit(1)).alias("tf"))
         n = docs.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
         df = counts.groupBy(*block, "term").agg(F.count(F.lit(1)).alias("df"))
         df = df.join(n, block) if block else df.crossJoin(n)
         df = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))
         vocabulary = df.select(*block, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(vocabulary, [*block, "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
+        vocabulary = lineage_cut(vocabulary)
+    few = F.broadcast(vocabulary) if vocabulary.count() <= FEW else vocabulary
+    known = terms.join(few, [*block, "term"]).repartition(*block, ident)
+    raw = known.groupBy(*block, ident, "term", "idf").agg(F.count(F.lit(1)).alias("tf")).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(*block, ident)))
     return raw.withColumn("w", F.col("raw") / norm).select(*block, ident, "term", "w"), vocabulary
 

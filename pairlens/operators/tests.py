@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pairlens.functions import stats
 from pairlens.operators.rates import benjamini_hochberg
+from pairlens.operators.shared import running_total
 
 
 def versus_baseline(values: DataFrame, keys: list[str], column: str, baseline: str, value: str) -> DataFrame:
@@ -15,17 +16,19 @@ def versus_baseline(values: DataFrame, keys: list[str], column: str, baseline: s
     ties (sum of t^3 - t), medians, their difference, effect (1 - 2u / (n1 n2), positive where the column is lower).
     """
     d = values.where(F.col(value).isNotNull()).select(*keys, F.col(column).alias("cell"), F.col(value).alias("v"))
-    base = d.where(F.col("cell") == baseline).select(*keys, "v")
     cells = d.where(F.col("cell") != baseline)
+    # Counts of different values: those of the baseline, not its rows, are copied for each cell.
+    own = cells.groupBy(*keys, "cell", "v").agg(F.count(F.lit(1)).alias("own")).withColumn("t", F.col("own"))
+    base = d.where(F.col("cell") == baseline).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("t"))
     named = cells.select(*keys, "cell").distinct()
-    paired = base.join(named, keys) if keys else base.crossJoin(named)
-    pool = cells.withColumn("own", F.lit(1)).unionByName(paired.withColumn("own", F.lit(0)))
-    tied = pool.groupBy(*keys, "cell", "v").agg(F.count(F.lit(1)).alias("t"), F.sum("own").alias("own"))
-    before = F.coalesce(F.sum("t").over(W.partitionBy(*keys, "cell").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    tied = tied.withColumn("rank", before + (F.col("t") + 1) / 2)
+    paired = (base.join(named, keys) if keys else base.crossJoin(named)).withColumn("own", F.lit(0).cast("long"))
+    tied = own.unionByName(paired).groupBy(*keys, "cell", "v").agg(F.sum("t").alias("t"), F.sum("own").alias("own"))
+    tied = running_total(tied, [*keys, "cell"], "v", "t", "before").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = tied.groupBy(*keys, "cell").agg(F.sum("own").alias("n1"), F.sum(F.col("t") - F.col("own")).alias("n2"), F.sum(F.col("rank") * F.col("own")).alias("r1"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
-    mids = pool.groupBy(*keys, "cell").agg(F.median(F.when(F.col("own") == 1, F.col("v"))).alias("median"), F.median(F.when(F.col("own") == 0, F.col("v"))).alias("median_baseline"))
-    out = sums.join(mids, [*keys, "cell"]).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
+    middle = cells.groupBy(*keys, "cell").agg(F.median("v").alias("median"))
+    least = d.where(F.col("cell") == baseline).groupBy(*keys).agg(F.median("v").alias("median_baseline"))
+    out = sums.join(middle, [*keys, "cell"])
+    out = (out.join(least, keys) if keys else out.crossJoin(least)).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     out = out.withColumns({"effect": 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2")), "delta_median": F.col("median") - F.col("median_baseline")})
     return out.withColumnRenamed("cell", column).drop("r1")
 
@@ -120,7 +123,7 @@ def word_sums(df: DataFrame, group: str, flag: str, words: str, least: int = 3)
     long = df.select(group, flag, F.explode(words).alias("word"))
     n = long.groupBy(group, "word").agg(F.count_if(flag).alias("x1"), F.count_if(~F.col(flag)).alias("x0"))
     total = n.groupBy(group).agg(F.sum("x1").alias("t1"), F.sum("x0").alias("t0"))
-    return n.where(F.col("x1") + F.col("x0") >= least).join(F.broadcast(total), group)
+    return n.where(F.col("x1") + F.col("x0") >= least).join(total, group)
 
 
 def word_effects(df: DataFrame, group: str, flag: str, words: str, least: int = 3) -> DataFrame:

@@ -37,7 +37,7 @@ def false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q-values of made p-values (customers' balances as shares) by segment, and over all with null p as 1."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 13 > 0, F.pmod(F.col("c_custkey") * 7919, F.lit(1009)) / 1009.0).alias("p"))
     q = R.benjamini_hochberg(c, "p", ["c_mktsegment"])
-    return rounded(R.benjamini_hochberg(q, "p", ["c_mktsegment"], "q_all", missing=1.0))
+    return rounded(R.benjamini_hochberg(q, "p", [], "q_all", missing=1.0))
 
 
 def high_vs_low(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.map_from_entries(F.collect_list(F.struct("bias", F.struct("total_runs", "complexity_analysis")))))
     name = F.concat(F.lit("model="), "model", L.lookup(F.col("strategy"), names))
     folder = scratch(spark)
-    by_bias.groupBy("model", "strategy").agg(body.alias("value")).select(name.alias("name"), "value").repartition(1, "name").write.partitionBy("name").text(folder)
+    by_bias.groupBy("model", "strategy").agg(body.alias("value")).select(name.alias("name"), "value").repartition("name").write.partitionBy("name").text(folder)
     read_back = spark.read.option("recursiveFileLookup", "true").text(folder)
     rows = read_back.select(F.concat(F.regexp_extract(F.url_decode(F.url_decode(F.col("_metadata.file_path"))), r"/name=([^/]+)/", 1), F.lit(".json")).alias("file"), "value")
     long = rows.select("file", F.explode(F.from_json("value", files.SUMMARY)).alias("bias", "s")).select("file", "bias", "s.*")
@@ -158,7 +158,7 @@ _GUESS = "g AS (SELECT lang, CASE WHEN strpos(' ' || lower(text) || ' ', ' der '
 _TIER_RATES = FACTS + ", t AS (SELECT bias, model, tier, 100 * avg(CAST(sensitive AS DOUBLE)) AS s FROM tiered GROUP BY ALL)"
 ORACLE = {
     "rank_statistics": "WITH v AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, o_totalprice AS x FROM orders), pool AS (SELECT status, priority AS cell, x, 1 AS own FROM v WHERE priority <> '3-MEDIUM' UNION ALL SELECT b.status, c.cell, b.x, 0 FROM v b JOIN (SELECT DISTINCT status, priority AS cell FROM v WHERE priority <> '3-MEDIUM') c ON b.status = c.status WHERE b.priority = '3-MEDIUM'), r AS (SELECT *, rank() OVER (PARTITION BY status, cell ORDER BY x) + (count(*) OVER (PARTITION BY status, cell, x) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY status, cell, x) AS t FROM pool), s AS (SELECT status, cell, sum(own) AS n1, sum(1 - own) AS n2, sum(rk * own) AS r1, sum(t::DOUBLE * t - 1) AS ties, median(x) FILTER (own = 1) AS m1, median(x) FILTER (own = 0) AS m0 FROM r GROUP BY ALL), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u FROM s) SELECT status, cell AS priority, n1, n2, round(ties, 6) AS ties, round(m1, 6) AS median, round(m0, 6) AS median_baseline, round(m1 - m0, 6) AS delta_median, round(u, 6) AS u, round(1 - 2 * u / (n1 * n2), 6) AS effect FROM u",
-    "false_discovery": "WITH c AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 13 > 0 THEN (c_custkey * 7919 % 1009) / 1009.0::DOUBLE END AS p FROM customer), a AS (SELECT *, coalesce(p, 1) AS pa FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY p NULLS LAST) AS k, count(p) OVER (PARTITION BY c_mktsegment) AS m, row_number() OVER (PARTITION BY c_mktsegment ORDER BY pa) AS ka, count(*) OVER (PARTITION BY c_mktsegment) AS ma FROM a) SELECT c_custkey, c_mktsegment, round(p, 6) AS p, CASE WHEN p IS NOT NULL THEN round(least(1, min(p * m / k) OVER (PARTITION BY c_mktsegment ORDER BY p DESC NULLS FIRST, k DESC ROWS UNBOUNDED PRECEDING)), 6) END AS q, round(least(1, min(pa * ma / ka) OVER (PARTITION BY c_mktsegment ORDER BY pa DESC, ka DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_all FROM r",
+    "false_discovery": "WITH c AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 13 > 0 THEN (c_custkey * 7919 % 1009) / 1009.0::DOUBLE END AS p FROM customer), a AS (SELECT *, coalesce(p, 1) AS pa FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY p NULLS LAST) AS k, count(p) OVER (PARTITION BY c_mktsegment) AS m, row_number() OVER (ORDER BY pa) AS ka, count(*) OVER () AS ma FROM a) SELECT c_custkey, c_mktsegment, round(p, 6) AS p, CASE WHEN p IS NOT NULL THEN round(least(1, min(p * m / k) OVER (PARTITION BY c_mktsegment ORDER BY p DESC NULLS FIRST, k DESC ROWS UNBOUNDED PRECEDING)), 6) END AS q, round(least(1, min(pa * ma / ka) OVER (ORDER BY pa DESC, ka DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_all FROM r",
     "high_vs_low": f"WITH {_TIER_RATES}, d AS (SELECT bias, model, avg(s) FILTER (tier = 'high') - avg(s) FILTER (tier = 'low') AS d FROM t GROUP BY ALL), a AS (SELECT bias, count(d) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(d)) AS se FROM d GROUP BY bias) SELECT bias, n, round(m, 6) AS mean_diff, round(se, 6) AS se, round(m / nullif(se, 0), 6) AS t FROM a WHERE n >= 2",
     "bias_correlations": f"WITH {FACTS}, m AS (SELECT bias, strategy, avg(sensitivity) AS s FROM facts GROUP BY ALL) SELECT x.bias AS a, y.bias AS b, round(coalesce(corr(x.s, y.s), 0), 5) AS r FROM m x JOIN m y ON x.strategy = y.strategy AND x.bias < y.bias GROUP BY ALL",
     "holdout_split": "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('1337~' || vec_id), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) AS held_out FROM embeddings",

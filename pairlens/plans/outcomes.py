@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L
-from pairlens.operators import rates as R
+from pairlens.operators import rates as R, reports as O
 
 STRATEGY_ORDER = ["s0", "s1", "s2", "s3"]
 
@@ -141,8 +141,7 @@ def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows changed by -1, 0 and 1; empty bins stay."""
     d = read(spark, sf_dir, "labels").where("NOT (quality = 0 AND toxic = 1)").select((F.col("quality") - F.col("toxic")).alias("change"))
-    bins = spark.range(-1, 2).select(F.col("id").cast("int").alias("change"))
-    return bins.join(d.groupBy("change").count(), "change", "left").select("change", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+    return O.histogram(d, "change", [-1, 0, 1])
 
 
 def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +179,8 @@ def run_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of two priorities joined by customer and month, clashing columns with suffixes."""
     o = read(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderpriority", "o_totalprice")
-    base, ours = (o.where(F.col("o_orderpriority") == p).select("o_custkey", "month", F.col("o_totalprice").alias(f"price_{s}")) for p, s in (("1-URGENT", "BASE"), ("5-LOW", "OURS")))
-    j = base.join(ours, ["o_custkey", "month"])
+    base, ours = (o.where(F.col("o_orderpriority") == p).select("o_custkey", "month", F.col("o_totalprice").alias("price")) for p in ("1-URGENT", "5-LOW"))
+    j = O.suffixed_join(base, ours, ["o_custkey", "month"])
     return rounded(j.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("price_BASE").alias("price_BASE"), F.sum("price_OURS").alias("price_OURS")), 2)
 
 
@@ -229,7 +228,7 @@ def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clipped_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values coerced to 0 or 1: not numbers go, the rest is clipped and rounded half to even."""
     v = F.get_json_object("props", "$.k").try_cast("double") / 50 - 0.5
-    d = read(spark, sf_dir, "events").select(F.bround(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)), 0).cast("int").alias("bit")).dropna()
+    d = O.coerced_binary(read(spark, sf_dir, "events").select(v.alias("bit")), ["bit"])
     return d.groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
 
 

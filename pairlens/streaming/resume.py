@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,20 +11,13 @@ from pairlens.operators.scoring import score
 
 
 def score_stream(requests: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Score a stream of requests into the parquet table ``out`` (key, answer).
+    """Score a stream of requests into the parquet table ``out`` (key, answer, batch).
 
-    Each batch leaves out the keys that ``out`` has, so a batch that is run again after a failure adds none twice.
+    Keys that were seen are state of the stream, so a batch costs what it holds, however large the table is. A batch
+    writes its own partition of ``out`` anew, so one that is run again after a failure adds none twice.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        try:
-            cache = spark.read.parquet(out)
-        except AnalysisException:  # no batch has been written yet
-            cache = None
-        todo = df.dropDuplicates([key])
-        if cache is not None:
-            todo = todo.join(cache.select(key), key, "left_anti")
-        score(todo, key, scorer)[0].select(key, "answer").write.mode("append").parquet(out)
-
-    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def batch(df: DataFrame, number: int) -> None:
+        score(df, key, scorer)[0].select(key, "answer").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return requests.dropDuplicates([key]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
