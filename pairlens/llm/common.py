@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 RANKED = 65_536
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
     """Let Arrow batches have at most ``rows`` rows in this session: rows here hold whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
