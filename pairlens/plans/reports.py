@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L, text as T
 from pairlens.operators import pairs as P, rates as R, reports as O, scoring as S, similarity as M, tests as E
+from pairlens.operators.shared import scratch
 from pairlens.plans.outcomes import FACTS, RUNS, STRATEGY_ORDER, facts, read, rounded, runs, tiered
 from pairlens.plans.texts import _MAP, _TF, tfidf_map
+from pairlens.sources import files
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 FEATURES = {"view": ("Views", "Looking", 0), "click": ("Clicks", "Looking", 1), "purchase": ("Purchases", "Buying", 2)}
@@ -156,8 +158,43 @@ def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.entity_ids(c, "given", ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", "entity")
 
 
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as lines of JSON and items as separated tables, in folders by role, and read as a corpus."""
+    folder = scratch(spark)
+    c = read(spark, sf_dir, "conversations")
+    c.select("role", F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("turn"))).alias("value")).write.partitionBy("role").text(f"{folder}/lines", lineSep="\n")
+    # Spark writes .txt; corpora have .jsonl.
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for status in fs.globStatus(path(f"{folder}/lines/role=*/*.txt")):
+        name = status.getPath().toString()
+        fs.rename(path(name), path(name.removesuffix(".txt") + ".jsonl"))
+    read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("Prompt")).write.csv(f"{folder}/items", header=True, quoteAll=True, escape='"')
+    d = files.corpus(spark, folder)
+    kind = F.split("file", "/")[0]
+    return d.groupBy(kind.alias("kind"), F.md5("prompt").alias("prompt_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written as paired datasets of two data models and as a list with fuzzy keys, read again and merged."""
+    folder = scratch(spark)
+    b = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("half"), F.concat(F.lit("bias "), F.col("item_id") % 3).alias("bias"), F.struct(F.col("item_id").cast("string").alias("pair"), F.concat(F.lit("So: "), F.col("text")).alias("biased"), F.col("text").alias("unbiased"), (F.col("item_id") % 5 > 0).alias("valid")).alias("p"))
+    by = b.groupBy("half", "bias").agg(F.collect_list("p").alias("pairs")).groupBy("half").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("bias", "pairs")))).alias("value"))
+    listed = b.agg(F.to_json(F.collect_list(F.struct(F.col("bias").alias("Bias Type"), F.col("p.biased").alias("Biased prompt"), F.col("p.unbiased").alias("neutral-text"), F.col("p.valid").alias("valid")))).alias("value"))
+    names = F.concat(F.lit("1_dataset_model"), F.col("half").cast("string"))
+    by.select(names.alias("name"), "value").unionByName(listed.select(F.lit("list").alias("name"), "value")).write.partitionBy("name").text(folder)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(f"{folder}/named"))
+    for status in fs.globStatus(path(f"{folder}/name=*/*.txt")):
+        fs.rename(status.getPath(), path(f"{folder}/named/{status.getPath().getParent().getName().removeprefix('name=')}.json"))
+    maps = files.paired_datasets(spark, f"{folder}/named").select("data_model", "bias", "biased", "unbiased")
+    lists = files.paired_lists(spark, f"{folder}/named", "list.json").select(F.lit("list").alias("data_model"), "bias", "biased", "unbiased")
+    return maps.unionByName(lists).groupBy("data_model", "bias").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("biased") - F.length("unbiased")).alias("more"))
+
+
 QUERIES = {f.__name__: f for f in (
-    feature_dimension, excluded_sources, tier_quartiles, quartile_table, tier_counts, whole_discovery, wide_tests, effect_matrices, top_significant, best_tested_cells, mapped_prevalence_any, tfidf_top5_filled,
+    corpus_files, merged_datasets, feature_dimension, excluded_sources, tier_quartiles, quartile_table, tier_counts, whole_discovery, wide_tests, effect_matrices, top_significant, best_tested_cells, mapped_prevalence_any, tfidf_top5_filled,
     brand_candidates, scored_candidates, judged_features, annotator_agreement, paired_decisions, validation_sheet_scored, entity_ids,
 )}
 
@@ -192,6 +229,8 @@ every AS (SELECT a.block, a.id AS q, b.id AS cand, a.x, coalesce(s.score, 0) AS
 top AS (SELECT block, q, cand, x, score, row_number() OVER (PARTITION BY block, q ORDER BY score DESC, cand) - 1 AS place FROM every QUALIFY place < 3)"""
 _NATIONS = f"""src AS (SELECT 0 AS block, 0 AS side, p_partkey::VARCHAR AS id, 'nation ' || p_name || ' ' || p_type AS x FROM part UNION ALL SELECT 0, 0, (n_nationkey + 10000000)::VARCHAR, n_name || ' ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 0, 1, n_name, 'nation ' || n_name || ' ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey), {two_channels_sql()}"""
 ORACLE = {
+    "corpus_files": "WITH t AS (SELECT 'lines' AS kind, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS p FROM conversations WHERE lower(role) IN ('user', 'human', 'prompter', 'questioner') UNION ALL SELECT 'items', trim(text) FROM benchmark) SELECT kind, md5(p) AS prompt_md5, count(*) AS n FROM t WHERE p <> '' GROUP BY ALL",
+    "merged_datasets": "WITH t AS (SELECT 'model' || (item_id % 2) AS data_model, 'bias ' || (item_id % 3) AS bias, item_id FROM benchmark WHERE item_id % 5 > 0 UNION ALL SELECT 'list', 'bias ' || (item_id % 3), item_id FROM benchmark WHERE item_id % 5 > 0) SELECT data_model, bias, count(*) AS n, 4 * count(*) AS more FROM t GROUP BY ALL",
     "two_channel_top": f"WITH {_NATIONS} SELECT q::BIGINT AS p_partkey, cand, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand) - 1 AS place FROM scores QUALIFY place < 2",
     "feature_dimension": "SELECT event_type, count(*) AS n, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in FEATURES.items()) + " ELSE event_type END AS label, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in FEATURES.items()) + " ELSE 'Other' END AS \"group\", CASE event_type " + " ".join(f"WHEN '{k}' THEN {v[2]}" for k, v in FEATURES.items()) + " ELSE 3 END::BIGINT AS ord FROM events GROUP BY event_type",
     "excluded_sources": "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE NOT regexp_matches(coalesce(source, ''), '(?i)SRC1') AND lang IN ('en', 'de', 'fr') GROUP BY ALL",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.functions import udtf
 
 from pairlens.functions.labels import header_key
+from pairlens.operators.pairs import dense_ids
 
 SUMMARY = "map<string, struct<sensitivity double, harmfulness double, total_runs bigint, prolog_uncertainty double, complexity_analysis map<string, struct<total_runs bigint, sensitivity double, harmfulness double, prolog_uncertainty double, quartiles array<double>>>>>"
 # The keys under which prompts are found, in order, and the roles that ask.
@@ -25,6 +27,18 @@ def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return rows.select(F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("file"), "value")
 
 
+def root_of(spark: SparkSession, path: str) -> str:
+    """A folder as files' metadata spell it, ending in a slash."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString().rstrip("/") + "/"
+
+
+def relative_path(spark: SparkSession, path: str) -> Column:
+    """A file's path below the folder ``path``."""
+    plain = lambda c: F.regexp_replace(F.url_decode(c), r"^file:/+", "/")
+    return F.replace(plain(F.col("_metadata.file_path")), plain(F.lit(root_of(spark, path))), F.lit(""))
+
+
 def sound(files: DataFrame) -> DataFrame:
     """Files that are not empty, no pointer to large-file storage, and hold JSON."""
     return files.where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith(GIT_LFS) & F.try_parse_json("value").isNotNull())
@@ -37,9 +51,12 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def name_flags(files: DataFrame, strategies: DataFrame, column: str = "file") -> DataFrame:
-    """Add model, flags (as a set) and strategy from names like ``1_....model=M.flag=True.json``."""
+    """Add model, flags (as a set), data_models (a list) and strategy from names like ``1_....model=M.flag=True.json``."""
     d = files.withColumn("model", F.nullif(F.regexp_extract(column, r"model=(.+?)(?:\.[A-Za-z_]+=|\.json$)", 1), F.lit("")))
     d = d.withColumn("flags", F.array_sort(F.array_distinct(F.regexp_extract_all(column, F.lit(r"\.([a-z_]+)=True"), F.lit(1)))))
+    # Data models are a list of quoted names, whatever else the name holds and in whatever order.
+    listed = F.regexp_extract(column, r"data_model_list=\[([^\]]*)\]", 1)
+    d = d.withColumn("data_models", F.array_sort(F.array_distinct(F.regexp_extract_all(listed, F.lit(r"'([^']+)'"), F.lit(1)))))
     return d.join(F.broadcast(strategies.select("strategy", F.col("flags").alias("_flags"))), F.col("flags") == F.col("_flags"), "left").drop("_flags")
 
 
@@ -64,28 +81,52 @@ def attrition(spark: SparkSession, path: str) -> DataFrame:
     return long.rollup("file", "bias", "filter").agg(F.sum("n").alias("discarded")).where("file IS NOT NULL")
 
 
-def paired_datasets(spark: SparkSession, path: str, glob: str = "*_dataset_*.json") -> DataFrame:
-    """Paired prompts from JSON maps of bias to lists: bias, pair_id (file:pair, or file:place), texts; valid ones only."""
+def paired_datasets(spark: SparkSession, path: str, glob: str = "*_dataset_*.json", models: list[str] | None = None) -> DataFrame:
+    """Paired prompts from JSON maps of bias to lists: bias, pair_id (file:pair, or file:place), texts; valid ones only.
+
+    All files of the folder are one dataset, with the data_model that each one's name ends in, or only those of ``models``.
+    """
     schema = "map<string, array<struct<pair string, biased string, unbiased string, correct_option string, axioms_description string, inference_steps int, choice_steps int, AI_generated boolean, valid boolean>>>"
     rows = sound(whole_files(spark, path, glob)).select("file", F.explode(F.from_json("value", schema)).alias("bias", "pairs"))
     rows = rows.select("file", "bias", F.posexplode("pairs").alias("place", "p")).select("file", "bias", "place", "p.*")
     stem = F.regexp_replace("file", r"\.json$", "")
+    rows = rows.withColumn("data_model", F.regexp_extract(stem, r"_dataset_(.+)$", 1))
+    if models is not None:
+        rows = rows.where(F.col("data_model").isin(*models))
     rows = rows.withColumn("pair_id", F.concat_ws(":", stem, F.coalesce("pair", F.col("place").cast("string"))))
     return rows.where(F.coalesce("valid", F.lit(True)) & (F.length(F.trim("biased")) > 0) & (F.length(F.trim("unbiased")) > 0))
 
 
+# What names of a pair's fields look like, and the name of a bias that none is given for.
+FIELDS = {"bias": r"^(bias|bias_type|bias_name|type|category|label)$", "unbiased": r"unbiased|neutral", "biased": r"^(?!.*unbiased).*biased", "valid": r"^valid$"}
+UNKNOWN_BIAS = "unknown"
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    """Trimmed pairs of columns bias, biased, unbiased, valid (all strings): none that is blank or not valid."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    ok = F.coalesce(F.lower(F.trim("valid")) != "false", F.lit(True)) & (text("biased") != "") & (text("unbiased") != "")
+    return df.where(ok).withColumns({"bias": F.coalesce(F.nullif(text("bias"), F.lit("")), F.lit(UNKNOWN_BIAS)), "biased": text("biased"), "unbiased": text("unbiased")}).drop("valid")
+
+
 def paired_table(df: DataFrame) -> DataFrame:
-    """Paired prompts from a table whose headers only look like bias, biased and unbiased."""
+    """Paired prompts from a table whose headers only look like bias, biased, unbiased and valid."""
     names = {c: header_key(c) for c in df.columns}
-    pick = lambda test: next((c for c, n in names.items() if test(n)), None)
-    found = {
-        "bias": pick(lambda n: n in ("bias", "bias_type", "bias_name")),
-        "unbiased": pick(lambda n: "unbiased" in n or "neutral" in n),
-        "biased": pick(lambda n: "biased" in n and "unbiased" not in n),
-    }
-    if None in found.values():
-        raise ValueError(f"no columns for {[k for k, v in found.items() if v is None]} in {df.columns}")
-    return df.select(*[F.trim(F.col(f"`{v}`")).alias(k) for k, v in found.items()]).where("length(biased) > 0 AND length(unbiased) > 0")
+    found = {k: next((c for c, n in names.items() if re.search(pattern, n)), None) for k, pattern in FIELDS.items()}
+    if found["biased"] is None or found["unbiased"] is None:
+        raise ValueError(f"no columns for biased and unbiased in {df.columns}")
+    return _pairs(df.select(*[(F.col(f"`{v}`").cast("string") if v else F.lit(None).cast("string")).alias(k) for k, v in found.items()]))
+
+
+def paired_lists(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """Paired prompts from JSON lists of objects whose keys only look like bias, biased, unbiased and valid: file, place,
+    bias, biased, unbiased. Of several such keys the first counts; files that hold no list have none."""
+    rows = sound(whole_files(spark, path, glob)).where(F.ltrim("value").startswith("["))
+    rows = rows.select("file", F.posexplode(F.from_json("value", "array<map<string, string>>")).alias("place", "item"))
+    fields = F.transform(F.map_entries("item"), lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), "[^a-z0-9]+", "_").alias("name"), e["value"].alias("value")))
+    rows = rows.withColumn("_fields", fields)
+    pick = lambda pattern: F.try_element_at(F.filter("_fields", lambda f: f["name"].rlike(pattern)), F.lit(1))["value"]
+    return _pairs(rows.select("file", "place", *[pick(p).alias(k) for k, p in FIELDS.items()]))
 
 
 def read_separated(spark: SparkSession, path: str, required: list[str] | None = None, sep: str | None = None) -> DataFrame:
@@ -158,12 +199,44 @@ class ZipMembers:
                     yield name, z.read(name).decode("utf-8", "replace")
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``line``, a row's number in its file: numbers over all rows, less the first of the file."""
+    numbered = dense_ids(rows, ["file", *order], "_row")
+    first = numbered.groupBy("file").agg(F.min("_row").alias("_first"))
+    return numbered.join(first, "file").withColumn("line", F.col("_row") - F.col("_first")).drop("_row", "_first", *order)
+
+
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of .jsonl files: file (below ``path``), line (from 0), value. Files of any size are split, not read whole."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    rows = rows.select(relative_path(spark, path).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    return _numbered(rows, ["_block", "_at"])
+
+
+def table_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts of .csv and .tsv files: file (below ``path``), line (from 0), prompt, the first prompt column that is not blank.
+
+    Headers differ, so each file is a table of its own: for some hundreds of files, not for millions.
+    """
+    out = None
+    for glob, sep in (("*.csv", ","), ("*.tsv", "\t")):
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path").orderBy("path").collect()
+        for r in names:
+            df = spark.read.csv(r.path, header=True, sep=sep, multiLine=True, escape='"')
+            rows = df.select(relative_path(spark, path).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), first_prompt(df).alias("prompt"))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], "file string, line long, prompt string")
+    return _numbered(out, ["_block", "_at"]).where("prompt IS NOT NULL").select("file", "line", "prompt")
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts of .json and .jsonl files: file, idx, prompt. A line of .jsonl is a document of its own."""
-    documents = sound(whole_files(spark, path, "*.json")).select("file", F.lit(0).alias("line"), "value")
-    lines = whole_files(spark, path, "*.jsonl").select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    rows = documents.unionByName(sound(lines))
-    return rows.lateralJoin(ExtractPrompts(F.col("value").outer())).select("file", F.concat_ws(":", "line", "pos").alias("idx"), "prompt")
+    """Prompts of .json, .jsonl, .csv and .tsv files: file (below ``path``), idx, prompt. A line or row is a document of its own."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    documents = sound(whole.select(relative_path(spark, path).alias("file"), "value")).select("file", F.lit(0).cast("long").alias("line"), "value")
+    rows = documents.unionByName(sound(json_lines(spark, path)).select("file", "line", "value"))
+    found = rows.lateralJoin(ExtractPrompts(F.col("value").outer())).select("file", F.concat_ws(":", "line", "pos").alias("idx"), "prompt")
+    return found.unionByName(table_prompts(spark, path).select("file", F.concat_ws(":", "line", F.lit(0)).alias("idx"), "prompt"))
 
 
 def archive(spark: SparkSession, path: str) -> DataFrame:

@@ -58,3 +58,33 @@ def test_attrition(spark, tmp_path):
 def test_prompts_of_rows(spark):
     df = spark.createDataFrame([("", " q "), ("p", "q")], "prompt string, question string")
     assert [r[0] for r in df.select(S.first_prompt(df)).collect()] == ["q", "p"]
+
+
+def test_corpus_layouts(spark, tmp_path):
+    """Paths below the folder, line numbers, tables with their own headers."""
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.jsonl").write_text("".join(json.dumps({"prompt": f"p{i}"}) + "\n" for i in range(50)))
+    (tmp_path / "x" / "t.csv").write_text('id,Question\n1,"one, two"\n2,\n3,three\n')
+    (tmp_path / "t.tsv").write_text("text\tz\nfour\t1\n")
+    got = {(r.file, r.idx): r.prompt for r in S.corpus(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "x/a.jsonl"} == {("x/a.jsonl", f"{i}:0"): f"p{i}" for i in range(50)}
+    assert {k: v for k, v in got.items() if k[0] != "x/a.jsonl"} == {("x/t.csv", "0:0"): "one, two", ("x/t.csv", "2:0"): "three", ("t.tsv", "0:0"): "four"}
+
+
+def test_pairs_with_fuzzy_names(spark, tmp_path):
+    items = [{"Type": "framing", "Biased Prompt": " b ", "Neutral": "u"}, {"biased": "b", "unbiased": "u", "valid": False}, {"biased": "b", "unbiased": " "}, {"unbiased_text": "v", "text biased": "w", "valid": True}]
+    (tmp_path / "l.json").write_text(json.dumps(items))
+    assert [(r.place, r.bias, r.biased, r.unbiased) for r in S.paired_lists(spark, str(tmp_path)).orderBy("place").collect()] == [(0, "framing", "b", "u"), (3, "unknown", "w", "v")]
+    table = spark.createDataFrame([("b", "u", "False"), ("c", "d", "true")], "biased string, unbiased string, valid string")
+    assert [tuple(r) for r in S.paired_table(table).collect()] == [("unknown", "d", "c")] and S.paired_table(table).columns == ["bias", "unbiased", "biased"]
+
+
+def test_data_models_of_names(spark):
+    d = spark.createDataFrame([("1_x.model=m1.bias_warning=True.data_model_list=['b', 'a'].json",)], "file string")
+    r = S.name_flags(d, L.strategies(spark)).first()
+    assert r.data_models == ["a", "b"] and r.strategy == "BW"
+
+
+def test_json_lines_sink(spark, tmp_path):
+    S.write_jsonl(spark.createDataFrame([(1, "x")], "a long, b string"), str(tmp_path / "o"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "o")).collect()] == [(1, "x")]
