@@ -1,4 +1,7 @@
+import hashlib
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +102,92 @@ def test_spans_and_ids(spark):
     assert r.s == ["surely", ", right?"] and r.l == "it, right?"
     ids = P.dense_ids(spark.range(100).withColumn("v", -F.col("id")), ["v"], "n").collect()
     assert all(x.n == 99 - x.id for x in ids)
+
+
+def value(spark, f, *args):
+    names = [f"a{i}" for i in range(len(args))]
+    return spark.createDataFrame([tuple(map(float, args))], ", ".join(f"{n} double" for n in names)).select(f(*names)).first()[0]
+
+
+def test_published_tests_of_pairs(spark):
+    """40 pairs: 16 to 11 with 19 that change gives p 0.359, 16 to 12 with 12 that change gives p 0.386."""
+    for gone, new, want in ((12, 7, 0.359), (8, 4, 0.386)):
+        statistic = spark.createDataFrame([(float(gone), float(new))], "b double, c double").select(stats.mcnemar(F.col("b"), F.col("c"))).first()[0]
+        assert round(value(spark, stats.chi2_p, statistic), 3) == want
+
+
+def test_p_values_against_counting(spark):
+    rng = random.Random(1)
+    for x1, t1, x0, t0 in ((3, 100, 0, 100), (1, 50, 4, 200), (2, 10, 2, 10), (5, 30, 0, 90)):
+        n, q = x1 + x0, t1 / (t1 + t0)
+        mass = {k: 0.0 for k in range(n + 1)}
+        for hits in itertools.product((0, 1), repeat=n):
+            mass[sum(hits)] += math.prod(q if h else 1 - q for h in hits)
+        want = sum(m for m in mass.values() if m <= mass[x1] * (1 + 1e-7))
+        assert math.isclose(value(spark, stats.exact_rate_p, x1, t1, x0, t0), min(1, want), rel_tol=1e-9)
+    # The score test's normal tail against drawn splits of the same total.
+    drawn = [sum(rng.random() < 0.5 for _ in range(60)) for _ in range(20_000)]
+    far = sum(abs(d - 30) >= 7.5 for d in drawn) / len(drawn)
+    assert abs(value(spark, stats.score_rate_p, 38, 100, 22, 100) - far) < 0.02
+    # Mann-Whitney with ties and larger groups: shuffles of the pooled values.
+    pool, n1 = [i // 2 for i in range(40)], 18
+    ties = sum(pool.count(v) ** 3 - pool.count(v) for v in set(pool))
+    rank = {v: sum(x < v for x in pool) + (pool.count(v) + 1) / 2 for v in set(pool)}
+    u = lambda s: sum(rank[v] for v in s) - n1 * (n1 + 1) / 2
+    mid = n1 * (40 - n1) / 2
+    seen = [abs(u(rng.sample(pool, n1)) - mid) for _ in range(8000)]
+    assert abs(value(spark, stats.mann_whitney_p, mid + 60, n1, 40 - n1, ties) - sum(x >= 60 for x in seen) / len(seen)) < 0.02
+
+
+def test_bootstrap_against_resampling(spark):
+    rows = [(0, 0)] * 9 + [(1, 0)] * 12 + [(0, 1)] * 5 + [(1, 1)] * 14
+    df = spark.createDataFrame([("m", a, b) for a, b in rows], "model string, a int, b int")
+    got = E.bootstrap_means(df, "model", "a", "b").first()
+    rng = random.Random(2)
+    means = sorted(sum(a - b for a, b in rng.choices(rows, k=40)) / 40 for _ in range(4000))
+    assert abs(got.difference_low - means[100]) < 0.04 and abs(got.difference_high - means[-101]) < 0.04
+
+
+def test_rates_without_cues_and_overdispersed(spark):
+    """Scaled errors where counts spread more than a Poisson's, and the closed form where they don't."""
+    rows = [("s", i % 2 == 0, 100, (0 if i % 4 < 2 else 20) if wide else 10) for wide in (True,) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, flag boolean, tokens int, feat_x int")
+    r = E.cue_effects(df, "g", "flag", ["x"], "tokens").first()
+    assert math.isclose(r.effect, 0, abs_tol=1e-9) and r.se > 1.5 * math.sqrt(2 / 200)
+
+
+def test_two_step_and_instructions(spark):
+    from pairlens.operators import scoring as S
+
+    asked = spark.createDataFrame([("k1", "q1"), ("k2", "q2")], "key string, prompt string")
+    scorer = lambda d: d.select("key", F.concat(F.lit("Best practices:\n- "), "prompt").alias("answer"))
+    build = lambda d: d.withColumn("prompt", F.concat(F.lit("again "), F.coalesce("cues", F.lit("none"))))
+    got = {r.key: r.answer for r in S.two_step(asked, "key", scorer, build).collect()}
+    assert got["k1"].startswith("Best practices:\n- again") and set(got) == {"k1", "k2"}
+    rules = [("warn", "Beware.", True), ("last", "Be short.", False)]
+    said = spark.createDataFrame([(["last", "warn"],), (["last"],), ([],)], "flags array<string>").select(P.instructions(F.col("flags"), rules, "Answer.")).collect()
+    assert [r[0] for r in said] == ["Beware.\nAnswer.\nBe short.", "Answer.\nBe short.", "Answer."]
+
+
+def test_running_totals_and_places(spark):
+    from pairlens.operators.shared import places_by_hash, running_total
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, n int")
+    want = {(k, i): sum(n for q, j, n in rows if q == k and j < i) for k, i, _ in rows}
+    assert {(r.k, r.i): r.before for r in running_total(df, ["k"], "i", "n", "before").collect()} == want
+    places = {}
+    for r in places_by_hash(df, ["k"], F.md5(F.col("i").cast("string")), "i").collect():
+        places.setdefault(r.k, []).append((r._place, hashlib.md5(str(r.i).encode()).hexdigest()))
+    for found in places.values():
+        assert [p for p, _ in sorted(found)] == list(range(1, len(found) + 1)) and [h for _, h in sorted(found)] == sorted(h for _, h in found)
+
+
+def test_report_tables(spark):
+    from pairlens.operators import reports as O
+
+    assert O.stamped(spark.range(1)).first().processed_at.endswith("Z")
+    top = O.top_k_filled(spark.createDataFrame([(1,), (2,)], "q int"), spark.createDataFrame([("a",), ("b",), ("c",)], "d string"), spark.createDataFrame([(1, "c", 0.5)], "q int, d string, score double"), "q", "d", [], 2)
+    assert sorted((r.q, r.place, r.d, r.score) for r in top.collect()) == [(1, 0, "c", 0.5), (1, 1, "a", 0.0), (2, 0, "a", 0.0), (2, 1, "b", 0.0)]
+    assert O.without_sources(spark.createDataFrame([("Src1",), (None,), ("x",)], "s string"), "s", "src").count() == 2
