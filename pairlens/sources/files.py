@@ -159,8 +159,9 @@ def first_prompt(df: DataFrame, keys: tuple[str, ...] = PROMPT_KEYS) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.col(k).cast("string")), F.lit("")) for k in have]) if have else F.lit(None).cast("string")
 
 
-def _prompts(value, keys: tuple[str, ...]):
-    """Prompts of nested JSON in order: strings under ``keys``, of messages only those of asking roles."""
+def _prompts(value, keys: tuple[str, ...], whatever_role: bool = False):
+    """Prompts of nested JSON in order: strings under ``keys``; messages of other roles than asking ones are left out with
+    all that they hold, unless ``whatever_role``."""
     todo = [value]
     while todo:
         v = todo.pop()
@@ -170,21 +171,21 @@ def _prompts(value, keys: tuple[str, ...]):
             role = v.get("role", v.get("from", v.get("author")))
             if isinstance(role, dict):
                 role = role.get("role")
-            if role is None or str(role).lower() in ASKING_ROLES:
+            if whatever_role or role is None or str(role).lower() in ASKING_ROLES:
                 yield from (v[k].strip() for k in keys if isinstance(v.get(k), str) and v[k].strip())
-            todo += reversed([x for x in v.values() if isinstance(x, (dict, list))])
+                todo += reversed([x for x in v.values() if isinstance(x, (dict, list))])
 
 
 @udtf(returnType="pos int, prompt string")
 class ExtractPrompts:
     """Distinct prompts of a JSON text, in order. Text that is no JSON has none."""
 
-    def eval(self, text: str):
+    def eval(self, text: str, whatever_role: bool):
         try:
             value = json.loads(text or "")
         except ValueError:
             return
-        for i, p in enumerate(dict.fromkeys(_prompts(value, PROMPT_KEYS))):
+        for i, p in enumerate(dict.fromkeys(_prompts(value, PROMPT_KEYS, whatever_role))):
             yield i, p
 
 
@@ -230,12 +231,15 @@ def table_prompts(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(out, ["_block", "_at"]).where("prompt IS NOT NULL").select("file", "line", "prompt")
 
 
-def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts of .json, .jsonl, .csv and .tsv files: file (below ``path``), idx, prompt. A line or row is a document of its own."""
+def corpus(spark: SparkSession, path: str, legacy_recursive: bool = False) -> DataFrame:
+    """Prompts of .json, .jsonl, .csv and .tsv files: file (below ``path``), idx, prompt. A line or row is a document of its own.
+
+    Of messages only those of asking roles count, unless ``legacy_recursive``.
+    """
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     documents = sound(whole.select(relative_path(spark, path).alias("file"), "value")).select("file", F.lit(0).cast("long").alias("line"), "value")
     rows = documents.unionByName(sound(json_lines(spark, path)).select("file", "line", "value"))
-    found = rows.lateralJoin(ExtractPrompts(F.col("value").outer())).select("file", F.concat_ws(":", "line", "pos").alias("idx"), "prompt")
+    found = rows.lateralJoin(ExtractPrompts(F.col("value").outer(), F.lit(legacy_recursive))).select("file", F.concat_ws(":", "line", "pos").alias("idx"), "prompt")
     return found.unionByName(table_prompts(spark, path).select("file", F.concat_ws(":", "line", F.lit(0)).alias("idx"), "prompt"))
 
 

@@ -88,3 +88,10 @@ def test_data_models_of_names(spark):
 def test_json_lines_sink(spark, tmp_path):
     S.write_jsonl(spark.createDataFrame([(1, "x")], "a long, b string"), str(tmp_path / "o"))
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "o")).collect()] == [(1, "x")]
+
+
+def test_roles_at_any_depth(spark, tmp_path):
+    talk = {"messages": [{"role": "user", "content": "ask"}, {"role": "assistant", "content": "tell", "parts": [{"text": "inner"}]}]}
+    (tmp_path / "a.json").write_text(json.dumps(talk))
+    assert [r.prompt for r in S.corpus(spark, str(tmp_path)).collect()] == ["ask"]
+    assert [r.prompt for r in S.corpus(spark, str(tmp_path), legacy_recursive=True).orderBy("idx").collect()] == ["ask", "tell", "inner"]
