@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 import sys
@@ -18,58 +17,73 @@ from .common import materialize
 WINDOW, END = 2048, 1
 #: Pieces that one task packs, about; a task's leftover room is that of one window in some hundreds.
 BUCKET = 16_384
-#: Characters whose classes all versions of Unicode share, of which both tokenizer libraries make the same parts.
-_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027]*")
+#: A blank between two characters that no version of Unicode takes for white space.
+_BLANK = re.compile(" (?<={0} )(?={0})".format(r"[^\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]"))
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizer file of `tokenizers`, as little-endian 32-bit bytes.
+    """Ids of texts by a file of `tokenizers`, as little-endian 32-bit bytes.
 
-    With ``ranks``, the same vocabulary as a `tiktoken` file, and ``pattern``, what it cuts texts by, the ids are the same
-    in a third of the time: texts of ``_PLAIN`` characters without a special token's string or a part of over ``LONG``
-    bytes are coded by these, the others by `tokenizers`. Without them, all are.
+    A byte-level tokenizer starts a new part at each ``_BLANK``, so the ids of a text are those of its words, one after
+    the other; the ids of words of up to ``kept`` characters together are kept, and a long text is cut into stretches of
+    about ``stretch`` characters. A text that holds the string of a special token is coded whole, and so is every text
+    where the tokenizer is of another kind.
     """
 
-    LONG = re.compile(r"[^\s]{2000}|\s{2000}")
-
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str, kept: int = 1 << 23, stretch: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.fast = Tokenizer.from_file(path), None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if ranks:
-            import tiktoken
+        from tokenizers import Tokenizer, pre_tokenizers
 
-            with open(ranks, "rb") as f:
-                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=known, special_tokens={}).encode_ordinary
+        t = self.tokenizer = Tokenizer.from_file(path)
+        plain = t.normalizer is None and t.truncation is None and t.padding is None
+        cut = t.pre_tokenizer
+        self.by_words = plain and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        self.special = [token.content for token in t.get_added_tokens_decoder().values()]
+        self.known, self.held, self.kept, self.stretch = {}, 0, kept, stretch
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self.fast is not None and _PLAIN.fullmatch(t) and not any(s in t for s in self.special) and not self.LONG.search(t) for t in texts]
-        coded = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+    def whole(self, texts: list[str]) -> list[bytes]:
         out = []
-        for text, ranked in zip(texts, plain, strict=True):
-            ids = array("I", self.fast(text) if ranked else next(coded).ids)
+        for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = array("I", coded.ids)
             if sys.byteorder == "big":
                 ids.byteswap()
             out.append(ids.tobytes())
         return out
 
+    def stretches(self, text: str):
+        low = 0
+        while len(text) - low > self.stretch and (cut := _BLANK.search(text, low + self.stretch)):
+            yield text[low : cut.start()]
+            low = cut.start()  # the next stretch begins with the blank
+        yield text[low:]
+
+    def words(self, text: str) -> bytes:
+        head, *words = _BLANK.split(text)
+        new = [w for w in set(words) if w not in self.known]
+        if self.held > self.kept:
+            self.known, self.held, new = {}, 0, list(set(words))
+        self.held += sum(map(len, new))
+        head, *ids = self.whole([head, *(f" {w}" for w in new)])
+        self.known.update(zip(new, ids, strict=True))
+        return head + b"".join(map(self.known.__getitem__, words))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(map(self.words, self.stretches(t))) if self.by_words and not any(s in t for s in self.special) else self.whole([t])[0] for t in texts]
+
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(*files: str | None) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The encoder of this worker process: a function of the module, so that its tasks share it."""
-    if files not in _encoders:
-        _encoders[files] = Encoder(*files)
-    return _encoders[files]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def _pieces(files: tuple, window: int, end: int):
+def _pieces(tokenizer: str, window: int, end: int):
     def cut(batches):
-        encode = encoder(*files)
+        encode = encoder(tokenizer)
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part, out = batch.slice(low, 64), []
@@ -152,18 +166,18 @@ def _pack(window: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of at most ``window`` tokens by best-fit decreasing.
 
-    A document is its text's ids by the tokenizer file ``tokenizer`` (``ranks`` and ``pattern``: see ``Encoder``), then
-    ``end``; a null text is empty, so its one token is ``end``. What exceeds a window is first cut into full windows, which are sequences of their own. The
+    A document is its text's ids by the file ``tokenizer`` of `tokenizers`, then ``end``; a null text is empty, so its
+    one token is ``end``. What exceeds a window is first cut into full windows, which are sequences of their own. The
     rest are dealt by hash to buckets of about ``BUCKET`` pieces, and each bucket is packed alone, so no task sees
     all. Ties go by doc_id; repeated rows are documents of their own. Reruns agree. Other columns are ignored.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, all long; a sequence_id is its
     bucket times 2^40 plus a number in it.
     """
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces((tokenizer, ranks, pattern), window, end), kinds))
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, end), kinds))
     buckets = max(1, pieces.count() // BUCKET)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     dealt = pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32")

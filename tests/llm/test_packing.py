@@ -11,15 +11,25 @@ from pairlens.llm import packing
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-FILES = (PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def test_codes_are_those_of_the_file():
-    t, e, rng = Tokenizer.from_file(PATH), packing.Encoder(*FILES), random.Random(2)
+    t, e, rng = Tokenizer.from_file(PATH), packing.Encoder(PATH), random.Random(2)
     parts = ["a", " ", "\n", "'s", ".", ", ", ". ", ",", "1", "é", "　", "日", "\t", "_", "\x01", "\x85", "\xa0", "²", "ª", "<|endoftext|>", "Word", " the", "\r\n", "\x1c"]
     texts = ["", " ", "a ", "x\n\ny", "x" * 100_000, " " * 5000, "!" * 5000] + [a + b + c for a in "a1 !" for b in map(chr, [*range(0x250), *range(0x2010, 0x2028)]) for c in " b"]
     texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["".join(map(chr, rng.choices(range(0x250), k=40))) for _ in range(2000)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    texts += [" ".join(rng.choice(parts) + rng.choice(["", "word", "日本", "x\u0301", "\U0001f600"]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    texts += [chr(p) + " " + chr(q) for p in range(0x3100) for q in (p, 97)]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert e.by_words and [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == want
+    small = packing.Encoder(PATH, kept=50, stretch=10)  # forgets often, cuts nearly every text
+    assert [np.frombuffer(x, "<u4").tolist() for x in small(texts)] == want
+
+
+def test_other_tokenizers_code_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e, texts = Tokenizer.from_file(path), packing.Encoder(path), ["A b  c", "", "Word word's"]
+    assert not e.by_words and [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_best_fit_against_scan():
@@ -45,7 +55,7 @@ def check(docs, rows):
         for at in range(0, len(ids), 2048):
             piece = ids[at : at + 2048]
             left[(r.doc_id, at, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids))] += 1
-    got = packing.pack_documents(docs, *FILES).collect()
+    got = packing.pack_documents(docs, PATH).collect()
     sequences = defaultdict(list)
     for r in got:
         left[(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)] -= 1
