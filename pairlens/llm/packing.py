@@ -17,8 +17,10 @@ from .common import materialize
 WINDOW, END = 2048, 1
 #: Pieces that one task packs, about; a task's leftover room is that of one window in some hundreds.
 BUCKET = 16_384
-#: A blank between two characters that no version of Unicode takes for white space.
-_BLANK = re.compile(" (?<={0} )(?={0})".format(r"[^\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]"))
+#: Characters that no version of Unicode takes for white space, and a blank between two of them.
+_SOLID = r"[^\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]"
+_BLANK = re.compile(" (?<={0} )(?={0})".format(_SOLID))
+_WORD = re.compile(f"{_SOLID}+")
 
 
 class Encoder:
@@ -26,7 +28,8 @@ class Encoder:
 
     A byte-level tokenizer starts a new part at each ``_BLANK``, so the ids of a text are those of its words, one after
     the other; the ids of words of up to ``kept`` characters together are kept, and a long text is cut into stretches of
-    about ``stretch`` characters. A text that holds the string of a special token is coded whole, and so is every text
+    about ``stretch`` characters. New words are coded as one text, of which a word begins at each token that begins with
+    a blank. A text that holds the string of a special token is coded whole, and so is every text
     where the tokenizer is of another kind.
     """
 
@@ -38,6 +41,9 @@ class Encoder:
         plain = t.normalizer is None and t.truncation is None and t.padding is None
         cut = t.pre_tokenizer
         self.by_words = plain and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        vocabulary = t.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a blank
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.special = [token.content for token in t.get_added_tokens_decoder().values()]
         self.known, self.held, self.kept, self.stretch = {}, 0, kept, stretch
 
@@ -57,15 +63,23 @@ class Encoder:
             low = cut.start()  # the next stretch begins with the blank
         yield text[low:]
 
+    def learn(self, words: list[str]) -> None:
+        solid = [w for w in words if _WORD.fullmatch(w)]
+        ids = self.whole([f" {' '.join(solid)}"])[0] if solid else b""
+        starts = (4 * np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])).tolist()
+        if len(starts) == len(solid):
+            self.known.update(zip(solid, map(ids.__getitem__, map(slice, starts, [*starts[1:], len(ids)])), strict=True))
+            words = [w for w in words if w not in self.known]
+        self.known.update(zip(words, self.whole([f" {w}" for w in words]), strict=True))
+
     def words(self, text: str) -> bytes:
         head, *words = _BLANK.split(text)
-        new = [w for w in set(words) if w not in self.known]
+        new = set(words).difference(self.known)
         if self.held > self.kept:
-            self.known, self.held, new = {}, 0, list(set(words))
+            self.known, self.held, new = {}, 0, set(words)
         self.held += sum(map(len, new))
-        head, *ids = self.whole([head, *(f" {w}" for w in new)])
-        self.known.update(zip(new, ids, strict=True))
-        return head + b"".join(map(self.known.__getitem__, words))
+        self.learn(list(new))
+        return self.whole([head])[0] + b"".join(map(self.known.__getitem__, words))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self.words, self.stretches(t))) if self.by_words and not any(s in t for s in self.special) else self.whole([t])[0] for t in texts]

@@ -22,6 +22,9 @@ def test_codes_are_those_of_the_file():
     texts += [chr(p) + " " + chr(q) for p in range(0x3100) for q in (p, 97)]
     want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
     assert e.by_words and [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == want
+    e.opens[:] = False  # beginnings that can't be told: each word by itself
+    e.known = {}
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == want
     small = packing.Encoder(PATH, kept=50, stretch=10)  # forgets often, cuts nearly every text
     assert [np.frombuffer(x, "<u4").tolist() for x in small(texts)] == want
 
