@@ -76,7 +76,7 @@ def densify(facts: DataFrame, keys: list[str], column: str, values: list[str]) -
     return grid.join(facts, [*keys, column], "left")
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, family: list[str], out: str = "q", missing: float | None = None, many: bool = False) -> DataFrame:
+def benjamini_hochberg(tests: DataFrame, p: str, family: list[str], out: str = "q", missing: float | None = None) -> DataFrame:
     """Add ``out``, false-discovery adjusted ``p`` within each family; null p has null q, or counts as ``missing``.
 
     ``family`` may be empty: one family of all tests (a row for each test, not for each observation).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L, stats
-from pairlens.operators import classify as C, rates as R, scoring as S, similarity as M, tests as E
+from pairlens.operators import classify as C, rates as R, scoring as S, similarity as M, inference as E
 from pairlens.operators.shared import scratch
 from pairlens.plans.outcomes import FACTS, facts, read, rounded, runs, tiered
 from pairlens.sources import files

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L, text as T
-from pairlens.operators import pairs as P, rates as R, reports as O, scoring as S, similarity as M, tests as E
+from pairlens.operators import pairs as P, rates as R, reports as O, scoring as S, similarity as M, inference as E
 from pairlens.operators.shared import scratch
 from pairlens.plans.outcomes import FACTS, RUNS, STRATEGY_ORDER, facts, read, rounded, runs, tiered
 from pairlens.plans.texts import _MAP, _TF, tfidf_map

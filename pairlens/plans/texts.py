@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import text as T
-from pairlens.operators import pairs as P, rates as R, scoring as S, similarity as M, tests as E
+from pairlens.operators import pairs as P, rates as R, scoring as S, similarity as M, inference as E
 from pairlens.plans.outcomes import read, rounded
 from pairlens.sources import files
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.functions import labels as L, stats, text as T
-from pairlens.operators import pairs as P, rates as R, similarity as M, tests as E
+from pairlens.operators import pairs as P, rates as R, similarity as M, inference as E
 
 
 def one(spark, column, **values):
