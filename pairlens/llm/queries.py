@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, media, mixing, neardup, ngram_join, packing, sharding, suffix, warc
+from . import chat, langid, media, mixing, neardup, ngram_join, packing, periodic, sharding, suffix, swap_packing, warc, whitening
 from .common import table
 
-#: The tokenizer file whose ids op10 packs.
+#: The tokenizer file whose ids op10 and op11 pack.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -59,7 +59,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_mixing, op4_flac_media, op5_language_id, op6_embedding_near_duplicates, op7_chat_formatting, op8_suffix_dedup, op9_warc_derivatives, op10_packing)}
+def op11_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swap_packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect_runs(table(spark, sf_dir, "documents"), turn=True, full=False)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_mixing, op4_flac_media, op5_language_id, op6_embedding_near_duplicates, op7_chat_formatting, op8_suffix_dedup, op9_warc_derivatives, op10_packing, op11_swap_packing, op12_periodic_runs, op13_whitening)}
 
 _UUID = "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'"
 

@@ -18,6 +18,9 @@ COLUMNS = {
     "op5_language_id": ("documents", "doc_id held_out lang_pred score"),
     "op8_suffix_dedup": ("documents", "doc_id n_bytes n_removed n_spans kept_sha256"),
     "op10_packing": (None, "doc_id start length ids_crc32 doc_tokens sequence_id offset"),
+    "op11_swap_packing": (None, "doc_id piece start length ids_crc32 sequence_id offset"),
+    "op12_periodic_runs": ("documents", "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"),
+    "op13_whitening": (None, "vec_id component n deviation whitened explained identity_error"),
 }
 
 
@@ -40,8 +43,9 @@ def test_columns_and_rows(spark, duck, name):
     table, columns = COLUMNS[name]
     df = queries.QUERIES[name](spark, SF)
     assert set(columns.split()) <= set(df.columns)
-    got = [r.doc_id for r in df.collect()]
-    ids = sorted(r[0] for r in duck.sql("SELECT doc_id FROM documents").fetchall())
+    ident = df.columns[0]
+    got = [r[ident] for r in df.collect()]
+    ids = sorted(r[0] for r in duck.sql(f"SELECT {ident} FROM {'documents' if ident == 'doc_id' else 'embeddings'}").fetchall())
     assert (sorted(got) if table else sorted(set(got))) == ids
 
 
