@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import WORD, gapless_rank, materialize
 
-#: The knapsack's capacity in words, the words beyond which a document is long, and how many of a size are left to choose from.
+#: The knapsack's capacity in words, the words beyond which a document is long, and how many of a size are left to choose
+#: from; parts of the program over all sizes: at most, at least, and in all its steps together.
 CAPACITY, LONG, SPARE = 65_536, 16_384, 3
+PARTS, FEWEST, STEPS = 1 << 21, 1 << 17, 1 << 29
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -32,32 +34,46 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return d.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _long(sizes: np.ndarray, counts: np.ndarray, rest: int, short: int) -> np.ndarray:
-    """How many documents of each size to take so that what is then left of ``rest`` is nearest to 0 to ``short`` words.
+def _halves(counts: np.ndarray) -> list[tuple[int, int]]:
+    """(place, k) for parts 1, 2, 4, ... of each count, of which any number of documents of a size is a sum."""
+    out = []
+    for i, many in enumerate(counts.tolist()):
+        k = 1
+        while many > 0:
+            out.append((i, min(k, many)))
+            many, k = many - k, 2 * k
+    return out
 
-    A bounded-knapsack dynamic program over sums up to twice ``rest``, of which one is kept for each ``CAPACITY``-th part
-    of ``rest``: sums are exact, and of those that lie closer together than that one stands for all.
+
+def _nearest(sizes: np.ndarray, counts: np.ndarray, budget: int, floor: int = 0) -> np.ndarray:
+    """How many documents of each size to take so that their sum is nearest to ``budget``, by one program over all sizes.
+
+    A bounded-knapsack dynamic program over sums up to twice ``budget``, long sizes first. Sums are exact; one is kept for
+    each part of that range, of which there are ``PARTS``, or for many sizes ``STEPS`` by their number, ``FEWEST`` at
+    least. So budgets of up to half as many words are met as well as can be. It ends at a sum ``floor`` off.
     """
-    part, items, out = -(-rest // CAPACITY), [], np.zeros(len(sizes), np.int64)
-    held, via = np.full(2 * rest // part + 1, -1, np.int64), np.full(2 * rest // part + 1, -1, np.int64)
-    held[0] = 0
-    off = lambda sums: np.maximum(sums - rest, 0) + np.maximum(rest - short - sums, 0)
-    near = int(off(held[:1])[0])
-    for i, (size, many) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
-        k = 1
-        while many > 0 and near >= part:
-            k = min(k, many)
-            sums = held[held >= 0] + k * size
-            sums = sums[sums <= 2 * rest]
-            sums = sums[held[sums // part] < 0]
-            if len(sums):
+    out, down = np.zeros(len(sizes), np.int64), np.argsort(-sizes, kind="stable")
+    items = [(int(down[i]), k) for i, k in _halves(counts[down]) if 0 < sizes[down[i]] * k <= 2 * budget]
+    if budget <= 0 or not items:
+        return out
+    part = -(-(2 * budget + 1) // max(FEWEST, min(PARTS, STEPS // len(items))))
+    held = np.full(2 * budget // part + 1, -1, np.int64)
+    via = np.full(len(held), -1, np.int32)
+    held[0], known, best = 0, np.zeros(1, np.int64), (budget, 0)
+    for n, (i, k) in enumerate(items):
+        sums = known + k * int(sizes[i])
+        sums = sums[sums <= 2 * budget]
+        sums = sums[held[sums // part] < 0]
+        if len(sums):
+            if part > 1:
                 sums = sums[np.unique(sums // part, return_index=True)[1]]
-                held[sums // part], via[sums // part] = sums, len(items)
-                near = min(near, int(off(sums).min()))
-            items.append((i, k))
-            many, k = many - k, 2 * k
-    sums = held[held >= 0]
-    at = int(sums[off(sums).argmin()])
+            held[sums // part], via[sums // part] = sums, n
+            known = np.concatenate([known, sums])
+            at = int(np.abs(sums - budget).argmin())
+            best = min(best, (abs(int(sums[at]) - budget), int(sums[at])))
+            if best[0] <= floor:
+                break
+    at = best[1]
     while at:
         i, k = items[via[at // part]]
         out[i] += k
@@ -65,59 +81,56 @@ def _long(sizes: np.ndarray, counts: np.ndarray, rest: int, short: int) -> np.nd
     return out
 
 
+def _filled(sizes: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
+    """Documents of up to ``LONG`` words, the longest first, until ``CAPACITY`` words are left; then the nearest sum of what is left."""
+    take = np.zeros(len(sizes), np.int64)
+    for i in np.argsort(-sizes, kind="stable"):
+        if rest <= CAPACITY:
+            break
+        if 0 < sizes[i] <= LONG:
+            take[i] = min(int(left[i]), (rest - CAPACITY) // int(sizes[i]) + 1)
+            rest -= int(take[i] * sizes[i])
+    return take + _nearest(sizes, left - take, rest) if 0 < rest <= CAPACITY else take
+
+
+def _loosened(sizes: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """``take`` without its shortest documents, of which about a quarter of ``PARTS`` words are taken back."""
+    out, words = take.copy(), 0
+    for i in np.argsort(sizes, kind="stable"):
+        if words >= PARTS // 4 or sizes[i] > PARTS // 4:
+            break
+        if sizes[i] > 0:
+            back = min(int(out[i]), -(-(PARTS // 4 - words) // int(sizes[i])))
+            out[i] -= back
+            words += back * int(sizes[i])
+    return out
+
+
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take, none twice, so that their sum comes nearest to ``budget``.
 
-    First each size's proportional part but for ``SPARE`` documents; then, where more than ``CAPACITY`` words are left, documents of over ``LONG``
-    words by the dynamic program of ``_long`` and the longest of the others, until at most ``CAPACITY`` are left;
-    then a bounded-knapsack dynamic program over those words (counts split into powers of two). The sum of
-    distinct sizes is at most the source's, so their number is below the square root of twice that sum.
+    First each size's proportional part but for ``SPARE`` documents; of the rest the longest, until ``CAPACITY`` words
+    are left; then the bounded-knapsack program over those words. Where that does not meet the budget, as with few
+    or long documents, the program runs over all that the proportional part left, then over all documents, and at last over what the nearest
+    of these sums leaves without its shortest documents. That is the nearest there is for budgets of up to a million words, and within a 65,536th of
+    the budget of it beyond (see ``_nearest``). The sum of distinct sizes is at most the source's, so their number is below
+    the square root of twice that sum.
     """
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([max(0, int(c) * budget // total - SPARE) for c in counts], np.int64)
-    left, rest = counts - take, budget - int((sizes * take).sum())
-    down = np.argsort(-sizes, kind="stable")
-    if rest > CAPACITY:
-        long = [i for i in down if sizes[i] > LONG and left[i]]
-        some = _long(sizes[long], left[long], rest, int((sizes * left)[sizes <= LONG].sum()))
-        take[long] += some
-        left[long] -= some
-        rest -= int((sizes[long] * some).sum())
-    for i in down:
-        if rest <= CAPACITY:
-            break
-        if 0 < sizes[i] <= LONG:
-            k = min(int(left[i]), (rest - CAPACITY) // int(sizes[i]) + 1)
-            take[i] += k
-            left[i] -= k
-            rest -= k * int(sizes[i])
-    if rest <= 0 or rest > CAPACITY:
-        return take  # of the sums of long documents the nearest; there is nothing short left
-    top = 2 * rest  # a sum above the budget may be nearer than one below
-    reach, via, items = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int64), []
-    reach[0] = True
-    for i in down:
-        size, many, part = int(sizes[i]), int(left[i]), 1
-        while many > 0 and size > 0 and size <= top and not reach[rest]:
-            k = min(part, many)
-            many, part = many - k, part * 2
-            if k * size > top:
-                continue
-            new = np.zeros(top + 1, bool)
-            new[k * size :] = reach[: top + 1 - k * size]
-            new &= ~reach
-            via[new] = len(items)
-            reach |= new
-            items.append((i, k))
-    sums = np.flatnonzero(reach)
-    at = int(sums[np.abs(sums - rest).argmin()])
-    while at:
-        i, k = items[via[at]]
-        take[i] += k
-        at -= k * int(sizes[i])
-    return take
+    step = int(np.gcd.reduce(sizes))
+    floor = min(budget % step, -budget % step)  # no sum is nearer
+    off = lambda take: abs(int((take * sizes).sum()) - budget)
+    part = np.array([max(0, int(c) * budget // total - SPARE) for c in counts], np.int64)
+    rest = budget - int((sizes * part).sum())
+    best = part + _filled(sizes, counts - part, rest)
+    for begin in (lambda: part, lambda: np.zeros_like(part), lambda: _loosened(sizes, best)):
+        if off(best) > floor:
+            start = begin()
+            some = start + _nearest(sizes, counts - start, budget - int((sizes * start).sum()), floor)
+            best = min(best, some, key=off)
+    return best
 
 
 def _plan(most: int):

@@ -68,7 +68,7 @@ def test_knapsack_hits_budgets():
         budget = int(rng.integers(0, (sizes * counts).sum() * 1.2))
         take = mixing.knapsack(sizes, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
-        assert (take * sizes).sum() == min(budget, (sizes * counts).sum()) or budget < sizes.min() * 40
+        assert (take * sizes).sum() == min(budget, (sizes * counts).sum())
 
 
 def test_mix(spark):
@@ -94,15 +94,32 @@ def test_knapsack_of_documents_longer_than_its_capacity():
 def test_knapsack_of_few_long_documents():
     """Nearest sums of a few documents, by trying all."""
     assert mixing.knapsack(np.array([70_000, 200_000]), np.array([1, 1]), 190_000).tolist() == [0, 1]
+    assert mixing.knapsack(np.array([16_384, 70_000]), np.array([9, 9]), 210_000).tolist() == [0, 3]
+    assert mixing.knapsack(np.array([12_000, 90_000]), np.array([8, 4]), 180_000).tolist() == [0, 2]
     rng = np.random.default_rng(8)
-    for _ in range(60):
-        sizes = np.unique(rng.integers(1, 300_000, rng.integers(1, 6)))
-        counts = rng.integers(1, 4, len(sizes))
+    for _ in range(300):
+        sizes = np.unique(rng.integers(1, rng.choice([100, 3000, 300_000, 5_000_000]), rng.integers(1, 6)))
+        counts = rng.integers(1, 5, len(sizes))
         total = int((sizes * counts).sum())
         budget = int(rng.integers(0, total))
         take = mixing.knapsack(sizes, counts, budget)
         best = min(abs(sum(int(s) * c for s, c in zip(sizes, some, strict=True)) - budget) for some in itertools.product(*[range(c + 1) for c in counts]))
-        assert (take >= 0).all() and (take <= counts).all() and abs(int((take * sizes).sum()) - budget) <= best + 0.01 * total
+        assert (take >= 0).all() and (take <= counts).all() and abs(int((take * sizes).sum()) - budget) <= best + (budget // 65_536 if budget > 1_000_000 else 0)
+
+
+def test_knapsack_of_many_long_documents_and_of_odd_sizes():
+    rng = np.random.default_rng(9)
+    for n, top, most in ((2000, 200_000, 3), (60, 1_000_000, 3), (12_000, 20_000, 30)):
+        sizes = np.unique(rng.integers(1, top, n))
+        counts = rng.integers(1, most, len(sizes))
+        budget = int((sizes * counts).sum() * 0.41)
+        assert abs(int((mixing.knapsack(sizes, counts, budget) * sizes).sum()) - budget) <= budget // 65_536
+    sizes = np.array([1000, 3000, 7000])  # sums are whole thousands
+    assert mixing.knapsack(sizes, np.array([50, 60, 70]), 333_400) @ sizes == 333_000
+    sizes = np.append(2 * np.unique(rng.integers(1, 5000, 900)), 10_001)  # one odd size, of one document
+    counts = np.append(rng.integers(1, 30, len(sizes) - 1), 1)
+    budget = int(sizes @ counts * 0.4) | 1
+    assert mixing.knapsack(sizes, counts, budget) @ sizes == budget
 
 
 def test_same_on_any_cluster(spark, monkeypatch):
