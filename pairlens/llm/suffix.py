@@ -369,7 +369,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     wanted = materialize(found.join(repeated, "anchor").groupBy("of", "id").agg(F.collect_set("anchor").alias("repeated")))
     few = wanted.agg(F.coalesce(F.sum(F.size("repeated")), F.lit(0))).first()[0] <= SMALL
     # One document of each class is cut; where its row is repeated, its class goes whole anyway.
-    cut = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("of", "text", "repeated")
+    cut = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id")).select("of", "text", "repeated")
+    if wanted.where("id IS NULL").limit(1).count():  # rows without an id are found by the digest of their text
+        keyed = docs.where("doc_id IS NULL").mapInArrow(_keyed, "doc_id long, text string, _class binary")
+        cut = cut.unionByName(keyed.join(wanted.where("id IS NULL"), F.col("_class") == F.col("of")).select("of", "text", "repeated"))
     cut = materialize(cut.mapInArrow(_segments(length), "of binary, anchor long, same binary, low long, place int, size int, bytes binary"))
     rows = cut.where("anchor IS NOT NULL").withColumn("many", F.lit(1).cast("long"))
     hot = materialize(_volumes(rows, "anchor", "same").where(F.col("volume") > max(HOT, length)).select("anchor"))
@@ -389,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = (
 
     A window is repeated if its bytes also start anywhere else, in another document or its own; they are judged on
     the input and do not cross documents. A null text is empty here (its ``kept`` stays null). Texts below ``length``
-    bytes stay. Repeated rows remove each other. Whole texts of any length are read. Other columns are
+    bytes stay. Repeated rows remove each other; rows without a doc_id are judged like all others. Whole texts of any length are read. Other columns are
     ignored, but for those of ``keep``. Returns doc_id, what ``keep`` names, n_bytes, n_removed, n_spans (all long), kept_sha256, spans array<long> (merged, flat starts and
     ends in bytes) and kept (the remaining text; a character that a cut splits is dropped from it).
     """

@@ -108,3 +108,14 @@ def test_periodic_texts(spark):
     docs = spark.createDataFrame([(1, "a" * 1_000_000), (2, "ab" * 500_000 + text(500)), (3, "ba" * 150)], "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes - r.n_removed, r.n_spans) for r in suffix.remove_repeats(docs).collect()}
     assert got == {1: (0, 1), 2: (len(docs.where("doc_id = 2").first().text.encode()) - 1_000_000, 1), 3: (0, 1)}
+
+
+def test_rows_without_an_id(spark):
+    """Texts of null ids are cut like all others, each by its own class."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    p = text(260)
+    texts = [p + text(150), text(90) + p, text(400), text(50) + p + text(50), *[text(300)] * 2]
+    docs = spark.createDataFrame([(None if i else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs).collect())
+    assert got == Counter(brute(texts))
