@@ -154,16 +154,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph of ``edges`` (a long, b long): a row (id, component) for each id in an edge.
 
     ``component`` is the smallest id that links reach. Alternating large-star and small-star rounds, each a
-    group-by and a join; a round's edges are a table in the shared folder. Rounds grow with the logarithm of the
+    group-by and a join; a round's edges and its least neighbours are tables in the shared folder, so that the join has
+    exchanges of its own, of which Spark can split a hot id's. Rounds grow with the logarithm of the
     longest path; edges of a task are contracted before the first. Edges with a null end are left out.
     """
     now = materialize(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").mapInArrow(_contracted, "a long, b long").distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         after = materialize(small)
         row = after.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()

@@ -341,8 +341,9 @@ def tiles(rows: DataFrame, key: str, count: str, by: str, block: int) -> DataFra
 
 
 def _few(rows: DataFrame) -> DataFrame:
-    """A table of ids, to be broadcast where it is small."""
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
+    """A table of ids, to be broadcast where it is small: by its rows and the entries of its tiles."""
+    size = F.count(F.lit(1)) if "tiles" not in rows.columns else F.sum(F.size("tiles") + 1)
+    return F.broadcast(rows) if (rows.agg(size).first()[0] or 0) <= SMALL else rows
 
 
 def _minor_tiles(rows: DataFrame) -> DataFrame:
