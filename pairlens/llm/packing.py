@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
 WINDOW, END = 2048, 1
 #: Pieces that one task packs, about; a task's leftover room is that of one window in some hundreds.
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     A document is its text's ids by the file ``tokenizer`` of `tokenizers`, then ``end``; a null text is empty, so its
     one token is ``end``. What exceeds a window is first cut into full windows, which are sequences of their own. The
     rest are dealt by hash to buckets of about ``BUCKET`` pieces, and each bucket is packed alone, so no task sees
-    all. Ties go by doc_id; repeated rows are documents of their own. Reruns agree. Other columns are ignored.
+    all; a task packs one bucket after another. Ties go by doc_id; repeated rows are documents of their own. Reruns agree. Other columns are ignored.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, all long; a sequence_id is its
     bucket times 2^40 plus a number in it.
     """
@@ -194,6 +194,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, end), kinds))
     buckets = max(1, pieces.count() // BUCKET)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    dealt = pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32")
+    tasks = min(buckets, shuffle_partitions(docs.sparkSession))
+    dealt = pieces.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32")
     packed = dealt.mapInArrow(_pack(window), f"{kinds}, bucket long, bin long, offset long")
     return packed.select(*[c.split()[0] for c in kinds.split(", ")], (F.col("bucket") * F.lit(2**40) + F.col("bin")).alias("sequence_id"), "offset")

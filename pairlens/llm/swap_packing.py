@@ -227,13 +227,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     Returns doc_id, piece int, start, length, ids_crc32, doc_tokens, sequence_id, offset, all others long; the
     sequence_id of a full piece is negative, else its bucket times 2^40 plus a number in it.
     """
-    spark = docs.sparkSession
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, end), f"{kinds}, salt long"))
     names = [c.split()[0] for c in kinds.split(", ")]
     short = pieces.where(F.col("length") < window)
     buckets = max(1, short.count() // BUCKET)
-    tasks = min(buckets, max(shuffle_partitions(spark), 1))
+    tasks = min(buckets, shuffle_partitions(docs.sparkSession))
     short = short.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)))
     dealt = short.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32", "salt")
     packed = dealt.mapInArrow(_packed(window), f"{kinds}, salt long, bucket long, bin long, offset long")
