@@ -50,21 +50,22 @@ def _sums(centres):
 def spherical_kmeans(vectors: DataFrame, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centres of ``cells`` (at most ``CELLS``) cells of vectors (vec_id, embedding); all rows count in each round.
 
-    Centres begin at vectors drawn by a hash of vec_id. A round sends one sum for each cell and task.
+    Centres begin at vectors drawn by a hash of vec_id. A round sends one sum for each cell and task, and
+    the sums of all cells to the driver, as arrays.
     """
     spark = vectors.sparkSession
-    drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).select("embedding").collect()
-    centres = _unit(np.array([r[0] for r in drawn], np.float64))
+    drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).select("embedding").toArrow()
+    centres = _unit(_matrix(drawn["embedding"]))
     for _ in range(rounds if len(centres) > 1 else 0):
         shared = spark.sparkContext.broadcast(centres)
         parts = vectors.select("embedding").mapInArrow(_sums(shared), "cell long, total array<double>")
         width = centres.shape[1]
-        total = parts.groupBy("cell").agg(F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total")).collect()
-        centres = centres.copy()
-        for r in total:
-            v = np.array(r.total)
-            if np.linalg.norm(v) > 0:
-                centres[r.cell] = v / np.linalg.norm(v)
+        total = parts.groupBy("cell").agg(F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total")).toArrow()
+        if total.num_rows:
+            cell, sums = total["cell"].to_numpy(), _matrix(total["total"])
+            some = np.linalg.norm(sums, axis=1) > 0
+            centres = centres.copy()
+            centres[cell[some]] = _unit(sums[some])
         shared.unpersist()
     return centres
 
