@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def rate(k: Column, n: Column) -> Column:
@@ -117,18 +118,36 @@ def t_quantile95(df: pd.Series) -> pd.Series:
     return _each(lambda d: student_quantile(0.95, d), df)
 
 
+#: U's exact distribution is counted up to this many values; beyond it, the sum of uniform draws that it tends to.
+COUNTED_U = 1 << 22
+
+
+@lru_cache(maxsize=16)
+def _u_tail(m: int, n: int) -> np.ndarray:
+    """P(U <= u) for u from 0 to the middle, of samples of m and n values: rank sums of the m by their generating function.
+
+    Their numbers are the coefficients of the product of (1 - q^(n + i)) / (1 - q^i) over i up to m: a division is a running
+    sum in steps of i, a multiplication one shift.
+    """
+    top = m * n // 2
+    counts = np.zeros(top + 1)
+    counts[0] = 1
+    for i in range(1, m + 1):
+        rows = -(-len(counts) // i)
+        counts = np.concatenate([counts, np.zeros(rows * i - len(counts))]).reshape(rows, i).cumsum(axis=0).ravel()[: top + 1]
+        if n + i <= top:
+            counts[n + i :] -= counts[: top + 1 - n - i].copy()
+    return counts.cumsum() / float(math.comb(m + n, m))
+
+
 def exact_u_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided p-value of Mann-Whitney's U without ties, by counting rank sums."""
-    # Subsets of 0..n1+n2-1 of each size, by their sum.
-    counts = np.zeros((n1 + 1, (n1 + n2) * n1 + 1))
-    counts[0, 0] = 1
-    for j in range(n1 + n2):
-        for k in range(min(j + 1, n1), 0, -1):
-            counts[k, j:] += counts[k - 1, : counts.shape[1] - j]
-    least = n1 * (n1 - 1) // 2
-    dist = counts[n1, least : least + n1 * n2 + 1]
-    top = max(u, n1 * n2 - u)
-    return float(min(1.0, 2 * dist[int(math.ceil(top)) :].sum() / dist.sum()))
+    """Two-sided p-value of Mann-Whitney's U without ties, by counting rank sums of the smaller sample."""
+    m, n = sorted((int(n1), int(n2)))
+    low = m * n - math.ceil(max(u, m * n - u))  # as likely to be reached from below as the other from above
+    if m * n <= COUNTED_U:
+        return float(min(1.0, 2 * _u_tail(m, n)[low]))
+    x = (low + (m + 1) / 2) / (n + 1)
+    return min(1.0, 2 * math.fsum((-1) ** k * math.comb(m, k) * (x - k) ** m for k in range(int(x) + 1)) / math.factorial(m))
 
 
 @pandas_udf(DoubleType())
@@ -147,16 +166,67 @@ def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series)
     return _each(p, u, n1, n2, ties)
 
 
+def _tail(n: np.ndarray, k: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """P(X >= k) of binomial counts of n draws at q, by their masses."""
+    out, mass = np.zeros(len(n)), (1 - q) ** n
+    for j in range(int(n.max(initial=0)) + 1):
+        out += np.where((j >= k) & (j <= n), mass, 0)
+        mass = mass * np.maximum(n - j, 0) / (j + 1) * q / np.maximum(1 - q, 1e-300)
+    return out
+
+
+def exact_rates(x1: np.ndarray, t1: np.ndarray, x0: np.ndarray, t0: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p-value that two Poisson rates are equal, given their sum, and the interval of their ratio: exact, for small counts.
+
+    The first count is binomial given the sum. p adds up all counts that are no more likely than it; the interval's ends are
+    the ratios at which it lies in a tail of (1 - level) / 2, found by bisection of all rows at once. A count of 0 of the
+    first has a lower end of 0, of the second an upper end without bound.
+    """
+    x1, t1, x0, t0 = (np.asarray(v, float) for v in (x1, t1, x0, t0))
+    n, share = x1 + x0, t1 / (t1 + t0)
+    mass = [np.where(j <= n, [math.comb(int(m), j) if j <= m else 0 for m in n] * share**j * (1 - share) ** np.maximum(n - j, 0), 0) for j in range(int(n.max(initial=0)) + 1)]
+    own = np.choose(x1.astype(int), mass) if len(mass) <= 32 else np.array([mass[int(k)][i] for i, k in enumerate(x1)])
+    p = np.minimum(1, sum(np.where(m <= own * (1 + 1e-7), m, 0) for m in mass)) if mass else np.ones(len(n))
+    ends = []
+    for upper in (False, True):
+        low, high = np.zeros(len(n)), np.ones(len(n))
+        for _ in range(60):
+            q = (low + high) / 2
+            tail = 1 - _tail(n, x1 + 1, q) if upper else _tail(n, x1, q)  # falls with q above, rises below
+            inside = tail > (1 - level) / 2 if upper else tail < (1 - level) / 2
+            low, high = np.where(inside, q, low), np.where(inside, high, q)
+        q = np.where(x0 == 0, 1.0, high) if upper else np.where(x1 == 0, 0.0, low)
+        with np.errstate(divide="ignore"):
+            ends.append(q / (1 - q) * t0 / t1)
+    return p, ends[0], ends[1]
+
+
 @pandas_udf(DoubleType())
 def exact_rate_p(x1: pd.Series, t1: pd.Series, x0: pd.Series, t0: pd.Series) -> pd.Series:
     """Two-sided exact p-value that two Poisson rates are equal, given their sum."""
-
-    def p(x1: float, t1: float, x0: float, t0: float) -> float:
-        n, q = int(x1 + x0), t1 / (t1 + t0)
-        mass = [math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(n + 1)]
-        return min(1.0, sum(m for m in mass if m <= mass[int(x1)] * (1 + 1e-7)))
-
-    return _each(p, x1, t1, x0, t0)
+    have = x1.notna() & t1.notna() & x0.notna() & t0.notna()
+    out = pd.Series(np.nan, index=x1.index, dtype="float64")
+    if have.any():
+        out[have] = exact_rates(x1[have], t1[have], x0[have], t0[have])[0]
+    return out
+
+
+@pandas_udf(StructType([StructField(c, DoubleType()) for c in ("p", "low", "high")]))
+def exact_rate_test(x1: pd.Series, t1: pd.Series, x0: pd.Series, t0: pd.Series) -> pd.DataFrame:
+    """``exact_rates`` of rows whose counts are all there; nulls else."""
+    have = x1.notna() & t1.notna() & x0.notna() & t0.notna()
+    out = pd.DataFrame({"p": np.nan, "low": np.nan, "high": np.nan}, index=x1.index, dtype="float64")
+    if have.any():
+        out.loc[have, ["p", "low", "high"]] = np.column_stack(exact_rates(x1[have], t1[have], x0[have], t0[have]))
+    return out
+
+
+def score_rate_interval(x1: Column, t1: Column, x0: Column, t0: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """The ratios of two Poisson rates that the score test does not reject: the roots of its quadratic equation."""
+    b, a, c = 2 * x1 * x0 + z * z * (x1 + x0), x0 * x0, x1 * x1
+    root = F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))
+    scale = t0 / F.nullif(t1, F.lit(0.0))
+    return 2 * c / F.nullif(b + root, F.lit(0.0)) * scale, F.when(x0 > 0, (b + root) / (2 * F.nullif(a, F.lit(0.0))) * scale).otherwise(F.lit(float("inf")))
 
 
 @pandas_udf(DoubleType())

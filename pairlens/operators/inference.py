@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlens.functions import stats
 from pairlens.operators.rates import benjamini_hochberg
-from pairlens.operators.shared import running_total
+from pairlens.operators.shared import null_safe_join, running_total
 
 
 def versus_baseline(values: DataFrame, keys: list[str], column: str, baseline: str, value: str) -> DataFrame:
     """Mann-Whitney tests of each column's values against the baseline's, by ``keys``.
 
-    Values are ranked in the pool of both samples, ties by mean rank. Returns keys, column, n1, n2, u (of the column),
+    Values are ranked in the pool of both samples, ties by mean rank; medians come from the same ranked counts. Returns keys, column, n1, n2, u (of the column),
     ties (sum of t^3 - t), medians, their difference, effect (1 - 2u / (n1 n2), positive where the column is lower).
     """
     d = values.where(F.col(value).isNotNull()).select(*keys, F.col(column).alias("cell"), F.col(value).alias("v"))
@@ -23,12 +23,18 @@ def versus_baseline(values: DataFrame, keys: list[str], column: str, baseline: s
     named = cells.select(*keys, "cell").distinct()
     paired = (base.join(named, keys) if keys else base.crossJoin(named)).withColumn("own", F.lit(0).cast("long"))
     tied = own.unionByName(paired).groupBy(*keys, "cell", "v").agg(F.sum("t").alias("t"), F.sum("own").alias("own"))
-    tied = running_total(tied, [*keys, "cell"], "v", "t", "before").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
-    sums = tied.groupBy(*keys, "cell").agg(F.sum("own").alias("n1"), F.sum(F.col("t") - F.col("own")).alias("n2"), F.sum(F.col("rank") * F.col("own")).alias("r1"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
-    middle = cells.groupBy(*keys, "cell").agg(F.median("v").alias("median"))
-    least = d.where(F.col("cell") == baseline).groupBy(*keys).agg(F.median("v").alias("median_baseline"))
-    out = sums.join(middle, [*keys, "cell"])
-    out = (out.join(least, keys) if keys else out.crossJoin(least)).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
+    tied = running_total(tied.withColumn("other", F.col("t") - F.col("own")), [*keys, "cell"], "v", ["t", "own"], ["before", "own_before"])
+    tied = tied.withColumns({"rank": F.col("before") + (F.col("t") + 1) / 2, "other_before": F.col("before") - F.col("own_before")})
+    sums = tied.groupBy(*keys, "cell").agg(F.sum("own").alias("n1"), F.sum("other").alias("n2"), F.sum(F.col("rank") * F.col("own")).alias("r1"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
+
+    def middle(before: str, own: str, n: str) -> Column:
+        """The mean of the two values in the middle (of an odd number, of one)."""
+        at = lambda place: F.max(F.when((F.col(before) <= place) & (place < F.col(before) + F.col(own)), F.col("v")))
+        return (at(F.floor((F.col(n) - 1) / 2)) + at(F.floor(F.col(n) / 2))) / 2
+
+    sized = null_safe_join(tied.select(*keys, "cell", "v", "own", "other", "own_before", "other_before"), sums.select(*keys, "cell", "n1", "n2"), [*keys, "cell"])
+    middles = sized.groupBy(*keys, "cell").agg(middle("own_before", "own", "n1").alias("median"), middle("other_before", "other", "n2").alias("median_baseline"))
+    out = null_safe_join(sums, middles, [*keys, "cell"]).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     out = out.withColumns({"effect": 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2")), "delta_median": F.col("median") - F.col("median_baseline")})
     return out.withColumnRenamed("cell", column).drop("r1")
 
@@ -75,7 +81,7 @@ def cue_effects(df: DataFrame, group: str, flag: str, features: list[str], token
 
     ``method``: "poisson" (log rate ratio), "logit" (log-odds difference), "glm" (Poisson regression on the flag with a
     token offset and robust errors, in closed form) or "auto" (glm, scaled errors where overdispersed, and for totals
-    below 20 the exact or score test). A zero count in a group falls back to "poisson".
+    below 20 p and interval of the exact or score test, see ``small_count_tests``). A zero count in a group falls back to "poisson".
     """
     sums = cue_sums(df, group, flag, features, tokens)
     both = sums.where(F.col(flag)).alias("a").join(sums.where(~F.col(flag)).alias("b"), [group, "feature"])
@@ -93,14 +99,14 @@ def cue_effects(df: DataFrame, group: str, flag: str, features: list[str], token
     if method == "auto":
         glm_se = F.when(phi > 1.5, F.sqrt(phi * (1 / some["a"] + 1 / some["b"]))).otherwise(glm_se)
     positive = (x1 > 0) & (x0 > 0)
-    small = (x1 + x0 < 20) if method == "auto" else F.lit(False)
+    few = positive & (x1 + x0 < 20) if method == "auto" else F.lit(False)
     if method == "poisson":
         effect, se = wald, wald_se
     elif method == "logit":
         effect, se = odds, odds_se
     else:
-        effect = F.when(positive & ~small, F.log(rates["a"] / rates["b"])).otherwise(wald)
-        se = F.when(positive & ~small, glm_se).otherwise(wald_se)
+        effect = F.when(few, F.log(x1 / t1) - F.log(x0 / t0)).when(positive, F.log(rates["a"] / rates["b"])).otherwise(wald)
+        se = F.when(positive & ~few, glm_se).otherwise(wald_se)
     out = both.where((t1 >= min_tokens) & (t0 >= min_tokens) & (x1 + x0 > 0)).select(
         group, "feature", effect.alias("effect"), se.alias("se"), F.col("a.x").alias("count_flagged"), F.col("b.x").alias("count_other"), F.col("a.tokens").alias("tokens_flagged"), F.col("b.tokens").alias("tokens_other"),
         (1000 * x1 / F.nullif(t1, F.lit(0.0))).alias("rate_flagged_per_1k"), (1000 * x0 / F.nullif(t0, F.lit(0.0))).alias("rate_other_per_1k"),
@@ -109,15 +115,39 @@ def cue_effects(df: DataFrame, group: str, flag: str, features: list[str], token
     out = out.withColumns({"z": z, "ci_low": F.col("effect") - 1.96 * F.col("se"), "ci_high": F.col("effect") + 1.96 * F.col("se"), "direction": F.when(F.col("effect") > 0, "more").otherwise("less")})
     if not p_values:
         return out
-    p = stats.normal_p("z")
+    out = out.withColumn("p", stats.normal_p("z"))
     if method == "auto":
-        total, args = F.col("count_flagged") + F.col("count_other"), [F.col(k).cast("double") for k in ("count_flagged", "tokens_flagged", "count_other", "tokens_other")]
-        few = stats.exact_rate_p(*[F.when(total <= 5, a) for a in args])
-        p = F.coalesce(few, stats.score_rate_p(*[F.when((total > 5) & (total < 20), a) for a in args]), p)
-    out = benjamini_hochberg(out.withColumn("p", p), "p", [], "q", missing=1.0)
+        out = small_count_tests(out, ["count_flagged", "tokens_flagged", "count_other", "tokens_other"], F.col("count_flagged") + F.col("count_other") < 20)
+    out = benjamini_hochberg(out, "p", [], "q", missing=1.0)
     return out.withColumn("significant", F.col("q") < 0.05)
 
 
+def small_count_tests(effects: DataFrame, counts: list[str], small: Column) -> DataFrame:
+    """Put p and the interval ci_low to ci_high of log rate ratios right where ``small`` holds and both counts are above 0:
+    by the exact conditional test for totals of up to 5, by the score test beyond. se is then the interval's half width over 1.96.
+
+    ``counts`` names count and tokens of one group, then of the other.
+    """
+    args = [F.col(c).cast("double") for c in counts]
+    total, both = args[0] + args[2], (args[0] > 0) & (args[2] > 0)
+    out = effects.withColumn("_exact", stats.exact_rate_test(*[F.when(small & both & (total <= 5), a) for a in args]))
+    score = small & both & (total > 5)
+    low, high = stats.score_rate_interval(*args)
+    by_score = stats.score_rate_p(*[F.when(score, a) for a in args])
+    out = out.withColumn("_score", by_score)
+    out = out.withColumns({
+        "p": F.coalesce("_exact.p", "_score", "p"),
+        "ci_low": F.when(F.col("_exact.p").isNotNull(), F.log("_exact.low")).when(score, F.log(low)).otherwise(F.col("ci_low")),
+        "ci_high": F.when(F.col("_exact.p").isNotNull(), F.log("_exact.high")).when(score, F.log(high)).otherwise(F.col("ci_high")),
+    })
+    out = out.drop("_exact", "_score")
+    if "se" in out.columns:
+        out = out.withColumn("se", F.when(small & both, (F.col("ci_high") - F.col("ci_low")) / (2 * 1.96)).otherwise(F.col("se")))
+        if "z" in out.columns:
+            out = out.withColumn("z", F.col("effect") / F.nullif(F.col("se"), F.lit(0.0)))
+    return out
+
+
 def word_sums(df: DataFrame, group: str, flag: str, words: str, least: int = 3) -> DataFrame:
     """Counts of each word by flag, with the group's totals, for words of ``least`` occurrences or more."""
     long = df.select(group, flag, F.explode(words).alias("word"))
@@ -126,11 +156,23 @@ def word_sums(df: DataFrame, group: str, flag: str, words: str, least: int = 3)
     return n.where(F.col("x1") + F.col("x0") >= least).join(total, group)
 
 
-def word_effects(df: DataFrame, group: str, flag: str, words: str, least: int = 3) -> DataFrame:
-    """Log rate ratios of words between flagged and other rows, with q-values over all."""
-    s = word_sums(df, group, flag, words, least)
-    effect, se = stats.log_rate_ratio(*[F.col(k).cast("double") for k in ("x1", "t1", "x0", "t0")])
-    out = s.withColumns({"effect": effect, "se": se}).withColumn("p", stats.normal_p(F.col("effect") / F.col("se")))
+def word_effects(df: DataFrame, group: str, flag: str, words: str, least: int = 3, min_tokens: int = 10, method: str = "auto") -> DataFrame:
+    """Log rate ratios of words between flagged and other rows, with intervals, p-values, and q-values within each group.
+
+    Groups in which a side has fewer than ``min_tokens`` words are left out. ``method`` "auto" takes the exact conditional
+    test for totals of up to 5 and the score test beyond; a word that one side lacks has the ratio with a half added to
+    each count, and null p, q and interval. "wald" adds the half to all counts and has p and interval for all.
+    """
+    s = word_sums(df, group, flag, words, least).where((F.col("t1") >= min_tokens) & (F.col("t0") >= min_tokens))
+    c = {k: F.col(k).cast("double") for k in ("x1", "t1", "x0", "t0")}
+    wald, wald_se = stats.log_rate_ratio(*c.values())
+    if method == "wald":
+        out = s.withColumns({"effect": wald, "ci_low": wald - 1.96 * wald_se, "ci_high": wald + 1.96 * wald_se}).withColumn("p", stats.normal_p(wald / wald_se))
+    else:
+        both = (F.col("x1") > 0) & (F.col("x0") > 0)
+        out = s.withColumn("effect", F.when(both, F.log(c["x1"] / c["t1"]) - F.log(c["x0"] / c["t0"])).otherwise(wald))
+        none = F.lit(None).cast("double")
+        out = small_count_tests(out.withColumns({"p": none, "ci_low": none, "ci_high": none}), ["x1", "t1", "x0", "t0"], F.lit(True))
     return benjamini_hochberg(out, "p", [group])
 
 

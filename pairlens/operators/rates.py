@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairlens.functions import stats
 from pairlens.functions.labels import TIERS
-from pairlens.operators.shared import places_by_hash
+from pairlens.operators.shared import cut, exact_quantiles, null_safe_join, places_by_hash
 
 
 def outcome_flags(runs: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def outcome_flags(runs: DataFrame) -> DataFrame:
 
 def with_tier(runs: DataFrame, metric: str) -> DataFrame:
     """Add ``tier`` by the exact quartiles of ``metric`` over all rows (one row, which is broadcast)."""
-    q = runs.agg(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = exact_quantiles(runs, [], metric, [0.25, 0.5, 0.75], "_q")
     m = F.col(metric)
     tier = F.when(m.isNull(), None)
     for i, name in enumerate(TIERS[:3]):
@@ -52,16 +54,24 @@ def spread(facts: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def medians(facts: DataFrame, value: str, key: str, column: str, total: str | None = None) -> DataFrame:
-    """Exact median by (key, column); with ``total``, also over all keys under that name."""
+    """Exact median by (key, column); with ``total``, also over all keys under that name. Medians come by selection."""
+
+    def by(keys: list[str]) -> DataFrame:
+        n = facts.groupBy(*keys).agg(F.count(value).alias("n"))
+        return null_safe_join(n, exact_quantiles(facts, keys, value, [0.5], "_q"), keys).select(*keys, F.col("_q")[0].alias("median"), "n")
+
     if total is None:
-        return facts.groupBy(key, column).agg(F.median(value).alias("median"), F.count(value).alias("n"))
-    both = facts.groupingSets([[F.col(key), F.col(column)], [F.col(column)]], key, column).agg(F.median(value).alias("median"), F.count(value).alias("n"))
-    return both.withColumn(key, F.coalesce(F.col(key), F.lit(total)))
+        return by([key, column])
+    every = by([column]).select(F.lit(total).alias(key), column, "median", "n")
+    return by([key, column]).withColumn(key, F.coalesce(key, F.lit(total))).unionByName(every)
 
 
-def matrix(facts: DataFrame, row: str, column: str, value: str, order: list[str], fill: float | None = None) -> DataFrame:
-    """Mean of ``value`` as a matrix with columns in ``order``."""
-    out = facts.groupBy(row).pivot(column, order).agg(F.avg(value))
+def matrix(facts: DataFrame, row: str, column: str, value: str, order: list[str], fill: float | None = None, first: list[str] | None = None, how: Callable[[str], Column] = F.avg) -> DataFrame:
+    """Mean (or ``how``) of ``value`` as a matrix with columns in ``order``; with ``first``, facts are one by these keys before,
+    by ``how`` as well."""
+    if first:
+        facts = facts.groupBy(*dict.fromkeys([row, column, *first])).agg(how(value).alias(value))
+    out = facts.groupBy(row).pivot(column, order).agg(how(value))
     return out if fill is None else out.fillna(fill)
 
 
@@ -79,15 +89,24 @@ def densify(facts: DataFrame, keys: list[str], column: str, values: list[str]) -
 def benjamini_hochberg(tests: DataFrame, p: str, family: list[str], out: str = "q", missing: float | None = None) -> DataFrame:
     """Add ``out``, false-discovery adjusted ``p`` within each family; null p has null q, or counts as ``missing``.
 
-    ``family`` may be empty: one family of all tests (a row for each test, not for each observation).
+    ``family`` may be empty: one family of all tests. Tests are dealt by ranges of p: a test's rank is its place in its range
+    and the counts of the ranges before, its q the least of p m / rank from there on in its range and in all later ones.
+    So a family of any size is adjusted by many tasks.
     """
     value = F.col(p) if missing is None else F.coalesce(p, F.lit(missing))
-    whole = W.partitionBy(*family)
-    d = tests.withColumn("_p", value)
-    d = d.withColumn("_rank", F.row_number().over(whole.orderBy(F.asc_nulls_last("_p")))).withColumn("_m", F.count("_p").over(whole))
-    down = whole.orderBy(F.desc_nulls_first("_p"), F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(down))
-    return d.withColumn(out, F.when(F.col("_p").isNotNull(), q)).drop("_p", "_rank", "_m")
+    d = tests.withColumn("_p", value).repartitionByRange(*family, F.asc_nulls_last("_p")).withColumn("_part", F.spark_partition_id())
+    d = cut(d)
+    own, parts = W.partitionBy(*family, "_part"), W.partitionBy(*family).orderBy("_part")  # ranges are no more than tasks
+    sums = d.groupBy(*family, "_part").agg(F.count("_p").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(parts.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*family, "_part", start.alias("_start"), F.sum("_n").over(W.partitionBy(*family)).alias("_m"))
+    d = null_safe_join(d.withColumn("_rank", F.row_number().over(own.orderBy(F.asc_nulls_last("_p")))), sums, [*family, "_part"])
+    d = d.withColumn("_ratio", F.col("_p") * F.col("_m") / (F.col("_start") + F.col("_rank")))
+    lows = d.groupBy(*family, "_part").agg(F.min("_ratio").alias("_low"))
+    lows = lows.select(*family, "_part", F.min("_low").over(parts.rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    d = null_safe_join(d, lows, [*family, "_part"])
+    here = F.min("_ratio").over(own.orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0))
+    return d.withColumn(out, F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), here, F.col("_later")))).drop("_p", "_part", "_rank", "_start", "_m", "_ratio", "_later")
 
 
 def winners(cells: DataFrame, key: str, value: str, ascending: bool = True) -> DataFrame:
@@ -163,10 +182,11 @@ def binary_quality(df: DataFrame, key: list[str], truth: str, guess: str, least:
 
 
 def signature(df: DataFrame) -> DataFrame:
-    """One digest of a table's rows, whatever their order: from their number and the sum of parts of their hashes."""
+    """One digest of a table's rows, whatever their order: from their number and the sums of the four 32-bit parts of their
+    128-bit hashes. Repeated rows count as often as they are."""
     row = F.md5(F.concat_ws("~", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)]))
-    part = F.conv(F.substring(row, 1, 8), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.sha1(F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string"))).alias("signature"))
+    lanes = [F.coalesce(F.sum(F.conv(F.substring(row, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]
+    return df.agg(F.sha1(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *lanes)).alias("signature"))
 
 
 def tier_summary(facts: DataFrame, model: str, tier: str, bias: str, value: str, count: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlens.functions import stats
 from pairlens.operators.rates import benjamini_hochberg, first_of, rates, with_tier
+from pairlens.operators.shared import exact_quantiles
 
 
 def with_dimension(df: DataFrame, column: str, dimension: DataFrame, other: str = "Other") -> DataFrame:
@@ -43,8 +44,8 @@ def suffixed_join(base: DataFrame, ours: DataFrame, keys: list[str], suffixes: t
 
 
 def tier_rates(runs: DataFrame, keys: list[str], metric: str) -> DataFrame:
-    """Rates by keys and tier, with the quartiles of ``metric`` of each key's own runs, by which its tiers are cut."""
-    q = runs.groupBy(*keys).agg(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("quartiles"))
+    """Rates by keys and tier, and the quartiles of ``metric`` of each key's own runs; tiers are cut by those of all runs."""
+    q = exact_quantiles(runs, keys, metric, [0.25, 0.5, 0.75], "quartiles")
     tiers = rates(with_tier(runs, metric), (*keys, "tier")).where("tier IS NOT NULL")
     return tiers.join(q, keys)
 

@@ -54,14 +54,41 @@ def places_by_hash(df: DataFrame, keys: list[str], draw: Column, ident: str, fir
     return null_safe_join(placed, starts, [*keys, "_bucket"]).withColumn(out, F.col(out) + F.col("_start")).drop("_draw", "_bucket", "_start")
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: str, value: str | list[str], out: str | list[str]) -> DataFrame:
     """The sum of ``value`` over the rows of a key that come before in ``order``: by ranges first, then within each.
 
-    Ranges are even over all keys, so a key of any size is summed by many tasks.
+    Ranges are even over all keys, so a key of any size is summed by many tasks. Several values are summed in one pass.
     """
+    values, outs = ([x] if isinstance(x, str) else x for x in (value, out))
     spread = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
-    sums = spread.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    sums = spread.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_sum{i}") for i, v in enumerate(values)])
     upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(upto(W.partitionBy(*keys).orderBy("_part"))), F.lit(0)).alias("_start"))
-    within = F.coalesce(F.sum(value).over(upto(W.partitionBy(*keys, "_part").orderBy(order))), F.lit(0))
-    return null_safe_join(spread.withColumn(out, within), starts, [*keys, "_part"]).withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start")
+    before = upto(W.partitionBy(*keys).orderBy("_part"))  # of a key's ranges, which are no more than tasks
+    starts = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_start{i}") for i in range(len(values))])
+    inner = upto(W.partitionBy(*keys, "_part").orderBy(order))
+    within = spread.withColumns({o: F.coalesce(F.sum(v).over(inner), F.lit(0)) for v, o in zip(values, outs, strict=True)})
+    found = null_safe_join(within, starts, [*keys, "_part"]).withColumns({o: F.col(o) + F.col(f"_start{i}") for i, o in enumerate(outs)})
+    return found.drop("_part", *[f"_start{i}" for i in range(len(values))])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "quantiles") -> DataFrame:
+    """Exact quantiles of ``value`` by ``keys`` (none: of all rows), interpolated between neighbours; keys, ``out`` (doubles).
+
+    Different values are counted, the counts are added up over ranges of values, and of each share the two values are
+    taken whose ranges of places hold it: no task holds all values of a key. Nulls don't count; a key of nulls alone has
+    nulls.
+    """
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n"))
+    ranked = running_total(counts.where("_n > 0"), keys, "_v", "_n", "_before")
+    total = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    sized = null_safe_join(ranked, total, keys) if keys else ranked.crossJoin(F.broadcast(total))
+    at = lambda place: F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v")))
+    found, names = [], []
+    for i, share in enumerate(shares):
+        place = share * (F.col("_total") - 1)
+        found += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}"), F.max(place - F.floor(place)).alias(f"_part{i}")]
+        names.append(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}"))
+    picked = sized.groupBy(*keys).agg(*found).select(*keys, F.array(*names).alias(out))
+    if not keys:
+        return picked
+    return null_safe_join(df.select(*keys).distinct(), picked, keys, "left").withColumn(out, F.coalesce(out, F.array(*[F.lit(None).cast("double")] * len(shares))))

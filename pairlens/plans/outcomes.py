@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L
 from pairlens.operators import rates as R, reports as O
+from pairlens.operators.shared import exact_quantiles
 
 STRATEGY_ORDER = ["s0", "s1", "s2", "s3"]
 
@@ -55,7 +56,8 @@ def outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complexity_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(runs(spark, sf_dir).groupBy("bias").agg(*[F.percentile("steps", p).alias(f"q{i + 1}") for i, p in enumerate((0.25, 0.5, 0.75))]))
+    q = exact_quantiles(runs(spark, sf_dir), ["bias"], "steps", [0.25, 0.5, 0.75])
+    return rounded(q.select("bias", *[F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)]))
 
 
 def two_level_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,18 @@ def model_level_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.spread(facts(spark, sf_dir), "sensitivity", ["model", "strategy"]))
 
 
+def tier_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation and count over biases of the sensitivity of a model's tiers."""
+    f = tiered(spark, sf_dir).where("tier IS NOT NULL").groupBy("bias", "model", "tier").agg((100 * F.avg(F.col("sensitive").cast("int"))).alias("sensitivity"))
+    return rounded(R.spread(f, "sensitivity", ["model", "tier"]))
+
+
+def aggregated_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest sensitivity of a bias under each strategy, of one value for each model (the largest of its tiers)."""
+    f = tiered(spark, sf_dir).groupBy("bias", "strategy", "model", "tier").agg((100 * F.avg(F.col("sensitive").cast("int"))).alias("sensitivity"))
+    return rounded(R.matrix(f, "bias", "strategy", "sensitivity", STRATEGY_ORDER, 0.0, ["model"], F.max))
+
+
 def strategy_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.medians(facts(spark, sf_dir), "sensitivity", "bias", "strategy", "all biases"))
 
@@ -104,8 +118,8 @@ def row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir).groupBy("bias").agg(F.percentile("sensitivity", 0.2).alias("p20"), F.percentile("sensitivity", 0.8).alias("p80"), F.percentile("sensitivity", 0.05).alias("p5"), F.percentile("sensitivity", 0.99).alias("p99"))
-    return rounded(f)
+    q = exact_quantiles(facts(spark, sf_dir), ["bias"], "sensitivity", [0.2, 0.8, 0.05, 0.99])
+    return rounded(q.select("bias", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("p20", "p80", "p5", "p99"))]))
 
 
 def best_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +279,7 @@ def daily_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    table_signature, tier_summary, validation_sheet, labelled_lookup, daily_stamps, outcome_rates, complexity_quartiles, two_level_means, tier_two_level_means, model_level_spread, strategy_medians, sensitivity_matrix, tier_trends, dense_tiers, winning_strategies,
+    table_signature, tier_summary, validation_sheet, labelled_lookup, daily_stamps, outcome_rates, complexity_quartiles, two_level_means, tier_two_level_means, model_level_spread, tier_spread, aggregated_matrix, strategy_medians, sensitivity_matrix, tier_trends, dense_tiers, winning_strategies,
     row_scores, row_percentiles, best_cells, entity_prevalence, candidate_prevalence, seen_and_unseen, paired_outcomes, change_histogram, rater_agreement, judged_quality, balanced_sample,
     capped_sample, run_expansion, merged_suffixes, cache_misses, shared_and_unknown, lookup_with_default, domain_order, numbered_orders, clipped_binary,
 )}
@@ -273,7 +287,7 @@ QUERIES = {f.__name__: f for f in (
 _Z = "1.96"
 _RATES = "count(*) AS runs, round(100 * avg(CAST(sensitive AS DOUBLE)), 6) AS sensitivity, round(100 * avg(CAST(harmful AS DOUBLE)), 6) AS harmfulness, round(100 * avg(CAST(uncertain AS DOUBLE)), 6) AS uncertainty"
 ORACLE = {
-    "table_signature": "SELECT sha1(count(*)::VARCHAR || '-' || sum(('0x' || substr(md5(doc_id::VARCHAR || '~' || quality::VARCHAR || '~' || toxic::VARCHAR), 1, 8))::BIGINT)::VARCHAR) AS signature FROM labels",
+    "table_signature": "WITH h AS (SELECT md5(doc_id::VARCHAR || '~' || quality::VARCHAR || '~' || toxic::VARCHAR) AS h FROM labels) SELECT sha1(count(*)::VARCHAR || '-' || " + " || '-' || ".join(f"coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT), 0)::VARCHAR" for i in range(4)) + ") AS signature FROM h",
     "tier_summary": f"WITH {RUNS}, f AS (SELECT bias, model, tier, count(*) AS runs, 100 * avg(CAST(sensitive AS DOUBLE)) AS s FROM tiered GROUP BY ALL), b AS (SELECT model, avg(s) AS b FROM (SELECT model, bias, avg(s) AS s FROM f GROUP BY ALL) GROUP BY model) SELECT model, tier, round(avg(s), 6) AS mean, sum(runs)::BIGINT AS n, round(any_value(b), 6) AS baseline, round(avg(s) - any_value(b), 6) AS delta FROM f JOIN b USING (model) GROUP BY model, tier",
     "validation_sheet": "WITH e AS (SELECT event_id, user_id, event_type, round(value, 6) AS score FROM events), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) = 1 ORDER BY score DESC, event_id LIMIT 100) SELECT event_id, event_type, NULL::INT AS ann1_cue, NULL::INT AS ann2_cue FROM b WHERE score >= 0",
     "labelled_lookup": "WITH d AS (SELECT doc_id, source, n_chars FROM documents WHERE lang <> 'en'), big AS (SELECT source FROM d GROUP BY source HAVING count(*) >= 15) SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(quality), 6) AS quality FROM labels JOIN d USING (doc_id) WHERE source IN (SELECT source FROM big) GROUP BY source",
@@ -283,6 +297,8 @@ ORACLE = {
     "two_level_means": f"WITH {FACTS}, m AS (SELECT bias, strategy, avg(sensitivity) AS s FROM facts GROUP BY ALL) SELECT strategy, round(avg(s), 6) AS mean, count(s) AS n FROM m GROUP BY strategy",
     "tier_two_level_means": f"WITH {RUNS}, f AS (SELECT bias, model, strategy, tier, 100 * avg(CAST(sensitive AS DOUBLE)) AS s FROM tiered GROUP BY ALL), m AS (SELECT bias, strategy, tier, avg(s) AS s FROM f GROUP BY ALL) SELECT strategy, tier, round(avg(s), 6) AS mean, count(s) AS n FROM m GROUP BY ALL",
     "model_level_spread": f"WITH {FACTS} SELECT model, strategy, round(avg(sensitivity), 6) AS mean, round(stddev_samp(sensitivity), 6) AS sd, count(*) AS n FROM facts GROUP BY ALL",
+    "tier_spread": f"WITH {RUNS}, f AS (SELECT bias, model, tier, 100 * avg(CAST(sensitive AS DOUBLE)) AS s FROM tiered WHERE tier IS NOT NULL GROUP BY ALL) SELECT model, tier, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd, count(s) AS n FROM f GROUP BY ALL",
+    "aggregated_matrix": f"WITH {RUNS}, f AS (SELECT bias, strategy, model, tier, 100 * avg(CAST(sensitive AS DOUBLE)) AS s FROM tiered GROUP BY ALL) SELECT bias, " + ", ".join(f"coalesce(round(max(s) FILTER (strategy = '{x}'), 6), 0) AS {x}" for x in STRATEGY_ORDER) + " FROM f GROUP BY bias",
     "strategy_medians": f"WITH {FACTS} SELECT coalesce(bias, 'all biases') AS bias, strategy, round(median(sensitivity), 6) AS median, count(*) AS n FROM facts GROUP BY GROUPING SETS ((bias, strategy), (strategy))",
     "sensitivity_matrix": f"WITH {FACTS} SELECT model, " + ", ".join(f"coalesce(round(avg(sensitivity) FILTER (strategy = '{s}'), 6), 0) AS {s}" for s in STRATEGY_ORDER) + " FROM facts GROUP BY model",
     "tier_trends": f"WITH {RUNS}, t AS (SELECT bias, tier, 100 * avg(CAST(sensitive AS DOUBLE)) AS y, CASE tier WHEN 'low' THEN 0 WHEN 'mid-low' THEN 1 WHEN 'mid-high' THEN 2 ELSE 3 END AS x FROM tiered WHERE tier IS NOT NULL GROUP BY ALL), s AS (SELECT bias, regr_slope(y, x) AS slope FROM t GROUP BY bias) SELECT bias, round(slope, 6) AS slope, CASE WHEN slope IS NULL THEN 'n/a' WHEN slope > 0.15 THEN 'up' WHEN slope < -0.15 THEN 'down' ELSE 'flat' END AS arrow FROM s",
