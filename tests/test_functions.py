@@ -33,12 +33,24 @@ def test_p_values():
 
 @pytest.mark.parametrize(("answer", "want"), [
     ("Decision: A\nDecision: B", "Option B"), ("**Decision:** option a.", "Option A"), ("Answer:\n\nOption B", "Option B"), ("Decision: Option A and Option B", "Option A"),
-    ("Decision: neither", None), ("no", None), ("", None),
+    ("Decision: neither", None), ("no", None), ("", None), ("# Answer:\n\noption B\nmore", "Option B"), ("Option: A", "Option A"), ("Decision (final):\n* \"Option B\"", None), ("*Decision* ( ):\n* Option B", "Option B"),
+    ("My decision is clear. Decision: both option b and option b", "Option B"), ("Decision:\n\n", None), ("Decision: A\nthe decision was easy", "Option A"), ("DECISION: **A**", "Option A"), ("Decision: I take option b", "Option B"), (None, None),
 ])
 def test_decisions(spark, answer, want):
     assert one(spark, T.decision(F.col("x")), x=answer) == want
 
 
+def test_labelled_lines_and_sections(spark):
+    say = lambda f, x: one(spark, f(F.col("x")), x=x)
+    assert say(T.explanation, "Explanation: one.\nExplanation:\n\n*two*.\nend") == "two" and say(T.explanation, "none") == ""
+    assert say(T.best_practices, "**Best Practices:** *keep it small*") == "keep it small" and say(T.best_practices, "Best practices") == ""
+    assert [say(T.validation, x) for x in ("Decision: Yes, no doubt", "Answer: I say yes", "Decision: yes\nDecision: no", "Decision: not yes", "yes")] == [True, True, False, False, False]
+    section = lambda a, f, n: f"# Axioms of it\n\n```prolog\n{a}\n```\ntext\n## Facts\n```prolog\n{f}\n```\n3. NL:\n{n}"
+    assert say(T.axioms_description, section("a.", "f.", "\n```\nit holds\n```")) == "it holds"
+    assert say(T.axioms_description, section("a.", "f.", "first\nsecond")) == "first"
+    assert [say(T.axioms_description, x) for x in (section(" ", "f.", "x"), section("a.", "", "x"), section("a.", "f.", ""), "Facts\n```prolog\nf\n```\nAxioms\n```prolog\na\n```\nNL\nx", "", None)] == [""] * 6
+
+
 def test_text(spark):
     code = "Look:\n```py\nx = 1\n```\nuse `f()` here\n# comment\nimport os\nfor (i = 0; i < 3; i++) {\n  - a point\nété là"
     assert one(spark, T.strip_code(F.col("x")), x=code) == "Look: use here - a point"
