@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Complexity tiers from the lowest, biases, the feature family of each, strategies and their flags.
+# Complexity tiers from the lowest, biases, the feature family of each, other names of biases, strategies and their flags.
 TIERS = ("low", "mid-low", "mid-high", "high")
 BIAS_FEATURES = {
     "confirmation bias": "confirmation_cues",
@@ -16,6 +16,17 @@ BIAS_FEATURES = {
     "hindsight bias": "hindsight_cues",
     "hyperbolic discounting": "time_preference_cues",
 }
+BIAS_ALIASES = {
+    "anchoring": "anchoring bias",
+    "availability": "availability bias",
+    "bandwagon": "bandwagon effect",
+    "confirmation": "confirmation bias",
+    "framing": "framing effect",
+    "hindsight": "hindsight bias",
+    "overconfidence": "overconfidence bias",
+    "present bias": "hyperbolic discounting",
+    "time preference": "hyperbolic discounting",
+}
 STRATEGIES = {
     "Ø": [],
     "ProbeAX": ["inject_axioms"],
@@ -39,12 +50,22 @@ def lookup(value: Column, names: dict[str, str], keep: bool = True) -> Column:
     return F.coalesce(found, value) if keep else found
 
 
-def normalize_bias(value: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Trimmed, lower case, single blanks, then ``aliases``; null becomes empty."""
+def normalize_bias(value: Column, aliases: dict[str, str] = BIAS_ALIASES) -> Column:
+    """Trimmed, lower case, single blanks, then ``aliases`` (the short names of biases); null becomes empty."""
     text = F.coalesce(F.lower(F.regexp_replace(F.trim(value), r"\s+", " ")), F.lit(""))
     return lookup(text, aliases) if aliases else text
 
 
+def bias_feature(value: Column) -> Column:
+    """The cue feature of a bias under any of its names, or null."""
+    return lookup(normalize_bias(value), BIAS_FEATURES, keep=False)
+
+
+def biases(spark: SparkSession) -> DataFrame:
+    """The bias dimension: bias, feature, ord."""
+    return spark.createDataFrame([(b, f, i) for i, (b, f) in enumerate(BIAS_FEATURES.items())], "bias string, feature string, ord int")
+
+
 def clean_tier(value: Column) -> Column:
     """A tier's label, or null where it is none; "mid low" counts as "mid-low"."""
     text = F.regexp_replace(F.lower(F.trim(value)), r"^mid[ _]+", "mid-")

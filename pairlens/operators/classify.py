@@ -1,13 +1,15 @@
-"""Classifiers over vectors: training, prediction with abstention, holdout, quality."""
+"""Classifiers over vectors and texts: training, prediction with abstention, holdout, quality."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from pairlens.operators.shared import null_safe_join, places_by_hash
+from pairlens.operators.similarity import word_grams
 
 
 def common_classes(df: DataFrame, label: str, least: int) -> DataFrame:
@@ -23,18 +25,63 @@ def holdout(df: DataFrame, label: str, ident: str, share: float = 0.2, seed: int
     return placed.withColumn("held_out", F.col("_place") <= F.col("_share")).drop("_place", "_share")
 
 
+def _fitted(rows: DataFrame, label: str, iterations: int):
+    """Logistic regression on the vectors of ``_x`` with classes weighted to be equal. Returns (model, class names)."""
+    n, classes = rows.count(), rows.groupBy(label).count()
+    weighted = rows.join(F.broadcast(classes.withColumn("weight", n / (classes.count() * F.col("count"))).select(label, "weight")), label)
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(weighted)
+    return LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", maxIter=iterations, regParam=1e-4).fit(index.transform(weighted)), index.labels
+
+
 def train(df: DataFrame, label: str, vector: str, iterations: int = 100):
     """Logistic regression on array vectors with classes weighted to be equal. Returns (model, class names)."""
-    n, classes = df.count(), df.groupBy(label).count()
-    weighted = df.join(F.broadcast(classes.withColumn("weight", n / (classes.count() * F.col("count"))).select(label, "weight")), label)
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(weighted)
-    rows = index.transform(weighted.withColumn("_x", array_to_vector(vector)))
-    return LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", maxIter=iterations, regParam=1e-4).fit(rows), index.labels
+    return _fitted(df.withColumn("_x", array_to_vector(vector)), label, iterations)
+
+
+def training_texts(pairs: DataFrame, label: str, biased: str, unbiased: str, mode: str = "both") -> DataFrame:
+    """Texts to learn a label from, a row (label, text) each: what a biased text has beyond its unbiased one ("spans", of
+    three characters or more), the whole biased text ("full"), or both. Blank texts are left out."""
+    from pairlens.operators.pairs import inserted_spans
+
+    none = F.array().cast("array<string>")
+    spans = F.coalesce(inserted_spans(biased, unbiased), none) if mode in ("spans", "both") else none
+    full = F.array(F.trim(F.coalesce(F.col(biased), F.lit("")))) if mode in ("full", "both") else none
+    return pairs.select(label, F.explode(F.concat(spans, full)).alias("text")).where(F.length(F.trim("text")) > 0)
+
+
+def text_pipeline(features: int = 1 << 18) -> Pipeline:
+    """Texts as unit vectors of hashed words and word pairs, weighted by rarity: stages from an array ``_grams`` to a vector ``_x``."""
+    return Pipeline(stages=[
+        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features),
+        IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_x"),
+    ])
+
+
+def train_texts(df: DataFrame, label: str, text: str, least: int = 8, iterations: int = 50, features: int = 1 << 18):
+    """A classifier of texts: vectors of ``text_pipeline``, classes of fewer than ``least`` texts left out, the others weighted to
+    be equal. Returns (vectors, model, class names), or None where fewer than two classes are left. Nothing is collected but
+    the model: ``features`` weights a class."""
+    rows = common_classes(df.select(label, word_grams(F.col(text)).alias("_grams")), label, least)
+    if rows.select(label).distinct().count() < 2:
+        return None
+    vectors = text_pipeline(features).fit(rows)
+    return vectors, *_fitted(vectors.transform(rows).drop("_grams", "_tf", "_tfidf"), label, iterations)
+
+
+def predict_texts(fitted, df: DataFrame, text: str, k: int = 3, threshold: float = 0.6) -> DataFrame:
+    """``predict`` for the texts of a table by what ``train_texts`` returned."""
+    vectors, model, names = fitted
+    return _best(model.transform(vectors.transform(df.withColumn("_grams", word_grams(F.col(text))))), names, k, threshold).drop("_grams", "_tf", "_tfidf")
 
 
 def predict(model, names: list[str], df: DataFrame, vector: str, k: int = 3, threshold: float = 0.6) -> DataFrame:
     """Add best, score, mapped (score reaches ``threshold``) and the k best classes as JSON."""
-    out = model.transform(df.withColumn("_x", array_to_vector(vector))).withColumn("_p", vector_to_array("probability"))
+    return _best(model.transform(df.withColumn("_x", array_to_vector(vector))), names, k, threshold)
+
+
+def _best(scored: DataFrame, names: list[str], k: int, threshold: float) -> DataFrame:
+    out = scored.withColumn("_p", vector_to_array("probability"))
     pairs = F.transform("_p", lambda p, i: F.struct((-p).alias("minus"), F.element_at(F.array(*[F.lit(n) for n in names]), i + 1).alias("label")))
     out = out.withColumn("_top", F.slice(F.array_sort(pairs), 1, k))
     score = -F.col("_top")[0]["minus"]

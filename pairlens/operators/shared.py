@@ -92,3 +92,25 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     if not keys:
         return picked
     return null_safe_join(df.select(*keys).distinct(), picked, keys, "left").withColumn(out, F.coalesce(out, F.array(*[F.lit(None).cast("double")] * len(shares))))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Components of the graph of ``edges`` (a, b): a row (id, label) for each id in an edge, label the least id that links reach.
+
+    Each round links every id's larger neighbours, then its smaller ones, to the least of all, so rounds grow with the
+    logarithm of the longest path. A round's edges and least neighbours are checkpoints in the shared folder.
+    """
+    now, state = cut(edges.select("a", "b").where("a <> b").distinct()), None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("_m")))
+        larger = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        least = cut(larger.groupBy("a").agg(F.min("b").alias("_m")))
+        smaller = larger.join(least, "a").select(F.when(F.col("b") == F.col("_m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("_m").alias("b"))
+        now = cut(smaller.where("a <> b").distinct())
+        new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if new == state:
+            break
+        state = new
+    roots = now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
+    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(roots)

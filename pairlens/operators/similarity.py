@@ -6,13 +6,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pairlens.operators.shared import cut as lineage_cut
+from pairlens.operators.shared import components, cut as lineage_cut
 
 
 #: Rows up to which a table is broadcast.
 FEW = 500_000
 
 
+# Function words of English that say nothing of a text's subject; a list of this library's own.
+ENGLISH_STOP = (
+    "a an the this that these those i me my mine we us our ours you your yours he him his she her hers it its they them their theirs who whom whose which what "
+    "and or but nor so if then than because while although though as until unless whether of at by for with about against between into through during before after above below to from up down in out on off over under "
+    "again further once here there when where why how all any both each few more most other some such no not only own same too very just also even still yet "
+    "is am are was were be been being have has had having do does did doing will would shall should can could may might must ought"
+).split()
+
+
 def words(text: Column) -> Column:
     """Lower-case words of two characters or more."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
@@ -134,14 +143,8 @@ def similar_pairs(df: DataFrame, block: str, ident: str, vector: str, least: flo
     return u.join(v, (F.col(block) == F.col("_block")) & (F.col("a") < F.col("b"))).select(block, "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > least)
 
 
-def similar_pairs_tiled(df: DataFrame, block: str, ident: str, vector: str, least: float, rows: int = 1024) -> DataFrame:
-    """Like ``similar_pairs`` for blocks of any size: a block is dealt to tiles of about ``rows``, and each pair of tiles
-    is a task's matrix product. Vectors have one width; ids are longs, one for each row."""
-    parts = df.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
-    v = df.select(block, F.col(ident).cast("long").alias("id"), unit(F.col(vector)).alias("v")).join(parts, block)
-    v = v.withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    v = v.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    v = v.select(block, F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"), "_tile", "id", "v")
+def _product(block: str, least: float):
+    """The similar pairs of two tiles, or of one with itself, by a matrix product."""
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf["_low"].iloc[0], pdf["_high"].iloc[0]
@@ -156,31 +159,130 @@ def similar_pairs_tiled(df: DataFrame, block: str, ident: str, vector: str, leas
         x, y, c = x[keep], y[keep], c[i, j][keep]
         return pd.DataFrame({block: pdf[block].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": c})
 
-    return v.groupBy(block, "_low", "_high").applyInPandas(product, f"{block} {df.schema[block].dataType.simpleString()}, a long, b long, cosine double")
+    return product
 
 
-def keep_first_of_similar(df: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
-    """Rows that are the smallest id of their component under ``pairs`` (a, b): minimum labels spread until they rest."""
-    edges = lineage_cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = lineage_cut(edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    while True:
-        near = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
-        new = lineage_cut(label.join(near, label.id == near.a).select("id", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
-        label = new.select("id", "label")
-        if not new.where("moved").limit(1).count():
-            break
-    gone = label.where("id <> label").select(F.col("id").alias(ident))
+def similar_pairs_tiled(df: DataFrame, block: str, ident: str, vector: str, least: float, rows: int = 1024) -> DataFrame:
+    """Like ``similar_pairs`` for blocks of any size: a block is dealt to tiles of about ``rows``, and each pair of tiles
+    is a task's matrix product. Vectors have one width; ids are longs, one for each row."""
+    parts = df.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    v = df.select(block, F.col(ident).cast("long").alias("id"), unit(F.col(vector)).alias("v")).join(parts, block)
+    v = v.withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    v = v.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    v = v.select(block, F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"), "_tile", "id", "v")
+
+    return v.groupBy(block, "_low", "_high").applyInPandas(_product(block, least), f"{block} {df.schema[block].dataType.simpleString()}, a long, b long, cosine double")
+
+
+def similar_pairs_pruned(df: DataFrame, block: str, ident: str, vector: str, least: float, pivots: int = 64, rows: int = 1024) -> DataFrame:
+    """Like ``similar_pairs_tiled``, exactly, but only vectors that can be similar meet: for high ``least`` and large blocks.
+
+    A vector is at home with its nearest of ``pivots`` vectors (drawn by a hash of the id). Of two that are similar, at home
+    with c and d, the leads of x for c over d and of y for d over c add up to no more than the length of x - y times that of
+    c - d; so one of them is at most half of that, and the vector that has it visits the other's home. There they are
+    compared in tiles of about ``rows``. Zero vectors are similar to none.
+    """
+    half = float(np.sqrt(max(0.0, 2 - 2 * least)) / 2)
+    v = df.select(block, F.col(ident).cast("long").alias("id"), unit(F.col(vector)).alias("v")).where(F.exists("v", lambda x: x != 0))
+    drawn = v.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()["v"].to_pylist()
+    kind = df.schema[block].dataType.simpleString()
+    if not drawn:
+        return df.sparkSession.createDataFrame([], f"{block} {kind}, a long, b long, cosine double")
+    c = np.array(drawn)
+
+    def housed(parts):
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            near = np.stack(pdf["v"].to_list()) @ c.T
+            own = near.argmax(axis=1)
+            gap = np.sqrt(np.maximum(0, 2 - 2 * c[own] @ c.T))
+            row, cell = np.nonzero(near.max(axis=1)[:, None] - near <= half * gap + 1e-9)
+            out = pdf.iloc[row].reset_index(drop=True)
+            yield out.assign(cell=cell, home=own[row] == cell)
+
+    met = v.mapInPandas(housed, f"{block} {kind}, id long, v array<double>, cell int, home boolean")
+    share = lambda home: F.ceil(F.count_if(home) / rows).cast("int")
+    sizes = met.groupBy(block, "cell").agg(share(F.col("home")).alias("_homes"), share(~F.col("home")).alias("_guests")).where("_homes > 0")
+    met = met.join(sizes, [block, "cell"])
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("_homes")).otherwise(F.col("_guests"))).cast("int")
+    each = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda i: i < F.col(n))
+    among = F.transform(each("_homes"), lambda i: F.struct(F.least(own, i).alias("low"), F.greatest(own, i).alias("high")))
+    hosts = F.transform(each("_guests"), lambda i: F.struct(own.alias("low"), (F.col("_homes") + i).alias("high")))
+    guests = F.transform(each("_homes"), lambda i: F.struct(i.alias("low"), (F.col("_homes") + own).alias("high")))
+    tile = F.when(F.col("home"), own).otherwise(F.col("_homes") + own)
+    met = met.withColumn("_to", F.explode(F.when(F.col("home"), F.concat(among, hosts)).otherwise(guests)))
+    met = met.select(block, "cell", F.col("_to.low").alias("_low"), F.col("_to.high").alias("_high"), tile.alias("_tile"), "id", "v")
+    found = met.groupBy(block, "cell", "_low", "_high").applyInPandas(_product(block, least), f"{block} {kind}, a long, b long, cosine double")
+    return found.groupBy(block, "a", "b").agg(F.max("cosine").alias("cosine"))  # two may meet in both homes
+
+
+def similarity_to(df: DataFrame, ident: str, vector: str, one: DataFrame, name: str = "similarity") -> DataFrame:
+    """Cosine of every vector with the one vector of ``one`` (its first row): ident, ``name``."""
+    asked = one.select(unit(F.col(vector)).alias("_one")).limit(1)
+    return df.crossJoin(F.broadcast(asked)).select(ident, dot(unit(F.col(vector)), F.col("_one")).alias(name))  # one row
+
+
+def greedy_sets(pairs: DataFrame) -> DataFrame:
+    """Sets of similar rows grown in the order of ``pairs`` (a < b, by a, then b): a row (label, set_id, id) for each member.
+
+    A pair adds the end that a set lacks to every set that has the other end; if none has either, it opens a set. So a
+    row can be in several sets, and sets that come to touch stay apart. What a pair does depends on the pairs of its
+    component alone, so each component is grown by itself; ``label`` names it.
+    """
+    found = components(pairs)
+    known = pairs.select("a", "b").join(found, F.col("a") == F.col("id")).select("label", "a", "b")
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets: list[dict] = []
+        of: dict[object, list[int]] = {}
+        for a, b in sorted(set(zip(pdf["a"], pdf["b"], strict=True))):
+            one, two = list(of.get(a, ())), list(of.get(b, ()))
+            for k in one:
+                if b not in sets[k]:
+                    sets[k][b] = True
+                    of.setdefault(b, []).append(k)
+            for k in set(two) - set(one):
+                sets[k][a] = True
+                of.setdefault(a, []).append(k)
+            if not one and not two:
+                for x in (a, b):
+                    of.setdefault(x, []).append(len(sets))
+                sets.append({a: True, b: True})
+        rows = [(k, x) for k, members in enumerate(sets) for x in members]
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "set_id": [k for k, _ in rows], "id": [x for _, x in rows]})
+
+    return known.groupBy("label").applyInPandas(grow, f"label {kind}, set_id long, id {kind}")
+
+
+def keep_first_of_similar(df: DataFrame, ident: str, pairs: DataFrame, mode: str = "components") -> DataFrame:
+    """Rows but those that similar ones make superfluous under ``pairs`` (a < b).
+
+    "components": the smallest id of each component stays. "greedy": of each of ``greedy_sets`` all but the smallest go, so
+    what stays depends on the order of the pairs: never more than of "components" go.
+    """
+    if mode == "greedy":
+        sets = greedy_sets(pairs)
+        first = sets.groupBy("label", "set_id").agg(F.min("id").alias("_first"))
+        gone = sets.join(first, ["label", "set_id"]).where("id <> _first").select(F.col("id").alias(ident)).distinct()
+    else:
+        gone = components(pairs).where("id <> label").select(F.col("id").alias(ident))
     return df.join(gone, ident, "left_anti")
 
 
-def mean_levenshtein(df: DataFrame, group: str, ident: str, text: str) -> DataFrame:
-    """Mean edit similarity of the pairs of each (small) group."""
+def mean_levenshtein(df: DataFrame, group: str, ident: str, text: str, rows: int = 256) -> DataFrame:
+    """Mean edit similarity of the pairs of each group, by tiles of about ``rows`` rows: each two tiles of a group are joined by
+    themselves, so a group's pairs are dealt to many tasks and summed where they are made."""
     from pairlens.functions.text import levenshtein_similarity
 
-    a = df.select(group, F.col(ident).alias("a"), F.col(text).alias("ta"))
-    b = df.select(F.col(group).alias("g"), F.col(ident).alias("b"), F.col(text).alias("tb"))
-    pairs = a.join(b, (F.col(group) == F.col("g")) & (F.col("a") < F.col("b")))
-    return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.avg(levenshtein_similarity(F.col("ta"), F.col("tb"))).alias("mean_similarity"))
+    parts = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    d = df.select(group, F.col(ident).alias("_id"), F.col(text).alias("_text")).join(parts, group)
+    d = d.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    one = d.withColumn("_other", F.explode(F.sequence(F.col("_tile"), F.col("_parts") - 1))).select(group, F.col("_tile").alias("_low"), F.col("_other").alias("_high"), F.col("_id").alias("_a"), F.col("_text").alias("_ta"))
+    two = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tile")))).select(group, F.col("_other").alias("_low"), F.col("_tile").alias("_high"), F.col("_id").alias("_b"), F.col("_text").alias("_tb"))
+    pairs = one.join(two, [group, "_low", "_high"]).where((F.col("_low") < F.col("_high")) | (F.col("_a") < F.col("_b")))
+    return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.avg(levenshtein_similarity(F.col("_ta"), F.col("_tb"))).alias("mean_similarity"))
 
 
 def correlations(cells: DataFrame, key: str, column: str, value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L, stats
-from pairlens.operators import classify as C, rates as R, scoring as S, similarity as M, inference as E
+from pairlens.operators import classify as C, rates as R, similarity as M, inference as E
 from pairlens.operators.shared import scratch
 from pairlens.plans.outcomes import FACTS, facts, read, rounded, runs, tiered
 from pairlens.sources import files
@@ -126,32 +126,16 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("key", "answer")
 
 
-def alignment_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment answers read back: spans that the texts do not hold void them; the best candidate of each query
-    among the items of its block (lengths that end alike)."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text", F.length("text").alias("block"))
-    c = b.withColumn("block", F.col("block") % 10).join(b.select(F.col("q").alias("cand"), F.col("text").alias("cand_text"), (F.col("block") % 10).alias("block")), "block")
-    return _best_aligned(c)
-
-
-def alignment_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``alignment_answers``, the best candidate of each query among all items."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
-    return _best_aligned(b.crossJoin(b.select(F.col("q").alias("cand"), F.col("text").alias("cand_text"))))
-
-
-def _best_aligned(c: DataFrame) -> DataFrame:
-    span = F.when((F.col("q") + F.col("cand")) % 2 == 0, F.upper(F.substring("text", 1, 6))).otherwise("not there ###")
-    item = F.struct(F.lit("0").alias("idx"), F.lit(True).alias("aligned"), F.when(F.col("q") % 2 == 0, "strong").otherwise("weak").alias("alignment_strength"), (F.lit(0.8) + F.col("cand") % 3 / 10.0).cast("string").alias("score"), span.alias("dev_cue_span"), F.substring("cand_text", 1, 4).alias("probe_cue_span"))
-    d = c.withColumn("answer", F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(item).alias("candidates")))))
-    out = S.aligned(d, "text", "cand_text", 0.85)
-    best = R.first_of(out, ["q"], [F.desc("score"), F.desc("strength"), F.col("cand")])
-    return rounded(best.select("q", "cand", "aligned", "strength", "score", F.lower("query_span").alias("query_span"), "is_aligned", "is_strong"))
+def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents by a classifier of hashed words and word pairs, fitted on 80 %, judged on the rest by class."""
+    d = C.holdout(read(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang", "text"), "lang", "doc_id")
+    fitted = C.train_texts(d.where(~F.col("held_out")), "lang", "text", 8, 20)
+    return rounded(C.class_quality(C.predict_texts(fitted, d.where("held_out"), "text"), "lang", "best"), 4)
 
 
 QUERIES = {f.__name__: f for f in (
     rank_statistics, rank_tests, strategy_tests, false_discovery, high_vs_low, high_vs_low_tests, mcnemar_tests, bootstrap_intervals, bias_correlations, holdout_split, guessed_classes, guess_summary,
-    guess_coverage, classifier_quality, summary_files, streamed_scores, alignment_answers, alignment_answers_all,
+    guess_coverage, classifier_quality, text_classifier, summary_files, streamed_scores,
 )}
 
 _GUESS = "g AS (SELECT lang, CASE WHEN strpos(' ' || lower(text) || ' ', ' der ') > 0 THEN 'de' WHEN strpos(' ' || lower(text) || ' ', ' les ') > 0 THEN 'fr' WHEN strpos(' ' || lower(text) || ' ', ' los ') > 0 THEN 'es' ELSE 'en' END AS guess FROM documents), labels_ AS (SELECT lang AS label FROM g UNION SELECT guess FROM g), c AS (SELECT label, (SELECT count(*) FROM g WHERE lang = label) AS support, (SELECT count(*) FROM g WHERE guess = label) AS predicted, (SELECT count(*) FROM g WHERE lang = label AND guess = label) AS tp FROM labels_), pr AS (SELECT *, coalesce(tp::DOUBLE / nullif(predicted, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(support, 0), 0) AS r FROM c), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM pr)"
@@ -167,5 +151,4 @@ ORACLE = {
     "guess_coverage": "SELECT count(*) AS n, round(avg((doc_id % 10 >= 6)::INT::DOUBLE), 6) AS coverage, round(avg((quality = 1 - toxic)::INT::DOUBLE) FILTER (doc_id % 10 >= 6), 6) AS covered_accuracy FROM labels",
     "summary_files": f"WITH {FACTS} SELECT model, CASE strategy WHEN 's0' THEN 'Ø' WHEN 's1' THEN 'CoT' WHEN 's2' THEN 'BW+IsD' ELSE 'BW' END AS strategy, bias, tier, count(*) AS tier_total_cases, round(100 * avg(sensitive::DOUBLE), 6) AS tier_sensitivity, round(100 * avg(harmful::DOUBLE), 6) AS tier_harmfulness FROM tiered WHERE tier IS NOT NULL GROUP BY ALL",
     "streamed_scores": "SELECT DISTINCT md5(text) AS key, length(text)::VARCHAR AS answer FROM conversations WHERE role = 'user'",
-    "alignment_answers": "WITH c AS (SELECT a.item_id AS q, b.item_id AS cand, a.text, (a.item_id + b.item_id) % 2 = 0 AS held FROM benchmark a JOIN benchmark b ON length(a.text) % 10 = length(b.text) % 10), s AS (SELECT q, cand, held AS aligned, CASE WHEN held THEN CASE WHEN q % 2 = 0 THEN 'strong' ELSE 'weak' END ELSE 'none' END AS strength, CASE WHEN held THEN 0.8::DOUBLE + cand % 3 / 10.0::DOUBLE ELSE 0 END AS score, CASE WHEN held THEN lower(substr(text, 1, 6)) ELSE '' END AS query_span FROM c), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, strength DESC, cand) = 1) SELECT q, cand, aligned, strength, round(score, 6) AS score, query_span, aligned AND score >= 0.85 AS is_aligned, aligned AND score >= 0.85 AND strength = 'strong' AS is_strong FROM r",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from pairlens.functions import labels as L, text as T
 from pairlens.operators import pairs as P, rates as R, reports as O, scoring as S, similarity as M, inference as E
@@ -175,6 +175,24 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(kind.alias("kind"), F.md5("prompt").alias("prompt_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the conversations' turns, as inputs of which some are empty, pointers or broken, are left out and why."""
+    n = F.col("turn") % 4
+    value = F.when(n == 1, " ").when(n == 2, "version https://git-lfs.github.com/spec/v1").when((n == 3) & (F.length("text") % 2 == 0), '{"text": ').otherwise(F.to_json(F.struct("role", "text")))
+    skipped = Observation("inputs")
+    files.sound(read(spark, sf_dir, "conversations").select(value.alias("value")), skipped).write.format("noop").mode("overwrite").save()
+    got = skipped.get
+    return spark.createDataFrame([tuple(int(got[c]) for c in ("n_inputs", "n_empty", "n_pointer", "n_broken"))], "n_inputs long, n_empty long, n_pointer long, n_broken long")
+
+
+def flat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of turns as flat objects with a number and two strings under prompt keys."""
+    c = read(spark, sf_dir, "conversations")
+    value = F.to_json(F.struct("role", F.col("text").alias("content"), F.concat(F.lit(" ask "), "role").alias("query"), F.col("conv_id").alias("title")))
+    found = c.select("conv_id", "turn", F.posexplode(files.flat_prompts(value)).alias("pos", "prompt"))
+    return found.select("conv_id", "turn", "pos", F.md5("prompt").alias("prompt_md5"))
+
+
 def merged_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items written as paired datasets of two data models and as a list with fuzzy keys, read again and merged."""
     folder = scratch(spark)
@@ -194,7 +212,7 @@ def merged_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    corpus_files, merged_datasets, feature_dimension, excluded_sources, tier_quartiles, quartile_table, tier_counts, whole_discovery, wide_tests, effect_matrices, top_significant, best_tested_cells, mapped_prevalence_any, tfidf_top5_filled,
+    corpus_files, counted_inputs, flat_prompts, merged_datasets, feature_dimension, excluded_sources, tier_quartiles, quartile_table, tier_counts, whole_discovery, wide_tests, effect_matrices, top_significant, best_tested_cells, mapped_prevalence_any, tfidf_top5_filled,
     brand_candidates, scored_candidates, judged_features, annotator_agreement, paired_decisions, validation_sheet_scored, entity_ids,
 )}
 
@@ -229,6 +247,8 @@ every AS (SELECT a.block, a.id AS q, b.id AS cand, a.x, coalesce(s.score, 0) AS
 top AS (SELECT block, q, cand, x, score, row_number() OVER (PARTITION BY block, q ORDER BY score DESC, cand) - 1 AS place FROM every QUALIFY place < 3)"""
 _NATIONS = f"""src AS (SELECT 0 AS block, 0 AS side, p_partkey::VARCHAR AS id, 'nation ' || p_name || ' ' || p_type AS x FROM part UNION ALL SELECT 0, 0, (n_nationkey + 10000000)::VARCHAR, n_name || ' ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 0, 1, n_name, 'nation ' || n_name || ' ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey), {two_channels_sql()}"""
 ORACLE = {
+    "counted_inputs": "SELECT count(*) AS n_inputs, count_if(turn % 4 = 1) AS n_empty, count_if(turn % 4 = 2) AS n_pointer, count_if(turn % 4 = 3 AND length(text) % 2 = 0) AS n_broken FROM conversations",
+    "flat_prompts": "WITH c AS (SELECT conv_id, turn, 0::INT AS pos, 'ask ' || role AS p FROM conversations WHERE lower(role) IN ('user', 'human', 'prompter', 'questioner') UNION ALL SELECT conv_id, turn, 1, regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM conversations WHERE lower(role) IN ('user', 'human', 'prompter', 'questioner')) SELECT conv_id, turn, pos, md5(p) AS prompt_md5 FROM c WHERE p <> ''",
     "corpus_files": "WITH t AS (SELECT 'lines' AS kind, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS p FROM conversations WHERE lower(role) IN ('user', 'human', 'prompter', 'questioner') UNION ALL SELECT 'items', trim(text) FROM benchmark) SELECT kind, md5(p) AS prompt_md5, count(*) AS n FROM t WHERE p <> '' GROUP BY ALL",
     "merged_datasets": "WITH t AS (SELECT 'model' || (item_id % 2) AS data_model, 'bias ' || (item_id % 3) AS bias, item_id FROM benchmark WHERE item_id % 5 > 0 UNION ALL SELECT 'list', 'bias ' || (item_id % 3), item_id FROM benchmark WHERE item_id % 5 > 0) SELECT data_model, bias, count(*) AS n, 4 * count(*) AS more FROM t GROUP BY ALL",
     "two_channel_top": f"WITH {_NATIONS} SELECT q::BIGINT AS p_partkey, cand, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand) - 1 AS place FROM scores QUALIFY place < 2",

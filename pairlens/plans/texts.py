@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairlens.functions import text as T
+from pairlens.functions import labels as L, text as T
 from pairlens.operators import pairs as P, rates as R, scoring as S, similarity as M, inference as E
 from pairlens.plans.outcomes import read, rounded
 from pairlens.sources import files
@@ -69,8 +69,10 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five words of each stratum whose rates differ most (by q, then effect)."""
+    """The five words of each stratum whose rates differ most (by q, then effect), of those that differ significantly; where
+    these are few, the next ones follow, marked."""
     d = E.word_effects(_labelled(spark, sf_dir).withColumn("words", T.tokens(F.lower("text"))), "stratum", "flag", "words", 3)
+    d = d.where("q IS NOT NULL").withColumn("significant", F.col("q") < 0.05)
     return rounded(R.first_of(d, ["stratum"], [F.col("q").asc(), F.abs("effect").desc(), F.col("word")], 5))
 
 
@@ -109,7 +111,7 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_similarity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean edit similarity of all pairs of benchmark items."""
+    """Mean edit similarity of all pairs of benchmark items; SQL's edit distance counts bytes, not characters."""
     d = read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("set"), "item_id", "text")
     return rounded(M.mean_levenshtein(d, "set", "item_id", "text"))
 
@@ -126,12 +128,6 @@ def changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("item_id", P.inserted_spans("text", "shorter").alias("spans"), P.largest_change("text", "shorter").alias("largest"))
 
 
-def cue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of a user's turns as one text for each role, in order."""
-    c = read(spark, sf_dir, "conversations").withColumn("span", F.substring_index("text", " ", 3))
-    return P.cue_documents(c, "role", "span", ["conv_id", "turn"]).select("role", F.md5("cue_doc").alias("md5"), F.length("cue_doc").cast("long").alias("chars"))
-
-
 def cue_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole turns of each role in order, as chunks of 1,024 turns."""
     c = P.cue_chunks(read(spark, sf_dir, "conversations"), "role", "text", ["conv_id", "turn"])
@@ -186,23 +182,76 @@ def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.nearest_labels(e, "vec_id", "v", M.label_vectors(e, "label", "v", 64), "label", 3, 0.3))
 
 
-def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one block, vectors of one label whose ids end alike, whose cosine is above 0.3."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") * 50 + F.pmod("vec_id", F.lit(50))).alias("block"), "embedding")
-    return rounded(M.similar_pairs(e, "block", "vec_id", "embedding", 0.3))
-
-
 def similar_label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of vectors of one label whose cosine is above 0.3."""
     return rounded(M.similar_pairs_tiled(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3))
 
 
+def pruned_label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, of which only vectors that can be similar meet."""
+    return rounded(M.similar_pairs_pruned(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3))
+
+
 def first_of_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that are the first of those that cosines above 0.3 link to them within their label."""
     e = read(spark, sf_dir, "embeddings")
     return M.keep_first_of_similar(e, "vec_id", M.similar_pairs_tiled(e, "label", "vec_id", "embedding", 0.3)).select("vec_id", "label")
 
 
+def first_of_greedy_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are not superfluous by sets grown in the order of similar pairs, which SQL can't express."""
+    e = read(spark, sf_dir, "embeddings")
+    return M.keep_first_of_similar(e, "vec_id", M.similar_pairs_tiled(e, "label", "vec_id", "embedding", 0.3), "greedy").select("vec_id", "label")
+
+
+def similar_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cosine with the first one."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rounded(M.similarity_to(e, "vec_id", "embedding", e.orderBy("vec_id").limit(1)))
+
+
+def tfidf_top3_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's three best benchmark items by words and word pairs without English function words."""
+    d, b = _queries(spark, sf_dir)
+    grams = lambda text: M.word_grams(text, 2, M.ENGLISH_STOP)
+    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", grams, "text", []).withColumn("score", F.round("score", 6))
+    return M.top_k(scores, "doc_id", "item_id", 3).withColumn("place", F.col("place").cast("long"))
+
+
+def aligned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each document's three nearest benchmark items by answers read back: spans that the texts do not hold void
+    them; by score, strength, then nearness."""
+    d, b = _queries(spark, sf_dir)
+    near = tfidf_top3(spark, sf_dir).select("doc_id", "item_id", F.col("score").alias("tfidf"))
+    c = near.join(d, "doc_id").join(b.withColumnRenamed("text", "cand_text"), "item_id")
+    span = F.when((F.col("doc_id") + F.col("item_id")) % 2 == 0, F.lower(F.substring("text", 1, 6))).otherwise("not there ###")
+    item = F.struct(F.lit("0").alias("idx"), F.lit(True).alias("aligned"), F.when(F.col("doc_id") % 2 == 0, "strong").otherwise("weak").alias("alignment_strength"), (F.lit(0.8) + F.col("item_id") % 3 / 10.0).cast("string").alias("score"), span.alias("dev_cue_span"), F.substring("cand_text", 1, 4).alias("probe_cue_span"))
+    out = S.aligned(c.withColumn("answer", F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(item).alias("candidates"))))), "text", "cand_text", 0.85)
+    best = R.first_of(out, ["doc_id"], [F.desc("score"), F.desc("strength"), F.desc("tfidf"), F.col("item_id")])
+    return rounded(best.select("doc_id", "item_id", "aligned", "strength", "score", "tfidf", F.lower("query_span").alias("query_span"), "is_aligned", "is_strong"))
+
+
+# Names of biases as people write them.
+_WRITTEN = ("Anchoring", "  Framing   effect", "present\tbias", "AVAILABILITY", "hindsight bias ", "Halo effect", "Time  Preference", "bandwagon", "sunk cost")
+
+
+def _named_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under names of biases by their keys."""
+    names = F.array(*[F.lit(x) for x in _WRITTEN])
+    return read(spark, sf_dir, "part").select("p_size", F.get(names, (F.col("p_partkey") % len(_WRITTEN)).cast("int")).alias("written"))
+
+
+def bias_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Biases under one name each, with their cue features."""
+    d = _named_biases(spark, sf_dir).select(L.normalize_bias(F.col("written")).alias("bias"), L.bias_feature(F.col("written")).alias("feature"), "p_size")
+    return d.groupBy("bias", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size"))
+
+
+def unknown_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _named_biases(spark, sf_dir).select(L.normalize_bias(F.col("written")).alias("bias"))
+    return L.unknown_labels(d, "bias", L.biases(spark).select("bias"))
+
+
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns scored once for each distinct request; those that a system turn said are served from a cache."""
     c = read(spark, sf_dir, "conversations").withColumn("key", S.request_key(F.lit("rate"), F.col("text"), F.lit("stub"), F.lit(0)))
@@ -230,7 +279,7 @@ def eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clean_prompts, codebook_prevalence, english_cues, lexicon_totals, cue_rate_ratios, cue_log_odds, cue_regression, cue_effects, word_counts, top_words, parsed_answers, span_clamp,
-    edit_similarity, edit_similarity_items, content_keys, changed_spans, cue_documents, cue_document_chunks, tfidf_map, tfidf_top3, mapped_prevalence, two_channel_top, vector_groups, vector_labels, similar_vectors, similar_label_vectors, first_of_similar_vectors, scored_requests,
+    edit_similarity, edit_similarity_items, content_keys, changed_spans, cue_document_chunks, tfidf_map, tfidf_top3, mapped_prevalence, two_channel_top, vector_groups, vector_labels, similar_label_vectors, pruned_label_vectors, first_of_similar_vectors, first_of_greedy_sets, similar_to_one, tfidf_top3_stopped, aligned_candidates, bias_labels, unknown_biases, scored_requests,
     labelling_cascade, eligible_rows,
 )}
 
@@ -251,6 +300,10 @@ voc AS (SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term
 raw AS (SELECT side, id, term, tf * idf AS r FROM tf JOIN voc USING (term)),
 unit AS (SELECT side, id, term, r / sqrt(sum(r * r) OVER (PARTITION BY side, id)) AS w FROM raw),
 scores AS (SELECT a.id AS doc_id, b.id AS item_id, round(sum(a.w * b.w), 6) AS score FROM unit a JOIN unit b ON a.term = b.term AND a.side = 0 AND b.side = 1 GROUP BY ALL)"""
+_STOPPED = _TF.replace("tok AS (", "all_ AS (", 1).replace("grams AS (", "tok AS (SELECT side, id, list_filter(w, lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in M.ENGLISH_STOP) + "], x)) AS w FROM all_),\ngrams AS (", 1)
+_SIMILAR = "WITH p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE c > 0.3)"
+_quoted = lambda x: "'" + x + "'"
+_BIAS_SQL = "CASE p_partkey % " + str(len(_WRITTEN)) + " " + " ".join(f"WHEN {i} THEN '{L.BIAS_ALIASES.get(' '.join(w.lower().split()), ' '.join(w.lower().split()))}'" for i, w in enumerate(_WRITTEN)) + " END"
 _MAP = _TF + """, best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1),
 mapped AS (SELECT d.doc_id, coalesce(b.item_id, (SELECT min(item_id) FROM benchmark)) AS item_id, coalesce(score, 0) AS score, coalesce(score, 0) >= 0.07 AS mapped FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id)"""
 _FLAGS = ", ".join(f"regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in v[k])}') AS {f}_{k}" for f, v in BOOK.items() for k in ("strong", "weak"))
@@ -270,12 +323,21 @@ ORACLE = {
     "word_counts": "WITH d AS (SELECT lang AS stratum, toxic = 1 AS flag, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents JOIN labels USING (doc_id)), n AS (SELECT stratum, word, count_if(flag) AS x1, count_if(NOT flag) AS x0 FROM d GROUP BY ALL) SELECT n.*, sum(x1) OVER w AS t1, sum(x0) OVER w AS t0 FROM n WINDOW w AS (PARTITION BY stratum) QUALIFY x1 + x0 >= 3",
     "span_clamp": "WITH s AS (SELECT doc_id, lang, source, text, lower(substr(text, 3, 8)) AS span FROM documents) SELECT doc_id, CASE WHEN span = '' THEN '' WHEN strpos(text, span) > 0 THEN span WHEN strpos(lower(text), span) > 0 THEN substr(text, strpos(lower(text), span), length(span)) ELSE '' END AS found, coalesce(nullif(trim(nullif(lang, 'en')), ''), nullif(trim(source), ''), '') AS label FROM s",
     "edit_similarity": "SELECT a.n_regionkey, count(*) AS pairs, round(avg(1 - levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(length(a.n_name), length(b.n_name))), 6) AS mean_similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey GROUP BY a.n_regionkey",
-    "cue_documents": "WITH w AS (SELECT role, conv_id, turn, array_to_string(string_split(text, ' ')[1:3], ' ') AS span FROM conversations), d AS (SELECT role, string_agg(span, ' ' ORDER BY conv_id, turn, span) AS doc FROM w GROUP BY role) SELECT role, md5(doc) AS md5, length(doc) AS chars FROM d",
+    "cue_document_chunks": "WITH n AS (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, text) - 1 AS k FROM conversations WHERE text IS NOT NULL), c AS (SELECT role, k // 1024 AS chunk, count(*) AS n_spans, string_agg(text, ' ' ORDER BY k) AS doc FROM n GROUP BY ALL) SELECT role, chunk::BIGINT AS chunk, n_spans, md5(doc) AS md5, length(doc) AS chars FROM c",
     "tfidf_map": f"WITH {_MAP} SELECT * FROM mapped",
     "tfidf_top3": f"WITH {_TF} SELECT doc_id, item_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) - 1 AS place FROM scores QUALIFY place < 3",
     "mapped_prevalence": f"WITH {_MAP}, t AS (SELECT count(*) AS n FROM documents) SELECT b.item_id, t.n, coalesce(count_if(m.mapped), 0) AS k, round(100.0::DOUBLE * coalesce(count_if(m.mapped), 0) / t.n, 6) AS pct FROM benchmark b CROSS JOIN t LEFT JOIN mapped m ON m.item_id = b.item_id GROUP BY b.item_id, t.n",
     "vector_groups": "WITH p AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings), u AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM p), s AS (SELECT label, i, sum(x) AS s, count(*) AS n FROM u GROUP BY ALL) SELECT label, max(n) AS n, round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 6) AS mean_cosine FROM s GROUP BY label",
-    "similar_vectors": "WITH e AS (SELECT vec_id, label * 50 + vec_id % 50 AS block, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.block, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.block = b.block AND a.vec_id < b.vec_id) SELECT block, a, b, round(c, 6) AS cosine FROM p WHERE c > 0.3",
+    "similar_label_vectors": _SIMILAR + " SELECT label, a, b, round(c, 6) AS cosine FROM p",
+    "pruned_label_vectors": _SIMILAR + " SELECT label, a, b, round(c, 6) AS cosine FROM p",
+    "first_of_similar_vectors": _SIMILAR.replace("WITH ", "WITH RECURSIVE ") + ", l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT vec_id, label FROM embeddings JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = vec_id WHERE m = vec_id",
+    "similar_to_one": "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) o",
+    "tfidf_top3_stopped": f"WITH {_STOPPED} SELECT doc_id, item_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) - 1 AS place FROM scores QUALIFY place < 3",
+    "aligned_candidates": f"WITH {_TF}, k AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) <= 3), c AS (SELECT doc_id, item_id, k.score AS tfidf, text, (doc_id + item_id) % 2 = 0 AS held FROM k JOIN documents USING (doc_id)), "
+    "a AS (SELECT doc_id, item_id, tfidf, held, CASE WHEN held THEN CASE WHEN doc_id % 2 = 0 THEN 'strong' ELSE 'weak' END ELSE 'none' END AS strength, CASE WHEN held THEN 0.8::DOUBLE + item_id % 3 / 10.0::DOUBLE ELSE 0 END AS score, CASE WHEN held THEN lower(substr(text, 1, 6)) ELSE '' END AS query_span FROM c) "
+    "SELECT doc_id, item_id, held AS aligned, strength, round(score, 6) AS score, tfidf, query_span, held AND score >= 0.85 AS is_aligned, held AND score >= 0.85 AND strength = 'strong' AS is_strong FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a.score DESC, strength DESC, tfidf DESC, item_id) = 1",
+    "bias_labels": f"WITH n AS (SELECT p_size, {_BIAS_SQL} AS bias FROM part), m AS (SELECT * FROM (VALUES {', '.join(f'({_quoted(b)}, {_quoted(f)})' for b, f in L.BIAS_FEATURES.items())}) AS t(bias, feature)) SELECT n.bias, m.feature, count(*) AS n, sum(p_size)::BIGINT AS size FROM n LEFT JOIN m ON m.bias = n.bias GROUP BY ALL",
+    "unknown_biases": f"SELECT DISTINCT {_BIAS_SQL} AS bias FROM part WHERE bias NOT IN ({', '.join(map(_quoted, L.BIAS_FEATURES))})",
     "scored_requests": "WITH c AS (SELECT role, text, text IN (SELECT text FROM conversations WHERE role = 'system') AS known FROM conversations) SELECT role, CASE WHEN known THEN 'cached' ELSE 'chars ' || length(text) END AS answer, count(*) AS n FROM c GROUP BY ALL",
     "labelling_cascade": "WITH c AS (SELECT length(text) AS n FROM conversations), f AS (SELECT n % 3 > 0 AS is_coding, CASE WHEN n % 3 > 0 THEN n % 2 > 0 END AS has_cue, CASE WHEN n % 3 > 0 AND n % 2 > 0 AND n % 5 > 0 THEN ['a', 'b', 'c', 'd'][n % 5] END AS cue_type FROM c) SELECT *, count(*) AS n FROM f GROUP BY ALL",
     "eligible_rows": "SELECT doc_id, quality::DOUBLE AS score FROM labels WHERE quality >= 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY doc_id LIMIT 50",

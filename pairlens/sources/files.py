@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import json
 import re
+import warnings
 import zipfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 from pyspark.sql.functions import udtf
 
 from pairlens.functions.labels import header_key
@@ -39,9 +40,32 @@ def relative_path(spark: SparkSession, path: str) -> Column:
     return F.replace(plain(F.col("_metadata.file_path")), plain(F.lit(root_of(spark, path))), F.lit(""))
 
 
-def sound(files: DataFrame) -> DataFrame:
-    """Files that are not empty, no pointer to large-file storage, and hold JSON."""
-    return files.where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith(GIT_LFS) & F.try_parse_json("value").isNotNull())
+def _state(value: Column) -> Column:
+    """What is wrong with an input: "empty", "pointer" (to large-file storage), "broken" (no JSON), or null if it is sound."""
+    return F.when(~F.coalesce(value, F.lit("")).rlike(r"\S"), "empty").when(value.startswith(GIT_LFS), "pointer").when(F.try_parse_json(value).isNull(), "broken")
+
+
+def sound(files: DataFrame, skipped: Observation | None = None) -> DataFrame:
+    """Files that are not empty, no pointer to large-file storage, and hold JSON.
+
+    With ``skipped``, the others are counted as they pass, with no pass of their own: once the result has been computed,
+    ``skipped.get`` has n_inputs, n_empty, n_pointer and n_broken.
+    """
+    d = files.withColumn("_state", _state(F.col("value")))
+    if skipped is not None:
+        d = d.observe(skipped, F.count(F.lit(1)).alias("n_inputs"), *[F.count_if(F.col("_state").eqNullSafe(k)).alias(f"n_{k}") for k in ("empty", "pointer", "broken")])
+    return d.where("_state IS NULL").drop("_state")
+
+
+def skipped_inputs(files: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """The first ``most`` inputs (by ``keys``) that ``sound`` leaves out, with what is wrong: keys, reason. For a capped warning."""
+    return files.select(*keys, _state(F.col("value")).alias("reason")).where("reason IS NOT NULL").orderBy(*keys).limit(most)
+
+
+def warn_of_skipped(files: DataFrame, keys: list[str], most: int = 10) -> None:
+    """A warning for each of ``skipped_inputs``."""
+    for r in skipped_inputs(files, keys, most).collect():
+        warnings.warn(f"skipped ({r.reason}): {':'.join(str(r[k]) for k in keys)}", stacklevel=2)
 
 
 def summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -214,32 +238,76 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(rows, ["_block", "_at"])
 
 
-def table_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts of .csv and .tsv files: file (below ``path``), line (from 0), prompt, the first prompt column that is not blank.
+def separated_rows(spark: SparkSession, path: str, glob: str, sep: str) -> DataFrame:
+    """Rows of all files of a folder in one plan, whatever their headers: file (below ``path``), line (from 0), header and
+    fields (arrays of strings).
 
-    Headers differ, so each file is a table of its own: for some hundreds of files, not for millions.
+    Rows are read without headers under one schema that is as wide as the widest header of all; the first row of a file
+    is the header of its others. A field that quotes hold may hold line ends, so a file is read by one task.
     """
-    out = None
-    for glob, sep in (("*.csv", ","), ("*.tsv", "\t")):
-        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path").orderBy("path").collect()
-        for r in names:
-            df = spark.read.csv(r.path, header=True, sep=sep, multiLine=True, escape='"')
-            rows = df.select(relative_path(spark, path).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), first_prompt(df).alias("prompt"))
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return spark.createDataFrame([], "file string, line long, prompt string")
-    return _numbered(out, ["_block", "_at"]).where("prompt IS NOT NULL").select("file", "line", "prompt")
-
-
-def corpus(spark: SparkSession, path: str, legacy_recursive: bool = False) -> DataFrame:
-    """Prompts of .json, .jsonl, .csv and .tsv files: file (below ``path``), idx, prompt. A line or row is a document of its own.
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    lines = reader.text(path).where(F.col("_metadata.file_block_start") == 0)
+    width = lines.agg(F.max(F.size(F.split("value", re.escape(sep))))).first()[0]  # no less than any first line's fields
+    if not width:
+        return spark.createDataFrame([], "file string, line long, header array<string>, fields array<string>")
+    names = [f"_c{i}" for i in range(width)]
+    rows = reader.csv(path, schema=", ".join(f"{n} string" for n in names), sep=sep, multiLine=True, escape='"')
+    rows = rows.select(relative_path(spark, path).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.array(*names).alias("fields"))
+    numbered = _numbered(rows, ["_block", "_at"])
+    header = F.transform("fields", lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "^\ufeff", ""))
+    heads = numbered.where("line = 0").select(F.col("file").alias("_file"), header.alias("header"))
+    return numbered.where("line > 0").join(heads, F.col("file") == F.col("_file")).select("file", (F.col("line") - 1).alias("line"), "header", "fields")
+
+
+def table_prompts(spark: SparkSession, path: str, keys: tuple[str, ...] = PROMPT_KEYS) -> DataFrame:
+    """Prompts of .csv and .tsv files: file (below ``path``), line (from 0), prompt, the first of the columns ``keys`` that is not
+    blank. Files with any headers are read together."""
+    rows = separated_rows(spark, path, "*.csv", ",").unionByName(separated_rows(spark, path, "*.tsv", "\t"))
+    held = lambda k: F.get("fields", (F.array_position("header", F.lit(k)) - 1).cast("int"))
+    prompt = F.coalesce(*[F.when(F.array_contains("header", k), F.nullif(F.trim(held(k)), F.lit(""))) for k in keys])
+    return rows.select("file", "line", prompt.alias("prompt")).where("prompt IS NOT NULL")
+
 
-    Of messages only those of asking roles count, unless ``legacy_recursive``.
+_EDGE = r"[\s\x1C-\x1F\x85\p{Z}]+"
+
+
+def flat_prompts(value: Column, whatever_role: bool = False) -> Column:
+    """The distinct prompts of a JSON object without nested ones, in the order of ``PROMPT_KEYS``: an array of strings.
+
+    Its fields are read as variants: only strings are prompts. An object of a role that does not ask has none, unless
+    ``whatever_role``.
     """
+    v = F.try_parse_json(value)
+    field = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    text = lambda k: F.regexp_replace(F.try_variant_get(v, f"$.{k}", "string"), f"^{_EDGE}|{_EDGE}$", "")
+    found = F.array(*[F.when(F.schema_of_variant(field(k)) == "STRING", F.nullif(text(k), F.lit(""))) for k in PROMPT_KEYS])
+    role = F.coalesce(*[field(k) for k in ("role", "from", "author")])
+    asks = F.coalesce(F.lower(F.try_variant_get(role, "$", "string")).isin(*ASKING_ROLES), F.lit(True))
+    every = F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    return every if whatever_role else F.when(asks, every).otherwise(F.array().cast("array<string>"))
+
+
+def is_flat(value: Column) -> Column:
+    """Whether a JSON text is one object in which no brace or bracket stands, in a string or not."""
+    return F.coalesce(value.rlike(r"^\s*\{[^{}\[\]]*\}\s*$"), F.lit(False))
+
+
+def corpus_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON inputs of a folder: file (below ``path``), line, value. A .json file is one, each line of a .jsonl file is one."""
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    documents = sound(whole.select(relative_path(spark, path).alias("file"), "value")).select("file", F.lit(0).cast("long").alias("line"), "value")
-    rows = documents.unionByName(sound(json_lines(spark, path)).select("file", "line", "value"))
-    found = rows.lateralJoin(ExtractPrompts(F.col("value").outer(), F.lit(legacy_recursive))).select("file", F.concat_ws(":", "line", "pos").alias("idx"), "prompt")
+    return whole.select(relative_path(spark, path).alias("file"), F.lit(0).cast("long").alias("line"), "value").unionByName(json_lines(spark, path).select("file", "line", "value"))
+
+
+def corpus(spark: SparkSession, path: str, legacy_recursive: bool = False, skipped: Observation | None = None) -> DataFrame:
+    """Prompts of .json, .jsonl, .csv and .tsv files: file (below ``path``), idx, prompt. A line or row is a document of its own.
+
+    Of messages only those of asking roles count, unless ``legacy_recursive``. Flat objects are read by expressions, nested
+    ones by a table function. ``skipped`` counts the JSON inputs that are left out (see ``sound``).
+    """
+    rows = sound(corpus_inputs(spark, path), skipped).withColumn("_flat", is_flat(F.col("value")))
+    flat = rows.where("_flat").select("file", "line", F.posexplode(flat_prompts(F.col("value"), legacy_recursive)).alias("pos", "prompt"))
+    nested = rows.where("NOT _flat").lateralJoin(ExtractPrompts(F.col("value").outer(), F.lit(legacy_recursive))).select("file", "line", "pos", "prompt")
+    found = flat.unionByName(nested).select("file", F.concat_ws(":", "line", "pos").alias("idx"), "prompt")
     return found.unionByName(table_prompts(spark, path).select("file", F.concat_ws(":", "line", F.lit(0)).alias("idx"), "prompt"))
 
 

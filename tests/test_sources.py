@@ -95,3 +95,86 @@ def test_roles_at_any_depth(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(talk))
     assert [r.prompt for r in S.corpus(spark, str(tmp_path)).collect()] == ["ask"]
     assert [r.prompt for r in S.corpus(spark, str(tmp_path), legacy_recursive=True).orderBy("idx").collect()] == ["ask", "tell", "inner"]
+
+
+def test_tables_of_many_headers_in_one_plan(spark, tmp_path):
+    """Each file by its own header, all in one plan; keys by rank, not by place; quotes, line ends, marks, empty files."""
+    keys = ("prompt", "text", "Question", "body")
+    want = set()
+    for i in range(120):
+        names = [f"c{j}" for j in range(i % 7)] + [keys[i % 4]]
+        (tmp_path / f"{i:03}.csv").write_text(",".join(names) + "\n" + ",".join("-" * (len(names) - 1)) + "," * (len(names) > 1) + f'"ask {i}, ""now""\nand then"\n' + "\n" + "," * (len(names) - 1) + " \n")
+        want.add((f"{i:03}.csv", 0, f'ask {i}, "now"\nand then'))
+    (tmp_path / "b.csv").write_text("\ufefftext,prompt\nlow,high\nonly,\n", encoding="utf-8")
+    (tmp_path / "none.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "t.tsv").write_text("id\tmessage\n1\tsay, it\n")
+    want |= {("b.csv", 0, "high"), ("b.csv", 1, "only"), ("d/t.tsv", 0, "say, it")}
+    found = S.table_prompts(spark, str(tmp_path))
+    assert {(r.file, r.line, r.prompt) for r in found.collect()} == want
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan csv") <= 2
+    (tmp_path / "nothing").mkdir()
+    assert S.table_prompts(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_skipped_inputs_are_counted(spark, tmp_path):
+    import warnings
+
+    from pyspark.sql import Observation
+
+    (tmp_path / "a.json").write_text(json.dumps({"prompt": "one"}))
+    (tmp_path / "b.json").write_text("version https://git-lfs.github.com/spec/v1\noid")
+    (tmp_path / "c.json").write_text(" \n")
+    (tmp_path / "d.jsonl").write_text('{"prompt": "two"}\n{broken\n[1\n\n')
+    skipped = Observation("skipped")
+    assert {r.prompt for r in S.corpus(spark, str(tmp_path), skipped=skipped).collect()} == {"one", "two"}
+    assert skipped.get == {"n_inputs": 7, "n_empty": 2, "n_pointer": 1, "n_broken": 2}
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        S.warn_of_skipped(S.corpus_inputs(spark, str(tmp_path)), ["file", "line"], 3)
+    assert [str(w.message) for w in said if "skipped" in str(w.message)] == ["skipped (pointer): b.json:0", "skipped (empty): c.json:0", "skipped (broken): d.jsonl:1"]
+
+
+def test_flat_objects_like_nested_ones(spark):
+    """Expressions over variants give what the table function gives."""
+    import random
+
+    rng = random.Random(4)
+    values = ["x", " y ", "", None, 3, 1.5, True, "\u2003wide\u00a0", "x", "q\"uote", "a b"]
+    docs = [json.dumps({k: rng.choice(values) for k in rng.sample([*S.PROMPT_KEYS, "other", "id"], rng.randrange(9))} | ({rng.choice(["role", "from", "author"]): rng.choice(["user", "Human", "assistant", None, 7, "system"])} if rng.random() < 0.6 else {})) for _ in range(300)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, value string")
+    assert df.where(S.is_flat(F.col("value"))).count() == 300 and not spark.createDataFrame([('{"a": {"b": 1}}',), ("[1]",), ("3",)], "value string").where(S.is_flat(F.col("value"))).count()
+    for whatever in (False, True):
+        got = {r.i: r.p for r in df.select("i", S.flat_prompts(F.col("value"), whatever).alias("p")).collect()}
+        assert got == {i: list(dict.fromkeys(S._prompts(json.loads(d), S.PROMPT_KEYS, whatever))) for i, d in enumerate(docs)}
+
+
+def test_stream_scores_each_key_once(spark, tmp_path):
+    """Over restarts, a batch that is run again, and answers that were null; buckets are read as they are needed."""
+    from pairlens.streaming import resume
+
+    asked, lost = [], {"b"}
+
+    def scorer(d):
+        asked.extend(r.key for r in d.select("key").collect())
+        return d.select("key", F.when(~F.col("key").isin(list(lost) or [""]), F.upper("key")).alias("answer"))
+
+    def feed(name, keys):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_text("".join(json.dumps({"key": k}) + "\n" for k in keys))
+        stream = spark.readStream.schema("key string").json(str(tmp_path / "in"))
+        resume.score_stream(stream, "key", scorer, str(tmp_path / "out"), str(tmp_path / "state"), buckets=8).awaitTermination()
+        return sorted((r.key, r.answer) for r in resume.scored(spark, str(tmp_path / "out")).where("answer IS NOT NULL").collect())
+
+    assert resume.scored(spark, str(tmp_path / "out")) is None
+    assert feed("1", ["a", "a", "b", "c"]) == [("a", "A"), ("c", "C")] and sorted(asked) == ["a", "b", "c"]
+    asked.clear()
+    lost.clear()
+    assert feed("2", ["c", "b", "d", "a"]) == [(k, k.upper()) for k in "abcd"] and sorted(asked) == ["b", "d"]
+    asked.clear()
+    # The last batch again, as after a failure before its commit.
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    assert feed("3", []) == [(k, k.upper()) for k in "abcd"] and sorted(asked) == ["b", "d"]
