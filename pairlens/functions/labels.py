@@ -97,6 +97,11 @@ def header_key(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
 
+def title(value: Column) -> Column:
+    """A label with a capital at each word."""
+    return F.initcap(F.lower(value))
+
+
 def stars(p: Column) -> Column:
     """*** below 0.001, ** below 0.01, * below 0.05, else empty."""
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")

@@ -42,7 +42,7 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 def _inserted(biased: str, unbiased: str) -> list[str]:
     a, b = _TOKEN.findall(unbiased or ""), _TOKEN.findall(biased or "")
     spans = [b[j1:j2] for kind, _, _, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes() if kind == "insert" or (kind == "replace" and j2 - j1 >= 2)]
-    texts = [re.sub(r"\s+([^\w\s])", r"\1", " ".join(s)).strip() for s in spans]
+    texts = [re.sub(r"\s+([,.;:!?])", r"\1", " ".join(s)).strip() for s in spans]
     return [t for t in texts if len(t) >= 3]
 
 

@@ -101,6 +101,37 @@ def label_prevalence(mapped: DataFrame, labels: DataFrame, label: str, threshold
     return both.withColumns({"pct": 100.0 * F.col("k") / F.nullif(F.col("n"), F.lit(0)), "threshold": F.lit(threshold)})
 
 
+def prevalence(rows: DataFrame, key: str, flag: Column, total: str = "ANY") -> DataFrame:
+    """Rows, flagged rows and their percentage of each key, and of all under the name ``total``, in one pass."""
+    out = rows.groupingSets([[F.col(key)], []], key).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("k"), F.grouping(key).alias("_all"))
+    return out.select(F.when(F.col("_all") == 1, total).otherwise(F.col(key)).alias(key), "n", "k", (100.0 * F.col("k") / F.nullif(F.col("n"), F.lit(0))).alias("pct"))
+
+
+def counted_dimension(dimension: DataFrame, facts: DataFrame, key: str, fact_key: str, out: str) -> DataFrame:
+    """All rows of a dimension with the number of their facts as ``out``; 0 where there are none."""
+    n = facts.groupBy(F.col(fact_key).alias("_fact_key")).agg(F.count(F.lit(1)).alias("_n"))
+    return dimension.join(n, F.col(key) == F.col("_fact_key"), "left").withColumn(out, F.coalesce("_n", F.lit(0)).cast("long")).drop("_n", "_fact_key")
+
+
+def of_frequent(df: DataFrame, key: str, least: int) -> DataFrame:
+    """Rows of keys that have ``least`` rows or more."""
+    return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key), key, "left_semi")
+
+
+def set_parts(sets: dict[str, DataFrame], universe: DataFrame, key: str) -> DataFrame:
+    """How sets of ``key`` share the values of ``universe`` and their own: a row (key, members) for each different value, members
+    the sorted names of the sets that have it; none for a value of the universe alone. One pass and one shuffle, whatever the number of sets."""
+    rows = universe.select(F.col(key), F.lit(None).cast("string").alias("_set"))
+    for name, d in sets.items():
+        rows = rows.unionByName(d.select(F.col(key), F.lit(name).alias("_set")))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set("_set")).alias("members"))  # of as many names as sets
+
+
+def distinct_counts(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Rows, and different values of each of ``columns`` (under the names given), by ``keys``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(name) for c, name in columns.items()])
+
+
 def top_k_filled(queries: DataFrame, docs: DataFrame, scores: DataFrame, query_id: str, doc_id: str, block: list[str], k: int) -> DataFrame:
     """The k best documents of each query in its block; where fewer have a score, the first of the others at 0.
 

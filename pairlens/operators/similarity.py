@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pairlens.operators.shared import components, cut as lineage_cut
 
 
-#: Rows up to which a table is broadcast.
-FEW = 500_000
+#: Rows up to which a table is broadcast, labels that all meet every vector, rows of a block of which pairs are made.
+FEW, LABELS, BLOCK = 500_000, 10_000, 10_000
 
 
 # Function words of English that say nothing of a text's subject; a list of this library's own.
@@ -117,8 +117,11 @@ def label_vectors(df: DataFrame, label: str, vector: str, width: int) -> DataFra
 def nearest_labels(df: DataFrame, ident: str, vector: str, labels: DataFrame, label: str, k: int, threshold: float) -> DataFrame:
     """Each vector's k nearest label vectors, the best, and whether it reaches ``threshold``.
 
-    Labels are few (a dimension): they are collected into one array that is broadcast, and no row multiplies.
+    Labels are a dimension: they are collected into one array that is broadcast, and no row multiplies. More than ``LABELS``
+    are refused.
     """
+    if (many := labels.count()) > LABELS:
+        raise ValueError(f"{many} labels: more than {LABELS}")
     table = labels.agg(F.array_sort(F.collect_list(F.struct(label, "label_vector"))).alias("_labels"))
     near = F.transform("_labels", lambda r: F.struct((-F.round(dot(F.col("_v"), r["label_vector"]), 9)).alias("minus"), r[label].alias("label")))
     out = df.select(ident, unit(F.col(vector)).alias("_v")).crossJoin(F.broadcast(table)).withColumn("_top", F.slice(F.array_sort(near), 1, k))
@@ -133,11 +136,18 @@ def mean_cosine(df: DataFrame, group: str, vector: str) -> DataFrame:
     return out.where("n > 1").select(group, "n", ((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
 
 
+def _refuse_large(df: DataFrame, block: str) -> None:
+    most = df.groupBy(block).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > BLOCK:
+        raise ValueError(f"a block of {block} has {most} rows: more than {BLOCK}, of which all pairs would be made")
+
+
 def similar_pairs(df: DataFrame, block: str, ident: str, vector: str, least: float) -> DataFrame:
     """Pairs a < b of a block whose cosine is above ``least``: an equi-join on the block, checked before it is written.
 
-    Blocks have to be small sets (a bias's pairs); for corpora see the embedding operator of the training pipeline.
+    Blocks have to be small sets (a bias's pairs): one of over ``BLOCK`` rows is refused, see ``similar_pairs_tiled``.
     """
+    _refuse_large(df, block)
     u = df.select(block, F.col(ident).alias("a"), unit(F.col(vector)).alias("va"))
     v = df.select(F.col(block).alias("_block"), F.col(ident).alias("b"), unit(F.col(vector)).alias("vb"))
     return u.join(v, (F.col(block) == F.col("_block")) & (F.col("a") < F.col("b"))).select(block, "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > least)
@@ -286,7 +296,8 @@ def mean_levenshtein(df: DataFrame, group: str, ident: str, text: str, rows: int
 
 
 def correlations(cells: DataFrame, key: str, column: str, value: str) -> DataFrame:
-    """Correlation of every two columns of a (small) matrix over its rows; 0 where it is undefined."""
+    """Correlation of every two columns of a matrix over its rows; 0 where it is undefined. A row of over ``BLOCK`` cells is refused."""
+    _refuse_large(cells, key)
     a = cells.select(key, F.col(column).alias("a"), F.col(value).alias("va"))
     b = cells.select(key, F.col(column).alias("b"), F.col(value).alias("vb"))
     r = F.corr("va", "vb")

@@ -135,16 +135,13 @@ def entity_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = runs(spark, sf_dir)
-    out = rows.groupingSets([[F.col("bias")], []], "bias").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("steps") >= 90).alias("k"))
-    return rounded(out.select(F.coalesce("bias", F.lit("ANY")).alias("bias"), "n", "k", (100.0 * F.col("k") / F.col("n")).alias("pct")))
+    return rounded(O.prevalence(runs(spark, sf_dir), "bias", F.col("steps") >= 90))
 
 
 def seen_and_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapped counts of every event type; purchases are never mapped and stay at 0."""
     e = runs(spark, sf_dir)
-    dims, hits = e.select("bias").distinct(), e.where("bias <> 'purchase' AND steps >= 99").groupBy("bias").agg(F.count(F.lit(1)).alias("mapped"))
-    return dims.join(hits, "bias", "left").select("bias", F.coalesce("mapped", F.lit(0)).cast("long").alias("mapped"))
+    return O.counted_dimension(e.select("bias").distinct(), e.where("bias <> 'purchase' AND steps >= 99"), "bias", "bias", "mapped")
 
 
 def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,27 +206,23 @@ def shared_and_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
     c = read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
     s = read(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.col("s_nationkey").alias("k"))
-    parts = {"both": c.intersect(s), "customers only": c.subtract(s), "suppliers only": s.subtract(c), "either": c.union(s).distinct(), "unknown": n.subtract(c.union(s))}
-    out = None
-    for name, d in parts.items():
-        d = d.select(F.lit(name).alias("part"), "k")
-        out = d if out is None else out.unionByName(d)
-    return out
+    m = O.set_parts({"c": c, "s": s}, n, "k")
+    parts = {"both": F.size("members") == 2, "customers only": F.col("members") == F.array(F.lit("c")), "suppliers only": F.col("members") == F.array(F.lit("s")), "either": F.size("members") > 0, "unknown": F.size("members") == 0}
+    return m.select(F.explode(F.filter(F.array(*[F.when(ok, name) for name, ok in parts.items()]), lambda x: x.isNotNull())).alias("part"), "k")
 
 
 def lookup_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations with mapped region labels, unknown ones as they are, and customers counted with a default of 0."""
     n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     n = n.withColumn("region", L.lookup(F.col("r_name"), {"AFRICA": "Af", "ASIA": "As"}))
-    c = read(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("rich"))
-    return n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", "region", F.coalesce("rich", F.lit(0)).cast("long").alias("rich"))
+    return O.counted_dimension(n, read(spark, sf_dir, "customer").where("c_acctbal > 9500"), "n_nationkey", "c_nationkey", "rich").select("n_name", "region", "rich")
 
 
 def domain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order priorities with their place in a domain whose baseline is first, and label keys for headers."""
     p = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     place = L.rank_in(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], "3-MEDIUM").cast("long")
-    return p.select("o_orderpriority", "n", place.alias("place"), L.normalize_bias(F.col("o_orderpriority"), {"5-low": "low"}).alias("label"), F.initcap(F.lower("o_orderpriority")).alias("title"))
+    return p.select("o_orderpriority", "n", place.alias("place"), L.normalize_bias(F.col("o_orderpriority"), {"5-low": "low"}).alias("label"), L.title(F.col("o_orderpriority")).alias("title"))
 
 
 def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,15 +260,14 @@ def validation_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations with the documents they judge, English ones and rare sources left out."""
     d = read(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", "source", "n_chars")
-    big = d.groupBy("source").count().where("count >= 15").select("source")
-    j = read(spark, sf_dir, "labels").join(d.join(big, "source", "left_semi"), "doc_id")
+    j = read(spark, sf_dir, "labels").join(O.of_frequent(d, "source", 15), "doc_id")
     return rounded(j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.avg("quality").alias("quality")))
 
 
 def daily_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and hour in UTC, seconds cut off."""
-    e = read(spark, sf_dir, "events").withColumn("second", F.date_trunc("second", "ts"))
-    return e.groupBy(F.date_format("second", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("second").alias("seconds"), F.count_distinct("user_id").alias("users"))
+    e = read(spark, sf_dir, "events").withColumn("second", F.date_trunc("second", "ts")).withColumn("day", F.date_format("second", "yyyy-MM-dd"))
+    return O.distinct_counts(e, ["day"], {"second": "seconds", "user_id": "users"})
 
 
 QUERIES = {f.__name__: f for f in (

@@ -66,6 +66,31 @@ def test_text(spark):
     assert flags.bandwagon_cues_strong == flags.overconfidence_cues_strong == flags.overconfidence_cues_weak == 1 and flags.hindsight_cues_any == 0
 
 
+def test_spans_where_lower_case_is_longer(spark):
+    for span, text, want in (("HELLO", "İİ say Hello", "Hello"), ("i̇x", "an İX here", ""), ("İx", "an i̇x, İX", "İX"), ("x" * 9, "İ", ""), ("", "İ", ""), ("ß", "MASSE ß", "ß")):
+        assert one(spark, T.clamp_span(F.col("s"), F.col("t")), s=span, t=text) == want, span
+
+
+def test_large_blocks_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 3)
+    monkeypatch.setattr(M, "LABELS", 1)
+    df = spark.createDataFrame([(i, "g", [1.0, i + 0.0]) for i in range(4)], "i long, g string, v array<double>")
+    for f in (lambda: M.similar_pairs(df, "g", "i", "v", 0.5), lambda: M.correlations(df.withColumn("x", F.lit(1.0)), "g", "i", "x"), lambda: M.nearest_labels(df, "i", "v", df.select(F.col("i").alias("l"), F.col("v").alias("label_vector")), "l", 1, 0.5)):
+        with pytest.raises(ValueError, match="more than"):
+            f()
+
+
+def test_sets_and_prevalence(spark):
+    from pairlens.operators import reports as O
+
+    k = lambda *x: spark.createDataFrame([(v,) for v in x], "k long")
+    got = {r.k: r.members for r in O.set_parts({"b": k(1, 2, 2), "a": k(2, 3)}, k(1, 2, 9, 9), "k").collect()}
+    assert got == {1: ["b"], 2: ["a", "b"], 3: ["a"], 9: []}
+    rows = spark.createDataFrame([("x", 1), ("x", 5), (None, 5)], "g string, v int")
+    assert {tuple(r) for r in O.prevalence(rows, "g", F.col("v") > 3, "all").collect()} == {("x", 2, 1, 50.0), (None, 1, 1, 100.0), ("all", 3, 2, 200 / 3)}
+    assert {r.g for r in O.of_frequent(rows, "g", 2).collect()} == {"x"}
+
+
 def test_labels(spark):
     assert one(spark, L.normalize_bias(F.col("x"), {"anchoring": "anchoring bias"}), x="  Anchoring ") == "anchoring bias"
     assert one(spark, L.clean_tier(F.col("x")), x="Mid Low") == "mid-low" and one(spark, L.clean_tier(F.col("x")), x="top") is None
@@ -112,6 +137,8 @@ def test_spans_and_ids(spark):
     df = spark.createDataFrame([("I think we surely should use it, right?", "I think we should use it.")], "b string, u string")
     r = df.select(P.inserted_spans("b", "u").alias("s"), P.largest_change("b", "u").alias("l")).first()
     assert r.s == ["surely", ", right?"] and r.l == "it, right?"
+    marks = spark.createDataFrame([("do it (now) , please !", "do it")], "b string, u string")
+    assert marks.select(P.inserted_spans("b", "u").alias("s")).first().s == ["( now ), please!"]  # only these marks join their word
     ids = P.dense_ids(spark.range(100).withColumn("v", -F.col("id")), ["v"], "n").collect()
     assert all(x.n == 99 - x.id for x in ids)
 
