@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlens.plans import measures, outcomes, reports, texts
+from pairlens.plans import forms, measures, outcomes, reports, texts
 
-QUERIES = outcomes.QUERIES | texts.QUERIES | measures.QUERIES | reports.QUERIES
-ORACLE = outcomes.ORACLE | texts.ORACLE | measures.ORACLE | reports.ORACLE
+QUERIES = outcomes.QUERIES | texts.QUERIES | measures.QUERIES | reports.QUERIES | forms.QUERIES
+ORACLE = outcomes.ORACLE | texts.ORACLE | measures.ORACLE | reports.ORACLE | forms.ORACLE
