@@ -21,14 +21,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import connected_components, materialize, spanning
 from .wordhash import shingles, words
 
 #: Slots of the count table, bits of a part's sketch, rows of a block of candidates, shingles of a block of sets, and rows
-#: up to which ids are broadcast.
-SLOTS, BITS, BLOCK, VOLUME, SMALL = 1 << 20, 1024, 4096, 400_000, 1_000_000
+#: up to which ids are broadcast; rounds in which a large group's rows are dealt to blocks.
+SLOTS, BITS, BLOCK, VOLUME, SMALL, DEALS = 1 << 20, 1024, 4096, 400_000, 1_000_000, 3
 _CHUNK = 1 << 14
 
 
@@ -162,13 +162,16 @@ def _candidates(num: int, den: int):
                 ok[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1) <= both - 2 * -(-num * both // (num + den))
                 return ok
 
-            # Those that fit with the first of their group need no comparison among themselves.
-            lead = first[group]
-            label = np.arange(len(ids))
-            joins = np.flatnonzero(lead < label)
-            joins = joins[fitting(lead[joins], joins)]
-            label[joins] = lead[joins]
-            a, b = [ids[lead[joins]]], [ids[joins]]
+            if "label" in t.schema.names:  # those of one label are linked already
+                label = t["label"].to_numpy()
+                a, b = [ids[:0]], [ids[:0]]
+            else:  # those that fit with the first of their group need no comparison among themselves
+                lead = first[group]
+                label = np.arange(len(ids))
+                joins = np.flatnonzero(lead < label)
+                joins = joins[fitting(lead[joins], joins)]
+                label[joins] = lead[joins]
+                a, b = [ids[lead[joins]]], [ids[joins]]
             alive = np.arange(len(ids) - 1)
             d, pending = 1, 0
             while len(alive):
@@ -329,37 +332,54 @@ def _links(num: int, den: int, slots):
     return find
 
 
-def tiles(rows: DataFrame, key: str, count: str, by: str, block: int) -> DataFrame:
-    """Cut groups of over ``block`` rows into hash blocks and give each pair of blocks a tile of its own.
-
-    A row comes once for each tile of its block: every pair of a group's rows meets in some tile.
-    """
-    blocks = F.ceil(F.col(count) / block)
-    own = F.pmod(F.xxhash64(by), blocks)
-    every = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
-    return rows.withColumn("tile", F.explode(F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).otherwise(every)))
-
-
 def _few(rows: DataFrame) -> DataFrame:
     """A table of ids, to be broadcast where it is small: by its rows and the entries of its tiles."""
     size = F.count(F.lit(1)) if "tiles" not in rows.columns else F.sum(F.size("tiles") + 1)
     return F.broadcast(rows) if (rows.agg(size).first()[0] or 0) <= SMALL else rows
 
 
-def _minor_tiles(rows: DataFrame) -> DataFrame:
-    """For groups whose sets have more than one label: blocks of the largest label's sets, and of the others'. Each two of
-    the latter meet in a tile, and each of them meets each of the former. Others have no tiles."""
-    sums = rows.groupBy("component", "label").agg(F.sum("n").alias("volume"))
-    most = sums.groupBy("component").agg(F.max_by("label", F.struct("volume", "label")).alias("major"), F.max("volume").alias("large"), F.sum("volume").alias("all"))
-    most = most.where("large < all").select("component", "major", F.ceil(F.col("large") / VOLUME).alias("large"), F.ceil((F.col("all") - F.col("large")) / VOLUME).alias("small"))
-    d = rows.join(most, "component")
+def _minor_tiles(rows: DataFrame, key: str, weight: Column, block: int) -> DataFrame:
+    """For groups of ``key`` whose rows have more than one label: blocks (of ``block`` by ``weight``) of the largest label's
+    rows, and of the others'. Each two of the latter meet in a tile, and each of them meets each of the former. Others have
+    no tiles. Adds tiles."""
+    sums = rows.groupBy(key, "label").agg(F.sum(weight).alias("volume"))
+    most = sums.groupBy(key).agg(F.max_by("label", F.struct("volume", "label")).alias("major"), F.max("volume").alias("large"), F.sum("volume").alias("all"))
+    most = most.where("large < all").select(F.col(key).alias("_key"), "major", F.ceil(F.col("large") / block).alias("large"), F.ceil((F.col("all") - F.col("large")) / block).alias("small"))
+    d = rows.join(most, F.col(key) == F.col("_key"))
     width = F.col("large") + F.col("small")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("major"), F.col("large")).otherwise(F.col("small")))
     to_all = F.transform(upto(F.col("small")), lambda i: i * width + F.col("small") + own)
     among = F.transform(upto(F.col("small")), lambda j: F.least(own, j) * width + F.greatest(own, j))
     beyond = F.transform(upto(F.col("large")), lambda j: own * width + F.col("small") + j)
-    return d.select("id", "of", "component", "label", F.when(F.col("label") == F.col("major"), to_all).otherwise(F.concat(among, beyond)).alias("tiles"))
+    return d.select(*rows.columns, F.when(F.col("label") == F.col("major"), to_all).otherwise(F.concat(among, beyond)).alias("tiles"))
+
+
+def _candidate_edges(found: DataFrame, num: int, den: int, largest: int) -> DataFrame:
+    """Edges (a, b) that span the candidates of each shingle's group of rows (shingle, size, id, n, m, sketch).
+
+    Groups of over ``BLOCK`` rows are dealt to blocks anew in each of ``DEALS`` rounds: what fits anything in its block is
+    linked to it, so a group of near copies, however large, comes together in a few rounds over its rows. Only rows that then are in no
+    component with most of their group are compared with all of it.
+    """
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile", "id")
+        return dealt.mapInArrow(_candidates(num, den), "a long, b long")
+
+    whole = F.lit(0).cast("long")
+    if largest <= BLOCK:
+        return compared(found.withColumn("tile", whole))
+    small, large = found.where(F.col("size") <= BLOCK), materialize(found.where(F.col("size") > BLOCK))
+    edges = materialize(compared(small.withColumn("tile", whole)))
+    for k in range(DEALS):
+        tile = F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("size") / BLOCK))
+        edges = edges.unionByName(materialize(compared(large.withColumn("tile", tile))))
+    named = connected_components(edges).select(F.col("id").alias("_id"), F.col("component").alias("label"))
+    named = materialize(large.join(named, F.col("id") == F.col("_id"), "left").select(*large.columns, F.coalesce("label", "id").alias("label")))
+    rest = _minor_tiles(named, "shingle", F.lit(1), BLOCK).withColumn("tile", F.explode("tiles")).drop("tiles")
+    return edges.unionByName(compared(rest))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -381,8 +401,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     found = parts.select("id", "level", "part", "n", "m", F.explode("first").alias("shingle")).withColumn("shingle", F.xxhash64("shingle", "level"))
     shared = materialize(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     found = found.join(_few(shared), "shingle").join(parts.select("id", "level", "part", "sketch"), ["id", "level", "part"]).select("shingle", "size", "id", "n", "m", "sketch")
-    found = tiles(found, "shingle", "size", "id", BLOCK).repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile", "id")
-    groups = connected_components(found.mapInArrow(_candidates(num, den), "a long, b long"))
+    groups = connected_components(_candidate_edges(found, num, den, shared.agg(F.max("size")).first()[0] or 0))
     classes = parts.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     groups = materialize(groups.join(classes.select("id", "n", F.col("class").alias("of")), "id"))
     groups = materialize(groups.join(groups.groupBy("component").agg(F.sum("n").alias("size")), "component").select("id", "of", "component", "size", "n"))
@@ -413,7 +432,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             members = members.join(blocks, "component").withColumn("tiles", F.array(F.pmod(F.xxhash64("id", F.lit(left[0])), F.col("blocks"))))
             links = materialize(links.unionByName(joined(members.select("id", "of", "component", "label", "tiles"))))
             now, last = labelled(links), left
-        links = links.unionByName(joined(materialize(_minor_tiles(now))))
+        links = links.unionByName(joined(materialize(_minor_tiles(now, "component", F.col("n"), VOLUME).select("id", "of", "component", "label", "tiles"))))
     linked = connected_components(links).withColumnRenamed("component", "reached")
     named = classes.select("class", "id").join(linked, "id", "left").select(F.col("class").alias("of"), F.coalesce("reached", "id").alias("component_id"))
     own = rows.select("doc_id", "class", "n").join(named, (F.col("class") == F.col("of")) & F.col("doc_id").isNotNull(), "left")

@@ -112,3 +112,17 @@ def test_large_groups_in_rounds(spark, monkeypatch):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(docs, 3, 80, 100) == brute(rows, 3, 80, 100)
+
+
+def test_candidates_of_a_hot_shingle_are_few(spark, monkeypatch):
+    """Rows that are compared grow with a group of near copies, not with its square; those that stand apart still meet all."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(50)]
+    seen, made = [], ngram_join._minor_tiles
+    monkeypatch.setattr(ngram_join, "_minor_tiles", lambda *a: (lambda d: (seen.append(d.selectExpr("sum(size(tiles))").first()[0] or 0), d)[1])(made(*a)))
+    for n in (150, 600):
+        texts = [edited(rng, base, rng.randrange(2)) for _ in range(n)] + [" ".join(base[:30] + [f"v{i}"] * 40) for i in range(3)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert got(docs, 3, 80, 100) == brute(list(enumerate(texts)), 3, 80, 100)
+        assert seen.pop() <= 8 * 48 * n and not seen  # of some fifty shingles
