@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.functions import labels as L, stats
@@ -98,20 +100,25 @@ def classifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of runs written as a JSON summary for each model and strategy flag set, and read by their names."""
+    """Rates of runs written as JSON summaries and read by their names: for each model and strategy a file of the rates, whose
+    name also lists its data, and one of other numbers and a shorter name, which gives way."""
     names = {"s0": "", "s1": ".chain_of_thought=True", "s2": ".bias_warning=True.impersonified_self_debiasing=True", "s3": ".bias_warning=True"}
     r = R.rates(tiered(spark, sf_dir), ("model", "strategy", "bias", "tier")).where("tier IS NOT NULL")
-    tier = F.map_from_entries(F.collect_list(F.struct("tier", F.struct(F.col("runs").alias("total_runs"), "sensitivity", "harmfulness"))))
+    tier = F.map_from_entries(F.collect_list(F.struct("tier", F.struct(F.col("runs").alias("total_runs"), "sensitivity", "harmfulness"))))  # four tiers
     by_bias = r.groupBy("model", "strategy", "bias").agg(F.sum("runs").alias("total_runs"), tier.alias("complexity_analysis"))
-    body = F.to_json(F.map_from_entries(F.collect_list(F.struct("bias", F.struct("total_runs", "complexity_analysis")))))
-    name = F.concat(F.lit("model="), "model", L.lookup(F.col("strategy"), names))
+    body = F.to_json(F.map_from_entries(F.collect_list(F.struct("bias", F.struct("total_runs", "complexity_analysis")))))  # few biases
+    d = by_bias.groupBy("model", "strategy").agg(body.alias("value")).withColumn("stem", F.concat(F.lit("1_x.model="), "model", L.lookup(F.col("strategy"), names)))
+    long = d.select(F.concat("stem", F.lit(".data_model_list=['a', 'b']")).alias("name"), "value")
+    short = d.select(F.col("stem").alias("name"), F.regexp_replace("value", "[0-9]+[.][0-9]+", "1.5").alias("value"))
     folder = scratch(spark)
-    by_bias.groupBy("model", "strategy").agg(body.alias("value")).select(name.alias("name"), "value").repartition("name").write.partitionBy("name").text(folder)
-    read_back = spark.read.option("recursiveFileLookup", "true").text(folder)
-    rows = read_back.select(F.concat(F.regexp_extract(F.url_decode(F.url_decode(F.col("_metadata.file_path"))), r"/name=([^/]+)/", 1), F.lit(".json")).alias("file"), "value")
-    long = rows.select("file", F.explode(F.from_json("value", files.SUMMARY)).alias("bias", "s")).select("file", "bias", "s.*")
-    flagged = files.longest_name(files.name_flags(long, L.strategies(spark)), ["model", "strategy"])
-    return rounded(files.tiers(flagged, ["model", "strategy", "bias"]))
+    long.unionByName(short).repartition("name").write.partitionBy("name").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path(f"{folder}/name=*/*.txt")):  # two files a model and strategy
+        name = status.getPath()
+        fs.rename(name, path(path(folder), f"{unquote(name.getParent().getName()).removeprefix('name=')}.json"))
+    flagged = files.name_flags(files.summaries(spark, folder), L.strategies(spark))
+    return rounded(files.tiers(files.longest_name(flagged, ["model", "strategy"]), ["model", "strategy", "bias"]))
 
 
 def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
