@@ -194,18 +194,21 @@ def flat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items written as paired datasets of two data models and as a list with fuzzy keys, read again and merged."""
+    """Items written as paired datasets of two data models and as lists with fuzzy keys, read again and merged. A file holds
+    at most 64 items, so that no row grows with the table."""
     folder = scratch(spark)
-    b = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("half"), F.concat(F.lit("bias "), F.col("item_id") % 3).alias("bias"), F.struct(F.col("item_id").cast("string").alias("pair"), F.concat(F.lit("So: "), F.col("text")).alias("biased"), F.col("text").alias("unbiased"), (F.col("item_id") % 5 > 0).alias("valid")).alias("p"))
-    by = b.groupBy("half", "bias").agg(F.collect_list("p").alias("pairs")).groupBy("half").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("bias", "pairs")))).alias("value"))
-    listed = b.agg(F.to_json(F.collect_list(F.struct(F.col("bias").alias("Bias Type"), F.col("p.biased").alias("Biased prompt"), F.col("p.unbiased").alias("neutral-text"), F.col("p.valid").alias("valid")))).alias("value"))
+    b = read(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 64).alias("part"), (F.col("item_id") % 2).alias("half"), F.concat(F.lit("bias "), F.col("item_id") % 3).alias("bias"), F.struct(F.col("item_id").cast("string").alias("pair"), F.concat(F.lit("So: "), F.col("text")).alias("biased"), F.col("text").alias("unbiased"), (F.col("item_id") % 5 > 0).alias("valid")).alias("p"))
+    by = b.groupBy("part", "half", "bias").agg(F.collect_list("p").alias("pairs")).groupBy("part", "half").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("bias", "pairs")))).alias("value"))
+    listed = b.groupBy("part").agg(F.to_json(F.collect_list(F.struct(F.col("bias").alias("Bias Type"), F.col("p.biased").alias("Biased prompt"), F.col("p.unbiased").alias("neutral-text"), F.col("p.valid").alias("valid")))).alias("value"))
     names = F.concat(F.lit("1_dataset_model"), F.col("half").cast("string"))
-    by.select(names.alias("name"), "value").unionByName(listed.select(F.lit("list").alias("name"), "value")).write.partitionBy("name").text(folder)
+    by.select("part", names.alias("name"), "value").unionByName(listed.select("part", F.lit("list").alias("name"), "value")).write.partitionBy("part", "name").text(folder)
     fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs.mkdirs(path(f"{folder}/named"))
-    for status in fs.globStatus(path(f"{folder}/name=*/*.txt")):
-        fs.rename(status.getPath(), path(f"{folder}/named/{status.getPath().getParent().getName().removeprefix('name=')}.json"))
+    for status in fs.globStatus(path(f"{folder}/part=*/name=*/*.txt")):
+        name = status.getPath().getParent()
+        fs.mkdirs(path(f"{folder}/named/{name.getParent().getName()}"))
+        fs.rename(status.getPath(), path(f"{folder}/named/{name.getParent().getName()}/{name.getName().removeprefix('name=')}.json"))
     maps = files.paired_datasets(spark, f"{folder}/named").select("data_model", "bias", "biased", "unbiased")
     lists = files.paired_lists(spark, f"{folder}/named", "list.json").select(F.lit("list").alias("data_model"), "bias", "biased", "unbiased")
     return maps.unionByName(lists).groupBy("data_model", "bias").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("biased") - F.length("unbiased")).alias("more"))
