@@ -100,12 +100,15 @@ def derivatives(resp: DataFrame) -> DataFrame:
     Metadata and conversion refer to the response's record id and keep its target URI and date (``DATE`` where it has
     none). The metadata block holds the response's status, the digests of its payload and of the conversion, and all its
     header lines; the conversion block is the page's plain text. Record ids come from the response's id, so reruns agree.
-    Empty pages get empty conversions. One pass, no shuffle. Other columns are ignored.
+    Empty pages get empty conversions. A null payload or header is empty, a null record id is made from page_id, URI, header
+    and payload, a null URI has no line in its records. One pass, no shuffle. Other columns are ignored.
     Returns page_id, warc_type, record_id, refers_to, target_uri, warc_date, content_type, block, block_digest,
     payload_digest, content_length long (bytes), record (the record as it stands in a file).
     """
     date = F.coalesce(F.col("warc_date"), F.lit(DATE)) if "warc_date" in resp.columns else F.lit(DATE)
-    r = resp.select("page_id", "record_id", "target_uri", date.alias("warc_date"), "http_header", "payload").withColumn("text", plain_text(F.col("payload")))
+    header, payload, uri = (F.coalesce(F.col(c), F.lit("")) for c in ("http_header", "payload", "target_uri"))
+    ident = F.coalesce("record_id", _uuid(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri, _sha(F.concat(header, payload))))
+    r = resp.select("page_id", ident.alias("record_id"), "target_uri", date.alias("warc_date"), header.alias("http_header"), payload.alias("payload")).withColumn("text", plain_text(F.col("payload")))
     r = r.withColumns({"payload_digest": _digest(F.col("payload")), "text_digest": _digest(F.col("text")), "conversion_id": _uuid(F.lit("conversion"), F.col("record_id"))})
     status = F.regexp_extract("http_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     fields = F.concat(

@@ -147,3 +147,39 @@ def test_media_form_and_null_streams(spark):
         assert got[i].feature == f"peak={max(map(abs, x))};mean={sum(x) * 1000 // len(x)};square={sum(v * v for v in x) * 1000 // len(x)};crossings={turns}"
     assert got[1][1:] == got[2][1:] and got[4].media_sha256 is None
     assert media.pcm_blocks(stored).where("doc_id = 4").count() == 0 and media.pcm_blocks(stored.where("doc_id = 4")).count() == 0
+
+
+def test_responses_with_nulls(spark):
+    """Null payloads and headers are empty, null ids are made from the row, null URIs have no line."""
+    rows = [(1, None, None, "HTTP/1.1 200 OK\r\nA: b\r\n\r\n", None), (2, None, "u", None, "<p>x</p>"), (None, "<urn:uuid:1>", "v", None, None)]
+    resp = spark.createDataFrame(rows, "page_id long, record_id string, target_uri string, http_header string, payload string")
+    got = warc.derivatives(resp).collect()
+    assert len(got) == 9 and all(r.block is not None and r.record_id and r.content_length == len(r.block.encode()) and r.record.endswith(r.block + "\r\n\r\n") for r in got)
+    assert len({r.record_id for r in got}) == 9 and {r.record_id for r in warc.derivatives(resp).collect()} == {r.record_id for r in got}
+    by = {(r.page_id, r.warc_type): r for r in got}
+    assert by[(1, "response")].block == rows[0][3] and "WARC-Target-URI" not in by[(1, "response")].record and by[(2, "conversion")].block == "x" and by[(2, "response")].block == "<p>x</p>"
+    assert all(by[(p, k)].refers_to == by[(p, "response")].record_id for p in (1, 2, None) for k in ("metadata", "conversion"))
+
+
+def test_intermediates_of_two_threads(spark):
+    import threading
+
+    from pairlens.llm import common
+
+    kept, inside, done = {}, threading.Event(), threading.Event()
+
+    def other():
+        kept["other"] = common.materialize(spark.range(3))
+        inside.set()
+        done.wait(60)
+
+    with common.intermediates(spark):
+        t = threading.Thread(target=other)
+        t.start()
+        inside.wait(60)
+        kept["own"] = common.materialize(spark.range(2))
+    assert kept["other"].count() == 3
+    done.set()
+    t.join()
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept["own"]._pairlens_path)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

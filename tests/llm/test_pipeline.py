@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import defaultdict
 
@@ -44,11 +45,15 @@ def test_near_duplicates(stages):
 def test_passages(stages):
     rows = stages[2].collect()
     left = {r.doc_id: r.text for r in stages[3].collect()}
-    for r, (n, gone, _, _) in zip(rows, brute_spans([r.text for r in rows]), strict=True):
+    for r, (n, gone, spans, kept) in zip(rows, brute_spans([r.text for r in rows]), strict=True):
         if gone == 0:
             assert left[r.doc_id] == r.text
         elif r.doc_id in left:
-            assert len(left[r.doc_id].encode()) <= n - gone
+            text = left[r.doc_id].encode()
+            if len(text) == n - gone:  # no character was split
+                assert hashlib.sha256(text).hexdigest() == kept
+            else:
+                assert n - gone - 6 * spans <= len(text) < n - gone
     assert set(left) <= {r.doc_id for r in rows}
 
 
