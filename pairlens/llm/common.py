@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,6 +31,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that was freed back to the system, as far as Arrow's and the C library's allocators hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+_held: list = []
+
+
+def hold(drop) -> None:
+    """Note how to drop what this worker keeps between tasks."""
+    _held.append(drop)
+
+
+def drop_held() -> None:
+    for drop in _held:
+        drop()
+    _held.clear()
+
+
+def releasing(f, keep: bool = False):
+    """``f``, a function of Arrow batches, followed by ``release``: a worker lives on after its task, beside those of other stages.
+
+    What tasks of another function have left in the worker is dropped first, unless ``keep``.
+    """
+
+    def run(batches):
+        if not keep:
+            drop_held()
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -47,7 +86,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_written: list[list[str]] = []
+class _Written(threading.local):
+    """The tables that this thread's operators write, for each ``intermediates`` that is open."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_written = _Written()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -57,7 +103,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pairlens/{uuid.uuid4().hex}"
-    for paths in _written[-1:]:
+    for paths in _written.open[-1:]:
         paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -78,12 +124,12 @@ def drop(df: DataFrame) -> None:
 
 @contextmanager
 def intermediates(spark: SparkSession) -> Iterator[None]:
-    """Remove, at its end, all tables that operators wrote inside: write their results before it ends."""
-    _written.append([])
+    """Remove, at its end, all tables that operators of this thread wrote inside: write their results before it ends."""
+    _written.open.append([])
     try:
         yield
     finally:
-        for path in _written.pop():
+        for path in _written.open.pop():
             remove(spark, path)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 
 #: Lengths of n-grams, and slots for each length.
 LENGTHS, SLOTS = (1, 2, 3), 1 << 12
@@ -112,7 +112,7 @@ def train(labelled: DataFrame, rows: int = 4096, seed: int = 11) -> Model | None
     sample = drawn.groupBy("draw", "lang").agg(F.first("text").alias("text"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
     sample = materialize(sample.withColumn("place", place).where(F.col("place") <= each))
-    drawn = sample.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").collect()
+    drawn = sample.select("text", "lang").mapInArrow(releasing(_packed), "lang string, bits binary").collect()
     pairs = sorted((r.lang, r.bits) for r in drawn)
     return fit(np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in pairs]), axis=1), [lang for lang, _ in pairs], seed=seed)
 
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text", *keep, has_letter(F.col("text")).alias("_lettered"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(_predicted(shared, rows.columns[:-1]), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(releasing(_predicted(shared, rows.columns[:-1])), f"{kinds}, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:

@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, materialize, spanning
+from .common import connected_components, materialize, releasing, spanning
 from .wordhash import shingles, words
 
 #: Slots of the count table, bits of a part's sketch, rows of a block of candidates, shingles of a block of sets, and rows
 #: up to which ids are broadcast; rounds in which a large group's rows are dealt to blocks.
-SLOTS, BITS, BLOCK, VOLUME, SMALL, DEALS = 1 << 20, 1024, 4096, 400_000, 1_000_000, 3
+SLOTS, BITS, BLOCK, VOLUME, SMALL, DEALS = 1 << 20, 1024, 4096, 200_000, 1_000_000, 3
 _CHUNK = 1 << 14
 
 
@@ -75,7 +75,7 @@ def counted(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
     The slots are ``SLOTS`` numbers, whatever the size of the corpus.
     """
-    read = materialize(docs.mapInArrow(_count(n), "doc_id long, class binary, n int, chunk int, counts binary"))
+    read = materialize(docs.mapInArrow(releasing(_count(n)), "doc_id long, class binary, n int, chunk int, counts binary"))
     sums = read.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_add, "chunk int, counts binary")
     out = np.zeros(SLOTS, np.uint32)
     for r in sums.collect():
@@ -366,7 +366,7 @@ def _candidate_edges(found: DataFrame, num: int, den: int, largest: int) -> Data
 
     def compared(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile", "id")
-        return dealt.mapInArrow(_candidates(num, den), "a long, b long")
+        return dealt.mapInArrow(releasing(_candidates(num, den)), "a long, b long")
 
     whole = F.lit(0).cast("long")
     if largest <= BLOCK:
@@ -396,7 +396,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     docs = docs.select("doc_id", "text")
     rows, slots = counted(docs, n)
     counts = spark.sparkContext.broadcast(slots)
-    parts = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(n, num, den, counts), "doc_id long, class binary, n int, level int, part int, m int, sketch binary, first array<long>")
+    parts = docs.where("doc_id IS NOT NULL").mapInArrow(releasing(_prefixes(n, num, den, counts)), "doc_id long, class binary, n int, level int, part int, m int, sketch binary, first array<long>")
     parts = materialize(parts.groupBy("class", "level", "part").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "m", "sketch", "first")]))
     found = parts.select("id", "level", "part", "n", "m", F.explode("first").alias("shingle")).withColumn("shingle", F.xxhash64("shingle", "level"))
     shared = materialize(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -409,9 +409,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     def joined(members: DataFrame) -> DataFrame:
         """Links of sets (id, of, component, label, tiles) in the tiles of each component."""
         texts = docs.join(_few(members), F.col("doc_id") == F.col("id")).select("id", "of", "component", "label", "tiles", "text")
-        sets = texts.mapInArrow(_sets(n), "id long, component long, label long, tiles array<long>, shingles array<long>")
+        sets = texts.mapInArrow(releasing(_sets(n)), "id long, component long, label long, tiles array<long>, shingles array<long>")
         sets = sets.select("component", F.explode("tiles").alias("tile"), "id", "label", "shingles").repartition(partitions, "component", "tile")
-        return sets.sortWithinPartitions("component", "tile", "id").mapInArrow(_links(num, den, counts), "a long, b long")
+        return sets.sortWithinPartitions("component", "tile", "id").mapInArrow(releasing(_links(num, den, counts)), "a long, b long")
 
     def labelled(links: DataFrame) -> DataFrame:
         named = connected_components(links).select(F.col("id").alias("_id"), F.col("component").alias("label"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import hold, materialize, releasing, shuffle_partitions
 
 WINDOW, END = 2048, 1
 #: Pieces that one task packs, about; a task's leftover room is that of one window in some hundreds.
@@ -27,7 +27,7 @@ class Encoder:
     """Ids of texts by a file of `tokenizers`, as little-endian 32-bit bytes.
 
     A byte-level tokenizer starts a new part at each ``_BLANK``, so the ids of a text are those of its words, one after
-    the other; the ids of words of up to ``kept`` characters together are kept, and a long text is cut into stretches of
+    the other; the ids of words of up to ``kept`` characters together are kept (beyond it, those of the first), and a long text is cut into stretches of
     about ``stretch`` characters. New words are coded as one text, of which a word begins at each token that begins with
     a blank. A text that holds the string of a special token is coded whole, and so is every text
     where the tokenizer is of another kind.
@@ -63,6 +63,16 @@ class Encoder:
             low = cut.start()  # the next stretch begins with the blank
         yield text[low:]
 
+    def forget(self, kept: int) -> None:
+        """Keep the ids of the words that came first, of up to ``kept`` characters together: common words come early."""
+        known, held = {}, 0
+        for word, ids in self.known.items():
+            held += len(word)
+            if held > kept:
+                break
+            known[word] = ids
+        self.known, self.held = known, min(held, kept)
+
     def learn(self, words: list[str]) -> None:
         solid = [w for w in words if _WORD.fullmatch(w)]
         ids = self.whole([f" {' '.join(solid)}"])[0] if solid else b""
@@ -76,7 +86,8 @@ class Encoder:
         head, *words = _BLANK.split(text)
         new = set(words).difference(self.known)
         if self.held > self.kept:
-            self.known, self.held, new = {}, 0, set(words)
+            self.forget(self.kept // 8)
+            new = set(words).difference(self.known)
         self.held += sum(map(len, new))
         self.learn(list(new))
         return self.whole([head])[0] + b"".join(map(self.known.__getitem__, words))
@@ -89,9 +100,10 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process: a function of the module, so that its tasks share it."""
+    """The encoder of this worker process: a function of the module, so that its tasks share it until others run here."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        hold(_encoders.clear)
     return _encoders[path]
 
 
@@ -191,10 +203,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     bucket times 2^40 plus a number in it.
     """
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, end), kinds))
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(releasing(_pieces(tokenizer, window, end), keep=True), kinds))
     buckets = max(1, pieces.count() // BUCKET)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     tasks = min(buckets, shuffle_partitions(docs.sparkSession))
     dealt = pieces.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32")
-    packed = dealt.mapInArrow(_pack(window), f"{kinds}, bucket long, bin long, offset long")
+    packed = dealt.mapInArrow(releasing(_pack(window), keep=True), f"{kinds}, bucket long, bin long, offset long")
     return packed.select(*[c.split()[0] for c in kinds.split(", ")], (F.col("bucket") * F.lit(2**40) + F.col("bin")).alias("sequence_id"), "offset")

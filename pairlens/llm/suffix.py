@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, releasing, shuffle_partitions
 from .ngram_join import _grouped, _parts
 from .wordhash import mixed, powers, running
 
 #: Bytes of an anchor, bytes that a task sorts at a time, bytes of a group beyond which it is split, bytes of a text read at
 #: a time, rows up to which a table is broadcast.
-GRAM, BATCH, HOT, SLICE, SMALL = 64, 1 << 20, 1 << 18, 1 << 22, 3_000_000
+GRAM, BATCH, HOT, SLICE, SMALL = 64, 1 << 19, 1 << 18, 1 << 22, 3_000_000
 
 
 def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -276,7 +276,7 @@ def _sorted(rows: DataFrame, length: int) -> DataFrame:
     """Spans of repeated windows (anchor, same, spans) of segments (anchor, same, many, place, size, bytes)."""
     segments = rows.groupBy("anchor", "same").agg(F.sum("many").alias("many"), F.max("place").alias("place"), F.max("size").alias("size"), F.max("bytes").alias("bytes"))
     ordered = segments.repartition(shuffle_partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "same")
-    return ordered.select("anchor", "same", "many", "place", "size", "bytes").mapInArrow(_sort(length), "anchor long, same binary, spans array<int>").where(F.size("spans") > 0)
+    return ordered.select("anchor", "same", "many", "place", "size", "bytes").mapInArrow(releasing(_sort(length)), "anchor long, same binary, spans array<int>").where(F.size("spans") > 0)
 
 
 def _sides(keys: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
     columns = ["anchor", "same", "many", "shift", "place", "core", "node", "size", "bytes"]
     settled = []
     while True:
-        parts = materialize(now.select(*columns).mapInArrow(_halves(length), "anchor long, same binary, many long, shift long, place int, core int, node int, size int, bytes binary, key long, own binary"))
+        parts = materialize(now.select(*columns).mapInArrow(releasing(_halves(length)), "anchor long, same binary, many long, shift long, place int, core int, node int, size int, bytes binary, key long, own binary"))
         keys = materialize(_volumes(parts, "key", "own").where("n > 1").select("key", (F.col("volume") > max(HOT, length)).alias("hot")))
         settled.append(parts.join(_sides(keys.where("NOT hot")), "key"))
         hot = keys.where("hot")
@@ -360,7 +360,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     if length < GRAM + 16:
         raise ValueError(f"length has to be {GRAM + 16} or more")
     docs = docs.select("doc_id", "text")
-    read = materialize(docs.mapInArrow(_values(length), "doc_id long, class binary, anchors array<long>"))
+    read = materialize(docs.mapInArrow(releasing(_values(length)), "doc_id long, class binary, anchors array<long>"))
     classes = read.where(F.size("anchors") > 0).groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("id"), F.first("anchors").alias("anchors"))
     classes = materialize(classes)
     found = classes.select(F.col("class").alias("of"), "id", F.explode("anchors").alias("anchor"))
@@ -371,9 +371,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     # One document of each class is cut; where its row is repeated, its class goes whole anyway.
     cut = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id")).select("of", "text", "repeated")
     if wanted.where("id IS NULL").limit(1).count():  # rows without an id are found by the digest of their text
-        keyed = docs.where("doc_id IS NULL").mapInArrow(_keyed, "doc_id long, text string, _class binary")
+        keyed = docs.where("doc_id IS NULL").mapInArrow(releasing(_keyed), "doc_id long, text string, _class binary")
         cut = cut.unionByName(keyed.join(wanted.where("id IS NULL"), F.col("_class") == F.col("of")).select("of", "text", "repeated"))
-    cut = materialize(cut.mapInArrow(_segments(length), "of binary, anchor long, same binary, low long, place int, size int, bytes binary"))
+    cut = materialize(cut.mapInArrow(releasing(_segments(length)), "of binary, anchor long, same binary, low long, place int, size int, bytes binary"))
     rows = cut.where("anchor IS NOT NULL").withColumn("many", F.lit(1).cast("long"))
     hot = materialize(_volumes(rows, "anchor", "same").where(F.col("volume") > max(HOT, length)).select("anchor"))
     if hot.limit(1).count():
@@ -399,14 +399,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = (
     classes, spans = repeated_spans(docs, length)
     marks = classes.where("copies > 1").select(F.col("class").alias("of"), "copies").join(spans, "of", "full")
     marks = marks.select("of", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.coalesce("copies", F.lit(1)) == 1, F.col("spans")).alias("spans"))
-    marks = materialize(marks.mapInArrow(_joined, "of binary, copies long, spans array<int>"))
+    marks = materialize(marks.mapInArrow(releasing(_joined), "of binary, copies long, spans array<int>"))
     few = marks.agg(F.coalesce(F.sum(F.coalesce(F.size("spans"), F.lit(0)) + 4), F.lit(0))).first()[0] <= SMALL
     rows = docs.select("doc_id", *keep, "text")
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
-    keyed = rows.mapInArrow(_keyed, ", ".join([*kinds, "_class binary"]))
+    keyed = rows.mapInArrow(releasing(_keyed), ", ".join([*kinds, "_class binary"]))
     joined = keyed.join(F.broadcast(marks) if few else marks, F.col("_class") == F.col("of"), "left")
     kinds[-1] = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept string"
-    return joined.mapInArrow(_kept(length, rows.columns[:-1]), ", ".join(kinds))
+    return joined.mapInArrow(releasing(_kept(length, rows.columns[:-1])), ", ".join(kinds))
 
 
 def _keyed(batches):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, releasing, shuffle_partitions
 from .packing import best_fit_decreasing, encoder
 
 WINDOW, END = 1024, 2
@@ -228,14 +228,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     sequence_id of a full piece is negative, else its bucket times 2^40 plus a number in it.
     """
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, end), f"{kinds}, salt long"))
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(releasing(_pieces(tokenizer, window, end), keep=True), f"{kinds}, salt long"))
     names = [c.split()[0] for c in kinds.split(", ")]
     short = pieces.where(F.col("length") < window)
     buckets = max(1, short.count() // BUCKET)
     tasks = min(buckets, shuffle_partitions(docs.sparkSession))
     short = short.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)))
     dealt = short.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32", "salt")
-    packed = dealt.mapInArrow(_packed(window), f"{kinds}, salt long, bucket long, bin long, offset long")
+    packed = dealt.mapInArrow(releasing(_packed(window), keep=True), f"{kinds}, salt long, bucket long, bin long, offset long")
     packed = packed.select(*names, (F.col("bucket") * F.lit(2**40) + F.col("bin")).alias("sequence_id"), "offset")
     full = pieces.where(F.col("length") == window).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
