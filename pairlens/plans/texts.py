@@ -309,6 +309,10 @@ mapped AS (SELECT d.doc_id, coalesce(b.item_id, (SELECT min(item_id) FROM benchm
 _FLAGS = ", ".join(f"regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in v[k])}') AS {f}_{k}" for f, v in BOOK.items() for k in ("strong", "weak"))
 _PREV = " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n_prompts, count_if({f}_strong) AS strong_count, count_if({f}_weak) AS weak_count, count_if({f}_strong OR {f}_weak) AS any_count FROM f" for f in BOOK)
 _CUES = ", ".join("regexp_matches(text, '(?i)" + "|".join(f"(?:{p})" for k in ("strong", "weak") for p in v[k]).replace("'", "''") + f"')::INT AS {f}" for f, v in T.CODEBOOK.items())
+# Of these texts DuckDB's classes, which know ASCII alone, cut words where Spark's do: letters and digits beyond ASCII and marks on a
+# letter are parts of a word, and a vertical tab is white space. A dot is no end of a line.
+_WORDS = "regexp_replace(regexp_replace(regexp_replace(text, '([\\p{L}\\p{Nd}])\\p{Mn}+', '\\1_', 'g'), '[^\\x00-\\x7F\\P{L}]|[^\\x00-\\x7F\\P{Nd}]', '_', 'g'), '\\x0B', ' ', 'g')"
+_INLINE = "[^\\n\\r\\x{85}\\x{2028}\\x{2029}]*"
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 _CLEAN = f"""WITH t AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g') AS t FROM conversations WHERE lower(role) IN ('user', 'human', 'prompter', 'questioner')),
 l AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(t, '\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]') AND NOT regexp_matches(x, '{T.COMMENT_LINE}') AND NOT regexp_matches(x, '{T.CODE_LINE}') AND NOT coalesce(len(regexp_extract_all(x, '[^A-Za-z0-9 \\t\\n\\x0B\\f\\r]')) / nullif(length(x), 0) > {T.SYMBOL_SHARE}, false)) AS lines FROM t),
@@ -342,7 +346,7 @@ ORACLE = {
     "labelling_cascade": "WITH c AS (SELECT length(text) AS n FROM conversations), f AS (SELECT n % 3 > 0 AS is_coding, CASE WHEN n % 3 > 0 THEN n % 2 > 0 END AS has_cue, CASE WHEN n % 3 > 0 AND n % 2 > 0 AND n % 5 > 0 THEN ['a', 'b', 'c', 'd'][n % 5] END AS cue_type FROM c) SELECT *, count(*) AS n FROM f GROUP BY ALL",
     "eligible_rows": "SELECT doc_id, quality::DOUBLE AS score FROM labels WHERE quality >= 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY doc_id LIMIT 50",
     "clean_prompts": _CLEAN,
-    "english_cues": f"WITH f AS (SELECT role, regexp_matches(text, '(?i){T.DECISION_WORDS}')::INT AS d, {_CUES} FROM conversations) SELECT role, count(*) AS n, sum(d)::BIGINT AS decision_like, " + ", ".join(f"sum({f})::BIGINT AS {f}" for f in T.CODEBOOK) + " FROM f GROUP BY role",
+    "english_cues": f"WITH t AS (SELECT role, {_WORDS} AS text FROM conversations), f AS (SELECT role, regexp_matches(text, '(?i){T.DECISION_WORDS}')::INT AS d, {_CUES.replace('.*', _INLINE)} FROM t) SELECT role, count(*) AS n, coalesce(sum(d), 0)::BIGINT AS decision_like, " + ", ".join(f"coalesce(sum({f}), 0)::BIGINT AS {f}" for f in T.CODEBOOK) + " FROM f GROUP BY role",
     "content_keys": "SELECT item_id, sha256(to_json({'item_id': item_id, 'text': text})) AS key FROM benchmark",
     "vector_labels": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS i FROM v), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY ALL), l AS (SELECT label, list(x ORDER BY i) AS m FROM m GROUP BY label), c AS (SELECT vec_id, l.label, round(list_cosine_similarity(v, m), 9) AS c FROM v, l), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS k FROM c) SELECT vec_id, min(label) FILTER (k = 1) AS best, round(max(c), 6) AS score, max(c) >= 0.3 AS mapped, list(label ORDER BY k) FILTER (k <= 3) AS top FROM r GROUP BY vec_id",
     "parsed_answers": "WITH e AS (SELECT event_id, event_type, event_id % 6 AS f, CASE WHEN event_id % 3 = 0 THEN 'B' ELSE 'A' END AS l, user_id FROM events) SELECT event_id, CASE WHEN f IN (0, 1, 2) THEN 'Option ' || l WHEN f = 3 THEN 'Option A' END AS decision, CASE f WHEN 0 THEN 'seen ' || event_type WHEN 2 THEN 'because *it* is' ELSE '' END AS explanation, CASE WHEN f = 4 THEN l = 'A' END AS label, CASE WHEN f = 5 THEN 7 END::BIGINT AS digit, CASE WHEN f = 5 THEN (user_id % 10)::DOUBLE / 10 END AS score, false AS valid FROM e",
