@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pairlens.operators.shared import components, cut as lineage_cut
+from pairlens.operators.shared import components, cut as lineage_cut, null_safe_join
 
 
-#: Rows up to which a table is broadcast, labels that all meet every vector, rows of a block of which pairs are made.
-FEW, LABELS, BLOCK = 500_000, 10_000, 10_000
+#: Rows up to which a table is broadcast, labels that all meet every vector, rows of a block of which pairs are made, cosines at a time.
+FEW, LABELS, BLOCK, CELLS = 500_000, 10_000, 10_000, 1 << 20
 
 
 # Function words of English that say nothing of a text's subject; a list of this library's own.
@@ -29,14 +32,17 @@ def words(text: Column) -> Column:
 
 def word_grams(text: Column, most: int = 2, stop: list[str] | None = None) -> Column:
     """Words and runs of up to ``most`` words, without the words of ``stop``."""
-    w = words(text) if not stop else F.filter(words(text), lambda x: ~x.isin(*stop))
+    found = words(text) if not stop else F.filter(words(text), lambda x: ~x.isin(*stop))
 
-    out, run = w, w
-    for n in range(2, most + 1):  # each run and the word after it: the words are not read again for each place
-        count = F.greatest(F.size(w) - (n - 1), F.lit(0))
-        run = F.zip_with(F.slice(run, 1, count), F.slice(w, n, count), lambda x, y: F.concat_ws(" ", x, y))
-        out = F.concat(out, run)
-    return out
+    def runs(w: Column) -> Column:
+        out, run = w, w
+        for n in range(2, most + 1):  # each run and the word after it: the words are not read again for each place
+            count = F.greatest(F.size(w) - (n - 1), F.lit(0))
+            run = F.zip_with(F.slice(run, 1, count), F.slice(w, n, count), lambda x, y: F.concat_ws(" ", x, y))
+            out = F.concat(out, run)
+        return out
+
+    return F.flatten(F.transform(F.array(found), runs))  # bound once: as an expression the words would be found for each use
 
 
 def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
@@ -70,12 +76,99 @@ def term_weights(docs: DataFrame, ident: str, grams: Column, block: list[str], v
     return raw.withColumn("w", F.col("raw") / norm).select(*block, ident, "term", "w"), vocabulary
 
 
-def tfidf_cosine(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, grams, text: str, block: list[str], **limits) -> DataFrame:
-    """Cosines above 0 of queries with the documents of their block: block, query_id, doc_id, score. A join on terms."""
+def _postings(fitted: DataFrame, vocabulary: DataFrame, doc_id: str, block: list[str]) -> dict:
+    """By block: its terms, their idf, and term by term the documents that hold them with their weights (starts, documents, weights, ids)."""
+    table = fitted.join(vocabulary, [*block, "term"]).toArrow()
+    keys = list(zip(*[table[c].to_pylist() for c in block], strict=True)) if block else [()] * len(table)
+    of: dict[tuple, list[int]] = {}
+    for i, key in enumerate(keys):
+        of.setdefault(key, []).append(i)
+    out = {}
+    for key, rows in of.items():
+        part = table.take(rows).combine_chunks()
+        term, doc = (part[c].combine_chunks().dictionary_encode("encode") for c in ("term", doc_id))
+        code = term.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        idf = np.zeros(len(term.dictionary))
+        idf[code] = part["idf"].to_numpy()
+        starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(idf)))])
+        out[key] = (term.dictionary, idf, starts, doc.indices.to_numpy()[order], part["w"].to_numpy()[order], doc.dictionary)
+    return out
+
+
+def _cosines(code: np.ndarray, row: np.ndarray, rows: int, index: tuple, k: int | None):
+    """Triples (row, document, cosine) of rows whose known terms are ``code``, some rows at a time."""
+    _, idf, starts, doc, weight, ids = index
+    pair, tf = np.unique(row * len(idf) + code, return_counts=True)
+    row, code = np.divmod(pair, len(idf))
+    raw = tf * idf[code]
+    raw /= np.sqrt(np.bincount(row, raw * raw, rows))[row]
+    many = starts[code + 1] - starts[code]
+    each = max(1, CELLS // len(ids))
+    upto = np.concatenate([[0], np.cumsum(np.bincount(row, many, rows))])
+    low = 0
+    while low < rows:
+        high = max(low + 1, min(low + each, int(np.searchsorted(upto, upto[low] + CELLS, "right")) - 1, rows))
+        span = slice(*np.searchsorted(row, [low, high]))
+        n = many[span]
+        at = np.repeat(starts[code[span]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        cells = np.repeat(row[span] - low, n) * len(ids) + doc[at]
+        c = np.bincount(cells, np.repeat(raw[span], n) * weight[at], (high - low) * len(ids)).astype(float).reshape(high - low, len(ids))  # of no cells it counts in integers
+        keep = c > 0
+        if k is not None and k < len(ids):
+            keep &= c >= np.partition(c, len(ids) - k, axis=1)[:, [len(ids) - k]] - 1e-6
+        i, j = np.nonzero(keep)
+        yield i + low, j, c[i, j]
+        low = high
+
+
+def _scored(shared, block: list[str], query_id: str, doc_id: str, k: int | None):
+    """Batches of queries with their grams, scored against the postings of their block."""
+
+    def score(batches):
+        for batch in batches:
+            keys = list(zip(*[batch[c].to_pylist() for c in block], strict=True)) if block else [()] * batch.num_rows
+            of: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                of.setdefault(key, []).append(i)
+            for key, rows in of.items():
+                if (index := shared.value.get(key)) is None or None in key:  # a null block equals none
+                    continue
+                mine = batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
+                code = pc.index_in(pc.list_flatten(mine["_grams"]), value_set=index[0])
+                row = pc.list_parent_indices(mine["_grams"]).filter(code.is_valid()).to_numpy()
+                for i, j, c in _cosines(code.drop_null().to_numpy(), row, mine.num_rows, index, k):
+                    yield pa.RecordBatch.from_arrays([*[mine[x].take(pa.array(i)) for x in (*block, query_id)], index[5].take(pa.array(j)), pa.array(c)], [*block, query_id, doc_id, "score"])
+
+    return score
+
+
+def tfidf_cosine(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, grams, text: str, block: list[str], k: int | None = None, **limits) -> DataFrame:
+    """Cosines above 0 of queries with the documents of their block: block, query_id, doc_id, score.
+
+    Weights of up to ``FEW`` terms of documents are broadcast as postings, and each query is scored in its row, without a
+    shuffle; with ``k`` only scores within 1e-6 of a query's k best or above are then given. Queries of an id that several
+    rows have are one query, and so are scored by a join on terms, as all are where there are more weights.
+    """
     fitted, vocabulary = term_weights(docs, doc_id, grams(F.col(text)), block, **limits)
-    asked, _ = term_weights(queries, query_id, grams(F.col(text)), block, vocabulary)
-    pairs = asked.withColumnRenamed("w", "wq").join(fitted, [*block, "term"])
-    return pairs.groupBy(*block, query_id, doc_id).agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+    fitted = lineage_cut(fitted)
+
+    def joined(part: DataFrame) -> DataFrame:
+        asked, _ = term_weights(part, query_id, grams(F.col(text)), block, vocabulary)
+        pairs = asked.withColumnRenamed("w", "wq").join(fitted, [*block, "term"])
+        return pairs.groupBy(*block, query_id, doc_id).agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+
+    if fitted.count() > FEW:
+        return joined(queries)
+    shared = queries.sparkSession.sparkContext.broadcast(_postings(fitted, vocabulary, doc_id, block))
+    keys = [*block, query_id]
+    again = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    repeated = again.limit(1).count() > 0
+    single = null_safe_join(queries, again, keys, "left_anti") if repeated else queries
+    fields = [StructField(x, single.schema[x].dataType) for x in keys]
+    kinds = StructType([*fields, StructField(doc_id, docs.schema[doc_id].dataType), StructField("score", DoubleType())])
+    scores = single.select(*keys, grams(F.col(text)).alias("_grams")).mapInArrow(_scored(shared, block, query_id, doc_id, k), kinds)
+    return scores.unionByName(joined(null_safe_join(queries, again, keys, "left_semi"))) if repeated else scores
 
 
 def best_label(queries: DataFrame, scores: DataFrame, query_id: str, label: str, labels: DataFrame, threshold: float) -> DataFrame:

@@ -89,7 +89,7 @@ def mapped_prevalence_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_top5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five benchmark items for each document; items without a common term fill up at 0."""
     d, b = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text")
-    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", M.word_grams, "text", []).withColumn("score", F.round("score", 6))
+    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", M.word_grams, "text", [], 5).withColumn("score", F.round("score", 6))
     return O.top_k_filled(d, b, scores, "doc_id", "item_id", [], 5)
 
 

@@ -143,13 +143,13 @@ def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def tfidf_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's best benchmark item by TF-IDF cosine over words and word pairs; every document, every item."""
     d, b = _queries(spark, sf_dir)
-    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", M.word_grams, "text", []).withColumn("score", F.round("score", 6))
+    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", M.word_grams, "text", [], 1).withColumn("score", F.round("score", 6))
     return M.best_label(d, scores, "doc_id", "item_id", b, 0.07)
 
 
 def tfidf_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = _queries(spark, sf_dir)
-    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", M.word_grams, "text", []).withColumn("score", F.round("score", 6))
+    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", M.word_grams, "text", [], 3).withColumn("score", F.round("score", 6))
     return M.top_k(scores, "doc_id", "item_id", 3).withColumn("place", F.col("place").cast("long"))
 
 
@@ -214,7 +214,7 @@ def tfidf_top3_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's three best benchmark items by words and word pairs without English function words."""
     d, b = _queries(spark, sf_dir)
     grams = lambda text: M.word_grams(text, 2, M.ENGLISH_STOP)
-    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", grams, "text", []).withColumn("score", F.round("score", 6))
+    scores = M.tfidf_cosine(d, b, "doc_id", "item_id", grams, "text", [], 3).withColumn("score", F.round("score", 6))
     return M.top_k(scores, "doc_id", "item_id", 3).withColumn("place", F.col("place").cast("long"))
 
 
