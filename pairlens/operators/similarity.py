@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,8 +14,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pairlens.operators.shared import components, cut as lineage_cut, null_safe_join
 
 
-#: Rows up to which a table is broadcast, labels that all meet every vector, rows of a block of which pairs are made, cosines at a time.
-FEW, LABELS, BLOCK, CELLS = 500_000, 10_000, 10_000, 1 << 20
+#: Rows up to which a table is broadcast, labels that all meet every vector, rows of a block of which pairs are made, cosines at a time,
+# vectors at a time that are sent to up to as many homes as there are pivots, members of sets that are given at a time.
+FEW, LABELS, BLOCK, CELLS, VISITORS, MEMBERS = 500_000, 10_000, 10_000, 1 << 20, 64, 65_536
 
 
 # Function words of English that say nothing of a text's subject; a list of this library's own.
@@ -295,14 +298,14 @@ def similar_pairs_pruned(df: DataFrame, block: str, ident: str, vector: str, lea
 
     def housed(parts):
         for pdf in parts:
-            if not len(pdf):
-                continue
-            near = np.stack(pdf["v"].to_list()) @ c.T
-            own = near.argmax(axis=1)
-            gap = np.sqrt(np.maximum(0, 2 - 2 * c[own] @ c.T))
-            row, cell = np.nonzero(near.max(axis=1)[:, None] - near <= half * gap + 1e-9)
-            out = pdf.iloc[row].reset_index(drop=True)
-            yield out.assign(cell=cell, home=own[row] == cell)
+            for low in range(0, len(pdf), VISITORS):
+                part = pdf.iloc[low : low + VISITORS]
+                near = np.stack(part["v"].to_list()) @ c.T
+                own = near.argmax(axis=1)
+                gap = np.sqrt(np.maximum(0, 2 - 2 * c[own] @ c.T))
+                row, cell = np.nonzero(near.max(axis=1)[:, None] - near <= half * gap + 1e-9)
+                out = part.iloc[row].reset_index(drop=True)
+                yield out.assign(cell=cell, home=own[row] == cell)
 
     met = v.mapInPandas(housed, f"{block} {kind}, id long, v array<double>, cell int, home boolean")
     share = lambda home: F.ceil(F.count_if(home) / rows).cast("int")
@@ -331,32 +334,43 @@ def greedy_sets(pairs: DataFrame) -> DataFrame:
 
     A pair adds the end that a set lacks to every set that has the other end; if none has either, it opens a set. So a
     row can be in several sets, and sets that come to touch stay apart. What a pair does depends on the pairs of its
-    component alone, so each component is grown by itself; ``label`` names it.
+    component alone, so each component is grown by itself; ``label`` names it. Its pairs pass in order, and only its sets are held.
     """
     found = components(pairs)
     known = pairs.select("a", "b").join(found, F.col("a") == F.col("id")).select("label", "a", "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets: list[dict] = []
-        of: dict[object, list[int]] = {}
-        for a, b in sorted(set(zip(pdf["a"], pdf["b"], strict=True))):
-            one, two = list(of.get(a, ())), list(of.get(b, ()))
-            for k in one:
-                if b not in sets[k]:
-                    sets[k][b] = True
-                    of.setdefault(b, []).append(k)
-            for k in set(two) - set(one):
-                sets[k][a] = True
-                of.setdefault(a, []).append(k)
-            if not one and not two:
-                for x in (a, b):
-                    of.setdefault(x, []).append(len(sets))
-                sets.append({a: True, b: True})
-        rows = [(k, x) for k, members in enumerate(sets) for x in members]
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "set_id": [k for k, _ in rows], "id": [x for _, x in rows]})
-
-    return known.groupBy("label").applyInPandas(grow, f"label {kind}, set_id long, id {kind}")
+    def grow(parts):
+        label, last, sets, of = None, None, [], {}
+
+        def members():
+            rows = ((k, x) for k, found in enumerate(sets) for x in found)
+            while some := list(islice(rows, MEMBERS)):
+                yield pd.DataFrame({"label": label, "set_id": [k for k, _ in some], "id": [x for _, x in some]})
+
+        for pdf in parts:
+            for now, a, b in zip(pdf["label"], pdf["a"], pdf["b"], strict=True):
+                if now != label:
+                    yield from members()
+                    label, last, sets, of = now, None, [], {}
+                if (a, b) == last:
+                    continue
+                last = (a, b)
+                one, two = list(of.get(a, ())), list(of.get(b, ()))
+                for k in one:
+                    if b not in sets[k]:
+                        sets[k].add(b)
+                        of.setdefault(b, []).append(k)
+                for k in set(two) - set(one):
+                    sets[k].add(a)
+                    of.setdefault(a, []).append(k)
+                if not one and not two:
+                    for x in (a, b):
+                        of.setdefault(x, []).append(len(sets))
+                    sets.append({a, b})
+        yield from members()
+
+    return known.repartition("label").sortWithinPartitions("label", "a", "b").mapInPandas(grow, f"label {kind}, set_id long, id {kind}")
 
 
 def keep_first_of_similar(df: DataFrame, ident: str, pairs: DataFrame, mode: str = "components") -> DataFrame:
