@@ -27,13 +27,13 @@ class Encoder:
     """Ids of texts by a file of `tokenizers`, as little-endian 32-bit bytes.
 
     A byte-level tokenizer starts a new part at each ``_BLANK``, so the ids of a text are those of its words, one after
-    the other; the ids of words of up to ``kept`` characters together are kept (beyond it, those of the first), and a long text is cut into stretches of
-    about ``stretch`` characters. New words are coded as one text, of which a word begins at each token that begins with
-    a blank. A text that holds the string of a special token is coded whole, and so is every text
-    where the tokenizer is of another kind.
+    the other; the ids of words of up to ``kept`` characters together are kept (beyond it, and between tasks, those of the
+    first eighth: see ``forget``), and a long text is cut into stretches of about ``stretch`` characters. New words are
+    coded as one text, of which a word begins at each token that begins with a blank. A text that holds the string of a
+    special token is coded whole, and so is every text where the tokenizer is of another kind.
     """
 
-    def __init__(self, path: str, kept: int = 1 << 23, stretch: int = 1 << 18):
+    def __init__(self, path: str, kept: int = 1 << 22, stretch: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -63,15 +63,15 @@ class Encoder:
             low = cut.start()  # the next stretch begins with the blank
         yield text[low:]
 
-    def forget(self, kept: int) -> None:
-        """Keep the ids of the words that came first, of up to ``kept`` characters together: common words come early."""
+    def forget(self) -> None:
+        """Keep the ids of the words that came first, of up to an eighth of ``kept`` characters together: common words come early."""
         known, held = {}, 0
         for word, ids in self.known.items():
-            held += len(word)
-            if held > kept:
+            if held + len(word) > self.kept // 8:
                 break
+            held += len(word)
             known[word] = ids
-        self.known, self.held = known, min(held, kept)
+        self.known, self.held = known, held
 
     def learn(self, words: list[str]) -> None:
         solid = [w for w in words if _WORD.fullmatch(w)]
@@ -86,7 +86,7 @@ class Encoder:
         head, *words = _BLANK.split(text)
         new = set(words).difference(self.known)
         if self.held > self.kept:
-            self.forget(self.kept // 8)
+            self.forget()
             new = set(words).difference(self.known)
         self.held += sum(map(len, new))
         self.learn(list(new))
@@ -118,6 +118,7 @@ def _pieces(tokenizer: str, window: int, end: int):
                     n = len(ids) // 4
                     out += [(doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encode.forget()  # an executor has more workers than cores, and tasks go round all of them
 
     return cut
 

@@ -186,6 +186,7 @@ def _pieces(tokenizer: str, window: int, end: int):
                         at = upto
                     k += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        encode.forget()
 
     return cut
 

@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairlens.llm import packing
+from pairlens.llm import packing, swap_packing
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +30,16 @@ def test_codes_are_those_of_the_file():
     assert [np.frombuffer(x, "<u4").tolist() for x in small(texts)] == want
 
 
+def test_tasks_leave_few_words():
+    words = lambda p: " ".join(f"{p}{i}" for i in range(120_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [words("ab"), words("cd")]})
+    for pieces in (packing._pieces(PATH, 2048, 1), swap_packing._pieces(PATH, 1024, 2)):
+        first = [r.to_pylist() for r in pieces(iter([batch]))]
+        e = packing.encoder(PATH)
+        assert 0 < sum(map(len, e.known)) == e.held <= e.kept // 8 <= 1 << 19
+        assert [r.to_pylist() for r in pieces(iter([batch]))] == first
+
+
 def test_other_tokenizers_code_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     t, e, texts = Tokenizer.from_file(path), packing.Encoder(path), ["A b  c", "", "Word word's"]
