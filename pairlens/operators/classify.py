@@ -8,21 +8,25 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from pairlens.operators.shared import null_safe_join, places_by_hash
+from pairlens.operators.shared import cut, places_by_hash
 from pairlens.operators.similarity import word_grams
 
+#: Names of classes that are broadcast at most.
+SMALL = 100_000
+
 
 def common_classes(df: DataFrame, label: str, least: int) -> DataFrame:
-    """Rows of classes that have ``least`` rows or more."""
-    return df.join(df.groupBy(label).count().where(F.col("count") >= least).select(label), label, "left_semi")
+    """Rows of classes that have ``least`` rows or more. Names of up to ``SMALL`` classes are broadcast: a shuffle by class
+    would send all rows of one to a task."""
+    names = cut(df.groupBy(label).count().where(F.col("count") >= least).select(label))
+    return df.join(F.broadcast(names) if names.count() <= SMALL else names, label, "left_semi")
 
 
 def holdout(df: DataFrame, label: str, ident: str, share: float = 0.2, seed: int = 1337) -> DataFrame:
     """Add ``held_out``: about ``share`` of each class, by a hash of id and seed; the same rows each time."""
     draw = F.md5(F.concat_ws("~", F.lit(str(seed)), F.col(ident).cast("string")))
-    sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * share).alias("_share"))
-    placed = null_safe_join(places_by_hash(df, [label], draw, ident), sizes, [label])
-    return placed.withColumn("held_out", F.col("_place") <= F.col("_share")).drop("_place", "_share")
+    placed = places_by_hash(df, [label], draw, ident, total="_total")
+    return placed.withColumn("held_out", F.col("_place") <= F.floor(F.col("_total") * share)).drop("_place", "_total")
 
 
 def _fitted(rows: DataFrame, label: str, iterations: int):

@@ -39,17 +39,18 @@ def null_safe_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str
     return rows.join(table.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
-def places_by_hash(df: DataFrame, keys: list[str], draw: Column, ident: str, first: Column | None = None, out: str = "_place") -> DataFrame:
+def places_by_hash(df: DataFrame, keys: list[str], draw: Column, ident: str, first: Column | None = None, out: str = "_place", total: str | None = None) -> DataFrame:
     """Number the rows of each key from 1 by ``draw`` (a hash in hex), then ``ident``; those of least ``first`` before others.
 
     Rows are counted by the first digits of the hash, and numbered within these buckets: a key of any size is numbered by
-    many tasks.
+    many tasks. ``total`` names a column for the rows of the key.
     """
     order = F.lit(0) if first is None else first
     dealt = df.withColumn("_draw", draw).withColumn("_bucket", F.concat(order.cast("string"), F.substring("_draw", 1, 3)))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    sizes = [F.sum("_n").over(W.partitionBy(*keys)).alias(total)] if total else []
+    starts = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"), *sizes)
     placed = dealt.withColumn(out, F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_draw", ident)))
     return null_safe_join(placed, starts, [*keys, "_bucket"]).withColumn(out, F.col(out) + F.col("_start")).drop("_draw", "_bucket", "_start")
 
