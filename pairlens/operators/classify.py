@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pairlens.operators.shared import cut, places_by_hash
-from pairlens.operators.similarity import word_grams
+from pairlens.operators import hashed
+from pairlens.operators.shared import cut, null_safe_join, places_by_hash
+from pairlens.operators.similarity import gram_hashes
 
 #: Names of classes that are broadcast at most.
 SMALL = 100_000
@@ -23,10 +23,23 @@ def common_classes(df: DataFrame, label: str, least: int) -> DataFrame:
 
 
 def holdout(df: DataFrame, label: str, ident: str, share: float = 0.2, seed: int = 1337) -> DataFrame:
-    """Add ``held_out``: about ``share`` of each class, by a hash of id and seed; the same rows each time."""
+    """Add ``held_out``: about ``share`` of each class, by a hash of id and seed; the same rows each time.
+
+    Hashes are counted by their first digits. Rows stay where they are but those of one bucket a class, in which the share
+    ends and which are numbered."""
     draw = F.md5(F.concat_ws("~", F.lit(str(seed)), F.col(ident).cast("string")))
-    placed = places_by_hash(df, [label], draw, ident, total="_total")
-    return placed.withColumn("held_out", F.col("_place") <= F.floor(F.col("_total") * share)).drop("_place", "_total")
+    dealt = df.withColumn("_bucket", F.substring(draw, 1, 3))
+    counts = dealt.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    left = F.floor(F.sum("_n").over(W.partitionBy(label)) * share) - F.sum("_n").over(W.partitionBy(label).orderBy("_bucket")) + F.col("_n")
+    cuts = cut(counts.select(label, F.col("_bucket").alias("_edge"), left.alias("_left"), "_n").where("0 <= _left AND _left < _n").drop("_n"))
+    if cuts.count() > SMALL:
+        placed = places_by_hash(df, [label], draw, ident, total="_total")
+        return placed.withColumn("held_out", F.col("_place") <= F.floor(F.col("_total") * share)).drop("_place", "_total")
+    dealt = null_safe_join(dealt, F.broadcast(cuts), [label], "left")
+    split = F.coalesce((F.col("_bucket") == F.col("_edge")) & (F.col("_left") > 0), F.lit(False))
+    far = dealt.where(~split).withColumn("held_out", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(True)))
+    near = dealt.where(split).withColumn("held_out", F.row_number().over(W.partitionBy(label).orderBy(draw, ident)) <= F.col("_left"))
+    return far.unionByName(near).drop("_bucket", "_edge", "_left")
 
 
 def _fitted(rows: DataFrame, label: str, iterations: int):
@@ -53,39 +66,30 @@ def training_texts(pairs: DataFrame, label: str, biased: str, unbiased: str, mod
     return pairs.select(label, F.explode(F.concat(spans, full)).alias("text")).where(F.length(F.trim("text")) > 0)
 
 
-def text_pipeline(features: int = 1 << 18) -> Pipeline:
-    """Texts as unit vectors of hashed words and word pairs, weighted by rarity: stages from an array ``_grams`` to a vector ``_x``."""
-    return Pipeline(stages=[
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_x"),
-    ])
-
-
 def train_texts(df: DataFrame, label: str, text: str, least: int = 8, iterations: int = 50, features: int = 1 << 18):
-    """A classifier of texts: vectors of ``text_pipeline``, classes of fewer than ``least`` texts left out, the others weighted to
-    be equal. Returns (vectors, model, class names), or None where fewer than two classes are left. Nothing is collected but
-    the model: ``features`` weights a class."""
-    rows = common_classes(df.select(label, word_grams(F.col(text)).alias("_grams")), label, least)
-    if rows.select(label).distinct().count() < 2:
+    """A classifier of texts: unit vectors of hashed words and word pairs, weighted by rarity, classes of fewer than ``least``
+    texts left out, the others weighted to be equal. Returns (rarity, weights, class names), or None where fewer than two
+    classes are left. Nothing is collected but the model: ``features`` weights a class."""
+    rows = common_classes(df.select(F.col(label).cast("string").alias(label), text), label, least)
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    if len(counts) < 2:
         return None
-    vectors = text_pipeline(features).fit(rows)
-    return vectors, *_fitted(vectors.transform(rows).drop("_grams", "_tf", "_tfidf"), label, iterations)
+    weights, bias, rarity = hashed.fit(rows.select(label, gram_hashes(F.col(text))), counts, iterations, features)
+    return rarity, (weights, bias), sorted(counts)
 
 
 def predict_texts(fitted, df: DataFrame, text: str, k: int = 3, threshold: float = 0.6) -> DataFrame:
     """``predict`` for the texts of a table by what ``train_texts`` returned."""
-    vectors, model, names = fitted
-    return _best(model.transform(vectors.transform(df.withColumn("_grams", word_grams(F.col(text))))), names, k, threshold).drop("_grams", "_tf", "_tfidf")
+    rarity, (weights, bias), names = fitted
+    return _best(df.withColumn("_p", hashed.chances(df, gram_hashes(F.col(text)), (weights, bias, rarity))), names, k, threshold)
 
 
 def predict(model, names: list[str], df: DataFrame, vector: str, k: int = 3, threshold: float = 0.6) -> DataFrame:
     """Add best, score, mapped (score reaches ``threshold``) and the k best classes as JSON."""
-    return _best(model.transform(df.withColumn("_x", array_to_vector(vector))), names, k, threshold)
+    return _best(model.transform(df.withColumn("_x", array_to_vector(vector))).withColumn("_p", vector_to_array("probability")), names, k, threshold)
 
 
-def _best(scored: DataFrame, names: list[str], k: int, threshold: float) -> DataFrame:
-    out = scored.withColumn("_p", vector_to_array("probability"))
+def _best(out: DataFrame, names: list[str], k: int, threshold: float) -> DataFrame:
     pairs = F.transform("_p", lambda p, i: F.struct((-p).alias("minus"), F.element_at(F.array(*[F.lit(n) for n in names]), i + 1).alias("label")))
     out = out.withColumn("_top", F.slice(F.array_sort(pairs), 1, k))
     score = -F.col("_top")[0]["minus"]

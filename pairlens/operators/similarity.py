@@ -48,6 +48,20 @@ def word_grams(text: Column, most: int = 2, stop: list[str] | None = None) -> Co
     return F.flatten(F.transform(F.array(found), runs))  # bound once: as an expression the words would be found for each use
 
 
+def gram_hashes(text: Column, most: int = 2) -> Column:
+    """Words and runs of up to ``most`` words as hashes: a run's is one of its words' hashes."""
+
+    def runs(w: Column) -> Column:
+        out, run = w, w
+        for n in range(2, most + 1):
+            count = F.greatest(F.size(w) - (n - 1), F.lit(0))
+            run = F.zip_with(F.slice(run, 1, count), F.slice(w, n, count), lambda x, y: F.hash(x, y))
+            out = F.concat(out, run)
+        return out
+
+    return F.flatten(F.transform(F.array(F.transform(words(text), lambda w: F.hash(w))), runs))
+
+
 def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
     """Character n-grams inside words that are padded with a blank on each side."""
     padded = F.transform(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
