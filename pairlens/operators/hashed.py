@@ -113,7 +113,7 @@ def _entries(pieces: list[tuple], idf: np.ndarray) -> Iterator[tuple]:
 
 
 def _units(rows: int, pieces: list[tuple], idf: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What makes rows unit vectors, and the products of these with ``weights`` by class and row."""
+    """What makes rows unit vectors, and the products of these with ``weights`` by direction and row."""
     length, scores = np.zeros(rows), np.zeros((len(weights), rows))
     for cols, sizes, _, at, z in _entries(pieces, idf):
         length += np.bincount(at, z * z, rows)
@@ -123,13 +123,28 @@ def _units(rows: int, pieces: list[tuple], idf: np.ndarray, weights: np.ndarray)
     return unit, scores * unit
 
 
+def contrasts(k: int) -> np.ndarray:
+    """``k - 1`` directions in which scores of ``k`` classes that add up to nought can differ: at right angles and of length 1, so
+    that steps and penalties are those of ``k`` weights; of two classes the difference itself, as Spark has it."""
+    if k == 2:
+        return np.array([[-0.5, 0.5]])
+    i = np.arange(1, k)[:, None]
+    return np.where(np.arange(k) < i, 1.0, np.where(np.arange(k) == i, -i, 0)) / np.sqrt(i * (i + 1))
+
+
 def _chances(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the classes by row, and their logarithms."""
-    logs = scores - scores.max(0)
+    """Probabilities of the classes by row, and their logarithms, from scores by direction."""
+    logs = contrasts(len(scores) + 1).T @ scores
+    logs -= logs.max(0)
     logs -= np.log(np.exp(logs).sum(0))
     return np.exp(logs), logs
 
 
+def _add(x: np.ndarray, times: float, y: np.ndarray) -> None:
+    for a in range(0, len(x), SLICE):  # no second array of that size
+        x[a : a + SLICE] += times * y[a : a + SLICE]
+
+
 def _minimum(value: Callable, x: np.ndarray, iterations: int) -> np.ndarray:
     """Where ``value``, a function's value and gradient, is least: L-BFGS with steps that meet the strong Wolfe conditions."""
 
@@ -166,12 +181,12 @@ def _minimum(value: Callable, x: np.ndarray, iterations: int) -> np.ndarray:
         d, used = -g, []
         for s, y, r in reversed(past):
             used.append(r * (s @ d))
-            d -= used[-1] * y
+            _add(d, -used[-1], y)
         if past:
             s, y, r = past[-1]
             d *= (s @ y) / (y @ y)
         for s, y, r in past:
-            d += (used.pop() - r * (y @ d)) * s
+            _add(d, used.pop() - r * (y @ d), s)
         found = step(f, float(g @ d), 1.0 if i else 1 / np.linalg.norm(d), d)
         if found is None:
             break
@@ -186,14 +201,15 @@ def _minimum(value: Callable, x: np.ndarray, iterations: int) -> np.ndarray:
 
 
 def fit(rows: DataFrame, counts: dict[str, int], iterations: int, features: int, grams: int = GRAMS) -> tuple:
-    """Weights by class and column, a number for each class and the columns' rarity, learnt from rows (label, hashes).
+    """Weights by direction of ``contrasts`` and column, a number for each direction and the columns' rarity, learnt from rows
+    (label, hashes).
 
     Rows are unit vectors of counts times rarity, columns are brought to one deviation and classes weighted to be equal. Each
     step of the search reads the blocks once; the driver holds weights and gradients alone.
     """
     spark, names, n = rows.sparkSession, sorted(counts), sum(counts.values())
-    k = len(names)
-    weight = np.array([n / (k * counts[name]) for name in names])
+    weight = np.array([n / (len(names) * counts[name]) for name in names])
+    turn, k = contrasts(len(names)), len(names) - 1
 
     def documents(y, pieces, total):
         for _, _, cols, sizes in pieces:
@@ -217,7 +233,7 @@ def fit(rows: DataFrame, counts: dict[str, int], iterations: int, features: int,
             w, row = weight[y] / n, np.arange(len(y))
             total[-1] -= w @ logs[y, row]
             p[y, row] -= 1
-            p *= w
+            p = turn @ (p * w)
             total[k * features : -1] += p.sum(1)
             p *= unit
             for cols, _, starts, at, z in _entries(pieces, rarity.value):
@@ -227,8 +243,10 @@ def fit(rows: DataFrame, counts: dict[str, int], iterations: int, features: int,
         sums = _summed(table, slope, k * features + k + 1)
         sent.destroy()
         turned = sums[k * features : -1]
-        g = sums[: k * features].reshape(k, features) * inverse - np.outer(turned, mean * inverse) + REGULAR * beta
-        return float(sums[-1] + REGULAR / 2 * np.sum(beta * beta)), np.r_[g.ravel(), turned]
+        g = sums[: k * features].reshape(k, features)
+        for i in range(k):
+            g[i] = g[i] * inverse - turned[i] * mean * inverse + REGULAR * beta[i]
+        return float(sums[-1] + REGULAR / 2 * (x[: k * features] @ x[: k * features])), sums[:-1]
 
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
@@ -255,7 +273,7 @@ def fit(rows: DataFrame, counts: dict[str, int], iterations: int, features: int,
 
 
 def chances(df: DataFrame, hashes: Column, fitted: tuple) -> Column:
-    """Probabilities of the classes of rows of hashes by what ``fit`` returned, as an array."""
+    """Probabilities of the classes of rows of hashes, as an array, by what ``fit`` returned."""
     sent, features = df.sparkSession.sparkContext.broadcast(fitted), len(fitted[2])
 
     @F.arrow_udf("array<double>")
@@ -266,7 +284,7 @@ def chances(df: DataFrame, hashes: Column, fitted: tuple) -> Column:
             part = lists.slice(a, b - a)
             pieces = _block(part.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(part).to_numpy(zero_copy_only=False), features)
             found.append(_chances(_units(b - a, pieces, idf, weights)[1] + bias[:, None])[0].T)
-        flat = np.concatenate(found) if found else np.zeros((0, len(bias)))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(bias)), pa.array(flat.ravel()))
+        flat = np.concatenate(found) if found else np.zeros((0, len(bias) + 1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * (len(bias) + 1)), pa.array(flat.ravel()))
 
     return each(hashes)

@@ -44,20 +44,22 @@ def test_texts_are_read_once(spark):
 
 
 def test_blocks_learn_what_spark_learns(spark):
-    """Weights by many small blocks are those of Spark's regression over the same vectors."""
+    """Weights by many small blocks are those of Spark's regression over the same vectors, of four classes and of two."""
     n = 1 << 10
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL").select("lang", F.substring("text", 1, 900).alias("text"))
     rows = docs.union(spark.createDataFrame([("en", None), ("de", "")], docs.schema)).select("lang", gram_hashes(F.col("text")).alias("h")).cache()
     vector = F.udf(lambda h: Vectors.sparse(n, sorted(Counter(x % n for x in h).items())), VectorUDT())
     vectors = rows.withColumn("_tf", vector("h"))
-    vectors = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_x")]).fit(vectors).transform(vectors)
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    each = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, rows.count() / (len(counts) * v))])
-    indexed = StringIndexer(inputCol="lang", outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(vectors.withColumn("w", each[F.col("lang")]))
-    want = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="w", maxIter=6, regParam=1e-4).fit(indexed)
-    for grams in (hashed.GRAMS, 700, 1):
-        weights, bias, _ = hashed.fit(rows.select("lang", "h"), counts, 6, n, grams)
-        assert np.abs(weights - want.coefficientMatrix.toArray()).max() < 1e-8 and np.abs(bias - want.interceptVector.toArray()).max() < 1e-8
+    for some in (["de", "en", "es", "fr"], ["en", "fr"]):
+        few, vec = (d.where(F.col("lang").isin(some)) for d in (rows, vectors))
+        counts = {r.lang: r["count"] for r in few.groupBy("lang").count().collect()}
+        each = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, sum(counts.values()) / (len(counts) * v))])
+        fitted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_x")]).fit(vec).transform(vec.withColumn("w", each[F.col("lang")]))
+        want = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="w", maxIter=6, regParam=1e-4).fit(StringIndexer(inputCol="lang", outputCol="_y", stringOrderType="alphabetAsc").fit(few).transform(fitted))
+        for grams in (hashed.GRAMS, 700, 1):
+            weights, bias, _ = hashed.fit(few.select("lang", "h"), counts, 6, n, grams)
+            turn = hashed.contrasts(len(some)) if len(some) > 2 else np.ones((1, 1))
+            assert np.abs(turn.T @ weights - want.coefficientMatrix.toArray()).max() < 1e-8 and np.abs(turn.T @ bias - want.interceptVector.toArray()).max() < 1e-8
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") not in ("1", "200")
 
 
